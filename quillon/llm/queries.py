@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm.bpe import bpe_digests
 from quillon.llm.common import table
+from quillon.llm.embedding_dedup import embedding_dedup
+from quillon.llm.ngram_join import ngram_components
 from quillon.llm.quality_classifier import quality_classifier
 from quillon.llm.quality_rules import quality_rules
 from quillon.llm.token_counts import token_counts
@@ -17,6 +21,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"), size=3, threshold=Fraction(9, 10))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -35,6 +43,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op4_quality_classifier, op5_token_counts, op8_quality_rules)}
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_ngram_join, op2_bpe, op4_quality_classifier, op5_token_counts, op8_quality_rules, op10_embedding_dedup)
+}
 
 ORACLE_SQL: dict[str, str] = {}
