@@ -39,7 +39,7 @@ def buckets(text: Column) -> Column:
 
 
 def _array(xs) -> Column:
-    return F.array(*[F.lit(float(x)) for x in xs])
+    return F.expr("array(" + ",".join(f"{float(x)!r}D" for x in xs) + ")")
 
 
 def fit_domains(labelled: DataFrame, domains: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -65,12 +65,14 @@ def posteriors(documents: DataFrame, prior: np.ndarray, likelihood: np.ndarray,
     ratio = likelihood - likelihood.mean(0)
     add = lambda logs: lambda acc, b: acc + F.get(logs, b)
     logs = [F.aggregate("b", F.lit(0.0), add(_array(row))) for row in ratio]
-    seen = seen.select(*rest, F.size("b").cast("long").alias("tokens"), F.array(*logs).alias("s"))
     scale = F.when(F.col("tokens") > 0, F.pow(F.col("tokens").cast("double"), temper - 1)).otherwise(0.0)
-    seen = seen.select(*rest, "tokens", F.transform(F.arrays_zip(F.col("s").alias("s"), _array(prior).alias("q")), lambda x: x["s"] * scale + x["q"]).alias("s"))
-    seen = seen.select(*rest, "tokens", F.transform("s", lambda x: F.exp(x - F.array_max("s"))).alias("e"))
-    total = reduce(lambda a, b: a + b, [F.col("e")[k] for k in range(K)])
-    return seen.select(*rest, "tokens", F.transform("e", lambda x: x / total).alias("p"))
+    names = [f"quillon_s{k}" for k in range(K)]
+    seen = seen.select(*rest, F.size("b").cast("long").alias("tokens"), *[x.alias(c) for x, c in zip(logs, names, strict=True)])
+    seen = seen.select(*rest, "tokens", *[(F.col(c) * scale + float(q)).alias(c) for c, q in zip(names, prior, strict=True)])
+    top = F.greatest(*names) if K > 1 else F.col(names[0])
+    seen = seen.select(*rest, "tokens", *[F.exp(F.col(c) - top).alias(c) for c in names])
+    total = reduce(lambda a, b: a + b, map(F.col, names))
+    return seen.select(*rest, "tokens", F.array(*[F.col(c) / total for c in names]).alias("p"))
 
 
 def rate(history: list[np.ndarray], K: int, unit: float) -> Column:
@@ -136,7 +138,10 @@ def copies(rate_: Column, *keys: str) -> Column:
 
 
 def mix_rows(documents: DataFrame, labelled: DataFrame, weights: dict[str, float], floor: bool = True) -> DataFrame:
-    """The documents themselves, each as many times as its rate says. One shuffle-free pass after the fit."""
+    """The documents themselves, each as many times as its rate says. One shuffle-free pass after the fit.
+
+    With floor=True no domain shrinks, and no document goes: each stays at least once.
+    """
     domains = list(weights)
     prior, likelihood = fit_domains(labelled, domains)
     narrow = materialize(posteriors(documents.select("text"), prior, likelihood), "posteriors")
@@ -144,6 +149,6 @@ def mix_rows(documents: DataFrame, labelled: DataFrame, weights: dict[str, float
     columns = documents.columns
     body = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
     seen = posteriors(documents.select(body, "text"), prior, likelihood)
-    many = copies(rate(history, len(domains), unit), "row")
+    many = F.greatest(F.lit(int(floor)), copies(rate(history, len(domains), unit), "row"))
     kept = seen.select("row", many.alias("many")).where("many > 0")
     return kept.select("row", F.explode(F.sequence(F.lit(1), F.col("many")))).select("row.*")
