@@ -264,17 +264,22 @@ def bpe_decode(col, path: str, pattern: str):
     return run(col)
 
 
-def bpe_digests(documents: DataFrame, path: str, pattern: str) -> DataFrame:
-    """documents(doc_id, text) -> doc_id, n_tokens, ids_sha256, decoded_sha256.
+def tokenized(documents: DataFrame, path: str, pattern: str, *columns: str) -> DataFrame:
+    """documents(text, ...) -> the columns asked for, n_tokens, ids, ids_sha256, decoded_sha256.
 
-    Encoding and decoding run in one pass of a worker, so token ids never cross back to the JVM only to be digested.
+    Encoding and decoding run in one pass of a worker, and the decoded bytes themselves never cross back to the JVM.
     """
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    @F.pandas_udf("n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string")
     def run(texts: pd.Series) -> pd.DataFrame:
         c, rows = codec(path, pattern), []
         for ids in c.encode(texts):
-            rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()))
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            rows.append((len(ids) // 4, ids, hashlib.sha256(ids).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()))
+        return pd.DataFrame(rows, columns=["n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+
+    return documents.select(*columns, run("text").alias("quillon_t")).select(*columns, "quillon_t.*")
 
-    return documents.select("doc_id", run("text").alias("t")).select("doc_id", "t.*")
+
+def bpe_digests(documents: DataFrame, path: str, pattern: str) -> DataFrame:
+    """documents(doc_id, text) -> doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    return tokenized(documents, path, pattern, "doc_id").drop("ids")

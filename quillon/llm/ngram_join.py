@@ -271,6 +271,21 @@ def ngram_components(documents: DataFrame, size: int = 5, threshold: Fraction =
     )
 
 
+def one_of_each(documents: DataFrame, size: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
+    """The documents but for near duplicates: of each component the one with the least doc_id, once, with all its columns.
+
+    Documents without an id cannot be named by their component and stay.
+    """
+    found = materialize(ngram_components(documents, size, threshold).select("doc_id", "component_id").where("doc_id is not null"), "groups")
+    goes = found.where("doc_id <> component_id").select("doc_id").distinct()
+    stay = documents.join(sized(goes), "doc_id", "left_anti").select(*[f"`{c}`" for c in documents.columns])
+    again = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.isEmpty():
+        return stay
+    once = stay.join(sized(again), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*stay.columns)
+    return stay.join(sized(again), "doc_id", "left_anti").select(*stay.columns).union(once)
+
+
 def _texts(docs: DataFrame, small: DataFrame, size: int) -> DataFrame:
     """(node, key, hashes) of the classes in `small`, from their documents' texts."""
 

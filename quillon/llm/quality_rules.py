@@ -52,16 +52,21 @@ def measure(text: str | None) -> tuple:
     )
 
 
-def measures(df: DataFrame, text: str = "text") -> DataFrame:
-    """df without its text, with the MEASURE_SCHEMA columns; one pass, no shuffle."""
+def measured(text):
+    """Column: the measures of a text as a struct of MEASURE_SCHEMA."""
 
     @F.pandas_udf(MEASURE_SCHEMA)
     def run(col: pd.Series) -> pd.DataFrame:
         names = [x.split()[0] for x in MEASURE_SCHEMA.split(", ")]
         return pd.DataFrame([measure(x) for x in col], columns=names)
 
+    return run(text)
+
+
+def measures(df: DataFrame, text: str = "text") -> DataFrame:
+    """df without its text, with the MEASURE_SCHEMA columns; one pass, no shuffle."""
     rest = [c for c in df.columns if c != text]
-    return df.select(*rest, run(F.col(text)).alias("m")).select(*rest, "m.*")
+    return df.select(*rest, measured(F.col(text)).alias("m")).select(*rest, "m.*")
 
 
 def binomial_upper(bad: int, n: int, level: float) -> float:
@@ -91,12 +96,13 @@ class Cutoffs:
 
     cuts: dict
 
-    def rejects(self):
-        stratum = stratum_of(F.col("lang"))
+    def rejects(self, lang=None, of=F.col):
+        """Column: whether a document is rejected; `of` gives the column of a measure."""
+        stratum = stratum_of(F.col("lang") if lang is None else lang)
         out = F.lit(False)
         for s, by in self.cuts.items():
             for m, cut in by.items():
-                out = out | ((stratum == s) & (F.col(m) > F.lit(cut)))
+                out = out | ((stratum == s) & (of(m) > F.lit(cut)))
         return out
 
 
@@ -104,18 +110,18 @@ def stratum_of(lang):
     return F.when(lang.isin(*STRATA[:-1]), lang).otherwise(F.lit(STRATA[-1]))
 
 
-def base_failed():
-    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+def base_failed(of=F.col):
+    return (of("n_words") < 10) | (100 * of("n_repeat_words") > 20 * of("n_words"))
 
 
-def select_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = 0.05, level: float = 0.05) -> Cutoffs:
-    """Cutoffs per stratum from measured(doc_id, lang, measures) and labels(doc_id, quality).
+def select_cutoffs(measures_: DataFrame, labels: DataFrame, risk: float = 0.05, level: float = 0.05) -> Cutoffs:
+    """Cutoffs per stratum from measures_(doc_id, lang, measures) and labels(doc_id, quality).
 
     Among admissible cutoffs of a rule the lowest is taken: it rejects most. The counts collected are at most
     strata x rules x cutoffs numbers.
     """
     good = labels.where(F.col("quality") == 1).select("doc_id").where("doc_id is not null")
-    held = measured.where(~base_failed()).join(sized(good), "doc_id")
+    held = measures_.where(~base_failed()).join(sized(good), "doc_id")
     counts = held.groupBy(stratum_of(F.col("lang")).alias("stratum")).agg(
         F.count("*").alias("n"),
         *(F.count_if(F.col(m) > cut).alias(f"{m}@{i}") for m in MEASURES for i, cut in enumerate(GRID)),
@@ -141,3 +147,13 @@ def quality_rules(documents: DataFrame, labels: DataFrame, risk: float = 0.05, l
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & ~cuts.rejects()).alias("kept"), *MEASURES,
     )
+
+
+def kept_documents(documents: DataFrame, labels: DataFrame, risk: float = 0.05, level: float = 0.05) -> DataFrame:
+    """The documents that the rules keep, with all their columns. Texts are read twice and never shuffled."""
+    m = materialize(measures(documents.select("doc_id", "lang", "text")), "rules")
+    cuts = select_cutoffs(m, labels, risk, level)
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
+    seen = documents.select(row, measured(F.col("text")).alias("m"))
+    of = lambda name: F.col(f"m.{name}")
+    return seen.where(~base_failed(of) & ~cuts.rejects(F.col("row.lang"), of)).select("row.*")

@@ -9,10 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from quillon.llm.bpe import bpe_digests
 from quillon.llm.common import table
 from quillon.llm.embedding_dedup import embedding_dedup
+from quillon.llm.html_extract import html_extract
+from quillon.llm.mixing import mix
 from quillon.llm.ngram_join import ngram_components
 from quillon.llm.quality_classifier import quality_classifier
 from quillon.llm.quality_rules import quality_rules
 from quillon.llm.token_counts import token_counts
+from quillon.llm.url_filter import url_filter
+from quillon.llm.warc import warc_round_trip
+
+#: Rules of op3: (verdict, host and path).
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+#: Domains of op9 and their shares of tokens.
+DOMAIN_WEIGHTS = {"en": 0.6, "fr": 0.15, "de": 0.14, "es": 0.11}
 
 
 def tokenizer_path(name: str) -> str:
@@ -31,6 +40,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,17 +52,34 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract(table(spark, sf_dir, "pages"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    labelled = documents.select("text", documents.lang.alias("domain"))
+    return mix(documents.select("doc_id", "text"), labelled, DOMAIN_WEIGHTS)
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_ngram_join, op2_bpe, op4_quality_classifier, op5_token_counts, op8_quality_rules, op10_embedding_dedup)
+    for f in (
+        op1_ngram_join, op2_bpe, op3_url_filter, op4_quality_classifier, op5_token_counts,
+        op6_html_extract, op7_warc, op8_quality_rules, op9_mixing, op10_embedding_dedup,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
