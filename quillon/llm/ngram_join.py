@@ -43,7 +43,10 @@ from quillon.llm.components import connected_components
 #: Classes in one block of a tile.
 BLOCK = 1024
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-FEATURES = "n_shingles long, key binary, node long, bitmap binary, tiles array<long>"
+FEATURES = "n_shingles long, key binary, node long, tiles array<long>"
+SETS = "key binary, node long, n long, hashes binary, bitmap binary"
+#: Tiles of at most so many classes are joined with themselves; larger ones are compared by blocks.
+SMALL_TILE = 32
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -117,8 +120,9 @@ def _tiles(s: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def _bitmap(s: np.ndarray) -> bytes:
-    """A bit per hash, in a power of two of at least twice as many bits as the set has members."""
-    bits = max(64, 1 << (2 * len(s) - 1).bit_length()) if len(s) else 64
+    """A bit per hash, in a power of two of at least eight times as many bits as the set has members: few bits coincide,
+    so the bound is close."""
+    bits = max(64, 1 << (8 * len(s) - 1).bit_length()) if len(s) else 64
     out = np.zeros(bits, bool)
     out[(s & np.uint64(bits - 1)).astype(np.int64)] = True
     return np.packbits(out, bitorder="little").tobytes()
@@ -147,7 +151,7 @@ def features(documents: DataFrame, size: int, t: Fraction) -> DataFrame:
             s = shingle_hashes(x, size)
             key = xxhash.xxh3_128_digest(s.tobytes())
             tiles = _tiles(s, bands) if len(s) else s
-            rows.append((len(s), key, int.from_bytes(key[:8], "little", signed=True), _bitmap(s), tiles.view(np.int64)))
+            rows.append((len(s), key, int.from_bytes(key[:8], "little", signed=True), tiles.view(np.int64)))
         return pd.DataFrame(rows, columns=[x.split()[0] for x in FEATURES.split(", ")])
 
     return documents.select(*[c for c in documents.columns if c != "text"], run("text").alias("f")).select(
@@ -190,30 +194,33 @@ def links(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
 
 
 def _blocks(tiles: DataFrame) -> DataFrame:
-    """tiles(tile, node, component, n, bitmap) of several components each -> rows dealt to pairs of blocks."""
+    """tiles(tile, node, component, n, bitmap, own) of several components each -> rows dealt to pairs of blocks."""
     dealt = tiles.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("tile").orderBy("node")) - 1) / BLOCK))
     last = F.max("block").over(Window.partitionBy("tile"))
     pair = lambda i: F.struct(F.least(F.col("block"), i).alias("p"), F.greatest(F.col("block"), i).alias("q"))
     return dealt.withColumn("last", last).withColumn("pq", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), "last"), pair))).select(
-        "tile", "pq.p", "pq.q", "block", "node", "component", "n", "bitmap"
+        "tile", "pq.p", "pq.q", "block", "node", "component", "n", "bitmap", "own"
     )
 
 
 def _across(t: Fraction):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of the two blocks that lie in different components and pass the bitmap test."""
-        p, q = int(group.p.iloc[0]), int(group.q.iloc[0])
+        """Pairs of the two blocks that lie in different components, pass the bitmap test, and share no lower tile."""
+        p, q, tile = int(group.p.iloc[0]), int(group.q.iloc[0]), int(group.tile.iloc[0])
         rows, cols = group[group.block == p], group[group.block == q]
         size = int(group.bitmap.map(len).min())
         bits = np.stack([folded(b, size) for b in cols.bitmap])
-        n, comp, node = cols.n.to_numpy(), cols.component.to_numpy(), cols.node.to_numpy()
+        number = {c: i for i, c in enumerate(group.component.unique())}
+        n, comp, node = cols.n.to_numpy(), cols.component.map(number).to_numpy(), cols.node.to_numpy()
+        own = [set(x.tolist()) for x in cols.own]
         out = []
-        for b, a_n, a_comp, a_node in zip(rows.bitmap, rows.n, rows.component, rows.node, strict=True):
+        for b, a_n, a_comp, a_node, a_own in zip(rows.bitmap, rows.n, rows.component.map(number), rows.node, rows.own, strict=True):
             differ = np.bitwise_count(folded(b, size) ^ bits).sum(1)
             ok = (differ.astype(np.int64) <= a_n + n - 2 * needed(a_n, n, t)) & (comp != a_comp)
             if p == q:
                 ok &= node > a_node
-            out.extend((min(a_node, x), max(a_node, x)) for x in node[ok].tolist())
+            mine = set(a_own.tolist())
+            out.extend((min(a_node, node[j]), max(a_node, node[j])) for j in np.flatnonzero(ok).tolist() if min(mine & own[j]) == tile)
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return run
@@ -240,8 +247,8 @@ def ngram_components(documents: DataFrame, size: int = 5, threshold: Fraction =
     tiles = materialize(tiles.where("prev is not null or next is not null").select("tile", "node", "first"), "tiles")
 
     met = sized(tiles.select("node").distinct())
-    small = materialize(one.join(met, "node", "left_semi").select("node", "rid", "doc_id", F.col("n_shingles").alias("n"), "bitmap"), "bitmaps")
-    chosen = materialize(_texts(docs, small, size), "sets")
+    chosen = materialize(_texts(docs, one.select("node", "doc_id").join(met, "node", "left_semi"), size), "sets")
+    small = chosen.select("node", "n", "bitmap")
 
     def bounded(pairs: DataFrame) -> DataFrame:
         side = lambda x: small.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bitmap").alias(f"bitmap_{x}"))
@@ -251,13 +258,19 @@ def ngram_components(documents: DataFrame, size: int = 5, threshold: Fraction =
     found = materialize(links(bounded(stars), chosen, t), "links")
     first = connected_components(found)
 
-    # Tiles that still hold several components.
+    # Tiles of three classes or more (a pair has been compared) that still hold several components.
     named = chosen.select("node", "key").join(first.select(F.col("node").alias("key"), "component"), "key", "left")
     named = materialize(named.select("node", F.coalesce("component", "key").alias("component")), "named")
-    open_tiles = tiles.join(named, "node").groupBy("tile").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("tile")
-    still = tiles.select("tile", "node").join(open_tiles, "tile").join(named, "node").join(small.select("node", "n", "bitmap"), "node")
-    across = _blocks(still).groupBy("tile", "p", "q").applyInPandas(_across(t), "a long, b long").distinct()
-    more = links(across, chosen, t)
+    each = tiles.join(named, "node").groupBy("tile").agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y"))
+    still = tiles.join(each.where("size > 2 and x <> y").select("tile", "size"), "tile").join(named, "node")
+    still = materialize(still.select("tile", "size", "node", "first", "component"), "open")
+    few = still.where((F.col("size") <= SMALL_TILE) & (F.col("node") != F.col("first"))).select("tile", "node", "component")
+    other = few.select("tile", F.col("node").alias("b"), F.col("component").alias("c"))
+    near = few.join(other, "tile").where("node < b and component <> c").select(F.col("node").alias("a"), "b").distinct()
+    many = still.where(F.col("size") > SMALL_TILE).select("tile", "node", "component")
+    own = many.groupBy("node").agg(F.collect_set("tile").alias("own"))
+    across = _blocks(many.join(own, "node").join(small, "node")).groupBy("tile", "p", "q").applyInPandas(_across(t), "a long, b long")
+    more = links(bounded(near).union(across).distinct(), chosen, t)
     whole = connected_components(found.union(more))
 
     # Class components to documents' ids.
@@ -287,19 +300,21 @@ def one_of_each(documents: DataFrame, size: int = 5, threshold: Fraction = Fract
 
 
 def _texts(docs: DataFrame, small: DataFrame, size: int) -> DataFrame:
-    """(node, key, hashes) of the classes in `small`, from their documents' texts."""
+    """SETS of the classes in `small`(node, doc_id), from their documents' texts."""
 
-    @F.pandas_udf("key binary, node long, hashes binary")
+    @F.pandas_udf(SETS)
     def run(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for x in texts:
-            s = shingle_hashes(x, size).tobytes()
-            key = xxhash.xxh3_128_digest(s)
-            rows.append((key, int.from_bytes(key[:8], "little", signed=True), s))
-        return pd.DataFrame(rows, columns=["key", "node", "hashes"])
+            s = shingle_hashes(x, size)
+            raw = s.tobytes()
+            key = xxhash.xxh3_128_digest(raw)
+            rows.append((key, int.from_bytes(key[:8], "little", signed=True), len(s), raw, _bitmap(s)))
+        return pd.DataFrame(rows, columns=[x.split()[0] for x in SETS.split(", ")])
 
     # Ids need not be unique nor known: the text is found by id (null-safe) and kept if its class is asked for.
     ids = sized(small.select("doc_id").distinct())
     texts = docs.join(ids, docs.doc_id.eqNullSafe(ids.doc_id), "left_semi")
-    found = texts.select(run("text").alias("s")).select("s.*")
+    # Not deterministic to the optimizer, or it would move a test of the result below the join and run it on all texts.
+    found = texts.select(run.asNondeterministic()("text").alias("s")).select("s.*")
     return found.join(sized(small.select("node")), "node", "left_semi").dropDuplicates(["key"])

@@ -3,7 +3,8 @@
 Each rule rejects a document when one measure exceeds a cutoff. Cutoffs come from a grid and are chosen per
 stratum (the language) on labelled holdouts: a cutoff is admissible when the exact (Clopper-Pearson) upper bound on
 the rate at which it rejects documents labelled good is at most the rule's share of `risk`. The bounds hold jointly:
-the error level is divided over all strata, rules and cutoffs tested (Bonferroni), and by the union bound the rules
+the error level is divided over all strata and rules (Bonferroni), a rule's cutoffs are tested in a fixed sequence from
+the loosest down until one fails, and by the union bound the rules
 together reject at most `risk` of a stratum's good documents. A stratum with too few labels gets no cutoff and so
 loses nothing.
 
@@ -28,7 +29,7 @@ from quillon.llm.text_scan import Scan
 
 SYMBOLS = b"#*$%&|<>"
 #: What the learned rules look at: each is a share or mean that grows as texts get worse.
-MEASURES = ("symbol_rate", "upper_rate", "pipe_rate", "dup_line_rate", "repeat_rate", "bang_rate", "digit_rate")
+MEASURES = ("symbol_rate", "upper_rate", "pipe_rate", "dup_line_rate", "repeat_rate", "bang_rate")
 GRID = tuple(round(x, 3) for x in (0.005, 0.01, 0.02, 0.03, 0.05, 0.075, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9))
 #: Languages with rules of their own; all others share the stratum "other", so the number tested stays fixed.
 STRATA = ("en", "fr", "de", "es", "other")
@@ -48,7 +49,7 @@ def measure(text: str | None) -> tuple:
     return (
         s.n, s.chars, symbols, dup, rep,
         symbols / chars, s.upper_words() / words, s.count(b"|") / words, dup / max(len(s.lines), 1),
-        rep / words, s.count(b"!") / words, s.count(b"0123456789") / chars,
+        rep / words, s.count(b"!") / words,
     )
 
 
@@ -117,24 +118,34 @@ def base_failed(of=F.col):
 def select_cutoffs(measures_: DataFrame, labels: DataFrame, risk: float = 0.05, level: float = 0.05) -> Cutoffs:
     """Cutoffs per stratum from measures_(doc_id, lang, measures) and labels(doc_id, quality).
 
-    Among admissible cutoffs of a rule the lowest is taken: it rejects most. The counts collected are at most
-    strata x rules x cutoffs numbers.
+    A rule's cutoffs are tested from the loosest down and the first that fails ends the sequence, so the cutoffs of one
+    rule share one error level. Of the admissible ones that is taken which rejects the most labelled bad documents less
+    labelled good ones, the loosest on ties; none if that is never positive. The counts collected are at most
+    2 x strata x rules x cutoffs numbers.
     """
-    good = labels.where(F.col("quality") == 1).select("doc_id").where("doc_id is not null")
-    held = measures_.where(~base_failed()).join(sized(good), "doc_id")
-    counts = held.groupBy(stratum_of(F.col("lang")).alias("stratum")).agg(
+    known = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", "quality")
+    held = measures_.where(~base_failed()).join(sized(known), "doc_id")
+    counts = held.groupBy(stratum_of(F.col("lang")).alias("stratum"), "quality").agg(
         F.count("*").alias("n"),
         *(F.count_if(F.col(m) > cut).alias(f"{m}@{i}") for m in MEASURES for i, cut in enumerate(GRID)),
     )
-    each = level / (len(STRATA) * len(MEASURES) * len(GRID))
+    rows = {(r["stratum"], r["quality"]): r for r in counts.collect()}
+    each = level / (len(STRATA) * len(MEASURES))
     share = risk / len(MEASURES)
     cuts: dict = {}
-    for row in counts.collect():
+    for stratum in STRATA:
+        good, bad = rows.get((stratum, 1)), rows.get((stratum, 0))
+        if good is None or bad is None:
+            continue
         for m in MEASURES:
-            for i, cut in enumerate(GRID):
-                if binomial_upper(row[f"{m}@{i}"], row["n"], each) <= share:
-                    cuts.setdefault(row["stratum"], {})[m] = cut
+            best = 0
+            for i in range(len(GRID) - 1, -1, -1):
+                lost = good[f"{m}@{i}"]
+                if binomial_upper(lost, good["n"], each) > share:
                     break
+                if bad[f"{m}@{i}"] - lost > best:
+                    best = bad[f"{m}@{i}"] - lost
+                    cuts.setdefault(stratum, {})[m] = GRID[i]
     return Cutoffs(cuts)
 
 
