@@ -28,6 +28,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.common import bounded_batches
+
 #: Short pieces a worker remembers; a short piece has at most SHORT bytes.
 CACHE = 300_000
 SHORT = 64
@@ -269,6 +271,7 @@ def tokenized(documents: DataFrame, path: str, pattern: str, *columns: str) -> D
 
     Encoding and decoding run in one pass of a worker, and the decoded bytes themselves never cross back to the JVM.
     """
+    bounded_batches(documents.sparkSession)
 
     @F.pandas_udf("n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string")
     def run(texts: pd.Series) -> pd.DataFrame:

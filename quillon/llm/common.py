@@ -36,6 +36,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most `rows` rows from now on: texts and arrays are long, and a batch is held whole by a worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it holds at most `limit` rows (counted), else df as it is: a shuffle join then."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

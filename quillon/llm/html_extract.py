@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.common import bounded_batches
+
 # Element names of the HTML standard by their role here.
 RAW = "script style template noscript iframe svg math object"
 BOILER = "nav footer aside form button select textarea menu dialog head"
@@ -185,6 +187,7 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
 
 def html_extract(pages: DataFrame, labelled: list[str] | None = None) -> DataFrame:
     """pages(page_id, url, html) -> page_id, url, text, n_chars. labelled: pages with content marked as in TRAINING."""
+    bounded_batches(pages.sparkSession)
     weights = train(labelled) if labelled else default_weights()
 
     @F.pandas_udf("string")

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.llm.common import materialize, sized
+from quillon.llm.common import bounded_batches, materialize, sized
 from quillon.llm.components import connected_components
 
 #: Classes in one block of a tile.
@@ -228,6 +228,7 @@ def _across(t: Fraction):
 
 def ngram_components(documents: DataFrame, size: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
     """documents(doc_id, text) -> row-wise doc_id, n_shingles, component_id (least doc_id linked, directly or not)."""
+    bounded_batches(documents.sparkSession)
     t = Fraction(threshold)
     docs = documents.select("doc_id", "text")
     feats = materialize(features(docs, size, t).withColumn("rid", F.monotonically_increasing_id()), "shingles")

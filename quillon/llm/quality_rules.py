@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize, sized
+from quillon.llm.common import bounded_batches, materialize, sized
 from quillon.llm.text_scan import Scan
 
 SYMBOLS = b"#*$%&|<>"
@@ -66,6 +66,7 @@ def measured(text):
 
 def measures(df: DataFrame, text: str = "text") -> DataFrame:
     """df without its text, with the MEASURE_SCHEMA columns; one pass, no shuffle."""
+    bounded_batches(df.sparkSession)
     rest = [c for c in df.columns if c != text]
     return df.select(*rest, measured(F.col(text)).alias("m")).select(*rest, "m.*")
 

@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.common import bounded_batches
+
 MARK = "▁"
 UNK_PENALTY = 10.0
 CACHE = 600_000
@@ -164,6 +166,7 @@ def counter(path: str) -> Counter:
 
 def token_counts(documents: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
     """documents(key, text) -> key, n_tokens."""
+    bounded_batches(documents.sparkSession)
 
     @F.pandas_udf("long")
     def run(texts: pd.Series) -> pd.Series:
