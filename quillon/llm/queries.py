@@ -82,4 +82,12 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others have no SQL twin: fitted models, joins too slow in SQL on whole tables, or tokenizers.
+ORACLE_SQL: dict[str, str] = {
+    "op7_warc": """
+        with p as (select page_id, octet_length(encode(coalesce(html, ''))) as b, sha1(encode(coalesce(html, ''))) as d from pages),
+        k as (select d, max(page_id) as keeper from p where b >= 1000 group by d)
+        select page_id, cast(b as bigint) as payload_bytes, p.d as payload_digest,
+            case when keeper <> page_id then 'revisit' else 'response' end as record_type, case when keeper <> page_id then keeper end as refers_to
+        from p left join k on p.d = k.d""",
+}
