@@ -123,10 +123,10 @@ def fit_rates(seen: DataFrame, weights: dict[str, float], budget: float | None =
 
 
 def mix(documents: DataFrame, labelled: DataFrame, weights: dict[str, float], budget: float | None = None, floor: bool = False) -> DataFrame:
-    """documents(text, ...) -> the other columns, tokens, p, rate."""
+    """documents(doc_id, text) -> doc_id, tokens, p, rate; one row for each row, extra columns left out."""
     domains = list(weights)
     prior, likelihood = fit_domains(labelled, domains)
-    seen = materialize(posteriors(documents, prior, likelihood), "posteriors")
+    seen = materialize(posteriors(documents.select("doc_id", "text"), prior, likelihood), "posteriors")
     history, unit, _, _ = fit_rates(seen, weights, budget, floor)
     return seen.withColumn("rate", rate(history, len(domains), unit))
 
