@@ -4,7 +4,9 @@ A naive Bayes classifier over hashed words is fitted on a labelled table (text,
 posterior over the K domains of the targets. Rates r_d >= 0 are then fitted so that the expected domain token totals
 sum_d r_d * tokens_d * p_dk meet the targets T_k: projected gradient on (Ar - T)' inv(G) (Ar - T) / 2 with G = AA',
 for which the step length is 1, from r = 1. A step is r <- max(0, r - tokens * p . l), l = inv(G)(Ar - T) holding K
-numbers, so r is a fold over the few l so far: no document's rate is ever stored or collected until the end.
+numbers, so r is a fold over the few l so far: no document's rate is ever stored or collected until the end. Once rates
+sit at zero, G is taken over the positive ones (a projected Newton step); a step that does not lessen the objective is
+dropped and made with the whole G instead.
 
 What reaches the driver: BUCKETS x K word counts once, K + K*K sums a step. Passes over the narrow table (doc, tokens,
 posteriors), written once, are one aggregation each.
@@ -103,20 +105,32 @@ def fit_rates(seen: DataFrame, weights: dict[str, float], budget: float | None =
     if not total.sum():
         return [], 1.0, total, want
     unit = total.sum() / row["n"]
-    G = np.zeros((K, K))
-    for i in range(K):
-        for j in range(i, K):
-            G[i, j] = G[j, i] = row[f"g{i}_{j}"] / unit**2
-    G += np.eye(K) * (1e-9 * np.trace(G))
+    def square(sums_) -> np.ndarray:
+        out = np.zeros((K, K))
+        for i in range(K):
+            for j in range(i, K):
+                out[i, j] = out[j, i] = (sums_[f"g{i}_{j}"] or 0.0) / unit**2
+        return out + np.eye(K) * max(1e-9 * np.trace(out), 1e-12)
+
+    whole = active = square(row)
     history: list[np.ndarray] = []
     now = total
     for _ in range(STEPS):
         if np.abs(now - want).max() <= TOLERANCE * want.sum():
             break
-        step = np.linalg.solve(G, (now - want) / unit)
-        history.append(step)
-        r = seen.select((rate(history, K, unit) * F.col("tokens")).alias("x"), "p").agg(*[F.sum(F.col("x") * F.col("p")[k]) for k in range(K)]).first()
-        before, now = now, np.array([float(x) for x in r])
+        r = rate([*history, np.linalg.solve(active, (now - want) / unit)], K, unit)
+        seen_ = seen.withColumn("x", r)
+        moved = seen_.agg(
+            *[F.sum(F.col("x") * F.col("tokens") * F.col("p")[k]).alias(f"t{k}") for k in range(K)],
+            *[F.sum(F.when(F.col("x") > 0, F.col("tokens").cast("double") ** 2 * F.col("p")[i] * F.col("p")[j])).alias(f"g{i}_{j}") for i in range(K) for j in range(i, K)],
+        ).first()
+        then = np.array([moved[f"t{k}"] for k in range(K)])
+        gain = np.dot(now - want, np.linalg.solve(whole, now - want)) - np.dot(then - want, np.linalg.solve(whole, then - want))
+        if gain <= 0 and active is not whole:
+            active = whole
+            continue
+        history.append(np.linalg.solve(active, (now - want) / unit))
+        before, now, active = now, then, square(moved)
         if np.abs(now - before).max() <= 0.1 * TOLERANCE * want.sum():
             break
     return history, unit, total, want
