@@ -152,17 +152,16 @@ def copies(rate_: Column, *keys: str) -> Column:
 
 
 def mix_rows(documents: DataFrame, labelled: DataFrame, weights: dict[str, float], floor: bool = True) -> DataFrame:
-    """The documents themselves, each as many times as its rate says. One shuffle-free pass after the fit.
+    """The documents themselves, each as many times as its rate says. No text is shuffled.
 
     With floor=True no domain shrinks, and no document goes: each stays at least once.
     """
     domains = list(weights)
     prior, likelihood = fit_domains(labelled, domains)
-    narrow = materialize(posteriors(documents.select("text"), prior, likelihood), "posteriors")
-    history, unit, _, _ = fit_rates(narrow, weights, None, floor)
-    columns = documents.columns
-    body = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
-    seen = posteriors(documents.select(body, "text"), prior, likelihood)
+    body = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
+    # Written with the rows: the fit reads the narrow columns only, and nothing below is evaluated over texts again.
+    seen = materialize(posteriors(documents.select(body, "text"), prior, likelihood), "posteriors")
+    history, unit, _, _ = fit_rates(seen.select("tokens", "p"), weights, None, floor)
     many = F.greatest(F.lit(int(floor)), copies(rate(history, len(domains), unit), "row"))
     kept = seen.select("row", many.alias("many")).where("many > 0")
     return kept.select("row", F.explode(F.sequence(F.lit(1), F.col("many")))).select("row.*")
