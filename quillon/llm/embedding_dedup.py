@@ -6,8 +6,9 @@ median, a band of SPILL of the vectors goes to both sides. Every vector of the t
 Vectors of a leaf are compared in double precision, verified against the threshold, and united.
 
 No pair is emitted: a linked pair is counted in the first (tree, leaf) that holds both, which a comparison of the two
-vectors' leaf lists tells, so a leaf returns one row per member: how many links were counted, and the least member
-linked to it through the leaf. Those rows are summed (links) and joined by connected components (classes).
+vectors' leaf lists tells, so a leaf returns one row per member: how many links were counted, and one member of the
+part of the leaf its links connect it to, the same for that whole part. Those rows are summed (links) and joined by
+connected components (classes).
 
 Equal directions are one representative with a weight, so copies are counted, not compared. A leaf larger than BLOCK
 (a table much larger than its sample could tell) is cut into blocks and every pair of blocks is compared, so no leaf
@@ -34,7 +35,6 @@ LEAF = 400
 SPILL = 0.1
 SAMPLE = 20_000
 BLOCK = 1024
-_LAST = np.iinfo(np.int64).max
 
 
 class Forest:
@@ -103,6 +103,18 @@ def _met_before(a: pd.Series, b: pd.Series, leaf: int) -> np.ndarray:
     return in_[0] @ in_[1].T > 0
 
 
+def _roots(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """Of each of n members, the first member that the links i-j connect it to, over any number of steps."""
+    root = np.arange(n)
+    while True:
+        a, b = root[i], root[j]
+        if (a == b).all():
+            return root
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while ((up := root[root]) != root).any():
+            root = up
+
+
 def _compare(threshold: float):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         """Links of the group's two blocks (one block with itself, if p = q) that belong to this leaf."""
@@ -115,9 +127,11 @@ def _compare(threshold: float):
         if p == q:
             close &= node_b > node_a[:, None]
         links_a, links_b = close @ cols.weight.to_numpy(), rows.weight.to_numpy() @ close
-        least_a = np.minimum(node_a, np.where(close, node_b, _LAST).min(1, initial=_LAST))
-        least_b = np.minimum(node_b, np.where(close, node_a[:, None], _LAST).min(0, initial=_LAST))
-        out = pd.DataFrame({"node": np.concatenate([node_a, node_b]), "n": np.concatenate([links_a, links_b]), "least": np.concatenate([least_a, least_b])})
+        i, j = np.nonzero(close)
+        node = np.concatenate([node_a, node_b])
+        # of one block with itself, the columns are the rows
+        root = _roots(i, j + len(node_a), len(node)) if p != q else np.tile(_roots(i, j, len(node_a)), 2)
+        out = pd.DataFrame({"node": node, "n": np.concatenate([links_a, links_b]), "root": node[root]})
         return out[out.n > 0]
 
     return run
@@ -161,7 +175,7 @@ def embedding_dedup(embeddings: DataFrame, threshold: float = 0.9, trees: int =
         pair = lambda i: F.struct(F.least(F.col("block"), i).alias("p"), F.greatest(F.col("block"), i).alias("q"))
         dealt = seen.withColumn("pq", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), "last"), pair)))
         dealt = dealt.select("leaf", "pq.p", "pq.q", "block", "node", "weight", "unit", "leaves")
-        parts.append(dealt.groupBy("leaf", "p", "q").applyInPandas(_compare(threshold), "node long, n long, least long"))
+        parts.append(dealt.groupBy("leaf", "p", "q").applyInPandas(_compare(threshold), "node long, n long, root long"))
 
     out = rows.select("vec_id", "node", "key")
     if not parts:
@@ -170,7 +184,7 @@ def embedding_dedup(embeddings: DataFrame, threshold: float = 0.9, trees: int =
     for p in parts[1:]:
         found = found.union(p)
     found = materialize(found, "links")
-    classes = connected_components(found.select(F.col("node").alias("u"), F.col("least").alias("v")))
+    classes = connected_components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     known = (
         reps.select("node", "vec_id", "weight")
         .join(found.groupBy("node").agg(F.sum("n").alias("n")), "node", "left")

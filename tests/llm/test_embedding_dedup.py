@@ -57,5 +57,42 @@ def test_recall_with_many_leaves(spark):
     assert sum(got.values()) >= 0.9 * sum(want.values())
 
 
+def paths():
+    """Vectors a step apart on circles in planes of their own: neighbours reach 0.9, ends do not; in 12 planes, so hashes come in many orders."""
+    rows, r = [], np.random.default_rng(5)
+    planes = np.linalg.qr(r.standard_normal((24, 24)))[0].reshape(12, 2, 24)
+    for k, (x, y) in enumerate(planes):
+        rows += [(10 * k + s, (np.cos(0.4 * s) * x + np.sin(0.4 * s) * y).tolist()) for s in range(3 if k < 8 else 8)]
+    return rows
+
+
+def test_paths_stay_whole(spark, monkeypatch):
+    rows = paths()
+    want = brute(rows)
+    assert len({c for _, c, _ in want.values()}) == 12
+    for block in (1024, 8):
+        monkeypatch.setattr(E, "BLOCK", block)
+        got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in E.embedding_dedup(frame(spark, rows), leaf=10_000).collect()}
+        assert got == want
+
+
+def test_links_keep_their_parts_in_every_hash_order():
+    from itertools import permutations
+
+    import pandas as pd
+
+    unit = [np.array([np.cos(0.4 * s), np.sin(0.4 * s)]).tobytes() for s in range(4)]
+    for nodes in permutations(range(4)):
+        for blocks in ((0, 0, 0, 0), (0, 1, 0, 1)):
+            group = pd.DataFrame({"leaf": 0, "p": 0, "q": max(blocks), "block": blocks, "node": nodes, "weight": 1, "unit": unit, "leaves": [np.array([0])] * 4})
+            out = E._compare(0.9)(group)
+            assert set(out.node) == set(range(4)) and out.groupby("node").n.sum().tolist() == [[1, 2, 2, 1][nodes.index(k)] for k in range(4)]
+            # every member must reach every other over the edges returned
+            reach, edges = {0}, list(zip(out.node, out.root, strict=True))
+            for _ in range(4):
+                reach |= {b for a, b in edges if a in reach} | {a for a, b in edges if b in reach}
+            assert reach == set(range(4))
+
+
 def test_empty_table(spark):
     assert E.embedding_dedup(frame(spark, [])).collect() == []
