@@ -4,7 +4,8 @@ A page is a sequence of words and tags. Words score positive, tags negative; the
 inside or outside the content, counted per class of word or tag on labelled pages (TRAINING, or a table of the
 caller's; the content is marked in the HTML). One linear scan finds the contiguous region of the greatest score. Words
 of elements that are never article text (menus, forms, adverts, comments ...) score nothing and are left out, inside
-the region too.
+the region too. A class, id or role marks an element only by a whole word of its value, and an article or main element
+inside a wrapper that is merely so marked counts as content again, unless it is marked itself or lies in an article.
 
 Text of the region: character references decoded per text node, white space in a block made one space, blocks trimmed
 and joined by one newline in page order. Tags that do not parse are text; unclosed elements end with their parents.
@@ -26,14 +27,15 @@ from pyspark.sql import functions as F
 from quillon.llm.common import bounded_batches
 
 # Element names of the HTML standard by their role here.
-RAW = "script style template noscript iframe svg math object"
+RAW = "script style template noscript iframe svg"
 BOILER = "nav footer aside form button select textarea menu dialog head"
 PARAGRAPH = "p h1 h2 h3 h4 h5 h6 blockquote pre figcaption br hr address dd dt li ul ol dl figure table thead tbody tfoot tr td th caption"
 BOX = "div section center fieldset details summary hgroup header"
 OUTER = "article main body html"
-INLINE = "a abbr b bdi bdo big cite code data del dfn em font i img input ins kbd label link mark meta meter nobr q s samp small source span strike strong sub sup time tt u var wbr"
+INLINE = "a abbr b bdi bdo big cite code data del dfn em font i img input ins kbd label link mark meta meter nobr object q s samp small source span strike strong sub sup time tt u var wbr"
+MATH = "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle mpadded mphantom menclose merror msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics annotation annotation-xml"
 VOID = "area base br col embed hr img input link meta param source track wbr"
-# Words of class, id and role attributes that mark what is not article text.
+# Whole words of class, id and role attributes that mark what is not article text.
 MARKS = (
     "ad ads advert advertisement adverts adsense banner breadcrumb breadcrumbs comment comments commentlist respond disqus "
     "cookie cookies consent gdpr notice notices alert disclaimer sidebar menu navbar navigation nav footer masthead popup modal overlay promo "
@@ -41,6 +43,7 @@ MARKS = (
 )
 
 _RAW, _BOILER, _PARA, _BOX, _OUTER, _INLINE, _VOID, _MARKS = (frozenset(x.split()) for x in (RAW, BOILER, PARAGRAPH, BOX, OUTER, INLINE, VOID, MARKS))
+_INLINE |= frozenset(MATH.split())
 _BLOCK = _PARA | _BOX | _OUTER | _BOILER - {"br"}
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"
@@ -49,32 +52,44 @@ _TOKEN = re.compile(
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)[^>]*>",
     re.S | re.I,
 )
-_ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_TELLING = re.compile(r"class|id|role|hidden|style", re.I)
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _OPEN, _CLOSE = "\ue000", "\ue001"  # marks of the content in labelled pages: private-use characters
 
 
-def _marked(tag: str, attrs: str) -> bool:
-    if not attrs or tag in _OUTER:
-        return False
-    if _HIDDEN.search(attrs):
-        return True
-    for m in _ATTR.finditer(attrs):
-        value = re.sub(r"([a-z])([A-Z])", r"\1 \2", m[1] or m[2] or m[3] or "")
-        if not _MARKS.isdisjoint(re.split(r"[^a-z]+", value.lower())):
-            return True
-    return False
+def _marked(attrs: str) -> int:
+    """2 if the attributes hide the element, 1 if a word of class, id or role marks it as no article text, else 0."""
+    found = 0
+    if attrs and _TELLING.search(attrs):
+        for m in _ATTR.finditer(attrs):
+            name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            if name == "hidden" or name == "style" and _NO_DISPLAY.search(value):
+                return 2
+            if name in ("class", "id", "role") and not _MARKS.isdisjoint(x.strip("-_0123456789") for x in value.lower().split()):
+                found = 1
+    return found
+
+
+def _left_out(name: str, attrs: str, above: int, inside: bool, stack: list) -> int:
+    """Whether an element is not article text: 0 no, 1 merely by words of attributes outside any article, 2 for good."""
+    if above == 2 or name in _BOILER or name == "header" and not inside:
+        return 2
+    if name in _OUTER:
+        return 0 if above and name in ("article", "main") and not _marked(attrs) else above
+    mark = _marked(attrs)
+    return max(above, 2 if mark and any(x[0] == "article" for x in stack) else mark)
 
 
 def events(page: str) -> list[tuple[str, str | None, bool]]:
     """The page as (class, text, is block edge): class "word:..." with the raw text, or "tag:..." without one."""
     out: list[tuple[str, str | None, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, not article text, inside an article
+    stack: list[tuple[str, int, bool]] = []  # name, not article text (_left_out), inside an article
     at = 0
 
     def text(until: int) -> None:
         if until > at:
-            _, bad, inside = stack[-1] if stack else ("", False, False)
+            _, bad, inside = stack[-1] if stack else ("", 0, False)
             out.append(("word:none" if bad else "word:article" if inside else "word:plain", page[at:until], False))
 
     for m in _TOKEN.finditer(page):
@@ -84,7 +99,7 @@ def events(page: str) -> list[tuple[str, str | None, bool]]:
         if not name:
             out.append(("tag:raw", None, False))
             continue
-        bad, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        bad, inside = (stack[-1][1], stack[-1][2]) if stack else (0, False)
         closing = bool(m["end"] or m["end2"])
         role = "para" if name in _PARA else "inline" if name in _INLINE else "box" if name in _BOX else "outer" if name in _OUTER else "other"
         where = ("inner" if inside else "none") if bad else "article" if inside else "plain"
@@ -96,11 +111,12 @@ def events(page: str) -> list[tuple[str, str | None, bool]]:
                 if stack[k][0] in _OUTER and name not in _OUTER:
                     break
         elif name not in _VOID:
-            own = bad or name in _BOILER or name == "header" and not inside or _marked(name, m["attrs"] or "")
+            above = bad
             if name in _PARA or name in _BOX or name in _OUTER or name in _BOILER:
                 if stack and stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
                     stack.pop()
-                    own = own if not bad else (stack[-1][1] if stack else False) or name in _BOILER or _marked(name, m["attrs"] or "")
+                    above = stack[-1][1] if stack else 0
+            own = _left_out(name, m["attrs"] or "", above, inside, stack)
             if name not in _INLINE or own and not bad:
                 stack.append((name, own, inside or name in ("article", "main")))
             if own and not bad:

@@ -195,6 +195,24 @@ def test_html_cases(spark):
     assert got == [(i, t, len(t)) for i, (_, t) in enumerate(PAGES)]
 
 
+WRAPPED = [
+    *((f"<div class='{c}'><article><h1>T</h1><p>one two</p></article></div>", "T\none two") for c in ("content has-sidebar", "with-comments", "widget-area-wrapper", "page-with-menu", "no-share", "content sidebar")),
+    ("<div id=sidebar><div><main><p>one two</p></main></div><p>side</p></div>", "one two"),
+    ("<main><div class=sidebar><article><p>one two</p></article></div></main>", "one two"),
+    ("<article><p>one two</p><p title='the hidden valley'>three four</p><p hidden>no</p><p class='x' HIDDEN=''>no</p><p style='color:red;display : none'>no</p><p data-x='display:none' data-id='menu'>five</p></article>", "one two\nthree four\nfive"),
+    ("<article><p>one two</p><div class='post sidebar'>no</div><div id=comment-12>no</div><div class=related><article>no</article></div><p>three</p></article>", "one two\nthree"),
+    ("<article><p>one two</p></article><ol class=comments><li><article class=comment><p>no no no no no no</p></article></li></ol>", "one two"),
+    ("<nav><article><p>no</p></article></nav><article><p>one</p></article>", "one"),
+    ("<article><p>If <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p><object data=x><p>in words</p></object><p>end</p></article>", "If x=1 holds\nin words\nend"),
+]
+
+
+def test_html_wrappers_attributes_and_formulas():
+    weights = html_extract.default_weights()
+    for page, text in WRAPPED:
+        assert html_extract.extract(page, weights) == text, page
+
+
 def test_html_of_the_table(spark, sf_dir):
     import html as entities
 
