@@ -9,8 +9,6 @@ from pyspark.sql.window import Window
 from quillon.operators.tables import durable
 
 _INCLUDE = r"\\(?:input|include|subfile)\s*\{([^{}]*)\}"
-#: Includes nested deeper than this are left as they are.
-DEPTH = 40
 
 
 def main_files(files: DataFrame) -> DataFrame:
@@ -69,7 +67,7 @@ def flatten(files: DataFrame) -> DataFrame:
     now = cut.join(main, ["project", "path"]).select("project", F.array("i").alias("at"), "literal", "target", "file", F.array("path").alias("seen"))
     done = None
     body = cut.select("project", F.col("path").alias("file"), "i", F.col("literal").alias("l"), F.col("target").alias("t"), F.col("file").alias("f"))
-    for _ in range(DEPTH):
+    while True:  # no file is twice on the way to a piece, so this ends
         now = durable(now)
         stop = (F.col("target").isNotNull()) & (F.col("file").isNull() | F.array_contains("seen", F.col("file")))
         why = F.when(F.col("file").isNull(), "missing").otherwise("cycle")

@@ -123,28 +123,28 @@ def insert_new(existing: DataFrame, arriving: DataFrame, keys: list[str], order:
     return first.join(existing.select(*keys), keys, "left_anti")
 
 
-def closure(edges: DataFrame, depth: int = 24) -> DataFrame:
-    """edges(src, dst) -> all (src, dst, hops) reachable in at most `depth` steps, with the least number of hops.
+def closure(edges: DataFrame) -> DataFrame:
+    """edges(src, dst) -> all (src, dst, hops) reachable in any number of steps, with the least number of hops.
 
-    Semi-naive: each round joins only the pairs found last, and stops when there are none.
+    Semi-naive by doubling: the pairs found last are continued by all known ones, so each round doubles the hops covered,
+    and the first round without a new pair is the last one.
     """
     from quillon.operators.tables import durable
 
-    step = edges.select("src", "dst").where("src <> dst").distinct()
-    known = durable(step.withColumn("hops", F.lit(1)))
+    known = durable(edges.select("src", "dst").where("src <> dst").distinct().withColumn("hops", F.lit(1)))
     last = known
-    for hops in range(2, depth + 1):
-        more = last.alias("l").join(step.alias("s"), F.col("l.dst") == F.col("s.src")).select("l.src", "s.dst").where("src <> dst").distinct()
-        more = durable(more.join(known, ["src", "dst"], "left_anti").withColumn("hops", F.lit(hops)))
+    while True:
+        on = last.alias("l").join(known.alias("k"), F.col("l.dst") == F.col("k.src")).select("l.src", "k.dst", (F.col("l.hops") + F.col("k.hops")).alias("hops"))
+        more = on.where("src <> dst").groupBy("src", "dst").agg(F.min("hops").alias("hops"))
+        more = durable(more.join(known, ["src", "dst"], "left_anti"))
         if more.isEmpty():
             return known
         known, last = durable(known.unionByName(more)), more
-    return known
 
 
-def reduced(edges: DataFrame, depth: int = 24) -> DataFrame:
+def reduced(edges: DataFrame) -> DataFrame:
     """Transitive reduction of an acyclic graph: edges not implied by a longer path."""
-    reach = closure(edges, depth)
+    reach = closure(edges)
     step = edges.select("src", "dst").distinct()
     implied = step.alias("e").join(reach.alias("r"), F.col("e.dst") == F.col("r.src")).select("e.src", "r.dst").distinct()
     return step.join(implied, ["src", "dst"], "left_anti")
