@@ -1,12 +1,13 @@
 """URL filters: rules by longest match, and for the rest a path-template tree, with DataFrame functions only.
 
-The tree, per host: the segments of a path are generalised from the root down. At a node (host, template so far), a
-segment stays literal while it holds at least SHARE of the node's URLs and SUPPORT of them; all others are variable and
-become one wildcard branch. Branches of a node whose labelled bad shares do not differ significantly (two-proportion
-z-test against the node's least labelled-bad branch, |z| < Z) and whose parents agree are merged: a branch takes the
-counts of its merged siblings. A template is rejected if its smoothed labelled purity (bad + PRIOR * base) / (n + PRIOR)
-reaches PURITY, base being the bad share of all labels. A URL gets the verdict of its template; with no labels at the
-template, its parent's stand in, up to the host; a host without labels is allowed.
+The tree, per host: the segments of a path, all of them, are generalised from the root down. At a node (the template so
+far), a segment stays literal while it holds at least SHARE of the node's URLs and SUPPORT of them; all others are
+variable and become one wildcard branch. Then labelled branches of a node are merged, the two neighbours in bad share
+that are closest first, as long as each branch of the one is alike to each of the other (two-proportion z-test, |z| < Z).
+Merged branches are one node, written {a|b}, with one subtree. A template is rejected if its smoothed labelled purity
+(bad + PRIOR * base) / (n + PRIOR) reaches PURITY, base being the bad share of all labels. A URL gets the verdict of its
+template; with no labels at the template, its parent's stand in, up to the host; a host without labels is allowed. In
+literal segments the characters \\ * | { } are written with a backslash.
 
 Labels are a table (url, bad). Where none is given, the URLs that a rule decides are the labels.
 
@@ -22,9 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize
+from quillon.llm.common import materialize, sized
 
-DEPTH = 4
 SHARE = 0.1
 SUPPORT = 5
 Z = 1.96
@@ -53,40 +53,90 @@ def rule_columns(host: Column, path: Column, rules: list[tuple[str, str]]) -> tu
     return rule, verdict
 
 
+def _alike(a: Column, b: Column) -> Column:
+    """Whether the bad shares of two branches (n labels, x bad) do not differ by the two-proportion z-test."""
+    pooled = (a["x"] + b["x"]) / (a["n"] + b["n"])
+    spread = F.sqrt(pooled * (1 - pooled) * (1 / a["n"] + 1 / b["n"]))
+    return (spread == 0) | (F.abs(a["x"] / a["n"] - b["x"] / b["n"]) < Z * spread)
+
+
+def _merged(branches: Column) -> Column:
+    """branches: array of (name, n, x), n > 0, at most 1 / SHARE + 1 of them -> array of groups, each an array of branches."""
+    share = lambda g: F.aggregate(g, F.lit(0.0), lambda s, b: s + b["x"]) / F.aggregate(g, F.lit(0.0), lambda s, b: s + b["n"])
+
+    def join_closest(groups: Column, _: Column) -> Column:
+        def gap(g: Column, i: Column) -> Column:
+            after = F.get(groups, i + 1)
+            return F.when(F.forall(g, lambda a: F.forall(after, lambda b: _alike(a, b))), F.struct((share(after) - share(g)).alias("gap"), i.alias("i")))
+
+        gaps = F.transform(F.slice(groups, 1, F.size(groups) - 1), gap)
+        at = F.array_min(gaps)["i"]
+        both = F.array(F.concat(F.get(groups, at), F.get(groups, at + 1)))
+        return F.when(at.isNull(), groups).otherwise(F.concat(F.slice(groups, F.lit(1), at), both, F.slice(groups, at + 3, F.size(groups))))
+
+    ranked = F.array_sort(F.transform(branches, lambda b: F.struct((b["x"] / b["n"]).alias("share"), b["name"].alias("name"), b["n"].alias("n"), b["x"].alias("x"))))
+    return F.aggregate(F.slice(branches, 2, F.size(branches)), F.transform(ranked, lambda b: F.array(b)), join_closest)
+
+
+def _nodes(live: DataFrame) -> DataFrame:
+    """Nodes of SUPPORT URLs and more: at, steps: names of the branches by "/" and the literal segment, and by "*" for the wildcard."""
+    each = live.groupBy("at", "segment").agg(F.sum("n").alias("own"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+    each = materialize(each, "segments")
+    node = each.groupBy("at").agg(F.sum("own").alias("whole"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")).where(F.col("whole") >= SUPPORT)
+    literal = each.where(F.col("own") >= SUPPORT).join(node.select("at", "whole"), "at").where(F.col("own") >= SHARE * F.col("whole"))
+    literal = literal.groupBy("at").agg(F.array_sort(F.collect_list(F.struct("segment", F.col("labelled").alias("n"), F.col("bad").alias("x")))).alias("literal"))
+    node = node.join(literal, "at", "left")
+    known = F.transform(F.coalesce("literal", F.array().cast("array<struct<segment:string,n:bigint,x:bigint>>")), lambda b: F.struct(
+        F.concat(F.lit("/"), b["segment"]).alias("key"), F.regexp_replace(b["segment"], r"([\\*|{}])", r"\\$1").alias("name"), b["n"].alias("n"), b["x"].alias("x")
+    ))
+    node = node.select("at", "labelled", "bad", known.alias("literal"))
+    rest = lambda c, f: F.col(c) - F.aggregate("literal", F.lit(0).cast("long"), lambda s, b: s + b[f])
+    wild = F.struct(F.lit("*").alias("key"), F.lit("*").alias("name"), rest("labelled", "n").alias("n"), rest("bad", "x").alias("x"))
+    node = node.select("at", F.array_append("literal", wild).alias("branches"))
+    node = node.select("at", "branches", _merged(F.filter("branches", lambda b: b["n"] > 0)).alias("groups"))
+    names = F.transform("groups", lambda g: F.array_sort(F.transform(g, lambda b: b["name"])))
+
+    def step(b: Column) -> Column:
+        group = F.get(F.filter(names, lambda g: F.array_contains(g, b["name"])), F.lit(0))
+        return F.when(F.size(group) > 1, F.concat(F.lit("{"), F.array_join(group, "|"), F.lit("}"))).otherwise(b["name"])
+
+    return node.select("at", F.map_from_entries(F.transform("branches", lambda b: F.struct(b["key"], step(b)))).alias("steps"))
+
+
 def _generalised(urls: DataFrame) -> DataFrame:
-    """urls(host, path, n, labelled, bad), one row per host and path -> with `templates`, from the host down."""
-    now = urls.withColumn("segments", F.slice(F.split(F.regexp_replace("path", r"\A/", ""), "/"), 1, DEPTH))
-    now = now.withColumn("templates", F.array("host")).withColumn("at", F.col("host"))
-    for d in range(DEPTH):
-        now = now.withColumn("segment", F.get("segments", F.lit(d)))
-        each = now.where("segment is not null").groupBy("at", "segment").agg(F.sum("n").alias("own"))
-        node = each.groupBy("at").agg(F.sum("own").alias("whole"))
-        literal = each.join(node, "at").where((F.col("own") >= SUPPORT) & (F.col("own") >= SHARE * F.col("whole"))).select("at", "segment", F.lit(True).alias("literal"))
-        now = now.join(literal, ["at", "segment"], "left")
-        step = F.concat("at", F.lit("/"), F.when(F.col("literal"), F.col("segment")).otherwise("*"))
-        now = now.withColumn("at", F.when(F.col("segment").isNull(), F.col("at")).otherwise(step))
-        now = now.withColumn("templates", F.when(F.col("segment").isNull(), F.col("templates")).otherwise(F.array_append("templates", F.col("at")))).drop("literal")
-    return now.select("host", "path", "n", "labelled", "bad", "templates")
+    """urls(host, path, n, labelled, bad), one row per host and path -> with `templates`, from the host down.
+
+    One round a level. Below a node with fewer than SUPPORT URLs all is variable, so its URLs are done at once, and the
+    rounds are as many as the depth that SUPPORT URLs share.
+    """
+    live = urls.withColumn("segments", F.split(F.regexp_replace("path", r"\A/", ""), "/")).withColumn("templates", F.array("host"))
+    done = None
+    while True:
+        live = live.withColumn("at", F.element_at("templates", -1)).withColumn("segment", F.get("segments", F.size("templates") - 1))
+        nodes = materialize(_nodes(live.where("segment is not null")), "nodes")
+        now = live.join(sized(nodes), "at", "left")
+        left = F.col("segment").isNotNull()
+        alone = left & F.col("steps").isNull()
+        depth = F.size("segments") - F.size("templates") + 1
+        stars = F.transform(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), lambda i: F.concat("at", F.repeat(F.lit("/*"), i)))
+        key = F.concat(F.lit("/"), "segment")
+        step = F.coalesce(F.try_element_at("steps", key), F.try_element_at("steps", F.lit("*")))
+        templates = F.when(~left, F.col("templates")).when(alone, F.concat("templates", stars)).otherwise(F.array_append("templates", F.concat("at", F.lit("/"), step)))
+        ended = ~left | alone | (F.size("templates") >= F.size("segments"))
+        now = materialize(now.select("host", "path", "n", "labelled", "bad", "segments", templates.alias("templates"), ended.alias("ended")), "templates")
+        ready = now.where("ended").drop("segments", "ended")
+        done = ready if done is None else done.union(ready)
+        live = now.where("not ended").drop("ended")
+        if live.isEmpty():
+            return done
 
 
 def template_verdicts(urls: DataFrame) -> DataFrame:
     """urls(host, path, n, labelled, bad) -> host, path, template, rejected."""
-    tree = materialize(_generalised(urls), "templates")
+    tree = _generalised(materialize(urls, "urls"))
     base = tree.agg(F.try_divide(F.sum("bad"), F.sum("labelled")).alias("x")).first()["x"] or 0.0
-    nodes = tree.select(F.posexplode("templates").alias("depth", "template"), "templates", "labelled", "bad")
-    nodes = nodes.withColumn("parent", F.when(F.col("depth") > 0, F.get("templates", F.col("depth") - 1)))
-    nodes = nodes.groupBy("template", "parent").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    # Labelled siblings that do not differ from their family's pooled rest are merged with it.
-    family = nodes.where("labelled > 0").groupBy(F.col("parent").alias("of")).agg(F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
-    n, x = F.col("labelled"), F.col("bad")
-    m, y = F.col("all_labelled") - n, F.col("all_bad") - x
-    pooled = F.try_divide("all_bad", "all_labelled")
-    spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), n) + F.try_divide(F.lit(1), m)))
-    alike = (m > 0) & ((spread == 0) | (F.abs(F.try_divide(x, n) - F.try_divide(y, m)) < Z * spread))
-    judged = nodes.where("labelled > 0").join(family, F.col("parent") == F.col("of"), "left").select(
-        "template", F.when(alike, F.col("all_labelled")).otherwise(n).alias("labelled"), F.when(alike, F.col("all_bad")).otherwise(x).alias("bad")
-    )
-    purity = judged.select("template", ((F.col("bad") + PRIOR * base) / (F.col("labelled") + PRIOR)).alias("purity"))
+    nodes = tree.select(F.explode("templates").alias("template"), "labelled", "bad").groupBy("template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+    purity = nodes.where("labelled > 0").select("template", ((F.col("bad") + PRIOR * base) / (F.col("labelled") + PRIOR)).alias("purity"))
     levels = tree.select("host", "path", F.posexplode("templates").alias("depth", "template")).join(purity, "template")
     best = levels.groupBy("host", "path").agg(F.max_by("purity", "depth").alias("purity"))
     return tree.select("host", "path", F.element_at("templates", -1).alias("template")).join(best, ["host", "path"], "left").select(

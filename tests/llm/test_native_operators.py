@@ -56,6 +56,34 @@ def test_templates_learn_from_labels(spark):
     assert got[300].verdict == "allow" and got[0].template == "bad.test/buy/*"
 
 
+def branches(host, *shares):
+    """URLs of branches a, b, ... of a host with (bad, all) labels each, and pages without a label."""
+    rows = [(f"http://{host}/{'abcdef'[k]}/{i}", i < bad if i < n else None) for k, (bad, n) in enumerate(shares) for i in range(max(n, 50) + 2)]
+    return rows
+
+
+def judged(spark, rows):
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.url_filter(pages, [], spark.createDataFrame([x for x in rows if x[1] is not None], "url string, bad boolean")).collect()}
+    return {u: got[i] for i, (u, _) in enumerate(rows)}
+
+
+def test_url_branches_merge_with_those_alike_only(spark):
+    got = judged(spark, branches("h.test", (0, 50), (60, 60), (0, 2)))
+    assert {u.split("/")[3]: r.template for u, r in got.items()} == {"a": "h.test/{a|c}/*", "b": "h.test/b/*", "c": "h.test/{a|c}/*"}
+    assert {u.split("/")[3]: r.verdict for u, r in got.items()} == {"a": "allow", "b": "block", "c": "allow"}
+    # the closest go first: 0 of 3 is alike to 20 of 40, but not to 26 of 40
+    got = judged(spark, branches("i.test", (26, 40), (20, 40), (0, 3), (0, 0)))
+    assert {u.split("/")[3]: r.template for u, r in got.items()} == {"a": "i.test/{a|b}/*", "b": "i.test/{a|b}/*", "c": "i.test/c/*", "d": "i.test/d/*"}
+
+
+def test_url_templates_reach_the_deepest_segment(spark):
+    rows = [(f"http://d.test/2024/05/12/news/{x}/{i}", x == "casino") for x in ("casino", "sport") for i in range(20)] + [("http://d.test/2024/05/12/*/x/y/z", None)]
+    got = judged(spark, rows)
+    assert all(got[u].verdict == ("block" if bad else "allow") for u, bad in rows if bad is not None)
+    assert got[rows[0][0]].template == "d.test/2024/05/12/news/casino/*" and got[rows[-1][0]].template == "d.test/2024/05/12/*/*/*/*"
+
+
 def test_url_filter_empty_and_repeated(spark):
     assert url_filter.url_filter(spark.createDataFrame([], "page_id long, url string"), RULES).collect() == []
     twice = spark.createDataFrame([(1, "http://a.com/en/1"), (1, "http://a.com/en/1"), (None, None)], "page_id long, url string")
