@@ -1,16 +1,16 @@
 """Quality rules whose cutoffs are selected by risk control.
 
 Each rule rejects a document when one measure exceeds a cutoff. Cutoffs come from a grid and are chosen per
-stratum (the language) on labelled holdouts: a cutoff is admissible when the exact (Clopper-Pearson) upper bound on
+stratum (each language that the labelled documents have) on labelled holdouts: a cutoff is admissible when the exact (Clopper-Pearson) upper bound on
 the rate at which it rejects documents labelled good is at most the rule's share of `risk`. The bounds hold jointly:
 the error level is divided over all strata and rules (Bonferroni), a rule's cutoffs are tested in a fixed sequence from
 the loosest down until one fails, and by the union bound the rules
 together reject at most `risk` of a stratum's good documents. A stratum with too few labels gets no cutoff and so
-loses nothing.
+loses nothing, nor does a language without labels.
 
 One narrow Python pass measures every whole text; the labelled counts are one aggregation of bounded size.
 
-Nulls: a null text counts as no words (base_failed); a null lang is a stratum of its own ("") ; null or clashing
+Nulls: a null text counts as no words (base_failed); a null lang is a stratum of its own; null or clashing
 columns are ignored; repeated rows give repeated results; labels with several rows for a document count each row.
 """
 
@@ -31,8 +31,6 @@ SYMBOLS = b"#*$%&|<>"
 #: What the learned rules look at: each is a share or mean that grows as texts get worse.
 MEASURES = ("symbol_rate", "upper_rate", "pipe_rate", "dup_line_rate", "repeat_rate", "bang_rate")
 GRID = tuple(round(x, 3) for x in (0.005, 0.01, 0.02, 0.03, 0.05, 0.075, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9))
-#: Languages with rules of their own; all others share the stratum "other", so the number tested stays fixed.
-STRATA = ("en", "fr", "de", "es", "other")
 REPEAT_WINDOW = 5
 
 MEASURE_SCHEMA = (
@@ -100,18 +98,14 @@ class Cutoffs:
 
     def rejects(self, lang=None, of=F.col):
         """Column: whether a document is rejected; `of` gives the column of a measure."""
-        stratum = stratum_of(F.col("lang") if lang is None else lang)
+        stratum = F.col("lang") if lang is None else lang
         out = F.lit(False)
         for s, by in self.cuts.items():
             for m, cut in by.items():
-                out = out | ((stratum == s) & (of(m) > F.lit(cut)))
+                out = out | (stratum.eqNullSafe(F.lit(s)) & (of(m) > F.lit(cut)))
         return out
 
 
-def stratum_of(lang):
-    return F.when(lang.isin(*STRATA[:-1]), lang).otherwise(F.lit(STRATA[-1]))
-
-
 def base_failed(of=F.col):
     return (of("n_words") < 10) | (100 * of("n_repeat_words") > 20 * of("n_words"))
 
@@ -126,15 +120,16 @@ def select_cutoffs(measures_: DataFrame, labels: DataFrame, risk: float = 0.05,
     """
     known = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", "quality")
     held = measures_.where(~base_failed()).join(sized(known), "doc_id")
-    counts = held.groupBy(stratum_of(F.col("lang")).alias("stratum"), "quality").agg(
+    counts = held.groupBy(F.col("lang").alias("stratum"), "quality").agg(
         F.count("*").alias("n"),
         *(F.count_if(F.col(m) > cut).alias(f"{m}@{i}") for m in MEASURES for i, cut in enumerate(GRID)),
     )
     rows = {(r["stratum"], r["quality"]): r for r in counts.collect()}
-    each = level / (len(STRATA) * len(MEASURES))
+    strata = sorted({s for s, _ in rows}, key=lambda s: (s is None, s or ""))
+    each = level / (max(len(strata), 1) * len(MEASURES))
     share = risk / len(MEASURES)
     cuts: dict = {}
-    for stratum in STRATA:
+    for stratum in strata:
         good, bad = rows.get((stratum, 1)), rows.get((stratum, 0))
         if good is None or bad is None:
             continue

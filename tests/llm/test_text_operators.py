@@ -10,6 +10,8 @@ import pytest
 
 P = pytest.importorskip("public_tokenizers")
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from quillon.llm import bpe, html_extract, quality_classifier, quality_rules, text_scan, token_counts  # noqa: E402
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
@@ -149,6 +151,20 @@ def test_rules_reject_junk_and_keep_good(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {d for d in got if got[d].kept}
 
 
+def test_each_language_is_a_stratum(spark):
+    """Good ja texts are all over a cutoff that the many zh labels admit; null, zh and ja have cutoffs apart."""
+    fields = {m: 0.0 for m in quality_rules.MEASURES} | {"n_words": 50, "n_repeat_words": 0}
+    rows = [("zh", 1, 0.0)] * 2000 + [("zh", 0, 0.5)] * 200 + [("ja", 1, 0.5)] * 8 + [(None, 1, 0.0)] * 2000 + [(None, 0, 0.5)] * 200
+    held = spark.createDataFrame([(i, lang, *(fields | {"symbol_rate": x}).values()) for i, (lang, _, x) in enumerate(rows)], "doc_id long, lang string, " + ", ".join(f"{m} double" for m in quality_rules.MEASURES) + ", n_words long, n_repeat_words long")
+    labels = spark.createDataFrame([(i, q) for i, (_, q, _) in enumerate(rows)], "doc_id long, quality int")
+    cuts = quality_rules.select_cutoffs(held, labels)
+    assert set(cuts.cuts) == {"zh", None}
+    lost = held.join(labels, "doc_id").where(cuts.rejects()).groupBy("lang", "quality").count().collect()
+    assert sorted((r["lang"] or "", r["quality"], r["count"]) for r in lost) == [("", 0, 200), ("zh", 0, 200)]
+    new = spark.createDataFrame([("ko", 0.5)], "lang string, symbol_rate double").select("lang", *(F.col("symbol_rate").alias(m) for m in quality_rules.MEASURES))
+    assert new.where(cuts.rejects()).count() == 0
+
+
 def test_rules_without_labels_and_empty(spark):
     docs, labels = corpus(spark, 12)
     got = quality_rules.quality_rules(docs, labels.limit(0)).collect()
