@@ -13,11 +13,14 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; where unset (tests) a temporary one is set."""
+    """The folder all executors share: spark.checkpoint.dir. Where unset, one is set for a local master; elsewhere that is
+    an error, for a machine-local folder would be lost to the other executors."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -36,6 +39,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that materialize() has written, once whatever reads them has been written itself."""
+    for df in tables:
+        hadoop = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(hadoop).delete(path, True)
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of at most `rows` rows from now on: texts and arrays are long, and a batch is held whole by a worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

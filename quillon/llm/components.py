@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize
+from quillon.llm.common import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -36,7 +36,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = materialize(edges.select("u", "v").where("u <> v").distinct(), "edges")
     seen = None
     for _ in range(max_rounds):
-        now = materialize(_small_star(_large_star(now)).distinct(), "edges")
+        last, now = now, materialize(_small_star(_large_star(now)).distinct(), "edges")
+        discard(last)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen is not None and mark == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(

@@ -2,22 +2,29 @@
 
 Documents with equal shingle sets are one class; classes are compared, never copies. Sets whose Jaccard similarity
 reaches t = num/den differ in at most k = floor((a + b)(1 - t)/(1 + t)) shingles, a and b their sizes. Class sizes are
-cut into bands; inside a band (and from the band above as far as t lets sizes reach) k is fixed, and the hash range of
+cut into bands; inside a band (and from the bands above as far as t lets sizes reach) k is fixed, and the hash range of
 shingles is divided into m > k parts, so two similar sets agree on at least m - k whole parts. A *tile* is a band, a
 part and the content of that part: similar classes meet in at least one tile, and unlike single shingles, a tile
-is not shared merely because a passage is. Empty parts make no tile unless a set has m - k or more of them; then all
-of its parts make one, so no similar pair is lost (shown in `_tiles`).
+is not shared merely because a passage is. A set's *spare* is m - k - 1 less its empty parts: so many of its tiles may be
+left out and each similar set still shares one with it. With a spare below zero (m is chosen so that this is rare) the
+empty parts make tiles too (shown in `_tiles`).
 
 Candidates of a tile are thinned by hashed bitmaps: |A & B| <= (a + b - popcount(bitA ^ bitB)) / 2. What passes is
-settled by exact intersection of the sorted arrays of 64-bit shingle hashes.
+settled by exact intersection of the sorted arrays of 64-bit shingle hashes, which are read for those classes only.
 
 Components need no pair inside a component already known:
-1. in each tile every class is compared with the tile's first class only (linear in the tile's size),
-2. connected components of the links found,
-3. tiles that still hold several components are cut into blocks of BLOCK classes; each pair of blocks is compared by
-   bitmap in one task, and pairs of different components that pass are verified exactly.
-So a large group of near copies costs one comparison a member for most of its members, no task gets more than two
-blocks, and what is emitted is candidates across components only.
+1. least and greatest class of each tile, by an aggregation that combines before its shuffle; tiles of one class go,
+2. in each tile left every class is compared with the tile's least class only (linear in the tile's size),
+3. connected components of the links found,
+4. of tiles that still hold several components, those of up to SMALL_TILE classes are joined with themselves. A larger
+   tile is *hot*; a class with no more hot tiles in a band than its spare meets all similar ones in tiles that are
+   not, and leaves the hot ones. What stays is cut into blocks of about BLOCK classes by hash, and each pair of blocks
+   is compared by bitmap in one task. Pairs of different components that pass are verified exactly.
+So a large group of near copies costs one comparison a member for most of its members, a passage that very many documents
+share costs nothing more, no task gets more than two blocks, and what is emitted is candidates across components only.
+
+Texts are scanned once for counts, tiles and bitmaps, and those of candidates that pass the bitmaps again for their arrays.
+Intermediate tables are removed when what reads them is written.
 
 Results: one row per input row. Words, case folding and short texts: see `shingle_hashes`. Null ids keep their row, with
 component_id the least non-null id reachable (null if none); null or empty texts have n_shingles 0 and are their own
@@ -28,25 +35,26 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from fractions import Fraction
-from math import floor
+from math import exp, floor, sqrt
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from quillon.llm.common import bounded_batches, materialize, sized
+from quillon.llm.common import bounded_batches, discard, materialize, sized
 from quillon.llm.components import connected_components
 
-#: Classes in one block of a tile.
+#: Classes in one block of a tile, about.
 BLOCK = 1024
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-FEATURES = "n_shingles long, key binary, node long, tiles array<long>"
-SETS = "key binary, node long, n long, hashes binary, bitmap binary"
+FEATURES = "n_shingles long, key binary, node long, bitmap binary, tiles array<long>, slots array<int>"
+SETS = "key binary, node long, hashes binary"
 #: Tiles of at most so many classes are joined with themselves; larger ones are compared by blocks.
 SMALL_TILE = 32
+#: A slot is a band and, in the low digits, a set's spare in it plus one (0: below zero).
+SLOT = 1 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -73,9 +81,9 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
 
 
 class Bands:
-    """Bands of set sizes for a threshold: where each begins, how far it reaches, its k, number of parts and bitmap bits."""
+    """Bands of set sizes for a threshold: where each begins, how far it reaches, its k and its number of parts."""
 
-    def __init__(self, threshold: Fraction, steps: int = 3):
+    def __init__(self, threshold: Fraction, steps: int = 2):
         self.t = threshold
         self.gap = (1 - threshold) / (1 + threshold)
         self.growth = float(1 / threshold) ** steps
@@ -90,39 +98,65 @@ class Bands:
             self.starts.append(nxt)
             self.reach.append(reach)
             self.k.append(k)
-            m = k + 2 + k // 6
+            m = self.parts_for(lo, k)
             self.parts.append(m)
             self.cuts.append(np.array([(i << 64) // m for i in range(1, m)], np.uint64))
             self.salt.append(_mix(np.arange(m, dtype=np.uint64) + np.uint64(len(self.parts) << 32)))
 
+    @staticmethod
+    def parts_for(size: int, k: int) -> int:
+        """The fewest parts with which a set of this size seldom has more than m - k - 1 empty ones: 3.5 deviations off."""
+
+        def room(m: int) -> float:
+            load = size / m
+            empty = m * exp(-load)
+            deviation = sqrt(max(empty - m * (1 + load) * exp(-2 * load), 1e-9))
+            return (m - k - 1 - empty) / deviation
+
+        low, high = k + 2, max(k + 2, 4 * size)
+        if room(high) < 3.5:
+            return high
+        while low < high:  # room grows with m
+            mid = (low + high) // 2
+            low, high = (low, mid) if room(mid) >= 3.5 else (mid + 1, high)
+        return low
+
     def of(self, size: int) -> list[int]:
-        """The bands a set of this size belongs to: its own, and those below that reach it."""
+        """The bands a set of this size belongs to: its own, and those below that reach it (reach never falls with the band)."""
         self.upto(size)
-        b = bisect_right(self.starts, size) - 1
-        return [x for x in range(b, -1, -1) if size <= self.reach[x] and self.k[x]] if b < 8 else [b, b - 1][: 1 + (size <= self.reach[b - 1])]
+        out = []
+        for b in range(bisect_right(self.starts, size) - 1, -1, -1):
+            if size > self.reach[b]:
+                break
+            if self.k[b]:  # with k = 0 only equal sets are similar
+                out.append(b)
+        return out
 
 
-def _tiles(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """Tile hashes of a sorted set: per band a hash of each part's content.
+def _tiles(s: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """(tiles, slots) of a sorted set: per band a hash of each part's content, and its slot beside each.
 
-    Two similar sets agree on >= m - k parts. A set with fewer than m - k empty parts leaves those out; if both do (or
-    one does), of the parts agreed on at most m - k - 1 are empty, so a non-empty one is emitted by both.
+    Two similar sets agree on >= m - k parts. Of those, at most m - k - 1 are empty if one of the sets has no more empty
+    parts, so a part that both have and emit remains; if both have more, both emit all parts. Likewise with parts left
+    out because they are hot, which both or neither of two equal parts are.
     """
-    out = []
-    total = np.concatenate([[np.uint64(0)], np.cumsum(_mix(s))])
-    for b in bands.of(len(s)):
-        m, k = bands.parts[b], bands.k[b]
-        at = np.concatenate([[0], np.searchsorted(s, bands.cuts[b]), [len(s)]])
-        parts = _mix(total[at[1:]] - total[at[:-1]] + bands.salt[b])
-        full = at[1:] > at[:-1]
-        out.append(parts[full] if m - full.sum() < m - k else parts)
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    tiles, slots = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+    if len(s):
+        total = np.concatenate([[np.uint64(0)], np.cumsum(_mix(s))])
+        for b in bands.of(len(s)):
+            m, k = bands.parts[b], bands.k[b]
+            at = np.concatenate([[0], np.searchsorted(s, bands.cuts[b]), [len(s)]])
+            parts = _mix(total[at[1:]] - total[at[:-1]] + bands.salt[b])
+            full = at[1:] > at[:-1]
+            spare = int(full.sum()) - k - 1
+            tiles.append(parts[full] if spare >= 0 else parts)
+            slots.append(np.full(len(tiles[-1]), b * SLOT + min(max(spare + 1, 0), SLOT - 1), np.int32))
+    return np.concatenate(tiles), np.concatenate(slots)
 
 
 def _bitmap(s: np.ndarray) -> bytes:
-    """A bit per hash, in a power of two of at least eight times as many bits as the set has members: few bits coincide,
-    so the bound is close."""
-    bits = max(64, 1 << (8 * len(s) - 1).bit_length()) if len(s) else 64
+    """A bit per hash, in a power of two of at least twice as many bits as the set has members."""
+    bits = max(64, 1 << (2 * len(s) - 1).bit_length()) if len(s) else 64
     out = np.zeros(bits, bool)
     out[(s & np.uint64(bits - 1)).astype(np.int64)] = True
     return np.packbits(out, bitorder="little").tobytes()
@@ -142,7 +176,7 @@ def needed(a, b, t: Fraction):
 
 
 def features(documents: DataFrame, size: int, t: Fraction) -> DataFrame:
-    """documents without text, with FEATURES."""
+    """doc_id with FEATURES of documents(doc_id, text)."""
 
     @F.pandas_udf(FEATURES)
     def run(texts: pd.Series) -> pd.DataFrame:
@@ -150,13 +184,11 @@ def features(documents: DataFrame, size: int, t: Fraction) -> DataFrame:
         for x in texts:
             s = shingle_hashes(x, size)
             key = xxhash.xxh3_128_digest(s.tobytes())
-            tiles = _tiles(s, bands) if len(s) else s
-            rows.append((len(s), key, int.from_bytes(key[:8], "little", signed=True), tiles.view(np.int64)))
+            tiles, slots = _tiles(s, bands)
+            rows.append((len(s), key, int.from_bytes(key[:8], "little", signed=True), _bitmap(s), tiles.view(np.int64), slots))
         return pd.DataFrame(rows, columns=[x.split()[0] for x in FEATURES.split(", ")])
 
-    return documents.select(*[c for c in documents.columns if c != "text"], run("text").alias("f")).select(
-        *[c for c in documents.columns if c != "text"], "f.*"
-    )
+    return documents.select("doc_id", run("text").alias("f")).select("doc_id", "f.*")
 
 
 def passes_bitmap(t: Fraction):
@@ -194,11 +226,11 @@ def links(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
 
 
 def _blocks(tiles: DataFrame) -> DataFrame:
-    """tiles(tile, node, component, n, bitmap, own) of several components each -> rows dealt to pairs of blocks."""
-    dealt = tiles.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("tile").orderBy("node")) - 1) / BLOCK))
-    last = F.max("block").over(Window.partitionBy("tile"))
+    """tiles(tile, size, node, component, n, bitmap, own) -> rows dealt to pairs of blocks, a block by hash of the node."""
+    last = F.floor((F.col("size") - 1) / BLOCK)
+    dealt = tiles.withColumn("last", last).withColumn("block", F.pmod(F.xxhash64("node"), F.col("last") + 1))
     pair = lambda i: F.struct(F.least(F.col("block"), i).alias("p"), F.greatest(F.col("block"), i).alias("q"))
-    return dealt.withColumn("last", last).withColumn("pq", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), "last"), pair))).select(
+    return dealt.withColumn("pq", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), "last"), pair))).select(
         "tile", "pq.p", "pq.q", "block", "node", "component", "n", "bitmap", "own"
     )
 
@@ -208,6 +240,8 @@ def _across(t: Fraction):
         """Pairs of the two blocks that lie in different components, pass the bitmap test, and share no lower tile."""
         p, q, tile = int(group.p.iloc[0]), int(group.q.iloc[0]), int(group.tile.iloc[0])
         rows, cols = group[group.block == p], group[group.block == q]
+        if not len(rows) or not len(cols):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         size = int(group.bitmap.map(len).min())
         bits = np.stack([folded(b, size) for b in cols.bitmap])
         number = {c: i for i, c in enumerate(group.component.unique())}
@@ -231,56 +265,68 @@ def ngram_components(documents: DataFrame, size: int = 5, threshold: Fraction =
     bounded_batches(documents.sparkSession)
     t = Fraction(threshold)
     docs = documents.select("doc_id", "text")
-    feats = materialize(features(docs, size, t).withColumn("rid", F.monotonically_increasing_id()), "shingles")
-
-    # One row stands for each class.
-    classes = feats.groupBy("key").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("doc_id"))
-    classes = materialize(classes, "classes")
-    firsts = classes.select(F.col("rid").alias("first"), "key")
-    spare = materialize(feats.select("rid", "key").join(firsts, "key").where("rid <> first").select("rid"), "copies")
-    one = feats.join(sized(spare), "rid", "left_anti")
-
-    # Tiles with at least two classes; the first of each is the one the others are compared with.
-    w = Window.partitionBy("tile").orderBy("node")
-    tiles = one.select(F.explode("tiles").alias("tile"), "node").select(
-        "tile", "node", F.first("node").over(w).alias("first"), F.lag("node").over(w).alias("prev"), F.lead("node").over(w).alias("next")
-    )
-    tiles = materialize(tiles.where("prev is not null or next is not null").select("tile", "node", "first"), "tiles")
-
-    met = sized(tiles.select("node").distinct())
-    chosen = materialize(_texts(docs, one.select("node", "doc_id").join(met, "node", "left_semi"), size), "sets")
-    small = chosen.select("node", "n", "bitmap")
-
-    def bounded(pairs: DataFrame) -> DataFrame:
+    wide = materialize(features(docs, size, t), "shingles")
+
+    # Tiles of two classes and more, each with its least class; copies of a class combine before the shuffle.
+    every = wide.select("node", F.explode(F.arrays_zip("tiles", "slots")).alias("at"))
+    met = every.groupBy(F.col("at.tiles").alias("tile")).agg(F.min("node").alias("first"), F.max("node").alias("last"))
+    met = materialize(met.where("first <> last").select("tile", "first"), "met")
+    tiles = every.select(F.col("at.tiles").alias("tile"), "node", F.col("at.slots").alias("slot")).join(sized(met), "tile")
+    tiles = materialize(tiles.distinct(), "tiles")
+
+    rows = materialize(wide.select("doc_id", "n_shingles", "key", "node"), "rows")
+    named = rows.groupBy("key", "node", "doc_id").agg(F.count("*").alias("rows"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "rows")).alias("one")
+    classes = materialize(named.groupBy("key", "node").agg(least).select("key", "node", "one.doc_id", "one.rows"), "classes")
+    here = sized(tiles.select("node").distinct())
+    small = wide.join(here, "node", "left_semi").select("node", "key", F.col("n_shingles").alias("n"), "bitmap")
+    small = materialize(small.dropDuplicates(["key"]), "bitmaps")
+    discard(wide, met)
+
+    def passing(pairs: DataFrame) -> DataFrame:
         side = lambda x: small.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bitmap").alias(f"bitmap_{x}"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").where(passes_bitmap(t)).select("a", "b")
+        return materialize(pairs.join(side("a"), "a").join(side("b"), "b").where(passes_bitmap(t)).select("a", "b"), "candidates")
+
+    def settled(pairs: DataFrame) -> DataFrame:
+        """Links among candidates; the arrays are those of their classes only."""
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        sets = materialize(_sets(docs, classes.join(sized(nodes), "node", "left_semi"), size), "sets")
+        out = materialize(links(pairs, sets, t), "links")
+        discard(sets, pairs)
+        return out
 
     stars = tiles.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    found = materialize(links(bounded(stars), chosen, t), "links")
+    found = settled(passing(stars))
     first = connected_components(found)
 
     # Tiles of three classes or more (a pair has been compared) that still hold several components.
-    named = chosen.select("node", "key").join(first.select(F.col("node").alias("key"), "component"), "key", "left")
-    named = materialize(named.select("node", F.coalesce("component", "key").alias("component")), "named")
-    each = tiles.join(named, "node").groupBy("tile").agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y"))
-    still = tiles.join(each.where("size > 2 and x <> y").select("tile", "size"), "tile").join(named, "node")
-    still = materialize(still.select("tile", "size", "node", "first", "component"), "open")
-    few = still.where((F.col("size") <= SMALL_TILE) & (F.col("node") != F.col("first"))).select("tile", "node", "component")
+    known = small.select("node", "key").join(first.select(F.col("node").alias("key"), "component"), "key", "left")
+    known = materialize(known.select("node", F.coalesce("component", "key").alias("component")), "known")
+    sizes = tiles.join(known, "node").groupBy("tile").agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y"))
+    sizes = materialize(sizes.select("tile", "size", F.expr("size > 2 and x <> y").alias("mixed")), "sizes")
+    few = tiles.join(sizes.where(f"mixed and size <= {SMALL_TILE}").select("tile"), "tile").join(known, "node")
+    few = materialize(few.where("node <> first").select("tile", "node", "component"), "few")
     other = few.select("tile", F.col("node").alias("b"), F.col("component").alias("c"))
     near = few.join(other, "tile").where("node < b and component <> c").select(F.col("node").alias("a"), "b").distinct()
-    many = still.where(F.col("size") > SMALL_TILE).select("tile", "node", "component")
-    own = many.groupBy("node").agg(F.collect_set("tile").alias("own"))
-    across = _blocks(many.join(own, "node").join(small, "node")).groupBy("tile", "p", "q").applyInPandas(_across(t), "a long, b long")
-    more = links(bounded(near).union(across).distinct(), chosen, t)
+
+    hot = materialize(tiles.join(sizes.where(f"size > {SMALL_TILE}"), "tile").select("tile", "size", "mixed", "node", "slot"), "hot")
+    bound = hot.groupBy("node", "slot").agg(F.count("*").alias("n")).where(F.col("n") >= F.col("slot") % SLOT)
+    many = hot.where("mixed").join(bound.select("node", "slot"), ["node", "slot"], "left_semi").select("tile", "size", "node").distinct()
+    many = materialize(many.join(known, "node"), "many")
+    own = many.groupBy("node").agg(F.collect_set("tile").alias("own"))  # at most a set's own tiles
+    across = _blocks(many.join(own, "node").join(small.select("node", "n", "bitmap"), "node"))
+    across = across.groupBy("tile", "p", "q").applyInPandas(_across(t), "a long, b long")
+    more = settled(passing(near.union(across).distinct()))
     whole = connected_components(found.union(more))
+    discard(tiles, small, known, sizes, few, hot, many, found, more)
 
     # Class components to documents' ids.
-    known = classes.select("key", "doc_id").join(whole.select(F.col("node").alias("key"), "component"), "key", "left")
-    known = known.select("key", "doc_id", F.coalesce("component", "key").alias("component"))
-    least = known.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    ids = known.join(least, "component").select("key", "component_id")
+    ids = classes.join(whole.select(F.col("node").alias("key"), "component"), "key", "left")
+    ids = ids.select("key", "doc_id", F.coalesce("component", "key").alias("component"))
+    lowest = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    ids = ids.join(lowest, "component").select("key", "component_id")
     alone = F.col("n_shingles") == 0  # texts without words are linked with nothing
-    return feats.select("doc_id", "n_shingles", "key").join(ids, "key").select(
+    return rows.join(ids, "key").select(
         "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
 
@@ -300,22 +346,29 @@ def one_of_each(documents: DataFrame, size: int = 5, threshold: Fraction = Fract
     return stay.join(sized(again), "doc_id", "left_anti").select(*stay.columns).union(once)
 
 
-def _texts(docs: DataFrame, small: DataFrame, size: int) -> DataFrame:
-    """SETS of the classes in `small`(node, doc_id), from their documents' texts."""
+def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """SETS of the classes in wanted(key, node, doc_id, rows), from the text of the row with their doc_id.
+
+    Ids need not be unique nor known: texts are found by id (null-safe) and kept if their class is asked for. Where a
+    class has its id on several rows, one of them is taken.
+    """
 
     @F.pandas_udf(SETS)
     def run(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for x in texts:
-            s = shingle_hashes(x, size)
-            raw = s.tobytes()
+            raw = shingle_hashes(x, size).tobytes()
             key = xxhash.xxh3_128_digest(raw)
-            rows.append((key, int.from_bytes(key[:8], "little", signed=True), len(s), raw, _bitmap(s)))
+            rows.append((key, int.from_bytes(key[:8], "little", signed=True), raw))
         return pd.DataFrame(rows, columns=[x.split()[0] for x in SETS.split(", ")])
 
-    # Ids need not be unique nor known: the text is found by id (null-safe) and kept if its class is asked for.
-    ids = sized(small.select("doc_id").distinct())
+    wanted = materialize(wanted, "wanted")
+    ids = sized(wanted.select("doc_id").distinct())
     texts = docs.join(ids, docs.doc_id.eqNullSafe(ids.doc_id), "left_semi")
     # Not deterministic to the optimizer, or it would move a test of the result below the join and run it on all texts.
     found = texts.select(run.asNondeterministic()("text").alias("s")).select("s.*")
-    return found.join(sized(small.select("node")), "node", "left_semi").dropDuplicates(["key"])
+    again = wanted.where("rows > 1").select("key")
+    if again.isEmpty():
+        return found.join(sized(wanted.select("key")), "key", "left_semi")
+    once = found.join(sized(again), "key", "left_semi").dropDuplicates(["key"])
+    return found.join(sized(wanted.where("rows = 1").select("key")), "key", "left_semi").union(once)
