@@ -1,63 +1,226 @@
-"""Scanning of Markdown and LaTeX as column expressions.
+"""Scanning of Markdown and LaTeX.
 
-One regular expression whose alternatives are tried in order at each position does the tokenizer's work, so a document
-is split into text, inline and display mathematics without leaving the JVM, and re-emission is a transform over the
-tokens: no shuffle, no Python.
+Splitting a document into text and mathematics needs matching delimiters, escapes and nested environments, which no
+regular expression states; `scan` does that in one pass over a text, in Arrow batches. All that follows (kinds, issues,
+cleaning, symbols) is column expressions over the array of tokens: no shuffle.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Environments that are display mathematics.
-DISPLAY_ENVS = ("equation", "align", "gather", "multline", "eqnarray", "alignat", "flalign", "displaymath", "math", "cases", "matrix", "pmatrix", "bmatrix", "vmatrix", "split", "aligned")
+from quillon.functions.text import collapse, normalize_unicode, outside, repair_escapes, strip, unicode_math
+
+# Environments that are display mathematics by themselves, those that are so inside a formula, those that
+# number their rows, those of rows, and those that align them.
+STANDALONE = ("equation", "align", "gather", "multline", "alignat", "flalign", "eqnarray", "displaymath", "subequations")
+INNER = ("split", "aligned", "gathered", "array", "matrix", "pmatrix", "bmatrix", "vmatrix", "Vmatrix", "Bmatrix", "smallmatrix", "cases")
+NUMBERED = ("equation", "align", "gather", "multline", "alignat", "flalign", "eqnarray")
+DISPLAY_ENVS = STANDALONE + INNER
+
+_OPENER = re.compile(r"(?m:^)```|`|\\\[|\\\(|\\begin\{([A-Za-z]+)(\*?)\}|\\.|\$\$?", re.S)
+_CLOSER = {"\\[": "\\]", "\\(": "\\)", "$$": "$$", "$": "$"}
+_CLOSE = {c: re.compile(re.escape(c) + r"|\\.", re.S) for c in _CLOSER.values()}
+_NAMED = {"\\[": "\\[ display block", "\\(": "\\( inline block", "$$": "$$ display block", "$": "$ inline block"}
+_BLANK_LINE = re.compile(r"\n[ \t]*\n")
+SCAN = "tokens array<struct<kind string, value string, body string, start int, line int, env string>>, issues array<struct<line int, message string>>"
+
+
+def find_close(text: str, at: int, closer: str) -> int:
+    """Where `closer` stands at or after `at`, escaped pairs skipped; -1 if nowhere."""
+    return next((m.start() for m in _CLOSE[closer].finditer(text, at) if m[0] == closer), -1)
+
+
+def find_end(text: str, at: int, name: str) -> tuple[int, int]:
+    """Begin and end of the \\end that matches a \\begin{name} before `at`, nested ones of the name counted; (-1, -1) if none."""
+    depth = 1
+    for m in re.compile(r"\\(begin|end)\{" + re.escape(name) + r"\}").finditer(text, at):
+        depth += 1 if m[1] == "begin" else -1
+        if not depth:
+            return m.start(), m.end()
+    return -1, -1
+
+
+def scan_text(text: str) -> tuple[list, list]:
+    """Tokens (kind, value, body, start, line, env) and issues (line, message) of a text. What opens and never closes is text."""
+    lines = [m.start() for m in re.finditer("\n", text)]
+    line = lambda at: bisect_right(lines, at - 1) + 1
+    tokens, issues, done, at = [], [], 0, 0
+
+    def add(kind: str, begin: int, end: int, body: str, env: str | None = None) -> None:
+        nonlocal done
+        for k, a, b, inner in (("text", done, begin, text[done:begin]), (kind, begin, end, body)):
+            if b > a:
+                tokens.append((k, text[a:b], inner, a, line(a), env if k != "text" else None))
+        done = end
+
+    while m := _OPENER.search(text, at):
+        what, begin, at = m[0], m.start(), m.end()
+        if what[0] == "`":  # code is text, to its end
+            end = text.find(what, at)
+            at = end + len(what) if end >= 0 else len(text) if what == "```" else at
+        elif m[1] and m[1] in DISPLAY_ENVS:
+            _, end = find_end(text, at, m[1] + m[2])
+            if end < 0:
+                issues.append((line(begin), f"\\begin{{{m[1]}{m[2]}}} has no matching end"))
+            else:
+                add("display", begin, end, text[begin:end], m[1])
+                at = end
+        elif what in _CLOSER:
+            end = find_close(text, at, _CLOSER[what])
+            if end < 0 or what == "$" and _BLANK_LINE.search(text, at, end):
+                issues.append((line(begin), f"Unclosed {_NAMED[what]}"))
+            else:
+                body, stop = text[at:end], end + len(what)
+                add("display" if what in ("\\[", "$$") else "inline", begin, stop, body)
+                at = stop
+        elif m[1]:  # any other environment: its head's first two characters are skipped like an escape
+            at = begin + 2
+    add("text", len(text), len(text), "")
+    return tokens, issues
 
-# In this order at each position: fenced code, code span, \[..\], \(..\), a display environment, any other escaped
-# character, $$..$$, $..$ without a blank line inside, plain text, one character that opened nothing.
-_TOKEN = (
-    r"(?s)(?m:^)```.*?(?:```|\z)|`[^`]*`|\\\[.*?\\\]|\\\(.*?\\\)"
-    r"|\\begin\{(" + "|".join(DISPLAY_ENVS) + r")(\*?)\}.*?\\end\{\1\2\}"
-    r"|\\.|\$\$.*?\$\$|\$(?!\$)(?:\\.|[^$\\\n]|\n(?!\s*\n))+\$|[^`\\$]+|."
-)
+
+def scan(text: Column) -> Column:
+    """struct<tokens, issues> of a document. kind: text, inline or display; value: as written; body: without delimiters, but
+    whole for environments; start: offset in code points; line: from 1. Null and empty texts have neither."""
+
+    @F.pandas_udf(SCAN)
+    def run(texts: pd.Series) -> pd.DataFrame:
+        names = ("kind", "value", "body", "start", "line", "env")
+        out = []
+        for x in texts:
+            tokens, issues = scan_text(x or "")
+            out.append(([dict(zip(names, t, strict=True)) for t in tokens], [{"line": n, "message": s} for n, s in issues]))
+        return pd.DataFrame(out, columns=["tokens", "issues"])
+
+    return run(text)
 
 
 def tokenize(text: Column) -> Column:
-    """array<struct<kind, value, body>>: kind is code, display, inline or text; body is the formula without delimiters."""
-    kind = lambda x: (
-        F.when(x.startswith("`") & (F.length(x) > 1), "code")
-        .when(x.startswith("\\[") | x.startswith("\\begin{") & (F.length(x) > 7) | x.startswith("$$") & (F.length(x) > 3), "display")
-        .when(x.startswith("\\(") & (F.length(x) > 2) | x.startswith("$") & (F.length(x) > 2), "inline")
-        .otherwise("text")
-    )
-    two = lambda x: F.substring(x, F.lit(3), F.length(x) - 4)
-    body = lambda x: (
-        F.when(x.startswith("\\[") & (F.length(x) > 3) | x.startswith("\\(") & (F.length(x) > 3) | x.startswith("$$") & (F.length(x) > 3), two(x))
-        .when(x.startswith("$") & (F.length(x) > 2), F.substring(x, F.lit(2), F.length(x) - 2))
-        .otherwise(x)
-    )
-    return F.transform(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), lambda x: F.struct(kind(x).alias("kind"), x.alias("value"), body(x).alias("body")))
-
-
-def _tight(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"[ \t\n\r]+", " "))
+    """The tokens of `scan`."""
+    return scan(text)["tokens"]
+
+
+# What is hidden before prose is looked for in a formula, in this order.
+_GROUPS = (
+    r"\\(?:begin|end)\{[A-Za-z]+\*?\}"
+    r"|\\(?:text|textrm|textbf|textit|textsf|texttt|mbox|mathrm|mathbf|mathit|mathsf|mathtt|operatorname|label|tag|ref|eqref|cite)\s*\*?\{[^{}]*\}"
+)
+_HIDDEN = _GROUPS + r"|\\[A-Za-z]+\*?|\\[^A-Za-z]"
+# Names of operators that are set upright.
+FUNCTIONS = "arcsin arccos arctan sinh cosh tanh sin cos tan sec csc cot log ln exp lim max min sup inf det gcd deg dim ker arg".split()
+_HANGUL = "\uac00-\ud7a3\u3131-\u314e"
+
+
+def escape_prose_in_math(c: Column) -> Column:
+    """Prose in a formula as \\text{...}: parenthesised asides, Hangul, and two or more words in a row, but not `dx dy`."""
+    aside = rf"[ \t]*\(\s*((?=[A-Za-z0-9{_HANGUL}\s,.'\"!?;:%\-]+\))(?:[^()]*(?:[{_HANGUL}]|[A-Za-z]{{2,}}[ \t]+[A-Za-z]{{2,}})[^()]*?))\s*\)"
+    words = r"(?<![A-Za-z])(?!(?:d[A-Za-z][ \t]+)+d[A-Za-z](?![A-Za-z]|[ \t]+[A-Za-z]{2}))([A-Za-z]{2,}(?:[ \t]+[A-Za-z]{2,})+)"
+    c = outside(c, _HIDDEN, lambda x: F.regexp_replace(x, aside, r" \\text{ ($1)}"))
+    c = outside(c, _HIDDEN, lambda x: F.regexp_replace(x, rf"([{_HANGUL}](?:[{_HANGUL}0-9 \t,.]*[{_HANGUL}0-9,.])?)", r"\\text{$1}"))
+    return outside(c, _HIDDEN, lambda x: F.regexp_replace(x, words, r"\\text{$1}"))
+
+
+def upgrade_operator_names(c: Column) -> Column:
+    """Bare names of operators as commands, but not in scripts or words."""
+    name = r"(?<![A-Za-z\\])(?<![_^]\{?)(" + "|".join(FUNCTIONS) + ")(?![A-Za-z])"
+    return outside(c, _HIDDEN, lambda x: F.regexp_replace(x, name, r"\\$1"))
+
+
+# Greek commands, which a differential may be of.
+GREEK = (
+    "alpha beta gamma delta epsilon varepsilon zeta eta theta vartheta iota kappa lambda mu nu xi pi rho sigma tau upsilon phi varphi chi psi omega "
+    "Gamma Delta Theta Lambda Xi Pi Sigma Upsilon Phi Psi Omega"
+).split()
+
+
+def space_differentials(c: Column) -> Column:
+    """A thin space before the differentials of an integral."""
+    operand = r"(?:(?<=[^\s{(\[,;:=+\-*/^_&<>|\\])(?<!\\[A-Za-z]{1,24}\*?)[ \t]+|(?<=[)}\]0-9]))"
+    variable = r"((?:[A-Za-z]|\\(?:" + "|".join(GREEK) + r")(?![A-Za-z]))(?![A-Za-z0-9]))"
+    spaced = outside(c, _GROUPS, lambda x: F.regexp_replace(x, operand + "d" + variable, r"\\,d$1"))
+    return F.when(c.rlike(r"\\(?:int|iint|iiint|oint)(?![A-Za-z])"), spaced).otherwise(c)
+
+
+def clean_formula(body: Column) -> Column:
+    """A formula's characters as LaTeX, escapes mended, prose set as text, operators upright, differentials spaced, no blanks at line ends."""
+    c = repair_escapes(unicode_math(body))
+    c = F.regexp_replace(c, r"(?m)[ \t]+$", "")
+    return strip(space_differentials(upgrade_operator_names(escape_prose_in_math(c))))
+
+
+def star(formula: Column) -> Column:
+    """Numbering environments without their numbers."""
+    return F.regexp_replace(formula, r"\\(begin|end)\{(" + "|".join(NUMBERED) + r")\}", r"\\$1{$2*}")
 
 
 def clean_standard(text: Column) -> Column:
-    """Delimiters normalised: display formulas on lines of their own between $$, inline ones between $, the rest untouched;
-    runs of two or more blank lines become one."""
-    emit = lambda x: (
-        F.when((x["kind"] == "display") & x["value"].startswith("\\begin{"), x["value"])
-        .when(x["kind"] == "display", F.concat(F.lit("$$\n"), F.trim(x["body"]), F.lit("\n$$")))
-        .when(x["kind"] == "inline", F.concat(F.lit("$"), _tight(x["body"]), F.lit("$")))
-        .otherwise(x["value"])
-    )
-    return F.regexp_replace(F.array_join(F.transform(tokenize(text), emit), ""), r"\n{3,}", "\n\n")
+    """Formulas cleaned and delimiters normalised: display ones on lines of their own between $$, environments that are display
+    mathematics bare and starred, inline ones between $; then no blanks at line ends, runs of blank lines as one, ends trimmed."""
+
+    def emit(x: Column) -> Column:
+        formula = clean_formula(x["body"])
+        bare = formula.rlike(r"(?s)\A\\begin\{(" + "|".join(STANDALONE) + r")\*?\}(?:(?!\\begin\{\1\*?\}).)*\\end\{\1\*?\}\z")
+        shown = F.when(bare, star(formula)).otherwise(F.concat(F.lit("$$\n"), formula, F.lit("\n$$")))
+        return F.when(x["kind"] == "display", shown).when(x["kind"] == "inline", F.concat(F.lit("$"), collapse(formula), F.lit("$"))).otherwise(x["value"])
+
+    out = F.array_join(F.transform(tokenize(normalize_unicode(text)), emit), "")
+    return strip(F.regexp_replace(F.regexp_replace(out, r"(?m)[ \t]+$", ""), r"\n{3,}", "\n\n"))
 
 
 def symbols(formula: Column) -> Column:
     """Distinct symbols of a formula in order: Latin letters outside commands and text groups, and Greek commands."""
     bare = F.regexp_replace(formula, r"\\(?:text|mathrm|operatorname|label|tag)\*?\{[^}]*\}", " ")
     found = F.regexp_extract_all(bare, F.lit(r"\\[A-Za-z]+|[A-Za-z]"), F.lit(0))
-    greek = r"\A(?:[A-Za-z]|\\(?:alpha|beta|gamma|delta|epsilon|varepsilon|zeta|eta|theta|iota|kappa|lambda|mu|nu|xi|pi|rho|sigma|tau|upsilon|phi|varphi|chi|psi|omega|Gamma|Delta|Theta|Lambda|Xi|Pi|Sigma|Phi|Psi|Omega))\z"
-    return F.array_distinct(F.filter(found, lambda x: x.rlike(greek)))
+    return F.array_distinct(F.filter(found, lambda x: x.rlike(r"\A(?:[A-Za-z]|\\(?:" + "|".join(GREEK) + r"))\z")))
+
+
+# Environments whose text is literal, and commands whose argument is a piece of the document's set-up.
+_LITERAL = r"\\begin\{(verbatim|lstlisting|minted|comment)(\*?)\}.*?\\end\{\1\2\}|\\verb\*?([^A-Za-z\s*]).*?\3"
+
+
+def strip_comments(text: Column) -> Column:
+    """Without comments (an unescaped % to the line's end); a line that is all comment goes with its newline. Literal text stays."""
+
+    def change(x: Column) -> Column:
+        x = F.regexp_replace(x, r"(?m)^[ \t]*%[^\n]*(?:\n|\z)", "")
+        return F.regexp_replace(x, r"(?<!\\)((?:\\\\)*)%[^\n]*", "$1")
+
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s){_LITERAL}|(?:(?!\\begin\{{(?:verbatim|lstlisting|minted|comment)|\\verb).)+|\\"), F.lit(0))
+    return F.array_join(F.transform(pieces, lambda x: F.when(x.rlike(rf"(?s)\A(?:{_LITERAL})\z"), x).otherwise(change(x))), "")
+
+
+def document_parts(text: Column) -> Column:
+    """struct<preamble, body, rest>: around the \\begin{document} and \\end{document} of a whole document; body alone where there is none."""
+    whole = r"(?s)\A(.*?\\begin\{document\})(.*?)(\\end\{document\}.*|\z)\z"
+    is_whole = text.contains("\\documentclass") & text.contains("\\begin{document}")
+    part = lambda i, other: F.when(is_whole, F.regexp_extract(text, whole, i)).otherwise(other)
+    return F.struct(part(1, F.lit("")).alias("preamble"), part(2, text).alias("body"), part(3, F.lit("")).alias("rest"))
+
+
+def macro_definitions(text: Column) -> Column:
+    """array<struct<name, arity, body>> of a text's \\newcommand, \\renewcommand, \\providecommand, \\def and \\DeclareMathOperator. Braces nest up to three deep."""
+    deep = r"\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}"
+    command = rf"\\(?:re|provide)?(?:new)?command\*?\s*\{{?\s*\\([A-Za-z]+)\s*\}}?\s*(?:\[(\d)\])?(?:\[[^\]]*\])?\s*{deep}"
+    define = rf"\\[egx]?def\s*\\([A-Za-z]+)((?:#\d)*)\s*{deep}"
+    operator = rf"\\DeclareMathOperator\*?\s*\{{?\s*\\([A-Za-z]+)\s*\}}?\s*{deep}"
+    found = F.regexp_extract_all(text, F.lit(rf"(?s){command}|{define}|{operator}"), F.lit(0))
+    get = F.regexp_extract
+
+    def one(x: Column) -> Column:
+        as_command = F.struct(get(x, rf"(?s)\A{command}", 1).alias("name"), F.coalesce(F.nullif(get(x, rf"(?s)\A{command}", 2), F.lit("")), F.lit("0")).cast("int").alias("arity"), get(x, rf"(?s)\A{command}", 3).alias("body"))
+        as_define = F.struct(get(x, rf"(?s)\A{define}", 1).alias("name"), F.regexp_count(get(x, rf"(?s)\A{define}", 2), F.lit("#")).alias("arity"), get(x, rf"(?s)\A{define}", 3).alias("body"))
+        as_operator = F.struct(get(x, rf"(?s)\A{operator}", 1).alias("name"), F.lit(0).alias("arity"), F.concat(F.lit("\\operatorname{"), get(x, rf"(?s)\A{operator}", 2), F.lit("}")).alias("body"))
+        return F.when(x.rlike(r"\A\\DeclareMathOperator"), as_operator).when(x.rlike(r"\A\\[egx]?def"), as_define).otherwise(as_command)
+
+    return F.transform(found, one)
+
+
+def commands_used(text: Column) -> Column:
+    """Distinct names of commands in a text, in order."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\\([A-Za-z]+)"), F.lit(1)))

@@ -1,11 +1,54 @@
-"""Equation numbering by running counters over a project's events."""
+"""Equations of documents as rows: extraction, numbering, references, and the graph of what defines what."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillon.functions import latex
+from quillon.functions.text import bound, strip
+from quillon.operators.relational import asof_join
+
+# Environments of rows that each may have a number.
+ROWS = ("align", "gather", "alignat", "flalign", "eqnarray")
+_DEEP = r"\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}"
+_BREAK = r"\\\\\*?(?:\s*\[[^\]]*\])?"
+
+
+def split_rows(body: Column) -> Column:
+    """Rows of an environment's body, at \\\\ outside braces and inner environments; an empty last row is none."""
+    pieces = F.regexp_extract_all(body, F.lit(rf"(?s)\\begin\{{([A-Za-z]+\*?)\}}.*?\\end\{{\1\}}|{_DEEP}|{_BREAK}|\\.|."), F.lit(0))
+    marked = F.array_join(F.transform(pieces, lambda x: F.when(x.rlike(rf"\A{_BREAK}\z"), "\u0001").otherwise(x)), "")
+    return bound(F.split(marked, "\u0001"), lambda r: F.when((F.size(r) > 1) & (strip(F.element_at(r, -1)) == ""), F.slice(r, F.lit(1), F.size(r) - 1)).otherwise(r))
+
+
+def extract(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(events, labels) of documents: events(doc, seq, kind, tag, env, latex) as number_equations takes them, labels(doc, seq, key).
+
+    Display formulas are equations, a row each in environments of rows; they are numbered unless the environment is starred
+    or none that numbers, or the row says so. A tag is the number. Sections and the appendix come from the text between.
+    """
+    tokens = documents.select(F.col(doc).alias("doc"), F.explode(latex.tokenize(latex.strip_comments(F.col(text)))).alias("t"))
+    whole = r"(?s)\A\\begin\{([A-Za-z]+)(\*?)\}(.*)\\end\{\1\2\}\z"
+    body, env = F.col("t.body"), F.col("t.env")
+    starred = F.regexp_extract(body, whole, 2) == "*"
+    inner = F.when(env.isNull(), body).otherwise(F.regexp_extract(body, whole, 3))
+    shown = tokens.where("t.kind = 'display'").select(
+        "doc", F.col("t.start").alias("start"), env.alias("env"), starred.alias("starred"), F.when(env.isin(*ROWS), split_rows(inner)).otherwise(F.array(inner)).alias("rows")
+    )
+    each = shown.select("doc", "start", "env", "starred", F.posexplode("rows").alias("i", "latex"))
+    tag = F.regexp_extract("latex", r"\\tag\*?\s*\{([^}]*)\}", 1)
+    tag = F.when(tag != "", strip(tag))
+    plain = F.col("env").isin(*latex.NUMBERED) & ~F.col("starred") & ~F.col("latex").rlike(r"\\(nonumber|notag)(?![A-Za-z])")
+    kind = F.when(tag.isNotNull() | F.coalesce(plain, F.lit(False)), "equation").otherwise("unnumbered")
+    rows = each.select("doc", F.struct("start", "i").alias("seq"), kind.alias("kind"), tag.alias("tag"), "env", F.col("latex"))
+    marks = tokens.where("t.kind = 'text'").select("doc", F.col("t.start").alias("start"), F.posexplode(F.regexp_extract_all("t.value", F.lit(r"\\(section\s*[\[{]|appendix(?![A-Za-z]))"), F.lit(1))).alias("i", "mark"))
+    none = F.lit(None).cast("string")
+    marks = marks.select("doc", F.struct("start", "i").alias("seq"), F.when(F.col("mark").startswith("section"), "section").otherwise("appendix").alias("kind"), none.alias("tag"), none.alias("env"), none.alias("latex"))
+    labels = rows.select("doc", "seq", F.explode(F.regexp_extract_all("latex", F.lit(r"\\label\s*\{([^}]*)\}"), F.lit(1))).alias("key"))
+    return rows.union(marks), labels.select("doc", "seq", strip(F.col("key")).alias("key"))
+
 
 def number_equations(events: DataFrame, within_section: bool = False) -> DataFrame:
     """events(doc, seq, kind, tag) -> equations with their number.
@@ -28,3 +71,56 @@ def number_equations(events: DataFrame, within_section: bool = False) -> DataFra
 def resolve_references(references: DataFrame, labels: DataFrame) -> DataFrame:
     """references(doc, seq, key) with labels(doc, key, number) -> the text of each reference, ?? where no label answers."""
     return references.join(labels, ["doc", "key"], "left").select("doc", "seq", "key", F.coalesce("number", F.lit("??")).alias("text"), F.col("number").isNotNull().alias("ok"))
+
+
+def references(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, seq, key) of every \\ref and \\eqref, in order."""
+    keys = F.regexp_extract_all(latex.strip_comments(F.col(text)), F.lit(r"\\(?:eq)?ref\s*\{([^}]*)\}"), F.lit(1))
+    return documents.select(F.col(doc).alias("doc"), F.posexplode(keys).alias("seq", "key")).select("doc", "seq", strip(F.col("key")).alias("key"))
+
+
+def relation(formula: Column) -> Column:
+    """struct<left, right>: the sides of a formula's first = outside braces and not part of another sign; right null if there is none."""
+    pieces = F.regexp_extract_all(formula, F.lit(rf"(?s){_DEEP}|\\.|[<>!:=]=|=[=:>]|&?=|."), F.lit(0))
+
+    def cut(p: Column) -> Column:
+        at = F.array_position(F.transform(p, lambda x: x.isin("=", "&=")), F.lit(True)).cast("int")
+        join = lambda a, n: strip(F.array_join(F.slice(p, a, F.greatest(n, F.lit(0))), ""))
+        return F.struct(F.when(at > 0, join(F.lit(1), at - 1)).otherwise(strip(formula)).alias("left"), F.when(at > 0, join(at + 1, F.size(p) - at)).alias("right"))
+
+    return bound(pieces, cut)
+
+
+# A symbol: a letter or Greek command, with a subscript where it has one, which tells it from others.
+_SYMBOL = r"(?:\\(?:" + "|".join(latex.GREEK) + r")(?![A-Za-z])|(?<![A-Za-z\\])[A-Za-z](?![A-Za-z]))(?:_(?:\{[^{}]*\}|[A-Za-z0-9]))?"
+
+
+def named(formula: Column) -> Column:
+    """Distinct symbols of a formula, subscripts included, outside text groups and labels."""
+    bare = F.regexp_replace(formula, r"\\(?:text|textrm|mathrm|operatorname|label|tag|ref|eqref)\s*\*?\{[^{}]*\}", " ")
+    return F.array_distinct(F.transform(F.regexp_extract_all(bare, F.lit(_SYMBOL), F.lit(0)), lambda x: F.regexp_replace(x, r"_\{(\w)\}", r"_$1")))
+
+
+def defines_and_uses(formula: Column) -> Column:
+    """struct<defines, uses>: the symbol that a formula's left side is (of a function, its name), and the others that it names."""
+
+    def of(r: Column) -> Column:
+        left = F.regexp_replace(r["left"], r"\([^()]*\)\z", "")
+        is_symbol = r["right"].isNotNull() & left.rlike(rf"\A(?:{_SYMBOL})\z")
+        defines = F.when(is_symbol, F.get(named(left), F.lit(0)))
+        every = named(F.concat_ws(" ", F.when(is_symbol, F.lit("")).otherwise(r["left"]), r["right"]))
+        return F.struct(defines.alias("defines"), F.filter(every, lambda x: ~x.eqNullSafe(defines)).alias("uses"))
+
+    return bound(relation(formula), of)
+
+
+def formula_graph(equations: DataFrame) -> DataFrame:
+    """equations(doc, seq, latex) -> edges (doc, src, dst, symbol): equation dst uses a symbol that src, the last before it that does, defines.
+
+    An as-of join by (doc, symbol): one window over definitions and uses. Edges go forward only, so the graph has no cycle.
+    """
+    e = equations.select("doc", "seq", defines_and_uses(F.col("latex")).alias("d"))
+    uses = e.select("doc", "seq", F.explode("d.uses").alias("symbol"))
+    definitions = e.where("d.defines is not null").select("doc", "seq", F.col("d.defines").alias("symbol"), F.col("seq").alias("src"))
+    found = asof_join(uses, definitions, ["doc", "symbol"], "seq", "src").where("src < seq")
+    return found.select("doc", "src", F.col("seq").alias("dst"), "symbol")

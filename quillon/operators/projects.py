@@ -6,33 +6,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillon.functions.latex import strip_comments
 from quillon.operators.tables import durable
 
 _INCLUDE = r"\\(?:input|include|subfile)\s*\{([^{}]*)\}"
+# What an include is not read in: escaped characters, comments, and literal text.
+_SKIPPED = r"%[^\n]*|\\begin\{(verbatim|lstlisting|minted|comment)(\*?)\}.*?\\end\{\1\2\}|\\verb\*?([^A-Za-z\s*]).*?\3"
+# Names of files that are likely to be the main one, likeliest first.
+MAIN = ("main.tex", "paper.tex", "ms.tex", "manuscript.tex", "article.tex")
 
 
 def main_files(files: DataFrame) -> DataFrame:
-    """files(project, path, text) -> the main file of each project: one with \\documentclass and \\begin{document}, the least
-    deep first, then a conventional name, then the longest, then by path."""
-    base = F.lower(F.regexp_extract("path", r"([^/]+)\.tex\z", 1))
-    order = [
-        F.size(F.split("path", "/")), F.when(base.isin("main", "paper", "ms", "article", "root"), 0).otherwise(1), F.desc(F.length("text")), F.col("path"),
-    ]
-    roots = files.where(F.col("text").contains("\\documentclass") & F.col("text").contains("\\begin{document}"))
+    """files(project, path, text) -> the main file of each project: one with \\documentclass (not of subfiles) and
+    \\begin{document} outside comments and literal text; a conventional name first, then the least deep, then the shortest path."""
+    path = normal_path(F.col("path"))
+    base = F.lower(F.regexp_extract(path, r"([^/]+)\z", 1))
+    rank = F.array_position(F.array(*[F.lit(x) for x in MAIN]), base)
+    order = [F.when(rank > 0, rank).otherwise(len(MAIN) + 1), F.size(F.split(path, "/")), F.length(path), path]
+    text = F.regexp_replace(strip_comments(F.col("text")), rf"(?s){_SKIPPED}", "")
+    whole = text.rlike(r"\\documentclass(?![A-Za-z])") & text.rlike(r"\\begin\s*\{document\}") & ~text.rlike(r"\\documentclass\s*\[[^\]]*\]\s*\{subfiles\}")
+    roots = files.where(F.lower("path").endswith(".tex") & whole)
     return roots.withColumn("_rn", F.row_number().over(Window.partitionBy("project").orderBy(*order))).where("_rn = 1").drop("_rn")
 
 
 def normal_path(path):
-    """A path without `.` and `..` segments (those above the root are dropped)."""
-    parts = F.filter(F.split(path, "/"), lambda x: (x != "") & (x != "."))
+    """A path with slashes, without `.` and `..` segments (those above the root are dropped)."""
+    parts = F.filter(F.split(F.translate(path, "\\", "/"), "/"), lambda x: (x != "") & (x != "."))
     empty = F.array().cast("array<string>")
     return F.array_join(F.aggregate(parts, empty, lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, x))), "/")
 
 
 def pieces(files: DataFrame) -> DataFrame:
-    """files -> (project, path, i, literal, target): a file's text cut at its includes, in order."""
-    cut = F.split(F.regexp_replace("text", _INCLUDE, "\u0001$1\u0001"), "\u0001")
-    rows = files.select("project", "path", F.posexplode(cut).alias("i", "x"))
+    """files -> (project, path, i, literal, target, beside): a file's text cut at its includes, in order; those in comments and
+    literal text are text."""
+    found = F.regexp_extract_all("text", F.lit(rf"(?s){_SKIPPED}|{_INCLUDE}|\\.|[^\\%]+|."), F.lit(0))
+    marked = F.transform(found, lambda x: F.when(x.rlike(rf"\A{_INCLUDE}\z"), F.concat(F.lit("\u0001"), F.regexp_extract(x, _INCLUDE, 1), F.lit("\u0001"))).otherwise(x))
+    rows = files.select("project", "path", F.posexplode(F.split(F.array_join(marked, ""), "\u0001")).alias("i", "x"))
     folder = F.regexp_extract("path", r"\A(.*/)?[^/]*\z", 1)
     target = normal_path(F.trim("x"))
     beside = normal_path(F.concat(folder, F.trim("x")))

@@ -150,19 +150,23 @@ def reduced(edges: DataFrame) -> DataFrame:
     return step.join(implied, ["src", "dst"], "left_anti")
 
 
-def levels(edges: DataFrame, depth: int = 24) -> DataFrame:
-    """Longest-path level of each node of an acyclic graph: 0 for roots."""
+def levels(edges: DataFrame) -> DataFrame:
+    """Longest-path level of each node of an acyclic graph: 0 for roots. A cycle is an error.
+
+    A round moves on from the nodes reached last; a node's level is the last round that reaches it.
+    """
     from quillon.operators.tables import durable
 
     nodes = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
-    now = durable(nodes.withColumn("level", F.lit(0)))
-    for _ in range(depth):
-        up = edges.join(now, edges.src == now.node).groupBy("dst").agg((F.max("level") + 1).alias("up"))
-        new = durable(now.join(up, now.node == up.dst, "left").select("node", F.greatest("level", F.coalesce("up", F.lit(0))).alias("level")))
-        if new.join(now.withColumnRenamed("level", "was"), "node").where("level <> was").isEmpty():
-            return new
-        now = new
-    raise ValueError("the graph has a cycle or a path longer than the depth allowed")
+    now = seen = durable(nodes.withColumn("level", F.lit(0)))
+    most, round_ = now.count(), 0
+    while not now.isEmpty():
+        round_ += 1
+        if round_ > most:
+            raise ValueError("the graph has a cycle")
+        now = durable(edges.join(now, edges.src == now.node).select(F.col("dst").alias("node")).distinct().withColumn("level", F.lit(round_)))
+        seen = seen.union(now)
+    return seen.groupBy("node").agg(F.max("level").alias("level"))
 
 
 def reassemble(parts: DataFrame, key: str, order: str, text: str, glue: str = "") -> DataFrame:

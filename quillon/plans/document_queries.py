@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.functions import latex, text
-from quillon.operators import bibliography
-from quillon.plans.registry import query
+from quillon.operators import bibliography, diffs, equations, timing
+from quillon.plans.registry import query, spelled
 
 B, NL = "chr(92)", "chr(10)"
 #: An order as a small document with one inline formula, two kinds of display formula and an escaped dollar.
@@ -43,105 +43,310 @@ def symbol_inventory(t):
     return found.groupBy("symbol").agg(F.count("*").alias("n"))
 
 
-@query("select doc_id, trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')) as collapsed from documents")
+@query("select doc_id, trim(regexp_replace(regexp_replace(text, '[ \\t\\r]*\\n[ \\t\\r\\n]*', ' ', 'g'), '[ \\t]{2,}', ' ', 'g'), chr(9) || chr(10) || chr(13) || ' ') as collapsed from documents")
 def collapse_text(t):
     """F05."""
     return t("documents").select("doc_id", text.collapse(F.col("text")).alias("collapsed"))
 
 
-@query("select doc_id, replace(replace(replace(replace(text, chr(13), ''), chr(8220), '\"'), chr(8217), ''''), chr(8230), '...') as normal from (select doc_id, chr(8220) || text || chr(8217) || chr(8230) as text from documents)")
-def normalize_unicode(t):
-    """F01."""
-    d = t("documents").select("doc_id", F.concat(F.lit("\u201c\ufeff"), "text", F.lit("\u200b\u2019\u2026")).alias("text"))
-    return d.select("doc_id", text.normalize_unicode(F.col("text")).alias("normal"))
+spelled(
+    "normalize_unicode", "F01.",
+    [("\u201c{k}\u200b\u2019 a\r\nb\rc\u2026", "\"{k}' a\nb\nc..."), ("\u061cx\u180e\u2063{k}\u00a0\u2007\u3000y\u1680z", "x{k}   y z"), ("\u201a\u201b\u201e\u201f\u00ad{k}\ufeff", "''\"\"{k}"), ("plain {k}", "plain {k}")],
+    text.normalize_unicode,
+)
+spelled(
+    "unicode_formulas", "F02, F03, F04: scripts, characters and roots of formulas.",
+    [
+        ("x\u00b2\u00b3 + y\u2081\u2080 \u2264 {k}", "x^{23} + y_{10} \\leq  {k}"), ("\u221a(a+{k}) \u221a{k} \u221a\u03c0)", "\\sqrt{a+{k}} \\sqrt{{k}} \\sqrt{\\pi} )"),
+        ("\u221a\u221a2 \u2208 \u211d", "\\sqrt \\sqrt{2} \\in  \\mathbb{R}"), ("\u03b1 ) + {k}\u00b0", "\\alpha) + {k}^\\circ "), ("\u00bd a\u2099\u208a\u2081 \u2032", "\\frac{1}{2} a_{n+1} '"), ("a_{k} )", "a_{k} )"),
+    ],
+    text.unicode_math,
+)
+spelled(
+    "mended_escapes", "F06.",
+    [("\\\\frac{{k}}{b}", "\\frac{{k}}{b}"), ("x\\_{k} \\text{a\\_b}", "x_{k} \\text{a\\_b}"), ("x**2 + (y) ** (n+{k})", "x^{2} + (y)^{n+{k}}"), ("a \\\\ frac {k}", "a \\\\ frac {k}"), ("\\\\fraction {k}", "\\\\fraction {k}")],
+    text.repair_escapes,
+)
+spelled(
+    "folded_names", "F07: LaTeX accents and Unicode letters to ASCII.",
+    [("M{\\\"u}ller {k}", "Muller {k}"), ("\\ss \\o{}{k}", "sso{k}"), ("\u0141\u00f3d\u017a {k}", "Lodz {k}"), ("Caf\u00e9 \u00c6{k} \\c{c}", "Cafe AE{k} c"), ("{plain} {k}", "plain {k}")],
+    text.ascii_fold,
+)
+spelled("title_keys", "F09.", [("{{A} Long} Title: {k}", "alongtitle{k}"), ("\u00c9tude n\u00ba {k}!", "etuden{k}"), ("", "")], text.title_key)
+spelled(
+    "normalize_doi", "F08: resolver addresses and prefixes in several spellings.",
+    [(" https://doi.org/10.1000/{k}AB", "10.1000/{k}ab"), ("DOI: 10.1000/{k}Ab ", "10.1000/{k}ab"), ("http://dx.doi.org/10.1000/{k}\n", "10.1000/{k}"), ("10.1000/doi:{k}", "10.1000/doi:{k}")],
+    text.normalize_doi,
+)
+spelled(
+    "fix_pages", "F10.",
+    [("{k}-99", "{k}--99"), (" {k} \u2013 99", "{k}--99"), ("S12 --- S{k}", "S12--S{k}"), ("e{k}", "e{k}"), ("{k}----99", "{k}----99"), ("p. {k}-9", "p. {k}-9")],
+    text.fix_pages,
+)
+spelled(
+    "escaped_fields", "F11: a field with its specials escaped, and how many were.",
+    [
+        ("R&D {k}% #1 a_b \\& $x_i$", "R\\&D {k}\\% \\#1 a\\_b \\& $x_i$|4"), ("see \\url{http://x.org/a_b%20{k}} & more", "see \\url{http://x.org/a_b%20{k}} \\& more|1"),
+        ("cost ${k} & \\\\&", "cost \\${k} \\& \\\\\\&|3"), ("\\citep{a_b} \\texttt{a_b}", "\\citep{a_b} \\texttt{a\\_b}|1"), ("plain {k}", "plain {k}|0"),
+    ],
+    lambda c: F.concat_ws("|", text.escape_specials(c)["value"], text.escape_specials(c)["count"].cast("string")),
+)
+spelled(
+    "protected_titles", "F12: words with capitals inside braced, and how many were.",
+    [
+        ("BERT and GPT-3: Pre-Training on {ImageNet} {k}", "{BERT} and {GPT-3}: Pre-Training on {ImageNet} {k}|2"), ("With U-Net in $O(N)$ (CNNs), {k}D", "With {U-Net} in $O(N)$ ({CNNs}), {{k}D}|3"),
+        ("Na\\\"ive Plain Words", "Na\\\"ive Plain Words|0"), ("A-b I \\LaTeX x{YZ}", "{A-b} I \\LaTeX x{YZ}|1"),
+    ],
+    lambda c: F.concat_ws("|", text.protect_capitals(c)["value"], text.protect_capitals(c)["count"].cast("string")),
+)
+spelled(
+    "normalize_equations", "F13: the canonical form used as a cache key.",
+    [("E = m c^{2} \\label{eq:{k}} .", "E=mc^2"), ("x_{n} \\quad \\left( y ~ z\\right) , \\tag*{{k}}", "x_n(yz)"), ("\\displaystyle a_{12}\\, + {k} ;", "a_{12}+{k}"), ("\\bigl \\ref{a} \\qquadx {k}", "\\bigl\\qquadx{k}"), ("y \\nonumber\n", "y")],
+    text.normalize_equation,
+)
+spelled(
+    "document_titles", "F16.",
+    [
+        ("\\title[s]{A {Big} \\emph Thing {k}}\nx", "A Big Thing {k}"), ("\n \n## $Head$ {k}\nmore", "Head {k}"), ("this line is longer than the width {k}", "this line is longer t\u2026"),
+        (" \n\t", "Untitled 7"), (None, "Sample"), ("\\title{} \nNext {k}", "title"), ("twenty two characters ", "twenty two characters"), ("a name of twenty lett   ers", "a name of twenty lett\u2026"),
+    ],
+    lambda c: text.doc_title(F.lit(" "), c, F.lit(7)),
+)
+spelled(
+    "file_names", "F17.",
+    [(" my: file? {k}.tex ", "my-file-{k}"), ("..", "document"), ("a  b--{k}.MD", "a-b-{k}"), ("", "document"), ("x" * 90, "x" * 80), ("-.{k}.-", "{k}")],
+    text.file_base,
+)
+spelled(
+    "preprint_ids", "F19: ids from bare forms and addresses, the month checked.",
+    [
+        ("https://export.arxiv.org/src/2301.12345v2?x={k}", "2301.12345v2"), ("arXiv: 2313.12345", "month"), ("http://arxiv.org/pdf/hep-th/9901001.pdf", "hep-th/9901001"), ("http://x.org/{k}", "link"), (" ", "empty"), (None, "empty"),
+        ("no id {k}", "id"), ("www.arxiv.org/format/math.AG/0601001v3/", "math.AG/0601001v3"), ("2301.12345", "2301.12345"), ("arxiv.org/list/{k}", "link"),
+    ],
+    lambda c: F.coalesce(text.parse_arxiv_id(c)["id"], text.parse_arxiv_id(c)["error"]),
+)
+spelled(
+    "column_specs", "S06: columns that an array declares.",
+    [("lcr", "3"), ("l@{\\quad}p{{k}cm}|r", "3"), ("", "0"), (">{\\bfseries}c<{l}X", "2")],
+    text.column_count,
+)
+spelled(
+    "image_formats", "P21: formats by magic bytes, else by extension.",
+    [("GIF89a{k}", "gif"), ("%PDF-1.{k}", "pdf"), ("%!PS-{k}", "eps"), ("BM{k}", "tex"), ("RIFF0000WEBP{k}", "webp"), ("PK\u0003\u0004{k}", "zip"), ("{k}", "tex")],
+    lambda c: text.sniff_format(c.cast("binary"), F.lit("a.tex")),
+)
+spelled(
+    "prose_in_formulas", "C09 to C12: words, asides and Hangul of a formula set as text, commands hidden meanwhile.",
+    [
+        ("x if and only if y{k}", "x \\text{if and only if} y{k}"), ("a = b (see below) + {k}", "a = b \\text{ (see below)} + {k}"), ("\\int f dx dy + {k}", "\\int f dx dy + {k}"), ("f(n) \\mathrm{one two} (y 1)", "f(n) \\mathrm{one two} (y 1)"),
+        ("x = \ud655\ub960 {k}", "x = \\text{\ud655\ub960 {k}}"), ("\\alpha beta", "\\alpha beta"),
+    ],
+    latex.escape_prose_in_math,
+)
+spelled(
+    "operator_names", "C13.",
+    [("sin(x) + \\cos y + {k}", "\\sin(x) + \\cos y + {k}"), ("x_{max} + max_{k} sinus", "x_{max} + \\max_{k} sinus"), ("\\text{log x} ln z", "\\text{log x} \\ln z"), ("2arg z^max", "2\\arg z^max")],
+    latex.upgrade_operator_names,
+)
+spelled(
+    "differentials", "C15.",
+    [("\\int f(x) dx", "\\int f(x)\\,dx"), ("\\iint {k} dx dy", "\\iint {k}\\,dx\\,dy"), ("\\frac{d}{dx} f dx", "\\frac{d}{dx} f dx"), ("\\oint x d\\theta", "\\oint x\\,d\\theta"), ("\\int (x)dx + {k}", "\\int (x)\\,dx + {k}")],
+    latex.space_differentials,
+)
+spelled(
+    "without_comments", "L21, L22, L23: comments out, literal text kept.",
+    [
+        ("a % b {k}\nc", "a \nc"), ("% all {k}\nkept \\% {k}", "kept \\% {k}"), ("x\\\\% y", "x\\\\"), ("\\begin{verbatim}\n% {k}\n\\end{verbatim}% z", "\\begin{verbatim}\n% {k}\n\\end{verbatim}"),
+        ("\\verb|%| {k}% gone", "\\verb|%| {k}"), ("plain {k}", "plain {k}"),
+    ],
+    latex.strip_comments,
+)
+spelled(
+    "document_parts", "L01: preamble, body and rest of whole documents.",
+    [("\\documentclass{a}\n\\begin{document}x{k}\\end{document} y", "\\documentclass{a}\n\\begin{document}|x{k}|\\end{document} y"), ("only {k}", "|only {k}|"), ("\\documentclass{a}\\begin{document}open {k}", "\\documentclass{a}\\begin{document}|open {k}|")],
+    lambda c: F.concat_ws("|", latex.document_parts(c)["preamble"], latex.document_parts(c)["body"], latex.document_parts(c)["rest"]),
+)
+spelled(
+    "macro_definitions", "E02, E03, L02: macros that a text defines.",
+    [
+        ("\\newcommand{\\R}{\\mathbb{R}} \\def\\f#1#2{a{k}}", "R/0/\\mathbb{R};f/2/a{k}"), ("\\renewcommand*\\x[2][o]{#1 {k}}", "x/2/#1 {k}"), ("\\DeclareMathOperator{\\tr}{tr}", "tr/0/\\operatorname{tr}"), ("none {k}", ""),
+    ],
+    lambda c: F.array_join(F.transform(latex.macro_definitions(c), lambda m: F.concat_ws("/", m["name"], m["arity"].cast("string"), m["body"])), ";"),
+)
+spelled(
+    "scanned_tokens", "C01 to C04, C32: tokens with their lines.",
+    [
+        ("a $x$\n\\[ y \\\\] z \\] $$q$$ \\$5", "text1:a |inline1:x|text1:\n|display2: y \\\\] z |text2: |display2:q|text2: \\$5"), ("`$c$` {k}\n```\n$d$\n``` e", "text1:`$c$` {k}\n```\n$d$\n``` e"),
+        ("\\begin{matrix}\\begin{matrix}{k}\\end{matrix}\\end{matrix}t", "display1:\\begin{matrix}\\begin{matrix}{k}\\end{matrix}\\end{matrix}|text1:t"), ("$x\n\n$ y{k} $", "text1:$x\n\n|inline3: y{k} "),
+        ("\\begin{array}{c}$z$\\end{array}", "display1:\\begin{array}{c}$z$\\end{array}"), ("$$ a \\$$ $$", "display1: a \\$$ "), ("", ""),
+    ],
+    lambda c: F.array_join(F.transform(latex.tokenize(c), lambda x: F.concat(x["kind"], x["line"].cast("string"), F.lit(":"), x["body"])), "|"),
+)
+spelled(
+    "scan_issues", "C01: what opens and never closes.",
+    [("$x\n\n$ y $ {k}", "1:Unclosed $ inline block"), ("\n\\begin{align} x", "2:\\begin{align} has no matching end"), ("\\( a \\[ b $$", "1:Unclosed \\( inline block;1:Unclosed \\[ display block;1:Unclosed $$ display block"), ("fine $x$ {k}", "")],
+    lambda c: F.array_join(F.transform(latex.scan(c)["issues"], lambda x: F.concat(x["line"].cast("string"), F.lit(":"), x["message"])), ";"),
+)
+spelled(
+    "cleaned_documents", "C26 to C31: formulas cleaned, delimiters normalised.",
+    [
+        ("a \\( x\u00b2 \\) b  \n\n\n\nc", "a $x^{2}$ b\n\nc"), ("\\[ \u03b1 )\n + {k} \\]", "$$\n\\alpha)\n + {k}\n$$"), ("$$\\begin{align}a\\\\b\\end{align}$$", "\\begin{align*}a\\\\b\\end{align*}"),
+        ("\\begin{pmatrix}1\\end{pmatrix}", "$$\n\\begin{pmatrix}1\\end{pmatrix}\n$$"), ("costs \\${k} and $ sin x $.", "costs \\${k} and $\\sin x$."), ("`$k$` $\\int f(x) dx$", "`$k$` $\\int f(x)\\,dx$"),
+    ],
+    latex.clean_standard,
+)
+spelled(
+    "author_names", "B02 to B05: names of an author field in one form.",
+    [
+        ("Ashish Vaswani and He, K and Ludwig van Beethoven", "Vaswani, Ashish and He, K. and van Beethoven, Ludwig"), ("Smith, Jr., John R and D.E. Knuth{k}", "Smith, Jr., John R. and Knuth{k}, D. E."),
+        ("{OpenAI} and J{\\\"u}rgen Schmidhuber and others", "{OpenAI} and Schmidhuber, J{\\\"u}rgen and others"), ("{Barnes and Noble}", "{Barnes and Noble}"), ("Madonna{k}", "Madonna{k}"), ("de la Cruz, Ana~B", "de la Cruz, Ana B."),
+    ],
+    bibliography.normalize_authors,
+)
+
+
+_SPECIALS = "text"
+for _c in "/#%&_$":
+    _SPECIALS = f"replace({_SPECIALS}, {B}, '/')" if _c == "/" else f"replace({_SPECIALS}, '{_c}', {B} || '{_c}')"
+
+
+@query(f"select doc_id, replace(replace({_SPECIALS}, '^', {B} || '^{{}}'), '~', {B} || 'textasciitilde{{}}') as prose from documents")
+def escape_prose(t):
+    """F15, over every document; backslashes are slashes first, since SQL's expressions cannot look behind."""
+    return t("documents").select("doc_id", text.escape_prose(F.translate("text", "\\", "/")).alias("prose"))
 
 
-@query("select p_partkey, '10.1000/' || p_partkey || 'ab' as doi from part")
-def normalize_doi(t):
-    """resolver addresses and prefixes in several spellings."""
-    k = F.col("p_partkey").cast("string")
-    raw = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" https://doi.org/10.1000/"), k, F.lit("AB"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("DOI: 10.1000/"), k, F.lit("Ab "))).otherwise(F.concat(F.lit("http://dx.doi.org/10.1000/"), k, F.lit("ab")))
-    return t("part").select("p_partkey", text.normalize_doi(raw).alias("doi"))
+def _bibs(t):
+    """A file of ten entries for every ten parts: pairs of one DOI, of one title, of one title with two DOIs, and others."""
+    k, i = F.col("p_partkey").cast("string"), F.col("p_partkey") % 10
+    file = F.expr("cast(p_partkey div 10 as string)")
+    texts = [
+        ("@article{", ",\n  title = {One {D}OI}, year = 2001,\n  doi = {https://doi.org/10.1/F}}"), ("@Book{", ", title = \"Other words\", DOI = {10.1/f}, year = 2002, note = {more}, author = {A B}}"),
+        ("@misc{", ", title = {The same Title here}, year = {2003}, author = {Z Q}}"), ("@misc{", ", title = {the same title: HERE}, url = {u}}"),
+        ("@misc{", ", title = {Two of one title}, doi = {10.2/a}}"), ("@misc{", ", title = {Two of one title}, doi = {10.2/b}}"),
+        ("@article{", ", author = {van Beethoven, Ludwig}, journal = {J}, title = {On the Sonata}, year = {1801}}"), ("@article{", ", author = {Ludwig van Beethoven}, journal = {J}, title = {The sonata again}, year = 1801}"),
+        ("@online{", ", title = {No address}}"), ("@thing{", ", title = {Odd}, year = {99}}"),
+    ]
+    body = F.get(F.array(*[F.lit(b) for _, b in texts]), i.cast("int"))
+    entry = F.concat(F.get(F.array(*[F.lit(a) for a, _ in texts]), i.cast("int")), F.lit("k"), k, F.regexp_replace(body, "(?i)10\\.1/f", F.concat(F.lit("10.1/F"), file)))
+    rows = F.array_sort(F.collect_list(F.struct(F.col("p_partkey").alias("k"), entry.alias("e"))))
+    return t("part").groupBy(F.expr("p_partkey div 10").alias("file")).agg(F.array_join(F.transform(rows, lambda x: x["e"]), "\n").alias("text"))
 
 
-@query("select l_orderkey, l_linenumber, case when l_linenumber % 3 = 2 then 'p. ' || l_partkey else l_partkey || '--' || (l_partkey + 9) end as pages from lineitem")
-def fix_pages(t):
-    """F10."""
-    a, b = F.col("l_partkey").cast("string"), (F.col("l_partkey") + 9).cast("string")
-    raw = F.when(F.col("l_linenumber") % 3 == 0, F.concat(a, F.lit("-"), b)).when(F.col("l_linenumber") % 3 == 1, F.concat(a, F.lit(" \u2013 "), b)).otherwise(F.concat(F.lit("p. "), a))
-    return t("lineitem").select("l_orderkey", "l_linenumber", text.fix_pages(raw).alias("pages"))
+_ENTRIES = "(select p_partkey // 10 as file, p_partkey % 10 as seq, p_partkey as k, count(*) over (partition by p_partkey // 10) as n from part)"
 
 
 @query(
-    """select doc_id, case when doc_id % 4 = 0 then 'Given' when doc_id % 4 = 1 then 'Own ' || doc_id
-    else case when length(trim(split_part(text, chr(10), 1))) > 22 then left(trim(split_part(text, chr(10), 1)), 22) || chr(8230) else trim(split_part(text, chr(10), 1)) end end as title
-    from documents where trim(split_part(text, chr(10), 1)) <> ''"""
+    f"""select file, seq, case when seq = 0 then 'k' || (k + 1) else 'k' || k end as key, list_extract([2002, null, 2003, null, null, null, 1801, 1801, null, 99], seq + 1) as year,
+    list_extract([5, null, 4, null, 2, 2, 4, 4, 1, 2], seq + 1) as fields from {_ENTRIES} where seq not in (1, 3)"""
 )
-def document_titles(t):
-    """F16."""
-    d = t("documents").where("trim(split_part(text, char(10), 1)) <> ''")
-    own = F.when(F.col("doc_id") % 4 == 1, F.concat(F.lit("\\title{Own "), F.col("doc_id").cast("string"), F.lit("}\n"), "text")).otherwise(F.col("text"))
-    return d.select("doc_id", text.doc_title(F.when(F.col("doc_id") % 4 == 0, " Given "), own, F.col("doc_id")).alias("title"))
-
-
-@query("select doc_id, left(regexp_replace(trim(source || ' / ' || lang || '!'), '[^A-Za-z0-9._-]+', '-', 'g'), length(source) + 1 + length(lang)) as base from documents")
-def file_names(t):
-    """F17."""
-    return t("documents").select("doc_id", text.file_base(F.concat("source", F.lit(" / "), "lang", F.lit("!"))).alias("base"))
+def bibliography_dedupe(t):
+    """Entries parsed from .bib texts, duplicates by DOI or title merged into the richest."""
+    kept = bibliography.merged(bibliography.entries(_bibs(t)), "file")
+    year = F.try_element_at("fields", F.lit("year")).cast("int")
+    return kept.select("file", F.col("seq").cast("long").alias("seq"), "key", year.alias("year"), F.size("fields").alias("fields"))
 
 
 @query(
-    """select o_orderkey, case when (o_orderkey % 15) between 1 and 12 then '21' || lpad(cast(o_orderkey % 15 as varchar), 2, '0') || '.' || lpad(cast(o_orderkey % 100000 as varchar), 5, '0') end as id,
-    case when not (o_orderkey % 15) between 1 and 12 then 'not an id' end as error from orders"""
+    f"""select file, 'k' || k as old_key, case when seq < 2 then 'b2002other' when seq < 4 then 'q2003same'
+    else list_extract(['anontwoa', 'anontwob', 'beethoven1801sonataa', 'beethoven1801sonatab', 'anonno', 'anon99odd'], seq - 3) end as new_key from {_ENTRIES}""".replace("'anon99odd'", "'anonodd'")
 )
-def preprint_ids(t):
-    """ids from bare forms and URLs, the month checked."""
-    k = F.col("o_orderkey")
-    bare = F.concat(F.lit("21"), F.lpad((k % 15).cast("string"), 2, "0"), F.lit("."), F.lpad((k % 100000).cast("string"), 5, "0"))
-    raw = F.when(k % 3 == 0, F.concat(F.lit("https://arxiv.org/abs/"), bare)).when(k % 3 == 1, F.concat(F.lit("arXiv:"), bare)).otherwise(F.concat(F.lit("http://arxiv.org/pdf/"), bare, F.lit(".pdf")))
-    return t("orders").select("o_orderkey", text.parse_arxiv_id(raw).alias("p")).select("o_orderkey", "p.id", "p.error")
+def bibliography_keys(t):
+    """B09 and the key map: keys from name, year and title, letters where they collide, kept for every merged entry."""
+    kept = bibliography.with_keys(bibliography.merged(bibliography.entries(_bibs(t)), "file"), "file")
+    return bibliography.key_map(kept, "file", "new_key").select("file", F.col("old").alias("old_key"), F.col("new").alias("new_key"))
 
 
-@query("select l_orderkey, l_linenumber, 'x_{' || l_linenumber || '}=y+' || l_partkey as canonical from lineitem")
-def normalize_equations(t):
-    """the canonical form used as a cache key."""
-    n, p = F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")
-    raw = F.concat(F.lit("x_{"), n, F.lit("} \\, = \\left y\\right + "), p, F.lit(" \\label{eq:"), p, F.lit("} ."))
-    return t("lineitem").select("l_orderkey", "l_linenumber", text.normalize_equation(raw).alias("canonical"))
+@query(
+    f"""select file, 'k' || k as key, message from {_ENTRIES} e join (values (0, '@article is missing author'), (0, '@article is missing journal or journaltitle'), (1, '@book is missing publisher'),
+    (8, '@online is missing url or doi'), (9, 'unknown type @thing'), (9, 'year 99 has not four digits')) v(s, message) on v.s = e.seq"""
+)
+def bibliography_problems(t):
+    """What entries lack."""
+    return bibliography.problems(bibliography.entries(_bibs(t))).select("file", "key", "message")
 
 
-@query("select doc_id, replace(replace(replace(replace(text, '&', chr(92) || '&'), '%', chr(92) || '%'), '#', chr(92) || '#'), '_', chr(92) || '_') as prose from documents where text not like '%^%' and text not like '%~%'")
-def escape_prose(t):
-    """F15."""
-    d = t("documents").where("text not like '%^%' and text not like '%~%'")
-    return d.select("doc_id", text.escape_prose(F.col("text")).alias("prose"))
+@query(f"select file, '@misc{{k' || k || ',' || chr(10) || '  author = {{Z Q}},' || chr(10) || '  title = {{The same Title here}},' || chr(10) || '  year = {{2003}}' || chr(10) || '}}' as entry from {_ENTRIES} where seq = 2")
+def bibliography_entries(t):
+    """Entries as text, their fields in order."""
+    e = bibliography.entries(_bibs(t)).where("seq = 2")
+    return e.select("file", bibliography.format_entry().alias("entry"))
 
 
 @query(
-    """with e as (select *, p_partkey // 10 as file, p_partkey % 10 as seq, case when p_partkey % 2 = 0 then '10.5/' || p_brand else '' end as doi from part),
-    k as (select *, case when doi <> '' then doi else 's' || seq end as key from e)
-    select file, 'k' || min(seq) as cite_key, min_by(p_size, seq) as year from k group by file, key"""
+    f"""select file, {B} || 'citep[p.~3]{{new' || min(k) || ', old' || min(k) || '}} ' || {B} || 'cites{{new' || min(k) || '}}{{x}} ' || {B} || 'citestyle{{k}} ' || {B} || 'nocite{{*}}' as text, cast(3 as bigint) as replaced,
+    'old' || min(k) || ',x' as missing from {_ENTRIES} group by file"""
 )
-def bibliography_dedupe(t):
-    """Entries parsed from .bib texts, one of each DOI kept."""
-    k = F.col("p_partkey")
-    doi = F.when(k % 2 == 0, F.concat(F.lit("  DOI = \"https://doi.org/10.5/"), "p_brand", F.lit("\",\n"))).otherwise("")
-    entry = F.concat(F.lit("@Article{k"), (k % 10).cast("string"), F.lit(",\n  title = {A {Big} one},\n"), doi, F.lit("  year = "), F.col("p_size").cast("string"), F.lit("\n}\n"))
-    w = F.array_sort(F.collect_list(F.struct(k.alias("k"), entry.alias("e"))))
-    bibs = t("part").groupBy(F.expr("p_partkey div 10").alias("file")).agg(F.array_join(F.transform(w, lambda x: x["e"]), "\n").alias("text"))
-    kept = bibliography.deduplicate(bibliography.entries(bibs), "file")
-    return kept.select("file", F.col("key").alias("cite_key"), F.element_at("fields", "year").cast("int").alias("year"))
+def rewritten_cites(t):
+    """Cite keys replaced by a join on (file, key); two that became one are cited once."""
+    file = t("part").groupBy(F.expr("p_partkey div 10").alias("file")).agg(F.min("p_partkey").cast("string").alias("k"))
+    cites = F.concat(F.lit("\\citep[p.~3]{k"), "k", F.lit(", old"), "k", F.lit(", q"), "k", F.lit("} \\cites{k"), "k", F.lit("}{x} \\citestyle{k} \\nocite{*}"))
+    keys = file.select("file", F.explode(F.array(F.concat(F.lit("k"), "k"), F.concat(F.lit("q"), "k"))).alias("old"), F.concat(F.lit("new"), "k").alias("new"))
+    out = bibliography.rewrite_cites(file.select("file", cites.alias("text")), keys, "file")
+    return out.select("file", "text", "replaced", F.array_join("missing", ",").alias("missing"))
+
+
+def _papers(t):
+    """A paper of seven equations in three sections for every order."""
+    k = F.col("o_orderkey").cast("string")
+    parts = (
+        "\\section{One}\n\\begin{align} a_{K} &= b + c \\label{eq:K} \\\\ b &= 2 \\nonumber \\end{align}\n% \\begin{equation} x \\end{equation}\n\\section{Two} $$ q $$ "
+        "\\begin{equation} d = a_{K} \\tag{T} \\end{equation}\\begin{gather*} u \\\\ v \\end{gather*}\\appendix\\section{A}\\begin{equation} e = d(x) + b \\label{z} \\end{equation} see \\ref{eq:K}, \\eqref{z}, \\ref{no}."
+    )
+    return t("orders").select("o_orderkey", F.replace(F.lit(parts), F.lit("K"), k).alias("text"))
+
+
+def _equations(t):
+    events, labels = equations.extract(_papers(t), "o_orderkey")
+    return events, labels
 
 
 @query(
-    """with c as (select conv_id, turn, text, lag(text) over (partition by conv_id order by turn) as before from conversations)
-    select conv_id, turn, before is null or abs(length(text) - length(before)) >= 24 as saved from c"""
+    """select o_orderkey as doc, n, number, inside, width from orders, (values (1, '1', '1.1', 'align'), (2, null, null, 'align'), (3, null, null, null), (4, 'T', 'T', 'equation'), (5, null, null, 'gather'), (6, null, null, 'gather'), (7, '2', 'A.1', 'equation')) v(n, number, inside, width)"""
 )
-def near_duplicate_turns(t):
-    """A08, batch form: a text is saved when it differs enough in length from the one before."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    before = F.lag("text").over(w)
-    return t("conversations").select("conv_id", "turn", (before.isNull() | (F.abs(F.length("text") - F.length(before)) >= 24)).alias("saved"))
+def extracted_equations(t):
+    """Equations of whole papers, rows apart, numbered through and by section."""
+    events, _ = _equations(t)
+    n = F.row_number().over(Window.partitionBy("doc").orderBy("seq"))
+    inside = equations.number_equations(events, True).select("doc", "seq", F.col("number").alias("inside"))
+    plain = equations.number_equations(events).join(inside, ["doc", "seq"]).join(events.select("doc", "seq", F.col("env").alias("width")), ["doc", "seq"])
+    return plain.select("doc", n.alias("n"), "number", "inside", "width")
+
+
+@query("select o_orderkey as doc, i as seq, case i when 0 then 'eq:' || o_orderkey when 1 then 'z' else 'no' end as key, case i when 0 then '1' when 1 then '2' else '??' end as shown from orders, generate_series(0, 2) g(i)")
+def resolved_references(t):
+    """References as the numbers of what they mean, ?? where nothing answers."""
+    events, labels = _equations(t)
+    known = labels.join(equations.number_equations(events), ["doc", "seq"]).select("doc", "key", "number")
+    found = equations.resolve_references(equations.references(_papers(t), "o_orderkey"), known)
+    return found.select("doc", F.col("seq").cast("long").alias("seq"), "key", F.col("text").alias("shown"))
+
+
+@query("select o_orderkey as doc, src, dst, case s when 'a' then case when o_orderkey < 10 then 'a_' || o_orderkey else 'a_{' || o_orderkey || '}' end else s end as symbol from orders, (values (1, 4, 'a'), (2, 7, 'b'), (4, 7, 'd')) v(src, dst, s)")
+def formula_graph(t):
+    """Which equation uses what an earlier one defines."""
+    events, _ = _equations(t)
+    rows = events.where("latex is not null").select("doc", F.row_number().over(Window.partitionBy("doc").orderBy("seq")).alias("seq"), "latex")
+    return equations.formula_graph(rows)
+
+
+@query("select doc_id, cast(len(string_split(text, chr(10))) as bigint) as same, cast(2 as bigint) as inserted, cast(1 as bigint) as deleted, 'brown' as word from documents")
+def line_diffs(t):
+    """Lines of two versions of every document, with the words that changed in edited lines."""
+    versions = t("documents").select("doc_id", F.concat(F.lit("the brown fox\n"), "text").alias("a"), F.concat(F.lit("the red fox\n"), "text", F.lit("\n\u00a7")).alias("b"))
+    rows = diffs.line_diff(versions, "doc_id", "a", "b")
+    return rows.groupBy("doc_id").agg(
+        F.count_if(F.col("kind") == "equal").alias("same"), F.count_if(F.col("kind") == "insert").alias("inserted"), F.count_if(F.col("kind") == "delete").alias("deleted"),
+        F.max(F.when(F.col("kind") == "delete", F.col("changed"))).alias("word"),
+    )
+
+
+@query()
+def kept_snapshots(t):
+    """Turns worth a snapshot, by the text last kept for their role; a test states the rule plainly."""
+    e = t("conversations").select("conv_id", "turn", F.col("role").alias("title"), F.when(F.col("turn") % 2 == 0, "idle").otherwise("copy").alias("reason"), "text")
+    kept = timing.kept_snapshots(e, "conv_id", "turn", "conv_id long, turn long, title string, reason string, text string")
+    return kept.select("conv_id", "turn", F.length("text").alias("n_chars"))
 
 
 @query("select page_id, title, count(*) over (partition by title) as pages from (select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title from pages)")

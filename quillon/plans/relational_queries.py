@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.operators import relational as R
+from quillon.operators import timing
 from quillon.plans.registry import query
 
 N = "cast({} as bigint)"
@@ -316,31 +317,24 @@ def names_minus_defines(t):
     return o.select("o_custkey", (F.col("n") > 0).alias("any_uses"), F.size(F.array_except("names", "defines")).cast("long").alias("uses"))
 
 
-_EDGES = "select distinct p_partkey % 200 as src, (p_partkey % 200) * 2 + p_size % 2 as dst from part where p_size % 3 <> 0 and (p_partkey % 200) * 2 + p_size % 2 < 400 and p_partkey % 200 > 0"
+#: A tree over all documents, each the parent of two: as many nodes as rows, paths as deep as their logarithm.
+_EDGES = "select doc_id // 2 as src, doc_id as dst from documents where doc_id >= 2"
 
 
-def _edges(t):
-    src, dst = F.col("p_partkey") % 200, (F.col("p_partkey") % 200) * 2 + F.col("p_size") % 2
-    return t("part").where(F.col("p_size") % 3 != 0).select(src.alias("src"), dst.cast("long").alias("dst")).where("dst < 400 and src > 0").distinct()
+def _edges(t, step=2):
+    return t("documents").where(f"doc_id >= {step}").select(F.expr(f"doc_id div {step}").alias("src"), F.col("doc_id").alias("dst"))
 
 
-@query(f"with recursive e as ({_EDGES}), c(src, dst, hops) as (select src, dst, 1 from e union select c.src, e.dst, hops + 1 from c join e on c.dst = e.src where hops < 24) select src, dst, min(hops) as hops from c group by 1, 2")
+@query("select doc_id >> j as src, doc_id as dst, j as hops from documents, (select unnest(generate_series(1, 62)) as j) where doc_id >> j >= 1")
 def closure(t):
     """Everything reachable, with the least number of steps."""
     return R.closure(_edges(t))
 
 
-@query(
-    f"""with recursive e as ({_EDGES} union select src, dst + 0 from ({_EDGES}) where false union select x.src, y.dst from ({_EDGES}) x join ({_EDGES}) y on x.dst = y.src where x.src % 3 = 0),
-    c(src, dst) as (select src, dst from e union select c.src, e.dst from c join e on c.dst = e.src)
-    select distinct e.src, e.dst from e where not exists (select 1 from e x join c on x.dst = c.src where x.src = e.src and c.dst = e.dst)"""
-)
+@query(_EDGES)
 def transitive_reduction(t):
-    """Edges implied by longer paths go."""
-    e = _edges(t)
-    x, y = e.alias("x"), e.alias("y")
-    two = x.join(y, F.col("x.dst") == F.col("y.src")).where("x.src % 3 = 0").select("x.src", "y.dst")
-    return R.reduced(e.union(two).distinct())
+    """Edges implied by longer paths go, here all those to grandparents."""
+    return R.reduced(_edges(t).union(_edges(t, 4)))
 
 
 @query(f"with recursive e as ({_EDGES}), n as (select src as node from e union select dst from e), p(node, level) as (select node, 0 from n union select e.dst, level + 1 from p join e on p.node = e.src) select node, max(level) as level from p group by 1")
@@ -397,11 +391,11 @@ def rejected_rows(t):
     return t("documents").select("doc_id", reason.alias("reason")).where("reason is not null")
 
 
-@query("select min(event_id) as event_id, user_id, event_type from events e where event_id % 2 = 1 and not exists (select 1 from events x where x.event_id % 2 = 0 and x.event_id < 500 and x.user_id = e.user_id and x.event_type = e.event_type) group by 2, 3")
+@query("select min(event_id) as event_id, user_id, d from (select *, date_trunc('hour', ts) as d from events) e where event_id % 2 = 1 and not exists (select 1 from events x where x.event_id % 2 = 0 and x.user_id = e.user_id and date_trunc('hour', x.ts) = e.d) group by 2, 3")
 def idempotent_insert(t):
-    """Unique key, first arrival wins, existing keys untouched."""
-    e = t("events").select("event_id", "user_id", "event_type")
-    return R.insert_new(e.where("event_id % 2 = 0 and event_id < 500"), e.where("event_id % 2 = 1"), ["user_id", "event_type"], ["event_id"]).select("event_id", "user_id", "event_type")
+    """Unique key (user and hour), first arrival wins, existing keys untouched."""
+    e = t("events").select("event_id", "user_id", F.date_trunc("hour", "ts").alias("d"))
+    return R.insert_new(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), ["user_id", "d"], ["event_id"]).select("event_id", "user_id", "d")
 
 
 @query("select event_id, value from events where user_id = 7")
@@ -443,3 +437,56 @@ def debounced_sessions(t):
     start = F.when(F.col("ts") - F.lag("ts").over(w) <= F.expr("interval '30' minute"), 0).otherwise(1)
     s = t("events").withColumn("start", start).withColumn("session", F.sum("start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return s.groupBy("user_id", "session").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"), F.max_by("event_type", "event_id").alias("last_type"))
+
+
+@query(
+    """with once as (select * from (select *, row_number() over (partition by user_id, event_type, props order by ts desc) as k from events) where k = 1),
+    kept as (select * from (select *, row_number() over (partition by user_id order by ts desc, event_type || props desc) as k2 from once) where k2 <= 200)
+    select event_id, cast((row_number() over (partition by user_id order by ts, event_type || props) - 1) // 25 as bigint) as batch from kept"""
+)
+def upload_batches(t):
+    """What waits to be sent, once per content, the newest 200 of a user in batches of 25."""
+    e = t("events").select("event_id", "user_id", "ts", F.concat("event_type", "props").alias("content"))
+    return timing.upload_batches(e, "user_id", "content", "ts").select("event_id", F.col("batch").cast("long").alias("batch"))
+
+
+@query("select p_partkey, cast(case when p_partkey % 12 = 0 then 0 else least(300, 2 * power(2, p_partkey % 12 - 1)) end as bigint) as seconds from part")
+def upload_backoff(t):
+    """Seconds to wait after failures in a row."""
+    return t("part").select("p_partkey", timing.backoff(F.col("p_partkey") % 12).alias("seconds"))
+
+
+@query("select event_id, user_id from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events where event_type = 'view' or event_type = 'purchase') where k = 1")
+def latest_runs(t):
+    """2.2c: of the runs of a user only the one started last counts."""
+    e = t("events").where("event_type in ('view', 'purchase')")
+    return timing.latest_runs(e, "user_id", "ts", "event_id").select("event_id", "user_id")
+
+
+@query("select event_id from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events) where k <= 12")
+def cached_results(t):
+    """2.2c: the twelve newest results of a user."""
+    return timing.cached(t("events"), "user_id", "ts", "event_id").select("event_id")
+
+
+@query(
+    """with d as (select user_id, ts, event_id from events where event_type = 'signup'), u as (select event_id, user_id, ts from events where event_type = 'purchase')
+    select u.event_id, case when epoch_us(u.ts) - epoch_us(d.ts) <= 86400000000 then d.event_id end as pair from u asof left join d on u.user_id = d.user_id and u.ts >= d.ts"""
+)
+def paired_events(t):
+    """2.2c: each purchase with the last signup of its user in the day before it."""
+    e = t("events").select("event_id", "user_id", "ts", "event_type")
+    left = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    right = e.where("event_type = 'signup'").select("user_id", "ts", F.col("event_id").alias("pair"))
+    return timing.paired(left, right, "user_id", "ts", "pair", within=86_400).select("event_id", "pair")
+
+
+@query(
+    """with recursive e as (select event_id, user_id, ts, row_number() over (partition by user_id order by ts, event_id) as k from events),
+    r(user_id, k, event_id, ts) as (select user_id, k, event_id, ts from e where k = 1
+      union all select e.user_id, e.k, e.event_id, case when e.ts >= r.ts + interval 12 hour then e.ts else r.ts end from r join e on e.user_id = r.user_id and e.k = r.k + 1)
+    select e.event_id from r join e using (user_id, k) where r.ts = e.ts"""
+)
+def rate_limited(t):
+    """2.2c: events at least twelve hours after the last one of their user that was taken."""
+    return timing.rate_limited(t("events"), "user_id", "ts", "event_id", 12 * 3600, "event_id long, user_id long, ts timestamp_ntz").select("event_id")

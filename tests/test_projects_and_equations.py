@@ -1,4 +1,6 @@
-from quillon.operators import equations, projects
+import random
+
+from quillon.operators import diffs, equations, projects
 
 
 def files(spark):
@@ -14,6 +16,24 @@ def test_main_files(spark):
     assert sorted((r.project, r.path) for r in projects.main_files(files(spark)).collect()) == [("p", "main.tex"), ("q", "x.tex")]
 
 
+def test_main_files_by_name_depth_and_length(spark):
+    doc = "\\documentclass{article}\\begin{document}"
+    rows = [
+        ("a", "deep/er/main.tex", doc), ("a", "x.tex", doc), ("b", "sub/paper.tex", doc), ("b", "ms.tex", doc), ("c", "bb.tex", doc), ("c", "a/b.tex", doc),
+        ("d", "child.tex", "\\documentclass[main.tex]{subfiles}\\begin{document}"), ("d", "note.tex", "% " + doc), ("d", "v.tex", "\\begin{verbatim}" + doc + "\\end{verbatim}"), ("d", ".\\real.tex", doc),
+    ]
+    got = projects.main_files(spark.createDataFrame(rows, "project string, path string, text string")).collect()
+    assert sorted((r.project, r.path) for r in got) == [("a", "deep/er/main.tex"), ("b", "sub/paper.tex"), ("c", "bb.tex"), ("d", ".\\real.tex")]
+
+
+def test_includes_in_comments_and_literal_text_stay(spark):
+    doc = "\\documentclass{article}\\begin{document}"
+    body = "\\input{a}% \\input{a}\n50\\% \\input{a}\\begin{verbatim}\\input{a}\\end{verbatim}\\verb|\\input{a}| \\\\\\input{a}"
+    df = spark.createDataFrame([("p", "main.tex", doc + body), ("p", "a.tex", "<A>")], "project string, path string, text string")
+    want = "<A>% \\input{a}\n50\\% <A>\\begin{verbatim}\\input{a}\\end{verbatim}\\verb|\\input{a}| \\\\<A>"
+    assert [r.text for r in projects.flatten(df).collect()] == [doc + want]
+
+
 def test_missing(spark):
     assert [tuple(r) for r in projects.missing_includes(files(spark)).collect()] == [("p", "main.tex", "gone")]
 
@@ -44,3 +64,29 @@ def test_references(spark):
     refs = spark.createDataFrame([("d", 1, "a"), ("d", 2, "b")], "doc string, seq int, key string")
     labels = spark.createDataFrame([("d", "a", "3")], "doc string, key string, number string")
     assert sorted((r.key, r.text, r.ok) for r in equations.resolve_references(refs, labels).collect()) == [("a", "3", True), ("b", "??", False)]
+
+
+def test_rows_and_relations(spark):
+    rows = ["a \\\\ b", "a \\\\[2pt] \\begin{cases}x\\\\y\\end{cases} \\\\* ", "{p \\\\ q}", ""]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, x string").orderBy("i")
+    assert [r[0] for r in df.select(equations.split_rows(df.x)).collect()] == [["a ", " b"], ["a ", " \\begin{cases}x\\\\y\\end{cases} "], ["{p \\\\ q}"], [""]]
+    formulas = ["a_{1} = b + \\alpha", "f(x) = x^2", "a \\leq b = c", "x == y", "\\frac{a=b}{c} &= d", "no relation q", "a := b"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(formulas)], "i int, x string").orderBy("i")
+    got = [(r.d.defines, r.d.uses) for r in df.select(equations.defines_and_uses(df.x).alias("d")).collect()]
+    assert got == [("a_1", ["b", "\\alpha"]), ("f", ["x"]), (None, ["a", "b", "c"]), (None, ["x", "y"]), (None, ["a", "b", "c", "d"]), (None, ["q"]), (None, ["a", "b"])]
+
+
+def test_edits_are_shortest(monkeypatch):
+    r = random.Random(1)
+    for cells in (diffs.CELLS, 4):
+        monkeypatch.setattr(diffs, "CELLS", cells)
+        for _ in range(300):
+            a, b = ([r.choice("abc") for _ in range(r.randrange(12))] for _ in range(2))
+            runs = diffs.edits(a, b)
+            assert [s for k, x in runs if k != "insert" for s in x] == a and [s for k, x in runs if k != "delete" for s in x] == b
+            best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for i in range(len(a) - 1, -1, -1):
+                for j in range(len(b) - 1, -1, -1):
+                    best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+            assert sum(len(x) for k, x in runs if k == "equal") == best[0][0]
+    assert diffs.line_edits("a\nb x\nc", "a\nb y\nc\nd") == [("equal", 1, 1, "a", ""), ("delete", 2, None, "b x", "x"), ("insert", None, 2, "b y", "y"), ("equal", 3, 3, "c", ""), ("insert", None, 4, "d", "d")]
