@@ -11,7 +11,7 @@ import re
 from bisect import bisect_right
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.text import collapse, normalize_unicode, outside, repair_escapes, strip, unicode_math
@@ -147,11 +147,107 @@ def space_differentials(c: Column) -> Column:
     return F.when(c.rlike(r"\\(?:int|iint|iiint|oint)(?![A-Za-z])"), spaced).otherwise(c)
 
 
+def space_text_groups(c: Column) -> Column:
+    """A space inside text groups where they touch an operand, as text mode keeps none outside."""
+    word = rf"[A-Za-z{_HANGUL}]"
+    c = F.regexp_replace(c, rf"(?<=[A-Za-z0-9)}}\]|!'])(\s*)\\(text|textrm|mbox)\{{(?={word}[^{{}}]*\}})", r"$1\\$2{ ")
+    after = r"(?=\s*(?:[A-Za-z0-9(]|\\(?!(?:quad|qquad|text|textrm|mbox|end|label|tag|nonumber)(?![A-Za-z]))[A-Za-z]))"
+    return F.regexp_replace(c, rf"\\(text|textrm|mbox)\{{([^{{}}]*{word})\}}{after}", r"\\$1{$2 }")
+
+
+_DEEP = r"\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}"
+
+
+def normalize_vectors(c: Column, style: str = "boldsymbol") -> Column:
+    """Every command for vectors as the chosen one, its argument braced; text groups stay. Braces nest up to three deep."""
+    vector = rf"\\(?:vec|mathbf|boldsymbol|bm)(?![A-Za-z])\s*(?:{_DEEP}|(\\[A-Za-z]+|[A-Za-z0-9]))"
+    groups = r"\\(?:text|textrm|textbf|textit|textsf|texttt|mbox)\s*\{[^{}]*\}"
+    return outside(c, groups, lambda x: F.regexp_replace(x, vector, rf"\\{style}{{$1$2}}"))
+
+
+def environments(c: Column) -> Column:
+    """array<struct<name, start, stop, body>> of a text's outermost environments in order, up to one that does not end."""
+
+    @F.pandas_udf("array<struct<name string, start int, stop int, body string>>")
+    def run(texts: pd.Series) -> pd.Series:
+        begin = re.compile(r"\\begin\{([A-Za-z]+\*?)\}")
+
+        def one(x: str | None) -> list[dict]:
+            out, at = [], 0
+            while m := begin.search(x or "", at):
+                end, at = find_end(x, m.end(), m[1])
+                if end < 0:
+                    break
+                out.append({"name": m[1], "start": m.start(), "stop": at, "body": x[m.end() : end]})
+            return out
+
+        return texts.map(one)
+
+    return run(c)
+
+
+def has_rows(c: Column) -> Column:
+    """Whether a formula has row breaks of its own, outside any environment."""
+    inner = environments(c)
+    outer = F.aggregate(inner, F.struct(F.lit("").alias("text"), F.lit(0).alias("at")), lambda s, e: F.struct(F.concat(s["text"], F.substring(c, s["at"] + 1, e["start"] - s["at"])).alias("text"), e["stop"].alias("at")))
+    return F.concat(outer["text"], F.substring(c, outer["at"] + 1, F.length(c))).contains("\\\\")
+
+
+# Names that a misspelt environment may mean, and those that are right as they are.
+KNOWN_ENVS = (
+    "equation align aligned gather gathered multline split cases dcases rcases matrix pmatrix bmatrix Bmatrix vmatrix Vmatrix smallmatrix array subarray "
+    "eqnarray flalign alignat alignedat subequations displaymath"
+).split()
+OTHER_ENVS = (
+    "document itemize enumerate description figure table tabular tabularx longtable center flushleft flushright abstract proof theorem lemma corollary "
+    "proposition definition remark example verbatim minipage quote quotation titlepage thebibliography algorithm algorithmic tikzpicture lstlisting comment "
+    "frame block columns column subfigure wrapfigure appendix keywords acknowledgments acks IEEEkeywords figure* table* cases* split*"
+).split()
+
+
+def corrected_environments(names: DataFrame, column: str) -> DataFrame:
+    """names with `corrected`: the one known environment a misspelt name is nearest to, null if it is right, too far or undecided."""
+    from quillon.operators.relational import nearest_name
+
+    bare = F.regexp_replace(column, r"\*\z", "")
+    near = nearest_name(names.withColumn("_bare", bare), "_bare", KNOWN_ENVS, 2)
+    right = F.col("_bare").isin(KNOWN_ENVS + OTHER_ENVS) | F.col(column).isin(OTHER_ENVS)
+    close = (F.col("distance") <= F.when(F.length("_bare") >= 6, 2).otherwise(1)) & (F.col("ties") == 1)
+    star = F.when(F.col(column).endswith("*"), "*").otherwise("")
+    return near.select(*names.columns, F.when(~right & close, F.concat("nearest", star)).alias("corrected"))
+
+
+def template(text: Column) -> Column:
+    """The family of a paper's template, by its document class or a conference's package."""
+    bare = strip_comments(text)
+    name = F.trim(F.regexp_extract(bare, r"\\documentclass\s*(?:\[[^\]]*\])?\s*\{([^}]*)\}", 1))
+    by_class = F.create_map(*[F.lit(x) for pair in (("IEEEtran", "ieee"), ("llncs", "lncs"), ("acmart", "acm"), ("sn-jnl", "nature")) for x in pair])
+    package = bare.rlike(r"\\usepackage\s*(?:\[[^\]]*\])?\s*\{\s*neurips_\d{4}\s*\}")
+    return F.coalesce(F.try_element_at(by_class, name), F.when(package, "neurips").otherwise("article"))
+
+
+# Units in inches; widths of a column and of the text by layout.
+UNITS = {"in": 1, "cm": 1 / 2.54, "mm": 1 / 25.4, "pt": 1 / 72.27, "bp": 1 / 72, "pc": 12 / 72.27, "em": 10 / 72.27, "ex": 4.3 / 72.27, "dd": 1238 / 1157 / 72.27, "px": 1 / 72}
+LAYOUTS = {"two-column": (3.5, 7.16), "one-column": (6.5, 6.5)}
+
+
+def length_in(spec: Column, line_width: Column, layout: str = "two-column") -> Column:
+    """A TeX length in inches: a number of units, or a multiple of a line's, column's, text's or page's width; null if it is none."""
+    bare, shape = F.regexp_replace(spec, r"\s+", ""), r"\A([+-]?(?:\d+\.?\d*|\.\d+))?\\?([A-Za-z]+)\z"
+    column, text = LAYOUTS[layout]
+    number = F.regexp_extract(bare, shape, 1)
+    times = F.when(number == "", F.lit(1.0)).otherwise(number.try_cast("double"))
+    unit = F.regexp_extract(bare, shape, 2)
+    relative = F.when(unit.isin("linewidth", "hsize"), line_width).when(unit == "columnwidth", column).when(unit == "textwidth", text).when(unit == "paperwidth", 8.5)
+    absolute = F.when(number != "", F.try_element_at(F.create_map(*[F.lit(x) for u, w in UNITS.items() for x in (u, float(w))]), unit))
+    return F.when(bare.rlike(shape) & (times > 0), times * F.when(bare.contains("\\"), relative).otherwise(absolute))
+
+
 def clean_formula(body: Column) -> Column:
-    """A formula's characters as LaTeX, escapes mended, prose set as text, operators upright, differentials spaced, no blanks at line ends."""
+    """A formula's characters as LaTeX, escapes mended, prose set as text, operators upright, differentials and text spaced, no blanks at line ends."""
     c = repair_escapes(unicode_math(body))
     c = F.regexp_replace(c, r"(?m)[ \t]+$", "")
-    return strip(space_differentials(upgrade_operator_names(escape_prose_in_math(c))))
+    return strip(space_text_groups(space_differentials(upgrade_operator_names(escape_prose_in_math(c)))))
 
 
 def star(formula: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from quillon.functions import latex
 from quillon.functions.text import bound, strip
-from quillon.operators.relational import asof_join
+from quillon.operators.relational import asof_join, closure
 
 # Environments of rows that each may have a number.
 ROWS = ("align", "gather", "alignat", "flalign", "eqnarray")
@@ -124,3 +124,17 @@ def formula_graph(equations: DataFrame) -> DataFrame:
     definitions = e.where("d.defines is not null").select("doc", "seq", F.col("d.defines").alias("symbol"), F.col("seq").alias("src"))
     found = asof_join(uses, definitions, ["doc", "symbol"], "seq", "src").where("src < seq")
     return found.select("doc", "src", F.col("seq").alias("dst"), "symbol")
+
+
+def with_definitions(equations: DataFrame, macros: DataFrame) -> DataFrame:
+    """equations(doc, seq, latex) with macros(doc, name, body) -> doc, seq, names: the macros that an equation needs, those
+    included that its macros use themselves, sorted. The closure is found over the macros, once a document."""
+    called = macros.select("doc", F.col("name").alias("src"), F.explode(latex.commands_used(F.col("body"))).alias("dst"))
+    known = macros.select("doc", F.col("name").alias("dst")).distinct()
+    tied = lambda c: F.to_json(F.struct("doc", F.col(c).alias("n")))
+    edges = called.join(known, ["doc", "dst"]).select(tied("src").alias("src"), tied("dst").alias("dst"))
+    reach = closure(edges).select(F.col("src"), F.get_json_object("dst", "$.n").alias("further"))
+    direct = equations.select("doc", "seq", F.explode(latex.commands_used(F.col("latex"))).alias("dst")).join(known, ["doc", "dst"])
+    further = direct.withColumn("src", tied("dst")).join(reach, "src").select("doc", "seq", F.col("further").alias("dst"))
+    every = direct.select("doc", "seq", "dst").union(further)
+    return every.groupBy("doc", "seq").agg(F.array_sort(F.collect_set("dst")).alias("names"))

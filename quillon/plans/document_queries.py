@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.functions import latex, text
+from quillon.functions import latex, records, text
 from quillon.operators import bibliography, diffs, equations, timing
 from quillon.plans.registry import query, spelled
 
@@ -205,6 +205,96 @@ spelled(
 )
 
 
+spelled(
+    "text_groups", "C16: space inside text groups that touch operands.",
+    [("x \\text{if} y{k}", "x \\text{ if } y{k}"), ("= \\text{yes} \\quad {k}", "= \\text{yes} \\quad {k}"), ("\\mbox{for}\\alpha", "\\mbox{for }\\alpha"), ("a\\text{, so} = {k}", "a\\text{, so} = {k}")],
+    latex.space_text_groups,
+)
+spelled(
+    "vector_commands", "C19.",
+    [("\\vec{v} + \\mathbf w{k}", "\\boldsymbol{v} + \\boldsymbol{w}{k}"), ("\\bm\\alpha \\vector{x}", "\\boldsymbol{\\alpha} \\vector{x}"), ("\\text{\\vec x} \\boldsymbol{a_{b{k}}}", "\\text{\\vec x} \\boldsymbol{a_{b{k}}}"), ("\\vec", "\\vec")],
+    latex.normalize_vectors,
+)
+spelled(
+    "outer_environments", "C23, C24: outermost environments and their bodies.",
+    [("\\begin{a}x{k}\\begin{a}y\\end{a}\\end{a} \\begin{b*}\\end{b*}", "a=x{k}\\begin{a}y\\end{a};b*="), ("\\begin{a}\\begin{b}z\\end{b} {k}", ""), ("none", "")],
+    lambda c: F.array_join(F.transform(latex.environments(c), lambda e: F.concat(e["name"], F.lit("="), e["body"])), ";"),
+)
+spelled("own_rows", "C25.", [("a \\\\ b {k}", "true"), ("\\begin{matrix}a\\\\b\\end{matrix} {k}", "false"), ("\\begin{m}a\\\\b\\end{m} \\\\ c", "true"), ("", "false")], latex.has_rows)
+spelled(
+    "templates", "P04.",
+    [("\\documentclass[a]{IEEEtran}{k}", "ieee"), ("% \\documentclass{acmart}\n\\documentclass{ llncs }", "lncs"), ("\\documentclass{article}\\usepackage{neurips_2023}", "neurips"), ("\\documentclass{acmart}", "acm"), ("\\documentclass{sn-jnl}", "nature"), ("{k}", "article")],
+    latex.template,
+)
+spelled(
+    "lengths", "P19: lengths in inches, to the thousandth.",
+    [("0.5\\linewidth", "2.0"), (" 2.54 cm", "1.0"), ("\\textwidth", "7.16"), (".5\\columnwidth", "1.75"), ("cm", None), ("-1in", None), ("72bp", "1.0"), ("3\\foo", None), ("x{k}", None), ("2\\paperwidth", "17.0")],
+    lambda c: F.round(latex.length_in(c, F.lit(4.0)), 3),
+)
+spelled(
+    "profiles", "A12: users' records.",
+    [
+        ('{"id": "u{k}", "email": "ann@x.org", "user_metadata": {"name": "", "user_name": "Ann"}, "app_metadata": {"provider": "git"}}', "u{k}|Ann|ann@x.org||git"), ('{"id": "u", "user_metadata": {"full_name": 5, "picture": "p", "email": "b@y"}}', "u|b|b@y|p|"),
+        ('{"id": 7}', None), ("broken {", None), ('{"id": "z{k}"}', "z{k}|You|||"),
+    ],
+    lambda c: F.when(records.profile_from(c).isNotNull(), F.concat_ws("|", *[records.profile_from(c)[x] for x in ("id", "name", "email", "avatar", "provider")])),
+)
+spelled(
+    "read_answers", "A13: a reading service's answers.",
+    [
+        ('{"content": " ```latex\\nx {k}\\r\\ny\\n``` ", "title": " T ", "warnings": ["a", 5, " ", " b "]}', "x {k}\ny|T|a;b"), ('{"content": "```\\na\\n```", "title": 3}', "a||"), ('{"content": "  "}', None), ('{"content": ["x"]}', None), ("", None), ('{"content": "k `{k}`", "warnings": "no"}', "k `{k}`||"),
+    ],
+    lambda c: F.when(records.parse_ocr(c).isNotNull(), F.concat_ws("|", records.parse_ocr(c)["content"], records.parse_ocr(c)["title"], F.array_join(records.parse_ocr(c)["warnings"], ";"))),
+)
+spelled(
+    "model_answers", "A14: a language model's answers.",
+    [
+        ('{"candidates": [{"content": {"parts": [{"text": "a{k}"}, {}, {"text": "b"}]}, "finishReason": "STOP"}]}', "a{k}b"), ('{"promptFeedback": {"blockReason": "SAFETY"}}', "blocked: SAFETY"), ('{"candidates": [{"finishReason": "MAX_TOKENS", "content": {"parts": [{"text": "{k}"}]}}]}', "cut off"),
+        ('{"candidates": [{"finishReason": "OTHER"}]}', "empty: OTHER"), ("{}", "empty: no reason"), ("x{k}", "empty: no reason"),
+    ],
+    lambda c: F.coalesce(records.model_answer(c)["error"], records.model_answer(c)["text"]),
+)
+spelled(
+    "revived_documents", "A07: stored documents.",
+    [
+        ('{"id": "d{k}", "title": "t", "text": "x", "updated_at": "1970-01-01T00:00:02Z", "position": 3}', "d{k}|t|x|2000|3.0"), ('{"id": "d", "title": 5, "text": null, "updated_at": "never", "position": "2"}', "d|||0|0.0"), ('{"title": "{k}"}', None), ("[]", None), ("null", None),
+    ],
+    lambda c: F.when(records.revive_document(c).isNotNull(), F.concat_ws("|", *[F.coalesce(records.revive_document(c)[x].cast("string"), F.lit("")) for x in ("id", "title", "text", "updated_at", "position")])),
+)
+spelled(
+    "broken_links", "P28: links that are no shares.",
+    [("#s=" + "A" * 9, None), ("#s=?", None), ("s={k}", None), ("#s=y0jNyckHAA", "hello"), ("#s=y0jNyckH", None), (None, None)],
+    records.decode_share,
+)
+
+
+@query("select doc_id, text, true as short from documents")
+def share_links(t):
+    """Every document as a link's fragment and back."""
+    links = t("documents").select("doc_id", records.encode_share(F.col("text")).alias("link"))
+    return links.select("doc_id", records.decode_share(F.col("link")).alias("text"), F.col("link").rlike(r"\A#s=[A-Za-z0-9_-]*\z").alias("short"))
+
+
+@query(
+    """select p_partkey, case p_partkey % 8 when 0 then 'equation' when 1 then 'align*' when 2 then null when 3 then null when 4 then 'cases' when 5 then null when 6 then 'gather' else null end as corrected from part"""
+)
+def corrected_environments(t):
+    """Misspelt environments, refused where two are equally near."""
+    names = F.array(*[F.lit(x) for x in ("eqaution", "algin*", "align", "itemise", "casess", "xmatrix", "gathr", "tabular")])
+    given = t("part").select("p_partkey", F.get(names, (F.col("p_partkey") % 8).cast("int")).alias("name"))
+    return latex.corrected_environments(given, "name").select("p_partkey", "corrected")
+
+
+@query("select o_orderkey as doc, 'f,g,h' as names from orders where o_orderkey % 2 = 0 union all select o_orderkey, 'h' from orders where o_orderkey % 2 = 1")
+def needed_macros(t):
+    """The macros that an equation needs, with those that they use."""
+    o = t("orders").select(F.col("o_orderkey").alias("doc"))
+    preamble = F.lit("\\newcommand{\\f}{\\g + 1} \\def\\g#1{\\h{#1}} \\newcommand\\h[1]{#1} \\newcommand{\\unused}{\\f}")
+    macros = o.select("doc", F.explode(latex.macro_definitions(preamble)).alias("m")).select("doc", "m.name", "m.body")
+    eqs = o.select("doc", F.lit(1).alias("seq"), F.when(F.col("doc") % 2 == 0, "\\f = \\alpha").otherwise("\\h{x}").alias("latex"))
+    return equations.with_definitions(eqs, macros).select("doc", F.array_join("names", ",").alias("names"))
+
+
 _SPECIALS = "text"
 for _c in "/#%&_$":
     _SPECIALS = f"replace({_SPECIALS}, {B}, '/')" if _c == "/" else f"replace({_SPECIALS}, '{_c}', {B} || '{_c}')"
