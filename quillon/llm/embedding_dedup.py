@@ -1,14 +1,16 @@
 """Near-duplicate embeddings by a forest of random-projection trees.
 
 Trees are fitted on a bounded sample (SAMPLE vectors, least by hash): a node splits at the median of a random
-projection, recursively, until the sample share of a leaf stands for about LEAF vectors of the whole table. Near the
-median, a band of SPILL of the vectors goes to both sides. Every vector of the table is then indexed in every tree.
-Vectors of a leaf are compared in double precision, verified against the threshold, and united.
+projection, recursively, until the sample share of a leaf stands for about LEAF vectors of the whole table, or no more than
+four of the sample. Near the median, a band of SPILL of the vectors goes to both sides. Every vector of the table is then
+indexed in every tree. Vectors of a leaf are compared: in single precision, and in double where that is too near the threshold
+to tell. A split of a tree parts a pair of the threshold with a chance that does not fall with the depth, so trees are
+TREES at least and as many as keep the expected recall at RECALL if a level keeps LEVEL of the pairs.
 
 No pair is emitted: a linked pair is counted in the first (tree, leaf) that holds both, which a comparison of the two
-vectors' leaf lists tells, so a leaf returns one row per member: how many links were counted, and one member of the
-part of the leaf its links connect it to, the same for that whole part. Those rows are summed (links) and joined by
-connected components (classes).
+vectors' leaf lists tells (made for close pairs only), so a leaf returns one row per member: how many links were counted,
+and one member of the part of the leaf its links connect it to, the same for that whole part. Those rows are summed (links)
+and joined by connected components (classes).
 
 Equal directions are one representative with a weight, so copies are counted, not compared. A leaf larger than BLOCK
 (a table much larger than its sample could tell) is cut into blocks and every pair of blocks is compared, so no leaf
@@ -25,9 +27,8 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from quillon.llm.common import materialize
+from quillon.llm.common import discard, materialize, sized
 from quillon.llm.components import connected_components
 
 TREES = 16
@@ -35,6 +36,9 @@ LEAF = 400
 SPILL = 0.1
 SAMPLE = 20_000
 BLOCK = 1024
+#: Expected share of linked pairs found, and the share of them that one level of a tree keeps together.
+RECALL = 0.999
+LEVEL = 0.9
 
 
 class Forest:
@@ -44,6 +48,7 @@ class Forest:
         rng = np.random.default_rng(seed)
         self.depth = max(0, int(np.ceil(np.log2(max(total, 1) / leaf)))) if len(sample) > 1 else 0
         self.depth = min(self.depth, max(0, int(np.log2(max(len(sample), 1) / 4))))
+        trees = max(trees, int(np.ceil(np.log(1 - RECALL) / np.log(1 - LEVEL**self.depth)))) if self.depth else 1
         width = sample.shape[1] if sample.ndim == 2 else 0
         inner = 2**self.depth - 1
         self.direction = rng.standard_normal((trees, inner, width)).astype(np.float32)
@@ -87,20 +92,43 @@ def _unit(vectors: pd.Series) -> list[np.ndarray | None]:
     return out
 
 
-def _met_before(a: pd.Series, b: pd.Series, leaf: int) -> np.ndarray:
-    """Whether a vector of a and one of b also share a leaf of a lower number than `leaf`."""
-    number: dict[int, int] = {}
+def _met_before(a: list, b: list, i: np.ndarray, j: np.ndarray, leaf: int) -> np.ndarray:
+    """Of the pairs a[i]-b[j] of leaf lists, whether they also share a leaf of a lower number than `leaf`."""
     sides = []
-    for lists in (a, b):
-        at = [(i, number.setdefault(x, len(number))) for i, v in enumerate(lists) for x in v.tolist() if x < leaf]
-        sides.append((len(lists), at))
-    in_ = []
-    for n, at in sides:
-        m = np.zeros((n, max(len(number), 1)), np.float32)
-        if at:
-            m[tuple(np.array(at).T)] = 1
-        in_.append(m)
-    return in_[0] @ in_[1].T > 0
+    for fill, lists in ((-1, a), (-2, b)):
+        size = np.array([len(x) for x in lists])
+        m = np.full((len(lists), max(int(size.max()), 1)), fill, np.int64)
+        m[np.arange(m.shape[1]) < size[:, None]] = np.concatenate(lists)
+        m[m >= leaf] = fill
+        sides.append(m[:, : max(int((m >= 0).sum(1).max()), 1)])
+    left, right = sides
+    if len(i) < 16 * (len(a) + len(b)):  # few pairs: sort each pair's two lists together
+        out = np.zeros(len(i), bool)
+        for k in range(0, len(i), 20_000):
+            both = np.sort(np.concatenate([left[i[k : k + 20_000]], right[j[k : k + 20_000]]], 1), 1)
+            out[k : k + 20_000] = ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] >= 0)).any(1)
+        return out
+    number = np.unique(np.intersect1d(left[left >= 0], right[right >= 0]))
+    on = []
+    for m in sides:
+        at = np.minimum(np.searchsorted(number, m), max(len(number) - 1, 0))
+        row, col = np.nonzero(number[at] == m) if len(number) else (np.zeros(0, int), np.zeros(0, int))
+        one = np.zeros((len(m), max(len(number), 1)), np.float32)
+        one[row, at[row, col]] = 1
+        on.append(one)
+    return (on[0] @ on[1].T > 0)[i, j]
+
+
+def _close(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """a @ b.T >= threshold: in single precision, and in double where its rounding could tell otherwise."""
+    near = a.astype(np.float32) @ b.astype(np.float32).T
+    margin = 1e-6 + 2.5e-7 * a.shape[1]
+    close = near >= threshold
+    i, j = np.nonzero(np.abs(near - threshold) <= margin)
+    for k in range(0, len(i), 20_000):
+        x, y = i[k : k + 20_000], j[k : k + 20_000]
+        close[x, y] = np.einsum("ij,ij->i", a[x], b[y]) >= threshold
+    return close
 
 
 def _roots(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
@@ -115,19 +143,32 @@ def _roots(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
             root = up
 
 
-def _compare(threshold: float):
+def _stack(col: pd.Series, kind: str) -> np.ndarray:
+    """The vectors of a column of bytes, each over its norm, as rows in double precision."""
+    x = np.stack([np.frombuffer(v, kind) for v in col]).astype(np.float64)
+    x /= np.abs(x).max(1)[:, None]
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+def _compare(threshold: float, kind: str):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         """Links of the group's two blocks (one block with itself, if p = q) that belong to this leaf."""
         p, q, leaf = int(group.p.iloc[0]), int(group.q.iloc[0]), int(group.leaf.iloc[0])
         rows, cols = group[group.block == p], group[group.block == q]
-        a, b = (np.stack([np.frombuffer(v) for v in g.unit]) for g in (rows, cols))
+        if not len(rows) or not len(cols):
+            return pd.DataFrame({"node": [], "n": [], "root": []}, dtype="int64")
+        a = _stack(rows.vector, kind)
+        b = a if p == q else _stack(cols.vector, kind)
         node_a, node_b = rows.node.to_numpy(), cols.node.to_numpy()
-        earlier = _met_before(rows.leaves, cols.leaves, leaf)
-        close = (a @ b.T >= threshold) & ~earlier
+        close = _close(a, b, threshold)
         if p == q:
             close &= node_b > node_a[:, None]
-        links_a, links_b = close @ cols.weight.to_numpy(), rows.weight.to_numpy() @ close
         i, j = np.nonzero(close)
+        if len(i):
+            new = ~_met_before(rows.leaves.tolist(), cols.leaves.tolist(), i, j, leaf)
+            i, j = i[new], j[new]
+        links_a = np.bincount(i, cols.weight.to_numpy()[j], len(node_a)).astype(np.int64)
+        links_b = np.bincount(j, rows.weight.to_numpy()[i], len(node_b)).astype(np.int64)
         node = np.concatenate([node_a, node_b])
         # of one block with itself, the columns are the rows
         root = _roots(i, j + len(node_a), len(node)) if p != q else np.tile(_roots(i, j, len(node_a)), 2)
@@ -137,53 +178,54 @@ def _compare(threshold: float):
     return run
 
 
-def _index(forest: Forest):
+def _index(forest: Forest, kind: str):
     @F.pandas_udf("array<long>")
-    def run(unit: pd.Series) -> pd.Series:
-        return pd.Series(forest.leaves(np.stack([np.frombuffer(u) for u in unit])) if len(unit) else [])
+    def run(vector: pd.Series) -> pd.Series:
+        return pd.Series(forest.leaves(_stack(vector, kind)) if len(vector) else [])
 
     return run
 
 
 def embedding_dedup(embeddings: DataFrame, threshold: float = 0.9, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
     """embeddings(vec_id, embedding) -> vec_id, n_links, component_id, kept; vectors of other lengths are never compared."""
+    kind = "f4" if embeddings.schema["embedding"].dataType.elementType.typeName() == "float" else "f8"
 
-    @F.pandas_udf("key binary, node long, unit binary, width int")
+    @F.pandas_udf("key binary, node long, vector binary, width int")
     def units(col: pd.Series) -> pd.DataFrame:
         rows = []
-        for u in _unit(col):
+        for v, u in zip(col, _unit(col), strict=True):
             raw = None if u is None else (u + 0.0).tobytes()
-            rows.append((None, None, None, None) if raw is None else (xxhash.xxh3_128_digest(raw), xxhash.xxh3_64_intdigest(raw) - (1 << 63), raw, len(u)))
-        return pd.DataFrame(rows, columns=["key", "node", "unit", "width"]).astype({"node": "Int64", "width": "Int32"})
+            rows.append((None, None, None, None) if raw is None else (xxhash.xxh3_128_digest(raw), xxhash.xxh3_64_intdigest(raw) - (1 << 63), np.array(v, kind).tobytes(), len(u)))
+        return pd.DataFrame(rows, columns=["key", "node", "vector", "width"]).astype({"node": "Int64", "width": "Int32"})
 
     rows = materialize(embeddings.select("vec_id", units("embedding").alias("u")).select("vec_id", "u.*"), "vectors")
-    reps = rows.where("node is not null").groupBy("node", "width").agg(F.count("*").alias("weight"), F.min("vec_id").alias("vec_id"), F.first("unit").alias("unit"))
+    reps = rows.where("node is not null").groupBy("node", "width").agg(F.count("*").alias("weight"), F.min("vec_id").alias("vec_id"), F.first("vector").alias("vector"))
     reps = materialize(reps, "directions")
-    counts = reps.groupBy("width").count().collect()  # one row per vector length
-
-    parts = []
-    for r in counts:
-        width, total = r["width"], r["count"]
-        own = reps.where(F.col("width") == width)
-        picked = [np.frombuffer(x["unit"]) for x in own.orderBy("node").select("unit").limit(sample).collect()]
-        forest = Forest(np.stack(picked), total, trees, leaf)
-        seen = own.select("node", "weight", "unit", _index(forest)("unit").alias("leaves")).select("*", F.explode("leaves").alias("leaf"))
-        # blocks by hash of the vector: as many as its leaf needs
-        size = seen.groupBy("leaf").count()
-        seen = seen.join(size, "leaf").withColumn("last", F.floor((F.col("count") - 1) / BLOCK))
-        seen = seen.withColumn("block", F.pmod(F.xxhash64("node"), F.col("last") + 1))
-        pair = lambda i: F.struct(F.least(F.col("block"), i).alias("p"), F.greatest(F.col("block"), i).alias("q"))
-        dealt = seen.withColumn("pq", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), "last"), pair)))
-        dealt = dealt.select("leaf", "pq.p", "pq.q", "block", "node", "weight", "unit", "leaves")
-        parts.append(dealt.groupBy("leaf", "p", "q").applyInPandas(_compare(threshold), "node long, n long, root long"))
-
-    out = rows.select("vec_id", "node", "key")
-    if not parts:
-        return out.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    found = parts[0]
+    widths = reps.groupBy("width").count()
+    large = widths.where(F.col("count") > leaf).collect()  # lengths that more than a leaf of vectors have
+
+    # Lengths of few vectors are a leaf each, without a tree.
+    few = reps.join(sized(widths.where(F.col("count") <= leaf).select("width")), "width", "left_semi")
+    parts = [few.select("width", "node", "weight", "vector", F.array(F.lit(0).cast("long")).alias("leaves"))]
+    for r in large:
+        own = reps.where(F.col("width") == r["width"])
+        picked = _stack(pd.Series([x["vector"] for x in own.orderBy("node").select("vector").limit(sample).collect()]), kind)
+        forest = Forest(picked, r["count"], trees, leaf)
+        parts.append(own.select("width", "node", "weight", "vector", _index(forest, kind)("vector").alias("leaves")))
+    every = parts[0]
     for p in parts[1:]:
-        found = found.union(p)
-    found = materialize(found, "links")
+        every = every.union(p)
+    every = materialize(every, "indexed")
+    seen = every.select("*", F.explode("leaves").alias("leaf"))
+    # blocks by hash of the vector: as many as its leaf needs
+    size = materialize(seen.groupBy("width", "leaf").count(), "leaves")
+    seen = seen.join(sized(size), ["width", "leaf"]).withColumn("last", F.floor((F.col("count") - 1) / BLOCK))
+    seen = seen.withColumn("block", F.pmod(F.xxhash64("node"), F.col("last") + 1))
+    pair = lambda i: F.struct(F.least(F.col("block"), i).alias("p"), F.greatest(F.col("block"), i).alias("q"))
+    dealt = seen.withColumn("pq", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), "last"), pair)))
+    dealt = dealt.select("width", "leaf", "pq.p", "pq.q", "block", "node", "weight", "vector", "leaves")
+    found = materialize(dealt.groupBy("width", "leaf", "p", "q").applyInPandas(_compare(threshold, kind), "node long, n long, root long"), "links")
+    discard(every, size)
     classes = connected_components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     known = (
         reps.select("node", "vec_id", "weight")
@@ -193,6 +235,6 @@ def embedding_dedup(embeddings: DataFrame, threshold: float = 0.9, trees: int =
     )
     least = known.groupBy("component").agg(F.min("vec_id").alias("component_id"))
     ids = known.join(least, "component").select("node", "n_links", "component_id")
-    out = out.join(ids, "node", "left")
+    out = rows.select("vec_id", "node").join(ids, "node", "left")
     one = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), one.alias("component_id"), F.coalesce(one == F.col("vec_id"), F.lit(False)).alias("kept"))

@@ -1,10 +1,16 @@
+import math
+
 import numpy as np
 
 from quillon.llm import embedding_dedup as E
 
 
 def brute(rows, t=0.9):
-    units = [None if u is None else u for u in E._unit([v for _, v in rows])]
+    units = []
+    for _, v in rows:
+        ok = v and all(x is not None and math.isfinite(x) for x in v) and any(v)
+        x = np.array(v, np.float32).astype(np.float64) if ok else None
+        units.append(x / math.sqrt(x @ x) if ok else None)
     n = len(rows)
     parent = list(range(n))
 
@@ -81,11 +87,11 @@ def test_links_keep_their_parts_in_every_hash_order():
 
     import pandas as pd
 
-    unit = [np.array([np.cos(0.4 * s), np.sin(0.4 * s)]).tobytes() for s in range(4)]
+    vector = [np.array([np.cos(0.4 * s), np.sin(0.4 * s)]).tobytes() for s in range(4)]
     for nodes in permutations(range(4)):
         for blocks in ((0, 0, 0, 0), (0, 1, 0, 1)):
-            group = pd.DataFrame({"leaf": 0, "p": 0, "q": max(blocks), "block": blocks, "node": nodes, "weight": 1, "unit": unit, "leaves": [np.array([0])] * 4})
-            out = E._compare(0.9)(group)
+            group = pd.DataFrame({"leaf": 0, "p": 0, "q": max(blocks), "block": blocks, "node": nodes, "weight": 1, "vector": vector, "leaves": [np.array([0])] * 4})
+            out = E._compare(0.9, "f8")(group)
             assert set(out.node) == set(range(4)) and out.groupby("node").n.sum().tolist() == [[1, 2, 2, 1][nodes.index(k)] for k in range(4)]
             # every member must reach every other over the edges returned
             reach, edges = {0}, list(zip(out.node, out.root, strict=True))
@@ -94,5 +100,38 @@ def test_links_keep_their_parts_in_every_hash_order():
             assert reach == set(range(4))
 
 
+def test_pairs_met_before_equal_plain_sets():
+    r = np.random.default_rng(9)
+    for n, pairs in ((40, 30), (40, 1600)):  # few pairs, then all
+        a, b = ([np.sort(r.choice(300, int(r.integers(1, 20)), replace=False)) for _ in range(n)] for _ in range(2))
+        i, j = np.divmod(np.arange(n * n), n)
+        i, j = i[:pairs], j[:pairs]
+        want = [any(x < 150 for x in set(a[x].tolist()) & set(b[y].tolist())) for x, y in zip(i, j, strict=True)]
+        assert E._met_before(a, b, i, j, 150).tolist() == want
+
+
+def test_single_precision_decides_nothing_near_the_threshold():
+    r = np.random.default_rng(1)
+    a = r.standard_normal((50, 300))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    t = float(a[3] @ a[7])
+    for x in (t, np.nextafter(t, 1), np.nextafter(t, -1)):
+        assert (E._close(a, a, x) == (np.array([[np.einsum("i,i", u, v) for v in a] for u in a]) >= x)).all()
+
+
+def test_thousands_of_vectors(spark):
+    r = np.random.default_rng(4)
+    centres = r.standard_normal((900, 32))
+    x = np.repeat(centres, 4, 0) + r.standard_normal((3600, 32)) * r.choice([0.1, 0.25, 0.33], (3600, 1))
+    rows = [(k, v) for k, v in enumerate(x.astype(np.float32).tolist())]
+    got = {q.vec_id: q.n_links for q in E.embedding_dedup(frame(spark, rows), leaf=60).collect()}
+    u = x.astype(np.float32).astype(np.float64)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    want = ((u @ u.T) >= 0.9).sum(1) - 1
+    assert all(got[k] <= want[k] for k in got) and len(got) == 3600
+    asked = range(0, 3600, 20)
+    assert sum(got[k] for k in asked) >= 0.9 * want[::20].sum() > 0
+
+
 def test_empty_table(spark):
     assert E.embedding_dedup(frame(spark, [])).collect() == []
