@@ -13,11 +13,12 @@ posteriors), written once, are one aggregation each.
 
 Nulls: a null or empty text has 0 tokens, the prior as posterior and rate 1. Labelled rows with null or unknown domain
 are not used. A domain without any labelled row keeps a smoothed likelihood. A target no document can supply leaves a
-residual: the rates are then the least-squares fit. Repeated rows get equal rates; extra columns are ignored.
+residual: the rates are then the least-squares fit, and a warning tells its size. Repeated rows get equal rates; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 import numpy as np
@@ -133,6 +134,9 @@ def fit_rates(seen: DataFrame, weights: dict[str, float], budget: float | None =
         before, now, active = now, then, square(moved)
         if np.abs(now - before).max() <= 0.1 * TOLERANCE * want.sum():
             break
+    short = np.abs(now - want).max() / want.sum()
+    if short > 1e-3:
+        warnings.warn(f"the rates miss a target by {short:.2%} of all tokens: it cannot be met, or {STEPS} steps are too few", stacklevel=2)
     return history, unit, total, want
 
 

@@ -5,9 +5,9 @@ far), a segment stays literal while it holds at least SHARE of the node's URLs a
 variable and become one wildcard branch. Then labelled branches of a node are merged, the two neighbours in bad share
 that are closest first, as long as each branch of the one is alike to each of the other (two-proportion z-test, |z| < Z).
 Merged branches are one node, written {a|b}, with one subtree. A template is rejected if its smoothed labelled purity
-(bad + PRIOR * base) / (n + PRIOR) reaches PURITY, base being the bad share of all labels. A URL gets the verdict of its
-template; with no labels at the template, its parent's stand in, up to the host; a host without labels is allowed. In
-literal segments the characters \\ * | { } are written with a backslash.
+(bad + PRIOR / 2) / (n + PRIOR) reaches PURITY: the prior is neutral, so a template with good labels only, or with none, is
+never rejected, and one with bad labels only not before it has six. A URL gets the verdict of its template, for which no other
+template's labels stand in. In literal segments the characters \\ * | { } are written with a backslash.
 
 Labels are a table (url, bad). Where none is given, the URLs that a rule decides are the labels.
 
@@ -29,7 +29,7 @@ SHARE = 0.1
 SUPPORT = 5
 Z = 1.96
 PRIOR = 4.0
-PURITY = 0.5
+PURITY = 0.8
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -134,14 +134,10 @@ def _generalised(urls: DataFrame) -> DataFrame:
 def template_verdicts(urls: DataFrame) -> DataFrame:
     """urls(host, path, n, labelled, bad) -> host, path, template, rejected."""
     tree = _generalised(materialize(urls, "urls"))
-    base = tree.agg(F.try_divide(F.sum("bad"), F.sum("labelled")).alias("x")).first()["x"] or 0.0
-    nodes = tree.select(F.explode("templates").alias("template"), "labelled", "bad").groupBy("template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    purity = nodes.where("labelled > 0").select("template", ((F.col("bad") + PRIOR * base) / (F.col("labelled") + PRIOR)).alias("purity"))
-    levels = tree.select("host", "path", F.posexplode("templates").alias("depth", "template")).join(purity, "template")
-    best = levels.groupBy("host", "path").agg(F.max_by("purity", "depth").alias("purity"))
-    return tree.select("host", "path", F.element_at("templates", -1).alias("template")).join(best, ["host", "path"], "left").select(
-        "host", "path", "template", F.coalesce(F.col("purity") >= PURITY, F.lit(False)).alias("rejected")
-    )
+    tree = tree.select("host", "path", F.element_at("templates", -1).alias("template"), "labelled", "bad")
+    nodes = tree.groupBy("template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+    bad = nodes.where((F.col("bad") + PRIOR / 2) / (F.col("labelled") + PRIOR) >= PURITY).select("template", F.lit(True).alias("rejected"))
+    return tree.join(sized(bad), "template", "left").select("host", "path", "template", F.coalesce("rejected", F.lit(False)).alias("rejected"))
 
 
 def url_filter(pages: DataFrame, rules: list[tuple[str, str]], labels: DataFrame | None = None) -> DataFrame:

@@ -152,3 +152,112 @@ def test_no_python_on_the_executors(spark):
     for df in (out, url_filter.url_filter(pages, RULES)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def plain_templates(urls):
+    """The whole template method over [(host, path, n, labelled, bad)], one row per host and path: {(host, path): (template, rejected)}."""
+
+    def alike(a, b):
+        pooled = (a[1] + b[1]) / (a[0] + b[0])
+        spread = (pooled * (1 - pooled) * (1 / a[0] + 1 / b[0])) ** 0.5
+        return spread == 0 or abs(a[1] / a[0] - b[1] / b[0]) < url_filter.Z * spread
+
+    def names(branches):
+        """branches {name: (labels, bad)} -> {name: name of its group}"""
+        groups = [[k] for k in sorted((k for k in branches if branches[k][0]), key=lambda k: (branches[k][1] / branches[k][0], k))]
+        share = lambda g: sum(branches[k][1] for k in g) / sum(branches[k][0] for k in g)
+        while True:
+            near = [(share(groups[i + 1]) - share(groups[i]), i) for i in range(len(groups) - 1) if all(alike(branches[a], branches[b]) for a in groups[i] for b in groups[i + 1])]
+            if not near:
+                break
+            i = min(near)[1]
+            groups[i : i + 2] = [groups[i] + groups[i + 1]]
+        return {k: "{" + "|".join(sorted(g)) + "}" for g in groups if len(g) > 1 for k in g}
+
+    done, live = {}, [(host, re.sub(r"\A/", "", path).split("/"), host, 0, row) for row in urls for host, path in [row[:2]]]
+    while live:
+        at = {}
+        for x in live:
+            at.setdefault(x[2], []).append(x)
+        live = []
+        for node, rows in at.items():
+            total = {}
+            for _, segments, _, depth, row in rows:
+                t = total.setdefault(segments[depth], [0, 0, 0])
+                for k in range(3):
+                    t[k] += row[2 + k]
+            whole = sum(t[0] for t in total.values())
+            literal = {s for s, t in total.items() if t[0] >= url_filter.SUPPORT and t[0] >= url_filter.SHARE * whole}
+            escaped = {s: re.sub(r"([\\*|{}])", r"\\\1", s) for s in literal}
+            branches = {escaped[s]: tuple(total[s][1:]) for s in literal}
+            branches["*"] = tuple(sum(t[k] for s, t in total.items() if s not in literal) for k in (1, 2))
+            group = names(branches)
+            for host, segments, _, depth, row in rows:
+                if whole < url_filter.SUPPORT:
+                    done[row[:2]] = node + "/*" * (len(segments) - depth)
+                    continue
+                name = escaped.get(segments[depth], "*")
+                now = f"{node}/{group.get(name, name)}"
+                if depth + 1 == len(segments):
+                    done[row[:2]] = now
+                else:
+                    live.append((host, segments, now, depth + 1, row))
+    count = {}
+    for row in urls:
+        c = count.setdefault(done[row[:2]], [0, 0])
+        c[0] += row[3]
+        c[1] += row[4]
+    return {k: (t, (count[t][1] + 2) / (count[t][0] + 4) >= url_filter.PURITY) for k, t in done.items()}
+
+
+def test_templates_equal_a_plain_version(spark):
+    r = np.random.default_rng(8)
+    urls = {}
+    for _ in range(1500):
+        host = r.choice(["a.test", "b.test", "c.test"], p=[0.6, 0.3, 0.1])
+        path = "/" + "/".join(str(r.choice(["x", "y", "*", "a|b", "z", str(r.integers(1000))], p=[0.3, 0.2, 0.05, 0.05, 0.1, 0.3])) for _ in range(int(r.integers(1, 5))))
+        n, labelled = int(r.integers(1, 4)), int(r.integers(0, 3))
+        bad = labelled if "/y" in path or r.random() < 0.1 else 0
+        urls[host, path] = (n, labelled, bad)
+    urls = [(*k, *v) for k, v in urls.items()]
+    df = spark.createDataFrame(urls, "host string, path string, n long, labelled long, bad long")
+    got = {(x.host, x.path): (x.template, x.rejected) for x in url_filter.template_verdicts(df).collect()}
+    want = plain_templates(urls)
+    assert got == want and 0 < sum(v for _, v in want.values()) < len(want)
+
+
+def test_template_with_only_good_labels_or_none_is_allowed(spark):
+    rows = [(f"http://good.test/{i}", False if i < 1 else None) for i in range(30)] + [(f"http://bad.test/a/{i}", True) for i in range(40)] + [(f"http://bad.test/b/{i}", None) for i in range(10)]
+    got = judged(spark, rows + [("http://none.test/" + "x" * 100_000, None)])
+    assert {u.split("/")[2] + u.split("/")[3][:1]: r.verdict for u, r in got.items() if "bad" in u} == {"bad.testa": "block", "bad.testb": "allow"}
+    assert all(r.verdict == "allow" for u, r in got.items() if "bad" not in u)
+
+
+def test_posteriors_equal_a_plain_naive_bayes(spark):
+    from pyspark.sql import functions as F
+
+    labelled = [("a b c a", "x"), ("b b d", "y"), ("e", "y"), (None, "x"), ("zz", "other"), ("q", None)]
+    docs = [(1, "a a b"), (2, "d  e\tf"), (3, ""), (4, None), (5, "a " * 5000)]
+    domains = ["x", "y", "z"]
+    prior, likelihood = mixing.fit_domains(spark.createDataFrame(labelled, "text string, domain string"), domains)
+    seen = {r.doc_id: r for r in mixing.posteriors(spark.createDataFrame(docs, "doc_id long, text string"), prior, likelihood).collect()}
+    words = sorted({w for t, _ in labelled + [(t, 0) for _, t in docs] for w in (t or "").split()})
+    bucket = {r.w: r.b for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.pmod(F.hash("w"), F.lit(mixing.BUCKETS)).alias("b")).collect()}
+    counts = {d: [1.0] * mixing.BUCKETS for d in domains}
+    for t, d in labelled:
+        for w in (t or "").split() if d in counts else ():
+            counts[d][bucket[w]] += 1
+    n = {d: 1 + sum(x == d for _, x in labelled) for d in domains}
+    for doc, t in docs:
+        ws = (t or "").split()
+        logs = [sum(np.log(counts[d][bucket[w]] / sum(counts[d])) for w in ws) * (len(ws) ** -0.5 if ws else 0) + np.log(n[d] / sum(n.values())) for d in domains]
+        p = np.exp(np.array(logs) - max(logs))
+        assert seen[doc].tokens == len(ws) and np.allclose(seen[doc].p, p / p.sum(), atol=1e-9)
+
+
+def test_unreachable_targets_warn(spark):
+    import pytest
+
+    df = spark.createDataFrame([(i, 10, [1.0, 0.0]) for i in range(5)], "doc_id long, tokens long, p array<double>")
+    with pytest.warns(UserWarning, match="miss a target"):
+        mixing.fit_rates(df, {"a": 0.5, "b": 0.5})
