@@ -12,6 +12,7 @@ without "sl" (other writers') are inflated to find their end, but not decoded.
 
 Columns: record_id, record_type, target_uri, refers_to, payload_digest (string), payload_bytes (long), payload (binary).
 payload is null for revisits and where not wanted. Nulls in a column leave its header out and are read back as null.
+A record's id is the page's, so rows that repeat a page_id, or have none, repeat or leave out the id of their records.
 """
 
 from __future__ import annotations
@@ -58,15 +59,16 @@ def pack(record: dict) -> bytes:
         if value is not None:
             value = f"sha1:{value}" if name == "payload_digest" else f"<urn:quillon:{value}>" if name in _WRAPPED else str(value)
             head.append(f"{field}: {value.translate({13: 32, 10: 32})}")
+    if record["record_type"] == "revisit":
+        head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
     head += ["WARC-Date: 1970-01-01T00:00:00Z", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     raw = "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
     deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
     body = deflate.compress(raw) + deflate.flush()
-    whole = 10 + 2 + 12 + len(body) + 8
-    return (
-        _MAGIC + b"\x04" + b"\0" * 4 + b"\0\xff" + struct.pack("<H", 12) + b"sl" + struct.pack("<HII", 8, whole, len(raw) & 0xFFFFFFFF)
-        + body + struct.pack("<II", zlib.crc32(raw), len(raw) & 0xFFFFFFFF)
-    )
+    whole, tail = 10 + 2 + 12 + len(body) + 8, struct.pack("<II", zlib.crc32(raw), len(raw) & 0xFFFFFFFF)
+    if max(whole, len(raw)) >> 32:  # too long for the field: a reader inflates the member to find its end
+        return _MAGIC + b"\0" * 5 + b"\0\xff" + body + tail
+    return _MAGIC + b"\x04" + b"\0" * 4 + b"\0\xff" + struct.pack("<H", 12) + b"sl" + struct.pack("<HII", 8, whole, len(raw)) + body + tail
 
 
 def parse_head(raw: bytes) -> tuple[dict, int, int] | None:
@@ -155,7 +157,8 @@ class WarcReader(DataSourceReader):
                 columns["payload"] = None
                 if take:
                     block = raw[body : body + size]
-                    columns["payload"] = block[block.find(b"\r\n\r\n") + 4 :]
+                    http = block.find(b"\r\n\r\n") if block.startswith(b"HTTP/") else -1  # resource and metadata records have none
+                    columns["payload"] = block[http + 4 :] if http >= 0 else block
                 yield columns
             at += length
 

@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 
 from quillon.llm import warc as W
@@ -50,5 +51,21 @@ def test_reader_skips_what_it_does_not_want(tmp_path, monkeypatch):
     assert [b.column(0).to_pylist() for p in reader.partitions() for b in reader.read(p)] == [["2"]]
 
 
+def test_blocks_without_http_head(tmp_path):
+    row = {"record_id": "1", "record_type": "resource", "target_uri": "u", "refers_to": None, "payload_digest": None, "payload_bytes": None, "payload": b"hello"}
+    raw = W.pack(row | {"payload": None})
+    head = b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:quillon:7>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(head) + raw)  # a writer that leaves the lengths out
+    reader = W.WarcReader({"path": str(tmp_path)})
+    got = [(r["record_id"], r["payload"]) for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    assert got == [("7", b"hello"), ("1", None)]
+    assert b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" in gzip.decompress(W.pack(row | {"record_type": "revisit", "payload": None}))
+
+
+def test_repeated_rows(spark):
+    rows = [(1, "u", "z" * 1200), (1, "u", "z" * 1200), (2, "u", "z" * 1200), (None, None, None), (None, None, None)]
+    assert sorted((tuple(r) for r in W.warc_round_trip(frame(spark, rows)).collect()), key=str) == want(rows)
+
+
 def test_empty_table(spark):
     assert W.warc_round_trip(frame(spark, [])).collect() == []
