@@ -1,11 +1,14 @@
 """Main text of HTML pages by maximum-scoring subsequence.
 
 A page is a sequence of words and tags. Words score positive, tags negative; the weights are smoothed log odds of lying
-inside or outside the content, counted per class of word or tag on labelled pages (TRAINING, or a table of the
-caller's; the content is marked in the HTML). One linear scan finds the contiguous region of the greatest score. Words
-of elements that are never article text (menus, forms, adverts, comments ...) score nothing and are left out, inside
-the region too. A class, id or role marks an element only by a whole word of its value, and an article or main element
-inside a wrapper that is merely so marked counts as content again, unless it is marked itself or lies in an article.
+inside or outside the content, counted per class of word or tag on labelled pages: those of TRAINING (content marked by
+hand) and, of the pages themselves, up to about SAMPLE (least by hash) with exactly one article element, whose words are
+the content; each counts as it is and with the article made a plain box, so that pages without one are learnt as well.
+One linear scan finds the contiguous region of the greatest score. Words of elements that are never article text (menus,
+forms, adverts, comments ...) score nothing and are left out, inside the region too. A class, id or role marks an element
+only by a whole word of its value, and an article or main element inside a wrapper that is merely so marked counts as
+content again, unless it is marked itself or lies in an article. Such an element without an end tag ends before the next
+paragraph, heading, section or article, so that it cannot swallow the page.
 
 Text of the region: character references decoded per text node, white space in a block made one space, blocks trimmed
 and joined by one newline in page order. Tags that do not parse are text; unclosed elements end with their parents.
@@ -45,6 +48,7 @@ MARKS = (
 _RAW, _BOILER, _PARA, _BOX, _OUTER, _INLINE, _VOID, _MARKS = (frozenset(x.split()) for x in (RAW, BOILER, PARAGRAPH, BOX, OUTER, INLINE, VOID, MARKS))
 _INLINE |= frozenset(MATH.split())
 _BLOCK = _PARA | _BOX | _OUTER | _BOILER - {"br"}
+_AFRESH = frozenset("p h1 h2 h3 h4 h5 h6 blockquote section article main body".split())  # what an open element without end cannot hold
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"
     r"|<(?P<raw>" + "|".join(RAW.split()) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -52,6 +56,7 @@ _TOKEN = re.compile(
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)[^>]*>",
     re.S | re.I,
 )
+_ARTICLE = re.compile(r"<(/?)article\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>", re.I)
 _ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _TELLING = re.compile(r"class|id|role|hidden|style", re.I)
 _NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
@@ -81,10 +86,24 @@ def _left_out(name: str, attrs: str, above: int, inside: bool, stack: list) -> i
     return max(above, 2 if mark and any(x[0] == "article" for x in stack) else mark)
 
 
+def _unclosed(tokens: list[re.Match]) -> set[int]:
+    """The starts of elements that no end tag of their name closes."""
+    open_: dict[str, list[int]] = {}
+    for m in tokens:
+        if name := (m["tag"] or m["tag2"] or "").lower():
+            if not (m["end"] or m["end2"]):
+                open_.setdefault(name, []).append(m.start())
+            elif open_.get(name):
+                open_[name].pop()
+    return {at for found in open_.values() for at in found}
+
+
 def events(page: str) -> list[tuple[str, str | None, bool]]:
     """The page as (class, text, is block edge): class "word:..." with the raw text, or "tag:..." without one."""
     out: list[tuple[str, str | None, bool]] = []
     stack: list[tuple[str, int, bool]] = []  # name, not article text (_left_out), inside an article
+    tokens = list(_TOKEN.finditer(page))
+    unclosed, loose = _unclosed(tokens), 0  # loose: elements on the stack that are not article text and have no end
     at = 0
 
     def text(until: int) -> None:
@@ -92,15 +111,19 @@ def events(page: str) -> list[tuple[str, str | None, bool]]:
             _, bad, inside = stack[-1] if stack else ("", 0, False)
             out.append(("word:none" if bad else "word:article" if inside else "word:plain", page[at:until], False))
 
-    for m in _TOKEN.finditer(page):
+    for m in tokens:
         text(m.start())
         at = m.end()
         name = (m["tag"] or m["tag2"] or "").lower()
         if not name:
             out.append(("tag:raw", None, False))
             continue
-        bad, inside = (stack[-1][1], stack[-1][2]) if stack else (0, False)
         closing = bool(m["end"] or m["end2"])
+        if loose and not closing and name in _AFRESH:
+            k = next((k for k, x in enumerate(stack) if x[0].startswith("!")), len(stack))
+            del stack[k:]
+            loose = 0
+        bad, inside = (stack[-1][1], stack[-1][2]) if stack else (0, False)
         role = "para" if name in _PARA else "inline" if name in _INLINE else "box" if name in _BOX else "outer" if name in _OUTER else "other"
         where = ("inner" if inside else "none") if bad else "article" if inside else "plain"
         if closing:
@@ -118,7 +141,9 @@ def events(page: str) -> list[tuple[str, str | None, bool]]:
                     above = stack[-1][1] if stack else 0
             own = _left_out(name, m["attrs"] or "", above, inside, stack)
             if name not in _INLINE or own and not bad:
-                stack.append((name, own, inside or name in ("article", "main")))
+                ends = m.start() not in unclosed or not own or bad
+                loose += not ends
+                stack.append((name if ends else "!" + name, own, inside or name in ("article", "main")))
             if own and not bad:
                 role = "boiler"
         out.append((f"tag:{role}:{where}", None, name in _BLOCK))
@@ -139,26 +164,71 @@ TRAINING = tuple(
 )
 
 
-def train(pages) -> dict[str, float]:
-    """Weights per class from pages with marked content: words at least 0.2, tags at most -0.01."""
-    inside: dict[str, float] = {}
-    outside: dict[str, float] = {}
+def marked_counts(pages) -> dict[str, list[float]]:
+    """Words and tags [inside, outside] the content per class, of pages with marked content."""
+    counts: dict[str, list[float]] = {}
     for page in pages:
         now = False
         for kind, text, _ in events(page):
             for k, part in enumerate(re.split(f"[{_OPEN}{_CLOSE}]", text)) if text is not None else ((0, None),):
                 if k:
                     now = not now
-                n = len(part.split()) if part is not None else 1
-                side = inside if now else outside
-                side[kind] = side.get(kind, 0) + n
+                counts.setdefault(kind, [0, 0])[not now] += len(part.split()) if part is not None else 1
+    return counts
+
+
+def article_counts(page: str | None) -> dict[str, list[float]]:
+    """The same of a page with exactly one article, its words being the content; else none."""
+    counts: dict[str, list[float]] = {}
+    if not page or len(_ARTICLE.findall(page)) != 2:
+        return counts
+    seen = events(page)
+    words = [i for i, (kind, text, _) in enumerate(seen) if kind == "word:article" and text.strip()]
+    if words:
+        for form in (seen, events(_ARTICLE.sub(r"<\1div>", page))):
+            for i, (kind, text, _) in enumerate(form):  # the two have the same tokens
+                counts.setdefault(kind, [0, 0])[not words[0] <= i <= words[-1]] += 1 if text is None else len(text.split())
+    return counts
+
+
+def weigh(counts: dict[str, list[float]]) -> dict[str, float]:
+    """Weights per class: words at least 0.2, tags at most -0.01, words that are never article text 0."""
     weights = {}
-    for kind in inside.keys() | outside.keys():
-        odds = math.log((inside.get(kind, 0) + 0.5) / (outside.get(kind, 0) + 0.5))
+    for kind, (inside, outside) in counts.items():
+        odds = math.log((inside + 0.5) / (outside + 0.5))
         weights[kind] = 0.0 if kind == "word:none" else max(0.2, odds) if kind.startswith("word") else min(-0.01, odds)
     return weights
 
 
+def train(pages) -> dict[str, float]:
+    """Weights from pages with marked content."""
+    return weigh(marked_counts(pages))
+
+
+def learned(pages: DataFrame, sample: int = 20_000) -> dict[str, float]:
+    """Weights from TRAINING and pages(html): one aggregation of a few dozen classes, over about `sample` pages at most."""
+    every = -(-pages.count() // sample)
+
+    def run(batches):
+        for batch in batches:
+            total: dict[str, list[float]] = {}
+            for page in batch.html:
+                for kind, (x, y) in article_counts(page).items():
+                    t = total.setdefault(kind, [0, 0])
+                    t[0] += x
+                    t[1] += y
+            yield pd.DataFrame([(k, x, y) for k, (x, y) in total.items()], columns=["kind", "inside", "outside"])
+
+    picked = pages.where(F.pmod(F.xxhash64("html"), F.lit(every)) == 0) if every > 1 else pages
+    found = picked.select("html").mapInPandas(run, "kind string, inside double, outside double").groupBy("kind").agg(F.sum("inside"), F.sum("outside"))
+    counts = marked_counts(TRAINING)
+    for kind, x, y in found.collect():
+        t = counts.setdefault(kind, [0, 0])
+        t[0] += x
+        t[1] += y
+    return weigh(counts)
+
+
 @lru_cache(maxsize=1)
 def default_weights() -> dict[str, float]:
     return train(TRAINING)
@@ -202,9 +272,9 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
 
 
 def html_extract(pages: DataFrame, labelled: list[str] | None = None) -> DataFrame:
-    """pages(page_id, url, html) -> page_id, url, text, n_chars. labelled: pages with content marked as in TRAINING."""
+    """pages(page_id, url, html) -> page_id, url, text, n_chars. labelled: pages with content marked as in TRAINING; else as `learned`."""
     bounded_batches(pages.sparkSession)
-    weights = train(labelled) if labelled else default_weights()
+    weights = train(labelled) if labelled else learned(pages)
 
     @F.pandas_udf("string")
     def run(pages_: pd.Series) -> pd.Series:

@@ -1,12 +1,14 @@
 """Quality rules whose cutoffs are selected by risk control.
 
-Each rule rejects a document when one measure exceeds a cutoff. Cutoffs come from a grid and are chosen per
-stratum (each language that the labelled documents have) on labelled holdouts: a cutoff is admissible when the exact (Clopper-Pearson) upper bound on
-the rate at which it rejects documents labelled good is at most the rule's share of `risk`. The bounds hold jointly:
-the error level is divided over all strata and rules (Bonferroni), a rule's cutoffs are tested in a fixed sequence from
-the loosest down until one fails, and by the union bound the rules
-together reject at most `risk` of a stratum's good documents. A stratum with too few labels gets no cutoff and so
-loses nothing, nor does a language without labels.
+Each rule rejects a document when one measure exceeds a cutoff. A sequence of nested rule sets is designed on a quarter of
+the labelled documents (by hash of doc_id): step by step the rule is added, or the cutoff moved, that rejects the most
+further bad documents less WORTH times the good ones. The other labels are the holdouts. In each stratum (each language
+that labelled documents have, null its own) the sequence is tested from its first set on: a set passes when the exact
+(Clopper-Pearson) upper bound on the rate at which the whole set rejects good documents is at most `risk`, and the last
+set before the first that fails is taken. Fixed-sequence testing spends one error level a stratum; `level` is divided
+over the strata with labels enough that a set could pass at all (Bonferroni), which their sizes alone decide. So with
+probability 1 - `level`, in no stratum more than `risk` of the good documents that pass the base rules are rejected. A
+stratum with too few labels gets no rule and so loses nothing, nor does a language without labels.
 
 One narrow Python pass measures every whole text; the labelled counts are one aggregation of bounded size.
 
@@ -24,13 +26,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import bounded_batches, materialize, sized
+from quillon.llm.common import bounded_batches, discard, materialize, sized
 from quillon.llm.text_scan import Scan
 
 SYMBOLS = b"#*$%&|<>"
 #: What the learned rules look at: each is a share or mean that grows as texts get worse.
 MEASURES = ("symbol_rate", "upper_rate", "pipe_rate", "dup_line_rate", "repeat_rate", "bang_rate")
 GRID = tuple(round(x, 3) for x in (0.005, 0.01, 0.02, 0.03, 0.05, 0.075, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9))
+#: Bad documents that must go for each good one, and the least share of the bad ones that a step must add.
+WORTH, LEAST_GAIN = 4, 0.01
 REPEAT_WINDOW = 5
 
 MEASURE_SCHEMA = (
@@ -110,38 +114,61 @@ def base_failed(of=F.col):
     return (of("n_words") < 10) | (100 * of("n_repeat_words") > 20 * of("n_words"))
 
 
+def rule_sequence(design: DataFrame) -> list[tuple[str, float]]:
+    """The steps (measure, cutoff) of nested rule sets, from design(quality, measures); a later cutoff of a measure replaces an earlier.
+
+    One aggregation a step over what no earlier step rejects. Of equal gains the loosest cutoff, then the first measure is taken.
+    """
+    steps: list[tuple[str, float]] = []
+    least = None
+    while True:
+        left = design
+        for m, cut in steps:
+            left = left.where(F.col(m) <= cut)
+        counts = left.groupBy("quality").agg(F.count("*").alias("n"), *(F.count_if(F.col(m) > cut).alias(f"{m}@{i}") for m in MEASURES for i, cut in enumerate(GRID)))
+        by = {r["quality"]: r for r in counts.collect()}
+        if 0 not in by:
+            return steps
+        least = LEAST_GAIN * by[0]["n"] if least is None else least
+        gain = lambda m, i: by[0][f"{m}@{i}"] - (WORTH * by[1][f"{m}@{i}"] if 1 in by else 0)
+        best, i, k = max((gain(m, i), i, -k) for k, m in enumerate(MEASURES) for i in range(len(GRID)))
+        if best <= 0 or best < least:
+            return steps
+        steps.append((MEASURES[-k], GRID[i]))
+
+
+def testable(good: dict, risk: float, level: float) -> list:
+    """The strata, of `good` holdouts each, that could pass with no rejection at their share of the level: as many as can."""
+    order = sorted(good, key=lambda s: (-good[s], s is None, s or ""))
+    for k in range(len(order), 0, -1):
+        if binomial_upper(0, good[order[k - 1]], level / k) <= risk:
+            return order[:k]
+    return []
+
+
 def select_cutoffs(measures_: DataFrame, labels: DataFrame, risk: float = 0.05, level: float = 0.05) -> Cutoffs:
     """Cutoffs per stratum from measures_(doc_id, lang, measures) and labels(doc_id, quality).
 
-    A rule's cutoffs are tested from the loosest down and the first that fails ends the sequence, so the cutoffs of one
-    rule share one error level. Of the admissible ones that is taken which rejects the most labelled bad documents less
-    labelled good ones, the loosest on ties; none if that is never positive. The counts collected are at most
-    2 x strata x rules x cutoffs numbers.
+    What is collected are counts: 2 x measures x cutoffs a step, then strata x steps.
     """
     known = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", "quality")
     held = measures_.where(~base_failed()).join(sized(known), "doc_id")
-    counts = held.groupBy(F.col("lang").alias("stratum"), "quality").agg(
-        F.count("*").alias("n"),
-        *(F.count_if(F.col(m) > cut).alias(f"{m}@{i}") for m in MEASURES for i, cut in enumerate(GRID)),
-    )
-    rows = {(r["stratum"], r["quality"]): r for r in counts.collect()}
-    strata = sorted({s for s, _ in rows}, key=lambda s: (s is None, s or ""))
-    each = level / (max(len(strata), 1) * len(MEASURES))
-    share = risk / len(MEASURES)
+    held = materialize(held.select("lang", "quality", (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).alias("design"), *MEASURES), "labelled")
+    steps = rule_sequence(held.where("design"))
+    at = F.lit(len(steps))
+    for k in range(len(steps) - 1, -1, -1):
+        at = F.when(F.col(steps[k][0]) > steps[k][1], F.lit(k)).otherwise(at)
+    lost: dict = {}
+    for r in held.where("not design and quality = 1").groupBy("lang", at.alias("step")).count().collect():
+        lost.setdefault(r["lang"], [0] * (len(steps) + 1))[r["step"]] = r["count"]
     cuts: dict = {}
+    strata = testable({s: sum(by) for s, by in lost.items()}, risk, level)
     for stratum in strata:
-        good, bad = rows.get((stratum, 1)), rows.get((stratum, 0))
-        if good is None or bad is None:
-            continue
-        for m in MEASURES:
-            best = 0
-            for i in range(len(GRID) - 1, -1, -1):
-                lost = good[f"{m}@{i}"]
-                if binomial_upper(lost, good["n"], each) > share:
-                    break
-                if bad[f"{m}@{i}"] - lost > best:
-                    best = bad[f"{m}@{i}"] - lost
-                    cuts.setdefault(stratum, {})[m] = GRID[i]
+        for (m, cut), rejected in zip(steps, accumulate(lost[stratum])):
+            if binomial_upper(rejected, sum(lost[stratum]), level / len(strata)) > risk:
+                break
+            cuts.setdefault(stratum, {})[m] = cut
+    discard(held)
     return Cutoffs(cuts)
 
 

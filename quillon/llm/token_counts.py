@@ -38,8 +38,8 @@ CHUNK = 500_000
 
 
 class Counter:
-    def __init__(self, pieces: list[tuple[str, float]]):
-        """pieces: (text, score), the unigram vocabulary; a repeated text keeps its last score."""
+    def __init__(self, pieces: list[tuple[str, float]], byte_fallback: bool = False):
+        """pieces: (text, score), what text can be split into; a repeated text keeps its last score."""
         self.scores = dict(pieces)
         self.auto = ahocorasick.Automaton()
         self.lengths, self.values = np.zeros(len(self.scores), np.int64), np.zeros(len(self.scores))
@@ -52,7 +52,7 @@ class Counter:
         used = set().union(*self.scores)
         self.gap = next(chr(c) for c in range(1, 0x110000) if chr(c) not in used)  # no piece spans it
         self.unk = min(self.scores.values()) - UNK_PENALTY
-        self.bytes = all(f"<0x{i:02X}>" in self.scores for i in range(256))
+        self.bytes = byte_fallback
         self.known: dict[str, int] = {}
 
     def word(self, word: str) -> int:
@@ -157,11 +157,16 @@ class Counter:
 
 @lru_cache(maxsize=2)
 def counter(path: str) -> Counter:
-    """A counter over the pieces and scores of a SentencePiece model file."""
+    """A counter over the pieces and scores of a SentencePiece model file.
+
+    Control, unknown, unused and byte pieces are no text: what spells them, such as </s> or <0x0A>, is split like any other.
+    """
     import sentencepiece
 
     m = sentencepiece.SentencePieceProcessor(model_file=path)
-    return Counter([(m.id_to_piece(i), m.get_score(i)) for i in range(m.get_piece_size())])
+    every = range(m.get_piece_size())
+    plain = [i for i in every if not (m.is_control(i) or m.is_unknown(i) or m.is_unused(i) or m.is_byte(i))]
+    return Counter([(m.id_to_piece(i), m.get_score(i)) for i in plain], any(m.is_byte(i) for i in every))
 
 
 def token_counts(documents: DataFrame, path: str, key: str = "doc_id") -> DataFrame:

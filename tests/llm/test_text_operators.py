@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 
@@ -61,24 +62,42 @@ def test_token_counts_equal_the_library(fallback):
     pieces = [(m.id_to_piece(i), m.get_score(i)) for i in range(m.get_piece_size())]
     t = tokenizers.Tokenizer(tokenizers.models.Unigram(pieces, 0, byte_fallback=fallback))
     t.pre_tokenizer = tokenizers.pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
-    c = token_counts.Counter(pieces)
-    c.bytes = fallback
+    text = [x for i, x in enumerate(pieces) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i))]
+    c = token_counts.Counter(text, fallback)
     some = [x for x in texts() if "\x00" not in x]
     assert [c.text(x) for x in some] == [len(t.encode(x, add_special_tokens=False).ids) for x in some]
 
 
+def test_control_and_byte_pieces_do_not_match_text():
+    c = token_counts.counter(P.path("piece_bpe_32k.model"))
+    assert c.bytes and not {"<s>", "</s>", "<unk>", "<0x0A>"} & set(c.scores)
+    # a best path over the text's own pieces, by trying all of them
+    for x in ("▁a</s>b", "▁end<0x0A>z", "▁<s><unk>"):
+        best = [(0.0, 0)] + [(float("-inf"), 0)] * len(x)
+        for e in range(1, len(x) + 1):
+            for b in range(e):
+                if (s := c.scores.get(x[b:e])) is not None and best[b][0] + s > best[e][0]:
+                    best[e] = best[b][0] + s, best[b][1] + 1
+        assert c.word(x) == c.words_together([x])[0] == best[-1][1]
+
+
 def test_token_count_ties_take_the_earlier_start():
     tokenizers = pytest.importorskip("tokenizers")
     pieces = [("<unk>", 0.0), ("▁", -1.0), ("a", -1.0), ("b", -1.0), ("ab", -2.0), ("ba", -2.0), ("aba", -3.0), ("▁a", -2.0)]
     t = tokenizers.Tokenizer(tokenizers.models.Unigram(pieces, 0))
     t.pre_tokenizer = tokenizers.pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
-    c = token_counts.Counter(pieces)
+    c = token_counts.Counter(pieces[1:])
     r = random.Random(1)
     for _ in range(300):
         x = "".join(r.choice("ab c") for _ in range(r.randrange(1, 12)))
         assert c.text(x) == len(t.encode(x, add_special_tokens=False).ids)
 
 
+def test_empty_tables(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert token_counts.token_counts(empty, P.path("piece_bpe_32k.model")).collect() == [] and bpe.bpe_digests(empty, RANKS, P.PATTERN).collect() == []
+
+
 def test_token_counts_of_a_table(spark):
     df = spark.createDataFrame([(1, None, 5), (2, "", 5), (3, "hello world", 5), (3, "hello world", 5)], "doc_id long, text string, n_tokens int")
     got = sorted(tuple(r) for r in token_counts.token_counts(df, P.path("piece_bpe_32k.model")).collect())
@@ -165,6 +184,65 @@ def test_each_language_is_a_stratum(spark):
     assert new.where(cuts.rejects()).count() == 0
 
 
+def plain_upper(bad, n, level):
+    """Largest p with P(Bin(n, p) <= bad) >= level, by exact sums."""
+    if bad >= n:
+        return 1.0
+    lo, hi = 0.0, 1.0
+    for _ in range(50):
+        p = (lo + hi) / 2
+        tail = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(bad + 1))
+        lo, hi = (lo, p) if tail < level else (p, hi)
+    return hi
+
+
+def plain_cutoffs(rows, risk, level):
+    """rows: (stratum, quality, in the design part, {measure: value})."""
+    names, grid = quality_rules.MEASURES, quality_rules.GRID
+    left, steps = [(q, v) for _, q, d, v in rows if d], []
+    least = sum(q == 0 for q, _ in left) * quality_rules.LEAST_GAIN
+    while True:
+        gains = {(i, -k): sum((-quality_rules.WORTH if q else 1) for q, v in left if v[m] > cut) for k, m in enumerate(names) for i, cut in enumerate(grid)}
+        (i, k), best = max(gains.items(), key=lambda x: (x[1], x[0]))
+        if best <= 0 or best < least:
+            break
+        steps.append((names[-k], grid[i]))
+        left = [(q, v) for q, v in left if not v[names[-k]] > grid[i]]
+    good = {}
+    for s, q, d, v in rows:
+        if q and not d:
+            good.setdefault(s, []).append(v)
+    sizes = sorted((len(v) for v in good.values()), reverse=True)
+    k = max((k for k in range(1, len(sizes) + 1) if plain_upper(0, sizes[k - 1], level / k) <= risk), default=0)
+    cuts = {}
+    for s, values in sorted(good.items(), key=lambda x: (-len(x[1]), x[0] is None, x[0] or ""))[:k]:
+        for n in range(1, len(steps) + 1):
+            lost = sum(any(v[m] > c for m, c in steps[:n]) for v in values)
+            if plain_upper(lost, len(values), level / k) > risk:
+                break
+            cuts.setdefault(s, {})[steps[n - 1][0]] = steps[n - 1][1]
+    return cuts
+
+
+def test_cutoffs_equal_a_plain_version(spark):
+    r = random.Random(12)
+    names, rows = quality_rules.MEASURES, []
+    for i in range(1800):
+        lang, bad = r.choice(["en"] * 10 + ["fr"] * 6 + [None] * 2 + ["xx"] * 6 + ["yy"]), r.random() < 0.3
+        v = {m: r.choice([0.0, 0.003, 0.04]) for m in names}
+        if bad:
+            v[r.choice(names[:3])] = r.random()
+        elif r.random() < (0.2 if lang == "xx" else 0.01):
+            v[r.choice(names)] = r.random()
+        rows.append((i, lang, 0 if bad else 1, v))
+    held = spark.createDataFrame([(i, s, 50, 0, *v.values()) for i, s, _, v in rows], "doc_id long, lang string, n_words long, n_repeat_words long, " + ", ".join(f"{m} double" for m in names))
+    design = {x.doc_id for x in held.where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).collect()}
+    labels = spark.createDataFrame([(i, q) for i, _, q, _ in rows], "doc_id long, quality int")
+    for risk, level in ((0.05, 0.05), (0.1, 0.01)):
+        want = plain_cutoffs([(s, q, i in design, v) for i, s, q, v in rows], risk, level)
+        assert want and quality_rules.select_cutoffs(held, labels, risk, level).cuts == want
+
+
 def test_rules_without_labels_and_empty(spark):
     docs, labels = corpus(spark, 12)
     got = quality_rules.quality_rules(docs, labels.limit(0)).collect()
@@ -185,6 +263,39 @@ def test_classifier_on_held_out(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if r.predicted}
 
 
+def test_ranking_equals_a_plain_fit_and_score(spark):
+    r = np.random.default_rng(2)
+    width = len(quality_classifier.FEATURES)
+    good, bad = r.random((300, width)), r.random((200, width)) + np.eye(width)[3] * 0.4
+    model = quality_classifier.fit(good, bad, 0.4, pairs=4000, ridge=0.05, steps=3000)
+    # the plain way: the same pairs, Newton's steps on the whole loss
+    both = np.hstack([np.vstack([good, bad]), np.sqrt(np.vstack([good, bad]))])
+    z = (both - both.mean(0)) / both.std(0)
+    draw = np.random.default_rng(7)
+    d = z[:300][draw.integers(0, 300, 4000)] - z[300:][draw.integers(0, 200, 4000)]
+    w = np.zeros(2 * width)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-d @ w))
+        w -= np.linalg.solve(d.T @ (d * (p * (1 - p))[:, None]) / len(d) + 0.05 * np.eye(len(w)), d.T @ (p - 1) / len(d) + 0.05 * w)
+    assert np.allclose(model.weights, w, atol=1e-4)
+    s = z @ w
+    assert abs(np.sum(s[:300] < model.threshold) / 300 * 0.6 + np.sum(s[300:] < model.threshold) / 200 * 0.4 - 0.4) < 0.01  # the quantile of the bad share
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(np.vstack([good, bad])[::50].tolist())], "i int, x array<double>").orderBy("i")
+    got = [x[0] for x in df.select(model.score(F.col("x"))).collect()]
+    want = 1 / (1 + np.exp(-((s[::50] - model.threshold) / model.scale + np.log(0.3 / 0.7))))
+    assert np.allclose(got, want, atol=1e-3)
+
+
+def test_repeated_rows_labels_and_long_texts(spark):
+    docs, labels = corpus(spark, 60)
+    long = spark.createDataFrame([(7, "word " * 200_000, "en", 1), (7, "word " * 200_000, "en", 1)], docs.schema)
+    more = labels.union(labels.where("doc_id < 30"))
+    got = quality_rules.quality_rules(docs.union(long), more).collect()
+    assert len(got) == 62 and sorted(r.n_words for r in got)[-2:] == [200_000] * 2 and not any(r.kept for r in got if r.n_words == 200_000)
+    scored = quality_classifier.quality_classifier(docs.union(long), more).collect()
+    assert len(scored) == 62 and len({r.score for r in scored if r.doc_id == 7}) == 2
+
+
 def test_classifier_edge_cases(spark):
     docs, labels = corpus(spark, 12)
     odd = docs.union(spark.createDataFrame([(None, None, None, 1), (99, "", "en", 1)], docs.schema))
@@ -223,6 +334,36 @@ WRAPPED = [
 ]
 
 
+UNCLOSED = [
+    ("<nav><a href=x>Home</a><article><h1>T</h1><p>one two</p></article>", "T\none two"),
+    ("<body><aside class=x>see <ul><li>that</li></ul><main><p>one</p><p>two</p></main></body>", "one\ntwo"),
+    ("<head><title>t</title><body><article><p>one</p></article></body>", "one"),
+    ("<article><p>one</p><div class=ad>buy<p>two</p><p>three</p></article>", "one\ntwo\nthree"),
+    ("<nav>a</nav><nav>b<p>one two three</p>", "one two three"),
+    ("<div>" * 3000 + "<p>deep words here</p>" + "</div>" * 3000, "deep words here"),
+    ("<article>" + "<p>word</p>" * 30_000 + "</article>", "\n".join(["word"] * 30_000)),
+]
+
+
+def test_html_elements_without_end_do_not_swallow_the_page():
+    weights = html_extract.default_weights()
+    for page, text in UNCLOSED:
+        assert html_extract.extract(page, weights) == text, page[:200]
+
+
+def test_html_weights_are_learnt_from_pages(spark):
+    page = "<body><div>Menu of words</div><article><h1>T</h1><p>one two three</p></article><div>foot</div></body>"
+    df = spark.createDataFrame([(1, page, "u"), (1, page, "u"), (2, "<article></article><article>two</article>", "u"), (3, None, None)], "page_id long, html string, url string")
+    own = html_extract.article_counts(page)
+    assert own["word:article"] == [4, 0] and own["word:plain"] == [4, 8] and html_extract.article_counts("<article>a</article><article>b</article>") == {}
+    base = html_extract.marked_counts(html_extract.TRAINING)
+    want = {k: [base.get(k, [0, 0])[i] + 2 * own.get(k, [0, 0])[i] for i in (0, 1)] for k in base.keys() | own.keys()}
+    got = html_extract.learned(df)
+    assert got.keys() == want.keys() and all(abs(got[k] - w) < 1e-12 for k, w in html_extract.weigh(want).items())
+    assert html_extract.html_extract(df.limit(0)).collect() == []
+    assert sorted((r.page_id, r.text) for r in html_extract.html_extract(df).collect()) == [(1, "T\none two three")] * 2 + [(2, "two"), (3, "")]
+
+
 def test_html_wrappers_attributes_and_formulas():
     weights = html_extract.default_weights()
     for page, text in WRAPPED:
