@@ -48,12 +48,15 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(hadoop).delete(path, True)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most `rows` rows from now on: texts and arrays are long, and a batch is held whole by a worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 32 << 20) -> None:
+    """Arrow batches of at most `rows` rows and about `size` bytes from now on: texts are long, and a worker holds a batch whole.
+
+    These are settings of the session, as plans are made when they run; smaller bounds of the user's own stay.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = str(spark.conf.get(key)).lower().removesuffix("b")
+        if not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

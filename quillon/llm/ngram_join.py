@@ -5,23 +5,27 @@ reaches t = num/den differ in at most k = floor((a + b)(1 - t)/(1 + t)) shingles
 cut into bands; inside a band (and from the bands above as far as t lets sizes reach) k is fixed, and the hash range of
 shingles is divided into m > k parts, so two similar sets agree on at least m - k whole parts. A *tile* is a band, a
 part and the content of that part: similar classes meet in at least one tile, and unlike single shingles, a tile
-is not shared merely because a passage is. A set's *spare* is m - k - 1 less its empty parts: so many of its tiles may be
-left out and each similar set still shares one with it. With a spare below zero (m is chosen so that this is rare) the
-empty parts make tiles too (shown in `_tiles`).
+is not shared merely because a passage is. A set's *spare* is m - k - 1 less its empty parts: of the tiles it shares with
+anyone it leaves its `spare` largest, in an order that is the same for all. The parts on which two similar sets agree are
+more than the spare of either, so the last of them in that order is one that neither leaves, and a class that shares
+few tiles, as by a common passage, is compared with none. With a spare below zero (m is chosen so that this is rare) a set
+keeps all its tiles and the empty parts make tiles too (shown in `_tiles`).
 
 Candidates of a tile are thinned by hashed bitmaps: |A & B| <= (a + b - popcount(bitA ^ bitB)) / 2. What passes is
 settled by exact intersection of the sorted arrays of 64-bit shingle hashes, which are read for those classes only.
 
 Components need no pair inside a component already known:
-1. least and greatest class of each tile, by an aggregation that combines before its shuffle; tiles of one class go,
-2. in each tile left every class is compared with the tile's least class only (linear in the tile's size),
+1. least and greatest class of each tile, by an aggregation that combines before its shuffle; tiles of one class go, and
+   a join that AQE splits where it is skewed brings back the classes of the others; then each leaves what its spare allows,
+2. in each tile left every class is compared with one only (linear in the tile's size): the class that shares the most tiles
+   with others, which in a group of copies is what they were made from,
 3. connected components of the links found,
-4. of tiles that still hold several components, those of up to SMALL_TILE classes are joined with themselves. A larger
-   tile is *hot*; a class with no more hot tiles in a band than its spare meets all similar ones in tiles that are
-   not, and leaves the hot ones. What stays is cut into blocks of about BLOCK classes by hash, and each pair of blocks
-   is compared by bitmap in one task. Pairs of different components that pass are verified exactly.
-So a large group of near copies costs one comparison a member for most of its members, a passage that very many documents
-share costs nothing more, no task gets more than two blocks, and what is emitted is candidates across components only.
+4. of tiles that still hold several components, those of up to SMALL_TILE pairs to compare are joined with themselves. A
+   larger one is cut into blocks of about BLOCK classes by hash, those of its most frequent component apart, and each
+   pair of blocks but those of that component is compared by bitmap in one task,
+5. pairs of different components that pass are verified exactly, and their links connect the components found before.
+So a large group of near copies costs one comparison a member for most of its members, no task gets more than two
+blocks, and what is emitted is candidates across components only.
 
 Texts are scanned once for counts, tiles and bitmaps, and those of candidates that pass the bitmaps again for their arrays.
 Intermediate tables are removed when what reads them is written.
@@ -42,6 +46,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillon.llm.common import bounded_batches, discard, materialize, sized
 from quillon.llm.components import connected_components
@@ -51,8 +56,9 @@ BLOCK = 1024
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 FEATURES = "n_shingles long, key binary, node long, bitmap binary, tiles array<long>, slots array<int>"
 SETS = "key binary, node long, hashes binary"
-#: Tiles of at most so many classes are joined with themselves; larger ones are compared by blocks.
-SMALL_TILE = 32
+#: Tiles with at most so many pairs of a class outside their most frequent component with any are joined with themselves;
+#: larger ones are compared by blocks.
+SMALL_TILE = 1 << 10
 #: A slot is a band and, in the low digits, a set's spare in it plus one (0: below zero).
 SLOT = 1 << 20
 
@@ -226,35 +232,41 @@ def links(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
 
 
 def _blocks(tiles: DataFrame) -> DataFrame:
-    """tiles(tile, size, node, component, n, bitmap, own) -> rows dealt to pairs of blocks, a block by hash of the node."""
-    last = F.floor((F.col("size") - 1) / BLOCK)
-    dealt = tiles.withColumn("last", last).withColumn("block", F.pmod(F.xxhash64("node"), F.col("last") + 1))
+    """tiles(tile, node, component, main, inside, outside, n, bitmap) -> rows dealt to pairs of blocks, a block by hash of the node.
+
+    Blocks of the tile's main component come after the others and are compared with those only.
+    """
+    mains, others = F.ceil(F.col("inside") / BLOCK), F.ceil(F.col("outside") / BLOCK)
+    hashed, is_main = F.xxhash64("node"), F.col("component") == F.col("main")
+    block = F.when(is_main, others + F.pmod(hashed, mains)).otherwise(F.pmod(hashed, others))
+    last = F.when(is_main, others).otherwise(others + mains) - 1
+    dealt = tiles.withColumn("block", block).withColumn("last", last)
     pair = lambda i: F.struct(F.least(F.col("block"), i).alias("p"), F.greatest(F.col("block"), i).alias("q"))
     return dealt.withColumn("pq", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), "last"), pair))).select(
-        "tile", "pq.p", "pq.q", "block", "node", "component", "n", "bitmap", "own"
+        "tile", "pq.p", "pq.q", "block", "node", "component", "n", "bitmap"
     )
 
 
 def _across(t: Fraction):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of the two blocks that lie in different components, pass the bitmap test, and share no lower tile."""
-        p, q, tile = int(group.p.iloc[0]), int(group.q.iloc[0]), int(group.tile.iloc[0])
+        """Pairs of the two blocks that lie in different components and pass the bitmap test."""
+        p, q = int(group.p.iloc[0]), int(group.q.iloc[0])
         rows, cols = group[group.block == p], group[group.block == q]
-        if not len(rows) or not len(cols):
+        if len(rows) > len(cols):
+            rows, cols = cols, rows
+        if not len(rows):
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         size = int(group.bitmap.map(len).min())
-        bits = np.stack([folded(b, size) for b in cols.bitmap])
+        bits = [np.stack([folded(b, size) for b in side.bitmap]) for side in (rows, cols)]
         number = {c: i for i, c in enumerate(group.component.unique())}
-        n, comp, node = cols.n.to_numpy(), cols.component.map(number).to_numpy(), cols.node.to_numpy()
-        own = [set(x.tolist()) for x in cols.own]
+        n, comp, node = ([side[c].map(number).to_numpy() if c == "component" else side[c].to_numpy() for side in (rows, cols)] for c in ("n", "component", "node"))
         out = []
-        for b, a_n, a_comp, a_node, a_own in zip(rows.bitmap, rows.n, rows.component.map(number), rows.node, rows.own, strict=True):
-            differ = np.bitwise_count(folded(b, size) ^ bits).sum(1)
-            ok = (differ.astype(np.int64) <= a_n + n - 2 * needed(a_n, n, t)) & (comp != a_comp)
+        for i in range(len(rows)):
+            differ = np.bitwise_count(bits[0][i] ^ bits[1]).sum(1, dtype=np.int64)
+            ok = (differ <= n[0][i] + n[1] - 2 * needed(n[0][i], n[1], t)) & (comp[1] != comp[0][i])
             if p == q:
-                ok &= node > a_node
-            mine = set(a_own.tolist())
-            out.extend((min(a_node, node[j]), max(a_node, node[j])) for j in np.flatnonzero(ok).tolist() if min(mine & own[j]) == tile)
+                ok &= node[1] > node[0][i]
+            out.extend((min(node[0][i], x), max(node[0][i], x)) for x in node[1][ok].tolist())
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return run
@@ -267,12 +279,20 @@ def ngram_components(documents: DataFrame, size: int = 5, threshold: Fraction =
     docs = documents.select("doc_id", "text")
     wide = materialize(features(docs, size, t), "shingles")
 
-    # Tiles of two classes and more, each with its least class; copies of a class combine before the shuffle.
+    # Tiles of two classes and more; copies of a class combine before the shuffle.
     every = wide.select("node", F.explode(F.arrays_zip("tiles", "slots")).alias("at"))
-    met = every.groupBy(F.col("at.tiles").alias("tile")).agg(F.min("node").alias("first"), F.max("node").alias("last"))
-    met = materialize(met.where("first <> last").select("tile", "first"), "met")
-    tiles = every.select(F.col("at.tiles").alias("tile"), "node", F.col("at.slots").alias("slot")).join(sized(met), "tile")
-    tiles = materialize(tiles.distinct(), "tiles")
+    every = every.select(F.col("at.tiles").alias("tile"), "node", F.col("at.slots").alias("slot"))
+    met = every.groupBy("tile").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last")
+    met = materialize(met.select("tile"), "met")
+    shared = materialize(every.join(met, "tile").distinct(), "shared")
+
+    # Each class leaves the largest of them, as many as its spare: a window over the tiles of one class in one band, at most its parts.
+    sizes = shared.groupBy("tile").agg(F.count("*").alias("size"))
+    own = Window.partitionBy("node", "slot")
+    left = shared.join(sizes, "tile").withColumn("rank", F.row_number().over(own.orderBy(F.desc("size"), "tile"))).withColumn("degree", F.sum("size").over(own))
+    left = materialize(left.where(F.col("rank") >= F.col("slot") % SLOT).select("tile", "node", "degree"), "left")
+    met_again = left.groupBy("tile").agg(F.max_by("node", F.struct("degree", "node")).alias("first"), F.count("*").alias("size")).where("size > 1")
+    tiles = materialize(left.select("tile", "node").join(met_again, "tile"), "tiles")
 
     rows = materialize(wide.select("doc_id", "n_shingles", "key", "node"), "rows")
     named = rows.groupBy("key", "node", "doc_id").agg(F.count("*").alias("rows"))
@@ -281,7 +301,7 @@ def ngram_components(documents: DataFrame, size: int = 5, threshold: Fraction =
     here = sized(tiles.select("node").distinct())
     small = wide.join(here, "node", "left_semi").select("node", "key", F.col("n_shingles").alias("n"), "bitmap")
     small = materialize(small.dropDuplicates(["key"]), "bitmaps")
-    discard(wide, met)
+    discard(wide, met, shared, left)
 
     def passing(pairs: DataFrame) -> DataFrame:
         side = lambda x: small.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bitmap").alias(f"bitmap_{x}"))
@@ -295,34 +315,35 @@ def ngram_components(documents: DataFrame, size: int = 5, threshold: Fraction =
         discard(sets, pairs)
         return out
 
-    stars = tiles.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    stars = tiles.where("node <> first").select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b")).distinct()
     found = settled(passing(stars))
     first = connected_components(found)
 
     # Tiles of three classes or more (a pair has been compared) that still hold several components.
     known = small.select("node", "key").join(first.select(F.col("node").alias("key"), "component"), "key", "left")
-    known = materialize(known.select("node", F.coalesce("component", "key").alias("component")), "known")
-    sizes = tiles.join(known, "node").groupBy("tile").agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y"))
-    sizes = materialize(sizes.select("tile", "size", F.expr("size > 2 and x <> y").alias("mixed")), "sizes")
-    few = tiles.join(sizes.where(f"mixed and size <= {SMALL_TILE}").select("tile"), "tile").join(known, "node")
-    few = materialize(few.where("node <> first").select("tile", "node", "component"), "few")
-    other = few.select("tile", F.col("node").alias("b"), F.col("component").alias("c"))
-    near = few.join(other, "tile").where("node < b and component <> c").select(F.col("node").alias("a"), "b").distinct()
-
-    hot = materialize(tiles.join(sizes.where(f"size > {SMALL_TILE}"), "tile").select("tile", "size", "mixed", "node", "slot"), "hot")
-    bound = hot.groupBy("node", "slot").agg(F.count("*").alias("n")).where(F.col("n") >= F.col("slot") % SLOT)
-    many = hot.where("mixed").join(bound.select("node", "slot"), ["node", "slot"], "left_semi").select("tile", "size", "node").distinct()
-    many = materialize(many.join(known, "node"), "many")
-    own = many.groupBy("node").agg(F.collect_set("tile").alias("own"))  # at most a set's own tiles
-    across = _blocks(many.join(own, "node").join(small.select("node", "n", "bitmap"), "node"))
+    known = materialize(known.select("node", "key", F.coalesce("component", "key").alias("component")), "known")
+    of = known.select("node", "component")
+    held = materialize(tiles.where("size > 2").join(of, "node").select("tile", "node", "component"), "held")
+    each = held.groupBy("tile", "component").agg(F.count("*").alias("n"))
+    main = each.groupBy("tile").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("inside"), (F.sum("n") - F.max("n")).alias("outside"))
+    open_ = materialize(held.join(main.where("outside > 0"), "tile"), "open")
+    few = open_.where(f"outside * (inside + outside) <= {SMALL_TILE}")
+    other = few.where("component <> main").select("tile", F.col("node").alias("b"), F.col("component").alias("c"))
+    near = few.join(other, "tile").where("component <> c and (component = main or node < b)").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+    many = open_.where(f"outside * (inside + outside) > {SMALL_TILE}")
+    across = _blocks(many.join(small.select("node", "n", "bitmap"), "node"))
     across = across.groupBy("tile", "p", "q").applyInPandas(_across(t), "a long, b long")
     more = settled(passing(near.union(across).distinct()))
-    whole = connected_components(found.union(more))
-    discard(tiles, small, known, sizes, few, hot, many, found, more)
+
+    # Its links connect components.
+    ends = lambda x: known.select(F.col("key").alias(x), F.col("component").alias(f"c_{x}"))
+    bridges = more.join(ends("u"), "u").join(ends("v"), "v").select(F.col("c_u").alias("u"), F.col("c_v").alias("v"))
+    joined = connected_components(bridges).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    discard(tiles, small, held, open_, found, more)
 
     # Class components to documents' ids.
-    ids = classes.join(whole.select(F.col("node").alias("key"), "component"), "key", "left")
-    ids = ids.select("key", "doc_id", F.coalesce("component", "key").alias("component"))
+    ids = classes.join(known.select("key", "component"), "key", "left").select("key", "doc_id", F.coalesce("component", "key").alias("component"))
+    ids = ids.join(joined, "component", "left").select("key", "doc_id", F.coalesce("whole", "component").alias("component"))
     lowest = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     ids = ids.join(lowest, "component").select("key", "component_id")
     alone = F.col("n_shingles") == 0  # texts without words are linked with nothing

@@ -70,6 +70,7 @@ def test_components_equal_brute_force(spark, size, t, seed):
 
 def test_large_group_crosses_blocks(spark, monkeypatch):
     monkeypatch.setattr(N, "BLOCK", 16)
+    monkeypatch.setattr(N, "SMALL_TILE", 0)
     r = random.Random(5)
     base = [f"w{i}" for i in range(60)]
     rows = []

@@ -43,3 +43,23 @@ def test_one_of_each_with_repeated_rows(spark):
     got = one_of_each(spark.createDataFrame(rows, "doc_id long, text string, key string"))
     assert got.columns == ["doc_id", "text", "key"]
     assert sorted(str(r.doc_id) for r in got.collect()) == ["10", "11", "3", "9", "None"]
+
+
+def test_odd_and_empty_tables(spark, tmp_path):
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, text, "en", "s"), (1, text, "en", "s"), (2, text + " more", "en", "s"), (None, text, None, None), (3, None, "en", "s"), (4, "", None, "s"), (5, "other " + text[::-1], "xx", None), (6, "#$% " * 50, "de", "s")]
+    columns = "doc_id long, text string, lang string, source string, key int, node string, tile long, x int, row string, tokens int, p string, m string"
+    more = (7, "n", 8, 9, "r", 1, "p", "m")
+    spark.createDataFrame([(d, x, 1) for d, x in ((1, 1), (2, 1), (2, 0), (6, 0), (None, 1), (5, None))], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/odd/labels.parquet")
+    spark.createDataFrame([(*r, *more) for r in rows], columns).write.parquet(f"{tmp_path}/odd/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = materialize(stage(spark, docs, f"{tmp_path}/odd"), "test")
+        assert [c.split()[0] for c in columns.split(", ")] == docs.columns
+    kept = sorted(str(r.doc_id) for r in docs.collect())
+    assert set(kept) <= {"1", "5", "None"} and "None" in kept and all(r.key == 7 and r.p == "p" for r in docs.collect())
+    assert sorted({str(r.doc_id) for r in corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()}) == sorted(set(kept))
+
+    for name in ("labels", "documents"):
+        spark.read.parquet(f"{tmp_path}/odd/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
