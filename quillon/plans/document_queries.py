@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.functions import latex, records, text
-from quillon.operators import bibliography, diffs, equations, timing
+from quillon.operators import bibliography, diffs, equations, symbols, timing
 from quillon.plans.registry import query, spelled
 
 B, NL = "chr(92)", "chr(10)"
@@ -295,6 +295,40 @@ def needed_macros(t):
     return equations.with_definitions(eqs, macros).select("doc", F.array_join("names", ",").alias("names"))
 
 
+spelled(
+    "symbol_occurrences", "G01: symbols of formulas in order.",
+    [
+        ("\\hat{x}_i + \\mathbf W^T y^{-1}", "\\hat{x} i \\mathbf{W} y"), ("\\int f(x) dx + \\frac{d}{dt}", "f x x t"), ("\\text{if} \\alpha\\in A \\operatorname{rank}(B)", "\\alpha A B"), ("softmax(ab) loss_k sin t", "a b k t"), ("\\ell^\\prime \\varrho {k}", "\\ell \\varrho"), ("", ""),
+    ],
+    lambda c: F.array_join(symbols.occurrences(c), " "),
+)
+
+
+@query(
+    """select o_orderkey as doc, symbol, cast(n as bigint) as n, l as first_line, symbol = '\\pi' as constant, description from orders, (values ('x', 3, 1, 'input vector of the model'), ('\\eta', 1, 2, 'learning rate'), ('\\pi', 1, 2, null), ('f', 2, 3, 'map from here'), ('y', 1, 4, null), ('z', 1, 5, 'free variable')) v(symbol, n, l, description)"""
+)
+def symbol_table(t):
+    """Symbols of every document with counts, lines and what the prose says of them."""
+    text = "Here $x$ denotes the input vector of the model, which is long.\nUse $\\eta$ is the learning rate (small) and $\\pi$.\nThe $f(x)$ represents a map from here. Then $$\nf(x) = y$$\nwhere $z_1$ is free variable; not \\$q is the."
+    return symbols.symbol_table(t("orders").select("o_orderkey", F.lit(text).alias("text")), "o_orderkey")
+
+
+@query("select doc_id, cast(octet_length(encode(text)) as bigint) as bytes, lang from documents where doc_id in (3, 1, 4, 159, 7)")
+def point_lookups(t):
+    """2.1: rows of a list of keys, which reach the scan as a filter."""
+    return t("documents").where(F.col("doc_id").isin(3, 1, 4, 159, 7)).select("doc_id", F.octet_length("text").cast("long").alias("bytes"), "lang")
+
+
+@query("select o_orderkey as doc, 'E=mc^2' || chr(10) || 'a_' || (o_orderkey % 7) as equations from orders")
+def analysis_keys(t):
+    """The key of an analysis is what the document's display formulas say, in order."""
+    k = (F.col("o_orderkey") % 7).cast("string")
+    written = F.concat(F.lit("x \\[ E = m c^{2} \\label{a} \\] y $$ a_{"), k, F.lit("} \\quad . $$ and $b$"))
+    tokens = t("orders").select("o_orderkey", latex.tokenize(written).alias("t"))
+    shown = F.transform(F.filter("t", lambda x: x["kind"] == "display"), lambda x: text.normalize_equation(x["body"]))
+    return tokens.select(F.col("o_orderkey").alias("doc"), F.array_join(shown, "\n").alias("equations"))
+
+
 _SPECIALS = "text"
 for _c in "/#%&_$":
     _SPECIALS = f"replace({_SPECIALS}, {B}, '/')" if _c == "/" else f"replace({_SPECIALS}, '{_c}', {B} || '{_c}')"
