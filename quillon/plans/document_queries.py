@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from quillon.functions import latex, records, text
 from quillon.operators import bibliography, diffs, equations, symbols, timing
 from quillon.plans.registry import query, spelled
+from quillon.sources import archives
 
 B, NL = "chr(92)", "chr(10)"
 #: An order as a small document with one inline formula, two kinds of display formula and an escaped dollar.
@@ -313,6 +314,15 @@ def symbol_table(t):
     return symbols.symbol_table(t("orders").select("o_orderkey", F.lit(text).alias("text")), "o_orderkey")
 
 
+@query("select doc_id // 20 as project, 'sec/' || doc_id || '.tex' as path, text, true as sound from documents")
+def zipped_projects(t):
+    """Documents as projects, zipped and read back, the archives' CRC-32 checked by Spark's own."""
+    files = t("documents").select(F.expr("doc_id div 20").alias("project"), F.concat(F.lit("sec/"), F.col("doc_id").cast("string"), F.lit(".tex")).alias("path"), "text")
+    made = archives.zipped(files)
+    sound = made.select("project", (F.crc32("archive") == F.col("crc")).alias("sound"))
+    return archives.unzipped(made).join(sound, "project")
+
+
 @query("select doc_id, cast(octet_length(encode(text)) as bigint) as bytes, lang from documents where doc_id in (3, 1, 4, 159, 7)")
 def point_lookups(t):
     """2.1: rows of a list of keys, which reach the scan as a filter."""

@@ -6,8 +6,10 @@ import gzip
 import io
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +56,32 @@ def read_archives(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ("
     return files.select("path", "content").mapInArrow(run, SCHEMA)
 
 
+def zipped(files: DataFrame) -> DataFrame:
+    """files(project, path, text) -> (project, archive, crc): a zip of each project's files in the order of their paths, the same
+    bytes whenever it is made, and its CRC-32. Null texts are empty; of a path that repeats the least text is taken."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        box = io.BytesIO()
+        with zipfile.ZipFile(box, "w", zipfile.ZIP_DEFLATED) as z:
+            for path, text in sorted(zip(group["path"], group["text"], strict=True)):
+                z.writestr(zipfile.ZipInfo(path), text.encode("utf-8", "replace"), zipfile.ZIP_DEFLATED)
+        return pd.DataFrame({"project": [group["project"].iloc[0]], "archive": [box.getvalue()], "crc": [zlib.crc32(box.getvalue())]})
+
+    once = files.where("path is not null").groupBy("project", "path").agg(F.coalesce(F.min("text"), F.lit("")).alias("text"))
+    kind = files.schema["project"].dataType.simpleString()
+    return once.groupBy("project").applyInPandas(run, f"project {kind}, archive binary, crc long")
+
+
+def unzipped(archives: DataFrame) -> DataFrame:
+    """archives(project, archive) -> (project, path, text) of the files in them."""
+
+    @F.pandas_udf("array<struct<path string, text string>>")
+    def run(col: pd.Series) -> pd.Series:
+        return col.map(lambda x: [] if x is None else [{"path": n, "text": b.decode("utf-8", "replace")} for n, b in unpack("", x)])
+
+    return archives.select("project", F.explode(run("archive")).alias("f")).select("project", "f.path", "f.text")
+
+
 def write_text(df: DataFrame, path: str) -> None:
     """One text file per row's partition; the counterpart of spark.read.text(wholetext=True)."""
     df.select(F.col("text").alias("value")).write.text(path)
