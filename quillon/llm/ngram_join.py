@@ -161,8 +161,9 @@ def _tiles(s: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bitmap(s: np.ndarray) -> bytes:
-    """A bit per hash, in a power of two of at least twice as many bits as the set has members."""
-    bits = max(64, 1 << (2 * len(s) - 1).bit_length()) if len(s) else 64
+    """A bit per hash, in a power of two of at least eight times as many bits as the set has members: few bits coincide, so
+    the bound is close."""
+    bits = max(64, 1 << (8 * len(s) - 1).bit_length()) if len(s) else 64
     out = np.zeros(bits, bool)
     out[(s & np.uint64(bits - 1)).astype(np.int64)] = True
     return np.packbits(out, bitorder="little").tobytes()
@@ -232,7 +233,7 @@ def links(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
 
 
 def _blocks(tiles: DataFrame) -> DataFrame:
-    """tiles(tile, node, component, main, inside, outside, n, bitmap) -> rows dealt to pairs of blocks, a block by hash of the node.
+    """tiles(tile, node, component, main, inside, outside, n, bitmap, own) -> rows dealt to pairs of blocks, a block by hash of the node.
 
     Blocks of the tile's main component come after the others and are compared with those only.
     """
@@ -243,14 +244,14 @@ def _blocks(tiles: DataFrame) -> DataFrame:
     dealt = tiles.withColumn("block", block).withColumn("last", last)
     pair = lambda i: F.struct(F.least(F.col("block"), i).alias("p"), F.greatest(F.col("block"), i).alias("q"))
     return dealt.withColumn("pq", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), "last"), pair))).select(
-        "tile", "pq.p", "pq.q", "block", "node", "component", "n", "bitmap"
+        "tile", "pq.p", "pq.q", "block", "node", "component", "n", "bitmap", "own"
     )
 
 
 def _across(t: Fraction):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of the two blocks that lie in different components and pass the bitmap test."""
-        p, q = int(group.p.iloc[0]), int(group.q.iloc[0])
+        """Pairs of the two blocks that lie in different components, pass the bitmap test and share no lower tile of this kind."""
+        p, q, tile = int(group.p.iloc[0]), int(group.q.iloc[0]), int(group.tile.iloc[0])
         rows, cols = group[group.block == p], group[group.block == q]
         if len(rows) > len(cols):
             rows, cols = cols, rows
@@ -260,13 +261,15 @@ def _across(t: Fraction):
         bits = [np.stack([folded(b, size) for b in side.bitmap]) for side in (rows, cols)]
         number = {c: i for i, c in enumerate(group.component.unique())}
         n, comp, node = ([side[c].map(number).to_numpy() if c == "component" else side[c].to_numpy() for side in (rows, cols)] for c in ("n", "component", "node"))
-        out = []
+        own, out = [side.own.tolist() for side in (rows, cols)], []
         for i in range(len(rows)):
             differ = np.bitwise_count(bits[0][i] ^ bits[1]).sum(1, dtype=np.int64)
             ok = (differ <= n[0][i] + n[1] - 2 * needed(n[0][i], n[1], t)) & (comp[1] != comp[0][i])
             if p == q:
                 ok &= node[1] > node[0][i]
-            out.extend((min(node[0][i], x), max(node[0][i], x)) for x in node[1][ok].tolist())
+            for j in np.flatnonzero(ok).tolist():
+                if np.intersect1d(own[0][i], own[1][j], assume_unique=True)[0] == tile:
+                    out.append((min(node[0][i], node[1][j]), max(node[0][i], node[1][j])))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return run
@@ -331,7 +334,8 @@ def ngram_components(documents: DataFrame, size: int = 5, threshold: Fraction =
     other = few.where("component <> main").select("tile", F.col("node").alias("b"), F.col("component").alias("c"))
     near = few.join(other, "tile").where("component <> c and (component = main or node < b)").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
     many = open_.where(f"outside * (inside + outside) > {SMALL_TILE}")
-    across = _blocks(many.join(small.select("node", "n", "bitmap"), "node"))
+    own = many.groupBy("node").agg(F.collect_set("tile").alias("own"))  # at most a set's own tiles
+    across = _blocks(many.join(own, "node").join(small.select("node", "n", "bitmap"), "node"))
     across = across.groupBy("tile", "p", "q").applyInPandas(_across(t), "a long, b long")
     more = settled(passing(near.union(across).distinct()))
 
