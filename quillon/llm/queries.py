@@ -12,8 +12,11 @@ from quillon.llm.embedding_dedup import embedding_dedup
 from quillon.llm.html_extract import html_extract
 from quillon.llm.mixing import mix
 from quillon.llm.ngram_join import ngram_components
+from quillon.llm.plane_ids import token_files
+from quillon.llm.prefix_trie import prefix_trie
 from quillon.llm.quality_classifier import quality_classifier
 from quillon.llm.quality_rules import quality_rules
+from quillon.llm.token_alignment import alignment_digests
 from quillon.llm.token_counts import token_counts
 from quillon.llm.url_filter import url_filter
 from quillon.llm.warc import warc_round_trip
@@ -74,11 +77,26 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of documents in bit-plane shuffled files: a null text has the end id alone."""
+    return token_files(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two tokenizers over the bytes of documents: zeros for null, empty and unspelled texts."""
+    return alignment_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of rebuilt conversations."""
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_ngram_join, op2_bpe, op3_url_filter, op4_quality_classifier, op5_token_counts,
-        op6_html_extract, op7_warc, op8_quality_rules, op9_mixing, op10_embedding_dedup,
+        op6_html_extract, op7_warc, op8_quality_rules, op9_mixing, op10_embedding_dedup, op11_token_files, op12_token_alignment, op13_prefix_trie,
     )
 }
 
