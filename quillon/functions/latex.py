@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions.braces import calls, inside
 from quillon.functions.text import collapse, normalize_unicode, outside, repair_escapes, strip, unicode_math
 
 # Environments that are display mathematics by themselves, those that are so inside a formula, those that
@@ -155,12 +156,9 @@ def space_text_groups(c: Column) -> Column:
     return F.regexp_replace(c, rf"\\(text|textrm|mbox)\{{([^{{}}]*{word})\}}{after}", r"\\$1{$2 }")
 
 
-_DEEP = r"\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}"
-
-
 def normalize_vectors(c: Column, style: str = "boldsymbol") -> Column:
-    """Every command for vectors as the chosen one, its argument braced; text groups stay. Braces nest up to three deep."""
-    vector = rf"\\(?:vec|mathbf|boldsymbol|bm)(?![A-Za-z])\s*(?:{_DEEP}|(\\[A-Za-z]+|[A-Za-z0-9]))"
+    """Every command for vectors as the chosen one, its argument braced; text groups stay. Braces nest up to twelve deep."""
+    vector = rf"\\(?:vec|mathbf|boldsymbol|bm)(?![A-Za-z])\s*(?:{inside()}|(\\[A-Za-z]+|[A-Za-z0-9]))"
     groups = r"\\(?:text|textrm|textbf|textit|textsf|texttt|mbox)\s*\{[^{}]*\}"
     return outside(c, groups, lambda x: F.regexp_replace(x, vector, rf"\\{style}{{$1$2}}"))
 
@@ -300,21 +298,26 @@ def document_parts(text: Column) -> Column:
 
 
 def macro_definitions(text: Column) -> Column:
-    """array<struct<name, arity, body>> of a text's \\newcommand, \\renewcommand, \\providecommand, \\def and \\DeclareMathOperator. Braces nest up to three deep."""
-    deep = r"\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}"
-    command = rf"\\(?:re|provide)?(?:new)?command\*?\s*\{{?\s*\\([A-Za-z]+)\s*\}}?\s*(?:\[(\d)\])?(?:\[[^\]]*\])?\s*{deep}"
-    define = rf"\\[egx]?def\s*\\([A-Za-z]+)((?:#\d)*)\s*{deep}"
-    operator = rf"\\DeclareMathOperator\*?\s*\{{?\s*\\([A-Za-z]+)\s*\}}?\s*{deep}"
-    found = F.regexp_extract_all(text, F.lit(rf"(?s){command}|{define}|{operator}"), F.lit(0))
-    get = F.regexp_extract
+    """array<struct<name, arity, body, preset>> of a text's \\newcommand, \\renewcommand, \\providecommand, \\def and \\DeclareMathOperator.
 
-    def one(x: Column) -> Column:
-        as_command = F.struct(get(x, rf"(?s)\A{command}", 1).alias("name"), F.coalesce(F.nullif(get(x, rf"(?s)\A{command}", 2), F.lit("")), F.lit("0")).cast("int").alias("arity"), get(x, rf"(?s)\A{command}", 3).alias("body"))
-        as_define = F.struct(get(x, rf"(?s)\A{define}", 1).alias("name"), F.regexp_count(get(x, rf"(?s)\A{define}", 2), F.lit("#")).alias("arity"), get(x, rf"(?s)\A{define}", 3).alias("body"))
-        as_operator = F.struct(get(x, rf"(?s)\A{operator}", 1).alias("name"), F.lit(0).alias("arity"), F.concat(F.lit("\\operatorname{"), get(x, rf"(?s)\A{operator}", 2), F.lit("}")).alias("body"))
-        return F.when(x.rlike(r"\A\\DeclareMathOperator"), as_operator).when(x.rlike(r"\A\\[egx]?def"), as_define).otherwise(as_command)
+    preset: the text of a first argument that may be left out, null where none may. Bodies are of any depth; a definition that is not
+    closed is none."""
+    found = F.filter(calls(text, "newcommand|renewcommand|providecommand|def|edef|gdef|xdef|DeclareMathOperator", other=2), lambda x: x["name"].isNotNull())
+    bare = lambda x: F.when(x.rlike(r"\A[{\[]"), F.substring(x, F.lit(2), F.length(x) - 2)).otherwise(x)
 
-    return F.transform(found, one)
+    def one(x: Column) -> Column:
+        args, last = x["args"], F.size(x["args"])
+        options = F.filter(args, lambda a: a.startswith("["))
+        body = bare(F.element_at(args, last))
+        marks = F.when(x["name"].endswith("def"), F.size(F.filter(args, lambda a: a.startswith("#"))))
+        return F.struct(
+            F.regexp_extract(F.get(args, F.lit(0)), r"\A\{?\s*\\([A-Za-z]+)", 1).alias("name"),
+            F.coalesce(marks, bare(F.get(options, F.lit(0))).try_cast("int"), F.lit(0)).alias("arity"),
+            F.when(x["name"] == "DeclareMathOperator", F.concat(F.lit("\\operatorname{"), body, F.lit("}"))).otherwise(body).alias("body"),
+            bare(F.get(options, F.lit(1))).alias("preset"),
+        )
+
+    return F.filter(F.transform(found, one), lambda m: m["name"] != "")
 
 
 def commands_used(text: Column) -> Column:

@@ -8,6 +8,8 @@ from functools import lru_cache, reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillon.functions.braces import deep
+
 # Code points that have no width and are deleted; spaces that become an ordinary one; smart punctuation and its ASCII form.
 INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u00ad\u180e\u061c\u2061\u2062\u2063\u2064"
 ODD_SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
@@ -214,18 +216,18 @@ def escape_prose(c: Column) -> Column:
 
 # Commands whose argument is an address or a name, in which nothing is escaped.
 VERBATIM = ("url", "href", "path", "nolinkurl", "doi", "ref", "eqref", "label", "cite[a-zA-Z]*")
-_DEEP = r"\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}"
+_DEEP = deep()
 
 
 def escape_specials(value: Column) -> Column:
     """struct<value, count>: bare & % # _ of a field escaped, outside formulas, escapes and the arguments of VERBATIM commands.
 
-    Dollars that pair up are formulas; an odd number of them are characters, and escaped. Braces nest up to three deep.
+    Dollars that pair up are formulas; an odd number of them are characters, and escaped. Braces nest up to twelve deep.
     """
     literal = r"(?s)\\(?:" + "|".join(VERBATIM) + rf")\s*{_DEEP}|\\."
     paired = F.regexp_count(F.regexp_replace(value, r"(?s)\\.", ""), F.lit(r"\$")) % 2 == 0
     cut = lambda kept: F.regexp_extract_all(value, F.lit(rf"{kept}|[^\\]|\\\z"), F.lit(0))
-    pieces = F.when(paired, cut(literal + r"|\$(?:\\.|[^$\\])*\$")).otherwise(cut(literal))
+    pieces = F.when(paired, cut(literal + r"|\$(?>\\.|[^$\\]++)*+\$")).otherwise(cut(literal))
     escaped = F.transform(pieces, lambda x: F.when(x.isin("&", "%", "#", "_", "$"), F.concat(F.lit("\\"), x)).otherwise(x))
     count = F.size(F.filter(pieces, lambda x: x.isin("&", "%", "#", "_", "$")))
     return F.struct(F.array_join(escaped, "").alias("value"), count.alias("count"))

@@ -2,20 +2,200 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillon.functions.braces import deep, matches
 from quillon.functions.text import WS, ascii_fold, bound, normalize_doi, strip, title_key
 from quillon.operators.relational import letters
 
-_DEEP = r"\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}"
-_ENTRY = rf"(?s)@([A-Za-z]+)\s*\{{\s*([^,\s{{}}]+)\s*,((?:[^{{}}]|{_DEEP})*)\}}"
-_FIELD = rf"(?s)([A-Za-z][A-Za-z0-9_-]*)\s*=\s*((?:{_DEEP}|\"(?:[^\"{{}}]|{_DEEP})*\"|[A-Za-z0-9_-]+)(?:\s*#\s*(?:{_DEEP}|\"(?:[^\"{{}}]|{_DEEP})*\"|[A-Za-z0-9_-]+))*)"
-_PART = rf"(?s){_DEEP}|\"(?:[^\"{{}}]|{_DEEP})*\"|[A-Za-z0-9_-]+"
-_STRING = rf"(?is)@string\s*\{{\s*([A-Za-z0-9_-]+)\s*=\s*({_DEEP}|\"[^\"]*\")\s*\}}"
+_DEEP = deep()
 FIELDS = "array<struct<k:string,v:string>>"
+BIB = "entries array<struct<type string, key string, line int, fields array<struct<k string, v string>>>>, problems array<struct<line int, key string, message string>>, kept array<string>"
+
+# Names of months that are known without a definition.
+MONTHS = "January February March April May June July August September October November December".split()
+_HEAD = re.compile(r"@\s*([A-Za-z][\w-]*)?\s*([{(])?")
+_NEXT = re.compile(r"\n[ \t]*@")
+_SWALLOWED = re.compile(r"\n[ \t]*@[A-Za-z]+[ \t]*[{(]")
+_GAP = re.compile(r"\s*")
+_NAME = re.compile(r"[^\s=,{}\"#()]+")
+_QUOTED = re.compile(r"\\.|[{}\"]|(?<=\n)@", re.S)
+
+
+class _Bib:
+    """One .bib text, read from left to right. What cannot be read is a problem with its line, and reading goes on at the next line that
+    begins with @."""
+
+    def __init__(self, text: str):
+        self.text, self.ends = text, matches(text)
+        self.breaks = [m.start() for m in re.finditer("\n", text)]
+        self.macros = {m[:3].lower(): m for m in MONTHS}
+        self.entries: list[dict] = []
+        self.problems: list[dict] = []
+        self.kept: list[str] = []
+
+    def problem(self, at: int, key: str, message: str) -> None:
+        self.problems.append({"line": bisect_left(self.breaks, at) + 1, "key": key, "message": message})
+
+    def gap(self, at: int) -> int:
+        return _GAP.match(self.text, at).end()
+
+    def recover(self, at: int) -> int:
+        found = _NEXT.search(self.text, at)
+        return found.end() - 1 if found else len(self.text)
+
+    def stray(self, begin: int, end: int) -> None:
+        told, at = False, begin
+        for line in self.text[begin:end].split("\n"):
+            bare = line.strip()
+            if bare.startswith("%"):
+                self.kept.append(bare)
+            elif bare and not told:
+                self.problem(at + line.index(bare[0]), "", "Text outside any entry was ignored")
+                told = True
+            at += len(line) + 1
+
+    def part(self, at: int, key: str) -> tuple[str, int] | None:
+        """One part of a value: braced, quoted, a number or a macro."""
+        text, first = self.text, self.text[at : at + 1]
+        if first == "{":
+            end = self.ends.get(at)
+            if end is None or _SWALLOWED.search(text, at, end):
+                self.problem(at, key, "Unbalanced braces in a field value - entry cut short here")
+                return None
+            return text[at + 1 : end - 1], end
+        if first == '"':
+            depth = 0
+            for m in _QUOTED.finditer(text, at + 1):
+                if m[0] == "@":
+                    break
+                depth += (m[0] == "{") - (m[0] == "}")
+                if m[0] == '"' and depth <= 0:
+                    return text[at + 1 : m.start()], m.end()
+            self.problem(at, key, "Unterminated quoted value - entry cut short here")
+            return None
+        name = _NAME.match(text, at)
+        if name is None:
+            self.problem(at, key, 'Expected a value ({...}, "...", number or macro)')
+            return None
+        if name[0][0].isdigit():
+            end = re.compile(r"\d+").match(text, at).end()
+            return text[at:end], end
+        if name[0].lower() not in self.macros:
+            self.problem(at, key, f'Undefined @string macro "{name[0]}" - kept as literal text')
+        return self.macros.get(name[0].lower(), name[0]), name.end()
+
+    def value(self, at: int, key: str) -> tuple[str, int] | None:
+        parts = []
+        while True:
+            found = self.part(self.gap(at), key)
+            if found is None:
+                return None
+            parts.append(found[0])
+            at = self.gap(found[1])
+            if self.text[at : at + 1] != "#":
+                return " ".join("".join(parts).split()), found[1]
+            at += 1
+
+    def block(self, begin: int, at: int, kind: str) -> int:
+        """@comment and @preamble: kept as written."""
+        end = self.ends.get(at) if self.text[at] == "{" else self.text.find(")", at) + 1 or None
+        if end is None:
+            self.problem(begin, "", f"Unclosed @{kind} - skipped to the next entry")
+            return self.recover(at)
+        self.kept.append(self.text[begin:end])
+        return end
+
+    def macro(self, begin: int, at: int, close: str) -> int:
+        at = self.gap(at + 1)
+        name = _NAME.match(self.text, at)
+        equals = self.gap(name.end()) if name else at
+        if not name or self.text[equals : equals + 1] != "=":
+            self.problem(begin, "", "Malformed @string - expected name = value")
+            return self.recover(at)
+        found = self.value(equals + 1, "@string")
+        if found is None:
+            return self.recover(equals)
+        self.macros[name[0].lower()] = found[0]
+        at = self.gap(found[1])
+        return at + (self.text[at : at + 1] == close)
+
+    def entry(self, begin: int, at: int, kind: str, close: str) -> int:
+        text = self.text
+        key = re.compile(r"[^,\s){(]*").match(text, at + 1)
+        at, key = key.end(), key[0]
+        fields: set[str] = set()
+        if not key:
+            self.problem(begin, "", f"Entry @{kind} has no cite key")
+        self.entries.append({"type": kind, "key": key, "line": bisect_left(self.breaks, begin) + 1, "fields": (listed := [])})
+        while True:
+            at = self.gap(at)
+            if at >= len(text) or text[at] == "@" and text[at - 1] == "\n":
+                self.problem(begin, key, "Entry is never closed")
+                return at
+            if text[at] == close:
+                return at + 1
+            if text[at] == ",":
+                at += 1
+                continue
+            name = _NAME.match(text, at)
+            equals = self.gap(name.end()) if name else at
+            if not name or text[equals : equals + 1] != "=":
+                self.problem(at, key, f'Field "{name[0]}" has no "= value" - skipped to the next entry' if name else f'Unexpected "{text[at]}" - skipped to the next entry')
+                return self.recover(at)
+            found = self.value(equals + 1, key)
+            if found is None:
+                return self.recover(at)
+            if name[0].lower() in fields:
+                self.problem(at, key, f'Duplicate field "{name[0].lower()}" - first one kept')
+            else:
+                fields.add(name[0].lower())
+                listed.append({"k": name[0].lower(), "v": found[0]})
+            at = self.gap(found[1])
+            if at < len(text) and text[at] not in (",", close):
+                self.problem(at, key, f'Missing comma after field "{name[0].lower()}"')
+
+    def read(self) -> _Bib:
+        at, text = 0, self.text
+        while at < len(text):
+            begin = text.find("@", at)
+            self.stray(at, begin if begin >= 0 else len(text))
+            if begin < 0:
+                break
+            head = _HEAD.match(text, begin)
+            if not head[1]:
+                self.problem(begin, "", "Stray @ ignored")
+                at = begin + 1
+            elif not head[2]:
+                self.problem(begin, "", f"Expected {{ after @{head[1]}")
+                at = head.end()
+            else:
+                kind, open_, close = head[1].lower(), head.end() - 1, "}" if head[2] == "{" else ")"
+                at = self.block(begin, open_, kind) if kind in ("comment", "preamble") else self.macro(begin, open_, close) if kind == "string" else self.entry(begin, open_, kind, close)
+        return self
+
+
+def scan(bibs: DataFrame, text: str = "text") -> DataFrame:
+    """bibs(..., text) -> the other columns and bib: struct<entries, problems, kept> of the text, read once in linear time."""
+
+    @F.pandas_udf(BIB)
+    def run(texts: pd.Series) -> pd.DataFrame:
+        read = [_Bib(x or "").read() for x in texts]
+        return pd.DataFrame({"entries": [b.entries for b in read], "problems": [b.problems for b in read], "kept": [b.kept for b in read]})
+
+    return bibs.select(*[c for c in bibs.columns if c != text], run(text).alias("bib"))
+
+
+def parse_problems(bibs: DataFrame, text: str = "text") -> DataFrame:
+    """bibs(..., text) -> the other columns, line, key and message of what could not be read as it stands."""
+    found = scan(bibs, text)
+    return found.select(*[c for c in found.columns if c != "bib"], F.explode("bib.problems").alias("p")).select("*", "p.*").drop("p")
 
 
 def _first_of_each(named: Column) -> Column:
@@ -27,22 +207,12 @@ def _first_of_each(named: Column) -> Column:
 def entries(bibs: DataFrame, text: str = "text") -> DataFrame:
     """bibs(..., text) -> the other columns, seq, type, key and fields (map of lower-case names; the first of a name counts).
 
-    Values joined by # are concatenated, names of @string are replaced by their text (unknown ones stay), and white space
-    in a value is one space. Braces nest up to three deep.
+    Values joined by # are concatenated, names of months and of @string are replaced by their text (unknown ones stay), and white
+    space in a value is one space. Braces nest to any depth. An entry that is cut short keeps the fields before the cut.
     """
-    rest = [c for c in bibs.columns if c != text]
-    get = F.regexp_extract
-    bare = lambda x: F.when(x.rlike(r"\A[{\"]"), F.substring(x, F.lit(2), F.length(x) - 2)).otherwise(x)
-    strings = F.transform(F.regexp_extract_all(text, F.lit(_STRING), F.lit(0)), lambda x: F.struct(F.lower(get(x, _STRING, 1)).alias("k"), bare(get(x, _STRING, 2)).alias("v")))
-    one = bibs.withColumn("_strings", F.map_from_entries(_first_of_each(strings)))
-    one = one.select(*rest, "_strings", F.posexplode(F.regexp_extract_all(text, F.lit(_ENTRY), F.lit(0))).alias("seq", "entry"))
-    known = lambda x: F.when(x.rlike(r"\A[{\"\d]"), bare(x)).otherwise(F.coalesce(F.try_element_at("_strings", F.lower(x)), x))
-    value = lambda x: F.array_join(F.transform(F.regexp_extract_all(get(x, _FIELD, 2), F.lit(_PART), F.lit(0)), known), "")
-    pairs = F.regexp_extract_all(get("entry", _ENTRY, 3), F.lit(_FIELD), F.lit(0))
-    named = F.transform(pairs, lambda x: F.struct(F.lower(get(x, _FIELD, 1)).alias("k"), strip(F.regexp_replace(value(x), rf"{WS}+", " ")).alias("v")))
-    kind = F.lower(get("entry", _ENTRY, 1))
-    found = one.where(~kind.isin("string", "comment", "preamble"))
-    return found.select(*rest, "seq", kind.alias("type"), get("entry", _ENTRY, 2).alias("key"), F.map_from_entries(_first_of_each(named)).alias("fields"))
+    found = scan(bibs, text)
+    rest = [c for c in found.columns if c != "bib"]
+    return found.select(*rest, F.posexplode("bib.entries").alias("seq", "e")).select(*rest, "seq", "e.type", "e.key", F.map_from_entries("e.fields").alias("fields"))
 
 
 def _cut(c: Column, separator: str) -> Column:

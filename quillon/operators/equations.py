@@ -2,25 +2,47 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.functions import latex
+from quillon.functions.braces import matches, pieces
 from quillon.functions.text import bound, strip
 from quillon.operators.relational import asof_join, closure
 
 # Environments of rows that each may have a number.
 ROWS = ("align", "gather", "alignat", "flalign", "eqnarray")
-_DEEP = r"\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}"
-_BREAK = r"\\\\\*?(?:\s*\[[^\]]*\])?"
+_BREAK = re.compile(r"\\\\\*?(?:\s*\[[^\]]*\])?|\\(begin|end)\{[A-Za-z]+\*?\}|\\.|[{}]", re.S)
 
 
-def split_rows(body: Column) -> Column:
+def cut_rows(body: str) -> list[str]:
     """Rows of an environment's body, at \\\\ outside braces and inner environments; an empty last row is none."""
-    pieces = F.regexp_extract_all(body, F.lit(rf"(?s)\\begin\{{([A-Za-z]+\*?)\}}.*?\\end\{{\1\}}|{_DEEP}|{_BREAK}|\\.|."), F.lit(0))
-    marked = F.array_join(F.transform(pieces, lambda x: F.when(x.rlike(rf"\A{_BREAK}\z"), "\u0001").otherwise(x)), "")
-    return bound(F.split(marked, "\u0001"), lambda r: F.when((F.size(r) > 1) & (strip(F.element_at(r, -1)) == ""), F.slice(r, F.lit(1), F.size(r) - 1)).otherwise(r))
+    ends, rows, done, depth, at = matches(body), [], 0, 0, 0
+    while m := _BREAK.search(body, at):
+        at = m.end()
+        if m[0] == "{":
+            at = ends.get(m.start(), at)
+        elif m[1]:
+            depth = max(0, depth + (1 if m[1] == "begin" else -1))
+        elif m[0].startswith("\\\\") and not depth:
+            rows.append(body[done : m.start()])
+            done = at
+    rows.append(body[done:])
+    return rows[:-1] if len(rows) > 1 and not rows[-1].strip() else rows
+
+
+def split_rows(body: Column) -> Column:
+    """The rows of `cut_rows`; a null has one empty row."""
+
+    @F.pandas_udf("array<string>")
+    def run(bodies: pd.Series) -> pd.Series:
+        return pd.Series([cut_rows(x or "") for x in bodies])
+
+    return run(body)
 
 
 def extract(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -79,39 +101,70 @@ def references(documents: DataFrame, doc: str = "doc_id", text: str = "text") ->
     return documents.select(F.col(doc).alias("doc"), F.posexplode(keys).alias("seq", "key")).select("doc", "seq", strip(F.col("key")).alias("key"))
 
 
+# Signs that define what stands left of them, and the character pairs in which = is part of another sign.
+DEFINING = ("approx", "equiv", "propto", "simeq", "coloneqq", "triangleq")
+_OTHER = r"[<>!]=|=[=:>]"
+
+
 def relation(formula: Column) -> Column:
-    """struct<left, right>: the sides of a formula's first = outside braces and not part of another sign; right null if there is none."""
-    pieces = F.regexp_extract_all(formula, F.lit(rf"(?s){_DEEP}|\\.|[<>!:=]=|=[=:>]|&?=|."), F.lit(0))
+    """struct<left, right>: the sides of a formula's first defining sign outside braces (=, := or one of DEFINING); right null if there is none."""
+    sign = r"&?:?=|&?\\(?:" + "|".join(DEFINING) + r")(?![A-Za-z])"
+    parts = F.flatten(F.transform(pieces(formula), lambda p: F.when(p["group"], F.array(p["text"])).otherwise(F.regexp_extract_all(p["text"], F.lit(rf"(?s){_OTHER}|{sign}|\\[A-Za-z]+|\\.|."), F.lit(0)))))
 
     def cut(p: Column) -> Column:
-        at = F.array_position(F.transform(p, lambda x: x.isin("=", "&=")), F.lit(True)).cast("int")
+        at = F.array_position(F.transform(p, lambda x: x.rlike(rf"\A(?:{sign})\z")), F.lit(True)).cast("int")
         join = lambda a, n: strip(F.array_join(F.slice(p, a, F.greatest(n, F.lit(0))), ""))
         return F.struct(F.when(at > 0, join(F.lit(1), at - 1)).otherwise(strip(formula)).alias("left"), F.when(at > 0, join(at + 1, F.size(p) - at)).alias("right"))
 
-    return bound(pieces, cut)
+    return bound(parts, cut)
 
 
-# A symbol: a letter or Greek command, with a subscript where it has one, which tells it from others.
-_SYMBOL = r"(?:\\(?:" + "|".join(latex.GREEK) + r")(?![A-Za-z])|(?<![A-Za-z\\])[A-Za-z](?![A-Za-z]))(?:_(?:\{[^{}]*\}|[A-Za-z0-9]))?"
+# Fonts and accents that are part of a name; commands that name nothing; subscripts that are places in a sequence.
+DRESS = "mathbf boldsymbol bm mathcal mathbb hat bar tilde vec dot ddot".split()
+NAMELESS = (
+    "frac dfrac tfrac sqrt sum prod int oint lim left right big Big bigg Bigg approx implies iff to cdot times div pm mp le leq ge geq ne neq "
+    "equiv sim propto in notin subset subseteq cup cap infty partial nabla quad qquad text textrm mathrm operatorname label tag nonumber "
+    "begin end exp log ln sin cos tan max min arg det sup inf mid vert lvert rvert lVert rVert langle rangle ldots cdots dots displaystyle "
+    "underbrace overbrace hspace top prime coloneqq triangleq forall exists simeq Rightarrow"
+).split()
+PLACES = r"[ijklmnt](?:\s*[+-]\s*\d+|,\s*[ijklmnt])?"
+_SUBSCRIPT = r"\s*_\s*(?:\{[^{}]*\}|[A-Za-z0-9])"
+_LIMITS = r"(?>\s*[_^]\s*(?:\{[^{}]*\}|[A-Za-z0-9]))*+"
+_BASE = rf"\\(?:{'|'.join(DRESS)})\s*\{{[^{{}}]+\}}|\\[A-Za-z]+|[A-Za-z]"
 
 
-def named(formula: Column) -> Column:
-    """Distinct symbols of a formula, subscripts included, outside text groups and labels."""
+def named(formula: Column, numbered: bool = True) -> Column:
+    """Distinct names of a formula in order: letters and commands with their fonts and accents, and with subscripts that are no place in a
+    sequence (x_i and h_{t+1} are x and h). Limits of operators, text groups and labels name nothing. A subscript of digits tells
+    names apart if `numbered`, else it is a place too."""
     bare = F.regexp_replace(formula, r"\\(?:text|textrm|mathrm|operatorname|label|tag|ref|eqref)\s*\*?\{[^{}]*\}", " ")
-    return F.array_distinct(F.transform(F.regexp_extract_all(bare, F.lit(_SYMBOL), F.lit(0)), lambda x: F.regexp_replace(x, r"_\{(\w)\}", r"_$1")))
+    bare = F.regexp_replace(bare, rf"\\(?:{'|'.join(NAMELESS)})(?![A-Za-z]){_LIMITS}|\\(?:{'|'.join(DRESS)})(?![A-Za-z])(?!\s*\{{[^{{}}]+\}}){_LIMITS}", " ")
+    place = PLACES if numbered else rf"{PLACES}|\d+"
 
+    def one(x: Column) -> Column:
+        sub = F.regexp_extract(x, r"_\s*\{?([^{}]*)\}?\z", 1)
+        base = F.regexp_replace(F.regexp_extract(x, rf"\A(?:{_BASE})", 0), r"\s+", "")
+        own = F.regexp_replace(sub, r"\s+", "")
+        return F.when((own == "") | F.trim(sub).rlike(rf"\A(?:{place})\z"), base).when(F.length(own) == 1, F.concat(base, F.lit("_"), own)).otherwise(F.concat(base, F.lit("_{"), own, F.lit("}")))
 
-def defines_and_uses(formula: Column) -> Column:
-    """struct<defines, uses>: the symbol that a formula's left side is (of a function, its name), and the others that it names."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(bare, F.lit(rf"(?:{_BASE})(?:{_SUBSCRIPT})?"), F.lit(0)), one))
 
-    def of(r: Column) -> Column:
-        left = F.regexp_replace(r["left"], r"\([^()]*\)\z", "")
-        is_symbol = r["right"].isNotNull() & left.rlike(rf"\A(?:{_SYMBOL})\z")
-        defines = F.when(is_symbol, F.get(named(left), F.lit(0)))
-        every = named(F.concat_ws(" ", F.when(is_symbol, F.lit("")).otherwise(r["left"]), r["right"]))
-        return F.struct(defines.alias("defines"), F.filter(every, lambda x: ~x.eqNullSafe(defines)).alias("uses"))
 
-    return bound(relation(formula), of)
+def defines_and_uses(formula: Column, numbered: bool = True) -> Column:
+    """struct<defines, left, uses> of a formula up to its first break or implication: the name that its left side is (of a function, its own),
+    all names left of the first defining sign, and the others. Without such a sign nothing is defined."""
+    first = F.regexp_extract(formula, r"(?s)\A(.*?)(?:\\implies|\\Rightarrow|\\\\|\\q?quad|\z)", 1)
+
+    def of(r: Column) -> Column:
+        side = F.regexp_replace(F.regexp_replace(r["left"], r"\([^()]*\)\z", ""), r"\A[&\s]+|[\s&]+\z", "")
+        is_name = r["right"].isNotNull() & side.rlike(rf"\A(?:{_BASE})(?:{_SUBSCRIPT})?\z")
+        none = F.array().cast("array<string>")
+        left = F.when(r["right"].isNotNull(), named(r["left"], numbered)).otherwise(none)
+        defines = F.when(is_name, F.get(named(side, numbered), F.lit(0)))
+        gone = F.when(is_name, F.array(defines)).otherwise(none)
+        return F.struct(defines.alias("defines"), left.alias("left"), F.array_except(named(formula, numbered), gone).alias("uses"))
+
+    return bound(relation(first), of)
 
 
 def formula_graph(equations: DataFrame) -> DataFrame:
