@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from quillon.functions import latex
 from quillon.functions.braces import matches, pieces
 from quillon.functions.text import bound, strip
-from quillon.operators.relational import asof_join, closure
+from quillon.operators.relational import asof_join, closure, letters
 
 # Environments of rows that each may have a number.
 ROWS = ("align", "gather", "alignat", "flalign", "eqnarray")
@@ -45,13 +45,20 @@ def split_rows(body: Column) -> Column:
     return run(body)
 
 
+# Stand for the begin and end of sub-equations, which are no part of a formula.
+_SUB_BEGIN, _SUB_END = "\x02", "\x03"
+
+
 def extract(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(events, labels) of documents: events(doc, seq, kind, tag, env, latex) as number_equations takes them, labels(doc, seq, key).
 
     Display formulas are equations, a row each in environments of rows; they are numbered unless the environment is starred
-    or none that numbers, or the row says so. A tag is the number. Sections and the appendix come from the text between.
+    or none that numbers, or the row says so. A tag is the number. Chapters, sections, the appendix, and where sub-equations begin and end
+    come from the text between.
     """
-    tokens = documents.select(F.col(doc).alias("doc"), F.explode(latex.tokenize(latex.strip_comments(F.col(text)))).alias("t"))
+    bare = F.translate(latex.strip_comments(F.col(text)), _SUB_BEGIN + _SUB_END, "")
+    bare = F.replace(F.replace(bare, F.lit("\\begin{subequations}"), F.lit(_SUB_BEGIN)), F.lit("\\end{subequations}"), F.lit(_SUB_END))
+    tokens = documents.select(F.col(doc).alias("doc"), F.explode(latex.tokenize(bare)).alias("t"))
     whole = r"(?s)\A\\begin\{([A-Za-z]+)(\*?)\}(.*)\\end\{\1\2\}\z"
     body, env = F.col("t.body"), F.col("t.env")
     starred = F.regexp_extract(body, whole, 2) == "*"
@@ -65,29 +72,68 @@ def extract(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> tu
     plain = F.col("env").isin(*latex.NUMBERED) & ~F.col("starred") & ~F.col("latex").rlike(r"\\(nonumber|notag)(?![A-Za-z])")
     kind = F.when(tag.isNotNull() | F.coalesce(plain, F.lit(False)), "equation").otherwise("unnumbered")
     rows = each.select("doc", F.struct("start", "i").alias("seq"), kind.alias("kind"), tag.alias("tag"), "env", F.col("latex"))
-    marks = tokens.where("t.kind = 'text'").select("doc", F.col("t.start").alias("start"), F.posexplode(F.regexp_extract_all("t.value", F.lit(r"\\(section\s*[\[{]|appendix(?![A-Za-z]))"), F.lit(1))).alias("i", "mark"))
+    shapes = rf"\\(chapter\s*[\[{{]|section\s*[\[{{]|appendix(?![A-Za-z]))|([{_SUB_BEGIN}{_SUB_END}])"
+    marks = tokens.where("t.kind = 'text'").select("doc", F.col("t.start").alias("start"), F.posexplode(F.regexp_extract_all("t.value", F.lit(shapes), F.lit(0))).alias("i", "mark"))
     none = F.lit(None).cast("string")
-    marks = marks.select("doc", F.struct("start", "i").alias("seq"), F.when(F.col("mark").startswith("section"), "section").otherwise("appendix").alias("kind"), none.alias("tag"), none.alias("env"), none.alias("latex"))
+    of = F.regexp_extract("mark", r"\A\\(\w+)", 1)
+    of = F.when(F.col("mark") == _SUB_BEGIN, "sub_begin").when(F.col("mark") == _SUB_END, "sub_end").otherwise(of)
+    marks = marks.select("doc", F.struct("start", "i").alias("seq"), of.alias("kind"), none.alias("tag"), none.alias("env"), none.alias("latex"))
     labels = rows.select("doc", "seq", F.explode(F.regexp_extract_all("latex", F.lit(r"\\label\s*\{([^}]*)\}"), F.lit(1))).alias("key"))
     return rows.union(marks), labels.select("doc", "seq", strip(F.col("key")).alias("key"))
 
 
-def number_equations(events: DataFrame, within_section: bool = False) -> DataFrame:
+def counts_within(text: Column) -> Column:
+    """Where a document's equation numbers start again: section or chapter, or null (through the whole). Said by \\numberwithin or
+    \\counterwithin, by \\theequation, or by a class of books."""
+    bare = latex.strip_comments(text)
+    said = F.regexp_extract(bare, r"\\(?:number|counter)within\*?\s*\{equation\}\s*\{(\w+)\}", 1)
+    shown = F.regexp_extract(bare, r"\\(?:re)?newcommand\*?\s*\{?\\theequation\}?\s*\{[^\n]*?\\the(section|chapter)(?![A-Za-z])", 1)
+    book = bare.rlike(r"\\documentclass\s*(?:\[[^\]]*\])?\s*\{(?:book|report|scrbook|scrreprt|memoir)\}")
+    found = F.when(said != "", said).when(shown != "", shown).when(book, "chapter")
+    return F.when(found.isin("section", "chapter"), found)
+
+
+def number_equations(events: DataFrame, within: bool | str | None = False) -> DataFrame:
     """events(doc, seq, kind, tag) -> equations with their number.
 
-    kind: section, appendix (from there on sections are letters), equation, unnumbered. A tag is the number and advances
-    no counter. With within_section, numbers start again at each section and carry its number. All windows share one sort.
+    kind: chapter, section, appendix (from there on the topmost of these are letters, from A), equation, unnumbered, sub_begin and
+    sub_end (around sub-equations: they share the number that is next at the begin, and have letters). A tag is the number and
+    advances no counter. within: "section" (or True) or "chapter", where numbers start again and carry its number, by default
+    nowhere; a column `within` of events says it for each document. All windows are of one key and one order: one sort.
     """
+    rule = F.col("within") if "within" in events.columns else F.lit("section" if within is True else within or None).cast("string")
     w = Window.partitionBy("doc").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    count = lambda c, over: F.sum(F.when(c, 1).otherwise(0)).over(over)
-    e = events.withColumn("part", count(F.col("kind") == "appendix", w)).withColumn("section_ord", count(F.col("kind") == "section", w))
-    e = e.withColumn("before", F.max(F.when(F.col("part") == 0, F.col("section_ord"))).over(w))
-    section = F.when(F.col("part") == 0, F.col("section_ord").cast("string")).otherwise(F.chr(64 + F.col("section_ord") - F.coalesce("before", F.lit(0))))
-    counted = (F.col("kind") == "equation") & F.col("tag").isNull()
-    keys = ["doc", "section_ord"] if within_section else ["doc"]
-    n = count(counted, Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)).cast("string")
-    number = F.concat(section, F.lit("."), n) if within_section else n
-    return e.select("doc", "seq", "kind", F.when(F.col("kind") == "equation", F.coalesce("tag", number)).alias("number")).where("kind in ('equation', 'unnumbered')")
+    is_ = lambda *kinds: F.col("kind").isin(*kinds)
+
+    def since(counted: Column, start: Column) -> tuple[Column, Column]:
+        """Running count of `counted`, and what it was when `start` last held: their difference is the count since."""
+        total = F.sum(F.when(counted, 1).otherwise(0)).over(w)
+        return total, F.when(start, total)
+
+    def from_last(e: DataFrame, name: str, counted: Column, start: Column) -> DataFrame:
+        total, at = since(counted, start)
+        e = e.withColumn(name, total).withColumn("_at", at)
+        return e.withColumn(name, F.col(name) - F.coalesce(F.max("_at").over(w), F.lit(0))).drop("_at")
+
+    e = events.select("doc", "seq", "kind", "tag", rule.alias("_rule"))
+    e = e.withColumn("_chapters", F.max(is_("chapter")).over(Window.partitionBy("doc"))).withColumn("_appendix", F.max(is_("appendix")).over(w))
+    e = e.withColumn("_in_sub", F.last(F.when(is_("sub_begin", "sub_end"), is_("sub_begin")), ignorenulls=True).over(w))
+    e = from_last(e, "_chapter", is_("chapter"), is_("appendix"))
+    e = from_last(e, "_section", is_("section"), is_("chapter") | (is_("appendix") & ~F.col("_chapters")))
+    inside, plain = F.coalesce("_in_sub", F.lit(False)), is_("equation") & F.col("tag").isNull()
+    e = from_last(e, "_n", is_("sub_begin") | (plain & ~inside), (is_("chapter") & F.col("_rule").isNotNull()) | (is_("section") & (F.col("_rule") == "section")))
+    e = from_last(e, "_letter", plain & inside, is_("sub_begin"))
+    top = lambda n: F.when(F.col("_appendix"), F.when(n > 0, F.upper(letters(n))).otherwise("")).otherwise(n.cast("string"))
+    chapter, section = F.col("_chapter"), F.col("_section")
+    prefix = (
+        F.when(F.col("_rule") == "chapter", F.concat(F.when(F.col("_chapters"), top(chapter)).otherwise(chapter.cast("string")), F.lit(".")))
+        .when(F.col("_rule") == "section", F.when(F.col("_chapters"), F.concat_ws(".", chapter, section, F.lit(""))).otherwise(F.concat(top(section), F.lit("."))))
+        .otherwise("")
+    )
+    e = e.withColumn("_number", F.concat(prefix, F.col("_n").cast("string")))
+    e = e.withColumn("_base", F.last(F.when(is_("sub_begin"), F.col("_number")), ignorenulls=True).over(w))
+    number = F.when(inside, F.concat("_base", letters(F.col("_letter")))).otherwise(F.col("_number"))
+    return e.select("doc", "seq", "kind", F.when(is_("equation"), F.coalesce("tag", number)).alias("number")).where("kind in ('equation', 'unnumbered')")
 
 
 def resolve_references(references: DataFrame, labels: DataFrame) -> DataFrame:

@@ -129,7 +129,7 @@ def closure(edges: DataFrame) -> DataFrame:
     Semi-naive by doubling: the pairs found last are continued by all known ones, so each round doubles the hops covered,
     and the first round without a new pair is the last one.
     """
-    from quillon.operators.tables import durable
+    from quillon.operators.tables import discard, durable
 
     known = durable(edges.select("src", "dst").where("src <> dst").distinct().withColumn("hops", F.lit(1)))
     last = known
@@ -139,7 +139,9 @@ def closure(edges: DataFrame) -> DataFrame:
         more = durable(more.join(known, ["src", "dst"], "left_anti"))
         if more.isEmpty():
             return known
+        old, before = known, last
         known, last = durable(known.unionByName(more)), more
+        discard(old, *([before] if before is not old else []))
 
 
 def reduced(edges: DataFrame) -> DataFrame:
