@@ -1,4 +1,4 @@
-"""Archives of text files as rows: tar, tar.gz, gz and zip read by Spark's binaryFile source and unpacked in tasks."""
+"""Archives of text files as rows: those in a column unpacked in tasks, those in files read by `members`."""
 
 from __future__ import annotations
 
@@ -10,11 +10,11 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA = "archive string, path string, text string, problem string"
+from quillon.sources import members
+from quillon.sources.members import SCHEMA  # noqa: F401
 
 
 def unpack(name: str, data: bytes) -> Iterator[tuple[str, bytes]]:
@@ -37,23 +37,9 @@ def unpack(name: str, data: bytes) -> Iterator[tuple[str, bytes]]:
         yield name.rpartition("/")[2], data
 
 
-def read_archives(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".tex", ".bib", ".md", ".txt", ".bbl", ".sty", ".cls")) -> DataFrame:
-    """Rows of SCHEMA: text files of all archives under a path. A damaged archive is one row with `problem` set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                rows: list[tuple] = []
-                try:
-                    for inner, raw in unpack(name, data):
-                        if inner.lower().endswith(suffixes):
-                            rows.append((name, inner, raw.decode("utf-8", "replace"), None))
-                except Exception as e:  # any damage of the container
-                    rows.append((name, None, None, type(e).__name__))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(4)], names=["archive", "path", "text", "problem"])
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInArrow(run, SCHEMA)
+def read_archives(spark: SparkSession, path: str, suffixes: tuple[str, ...] = members.SUFFIXES) -> DataFrame:
+    """Rows of SCHEMA: text files of all archives under a path, read by member. A damaged archive is one row with `problem` set."""
+    return members.read_archives(spark, path, suffixes)
 
 
 def zipped(files: DataFrame) -> DataFrame:
