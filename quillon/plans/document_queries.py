@@ -311,7 +311,7 @@ spelled(
 def symbol_table(t):
     """Symbols of every document with counts, lines and what the prose says of them."""
     text = "Here $x$ denotes the input vector of the model, which is long.\nUse $\\eta$ is the learning rate (small) and $\\pi$.\nThe $f(x)$ represents a map from here. Then $$\nf(x) = y$$\nwhere $z_1$ is free variable; not \\$q is the."
-    return symbols.symbol_table(t("orders").select("o_orderkey", F.lit(text).alias("text")), "o_orderkey")
+    return symbols.symbol_table(t("orders").select("o_orderkey", F.lit(text).alias("text")), "o_orderkey").select("doc", "symbol", "n", "first_line", "constant", "description")
 
 
 @query("select doc_id // 20 as project, 'sec/' || doc_id || '.tex' as path, text, true as sound from documents")
