@@ -14,8 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.braces import calls, inside
-from quillon.functions.text import collapse, normalize_unicode, outside, repair_escapes, strip, unicode_math
+from quillon.functions.braces import calls, deep, inside
+from quillon.functions.text import bound, collapse, normalize_unicode, outside, repair_escapes, strip, unicode_math
 
 # Environments that are display mathematics by themselves, those that are so inside a formula, those that
 # number their rows, those of rows, and those that align them.
@@ -144,8 +144,8 @@ def space_differentials(c: Column) -> Column:
     """A thin space before the differentials of an integral."""
     operand = r"(?:(?<=[^\s{(\[,;:=+\-*/^_&<>|\\])(?<!\\[A-Za-z]{1,24}\*?)[ \t]+|(?<=[)}\]0-9]))"
     variable = r"((?:[A-Za-z]|\\(?:" + "|".join(GREEK) + r")(?![A-Za-z]))(?![A-Za-z0-9]))"
-    spaced = outside(c, _GROUPS, lambda x: F.regexp_replace(x, operand + "d" + variable, r"\\,d$1"))
-    return F.when(c.rlike(r"\\(?:int|iint|iiint|oint)(?![A-Za-z])"), spaced).otherwise(c)
+    spaced = lambda c: outside(c, _GROUPS, lambda x: F.regexp_replace(x, operand + "d" + variable, r"\\,d$1"))
+    return bound(c, lambda c: F.when(c.rlike(r"\\(?:int|iint|iiint|oint)(?![A-Za-z])"), spaced(c)).otherwise(c))
 
 
 def space_text_groups(c: Column) -> Column:
@@ -241,11 +241,118 @@ def length_in(spec: Column, line_width: Column, layout: str = "two-column") -> C
     return F.when(bare.rlike(shape) & (times > 0), times * F.when(bare.contains("\\"), relative).otherwise(absolute))
 
 
+def steps(c: Column, *each) -> Column:
+    """The functions applied one after another, each evaluated once."""
+    for f in each:
+        c = bound(c, f)
+    return c
+
+
+# Commands whose argument is opaque to spacing; those after which a sign is an operation; signs of two characters.
+_OPAQUE = (
+    "text textrm textbf textit textsf texttt mbox mathrm mathbf mathit mathsf mathtt mathbb mathcal mathfrak boldsymbol operatorname label ref eqref tag cite href url "
+    "hspace vspace color textcolor begin end"
+).split()
+_OPERANDS = (
+    "mathrm mathbf mathit mathsf mathtt mathbb mathcal mathfrak boldsymbol infty hbar ell prime rangle rbrace rvert rVert rceil rfloor dots ldots cdots"
+).split()
+_DOUBLE = "<=|>=|!=|:=|=:|==+|->|<-|=>|<<|>>|--|[+][+]"
+
+
+def space_operators(c: Column) -> Column:
+    """One space around each + - = < > of a formula's lines that stands between operands (a relation: after anything), outside scripts and the
+    arguments of opaque commands; runs of blanks inside a line are one space. Signs of one operand, a relation that begins a row and signs of
+    two characters stay; & stays glued to its relation."""
+    group = deep()
+    unit = rf"(?s)\\(?:{'|'.join(_OPAQUE)})(?![A-Za-z])\*? *{group}|[_^][ \t]*{group}|\\(?:[A-Za-z]+\*?|.)|[ \t]+|{_DOUBLE}|."
+    operand = rf"(?s)\A(?:[A-Za-z0-9.)\]}}|!']|[_^].*\}}|\\(?:{'|'.join(_OPERANDS + GREEK)})(?![A-Za-z]).*|\\[}}|])\z"
+
+    def run(u: Column) -> Column:
+        blank = lambda i: F.coalesce(F.get(u, i).rlike(r"\A[ \t]"), F.lit(False))
+        before = lambda i: F.coalesce(F.get(u, F.when(blank(i - 1), i - 2).otherwise(i - 1)), F.lit("\n"))
+        after = lambda i: F.coalesce(F.get(u, F.when(blank(i + 1), i + 2).otherwise(i + 1)), F.lit("\n"))
+        relation = lambda x: x.isin("=", "<", ">")
+        flags = F.transform(u, lambda x, i: F.when(relation(x), before(i) != "\n").when(x.isin("+", "-"), before(i).rlike(operand)).otherwise(False))
+
+        def shown(f: Column) -> Column:
+            spaced = lambda i: F.coalesce(F.get(f, i), F.lit(False))
+
+            def one(x: Column, i: Column) -> Column:
+                glued = F.coalesce(F.get(u, i - 1) == "&", F.lit(False))
+                sign = F.concat(F.when(glued, "").otherwise(" "), x, F.when(after(i) == "\n", "").otherwise(" "))
+                inner = (i > 0) & (i < F.size(u) - 1) & (F.coalesce(F.get(u, i - 1), F.lit("")) != "\n") & (F.coalesce(F.get(u, i + 1), F.lit("")) != "\n")
+                gap = F.when(spaced(i - 1) | spaced(i + 1), "").when(inner, " ").otherwise(x)
+                return F.when(spaced(i), sign).when(x.rlike(r"\A[ \t]"), gap).otherwise(x)
+
+            return F.array_join(F.transform(u, one), "")
+
+        return bound(flags, shown)
+
+    return F.when(c.rlike("[-+=<>]|[ \t]{2}|\t"), bound(F.regexp_extract_all(c, F.lit(unit), F.lit(0)), run)).otherwise(c)
+
+
+# Environments of rows, and those whose rows are aligned.
+ROW_ENVS = "align aligned gather gathered split multline alignat flalign eqnarray cases array matrix pmatrix bmatrix vmatrix Vmatrix Bmatrix smallmatrix".split()
+ANCHORED = "align aligned split alignat flalign eqnarray cases".split()
+
+
+def with_anchor(line: Column) -> Column:
+    """A row with & before its first relation = outside braces and brackets, unless it has one, begins with it, or = is part of another sign."""
+    prefix = rf"\A((?>\\.|{deep()}|\[[^\[\]]*+\]|[^\\{{}}\[\]=&])++)(?<![<>!:=])=(?!=)"
+    head = F.regexp_extract(line, prefix, 1)
+    anchored = F.concat(F.regexp_replace(head, r"[ \t]+\z", ""), F.lit(" &"), F.substring(line, F.length(head) + 1, F.length(line)))
+    return F.when((strip(head) != "") & ~line.contains("&"), anchored).otherwise(line)
+
+
+def repair_rows(body: Column, anchored: Column) -> Column:
+    """Rows one a line, each but the last with its break, and anchors where rows are aligned."""
+    lines = F.filter(F.transform(F.split(body, "\n"), strip), lambda x: x != "")
+    goes_on = r"(?:\\\\(?:\s*\*)?(?:\s*\[[^\]]*\])?|&|\{|\\begin\{[^}]*\}|\\end\{[^}]*\}|\\hline|\\cr)\s*\z"
+
+    def run(rows: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            aligned = F.when(anchored & ~x.rlike(r"\A\\(?:begin|end|hline|intertext|nonumber)(?![A-Za-z])"), with_anchor(x)).otherwise(x)
+            done = (i == F.size(rows) - 1) | x.rlike(r"\A\\(?:begin|end|hline)(?![A-Za-z])") | x.rlike(goes_on)
+            return F.when(done, aligned).otherwise(F.concat(aligned, F.lit(" \\\\")))
+
+        return F.array_join(F.transform(rows, one), "\n")
+
+    return bound(lines, run)
+
+
+_WHOLE_ENV = r"(?s)\A\\begin\{([A-Za-z]+)(\*?)\}((?>(?!\\begin\{\1\2\}|\\end\{\1\2\}).)*+)\\end\{\1\2\}\z"
+
+
+def render_env(formula: Column, starred: Column) -> Column:
+    """A formula that is one environment: without its number if `starred` says so, its rows repaired."""
+    name, star_, body = (F.regexp_extract(formula, _WHOLE_ENV, k) for k in (1, 2, 3))
+    full = F.when(starred & name.isin(*NUMBERED), F.concat(name, F.lit("*"))).otherwise(F.concat(name, star_))
+    rows = F.when(name.isin(*ROW_ENVS), repair_rows(body, name.isin(*ANCHORED))).otherwise(F.regexp_replace(body, r"\A\n+|\n+\z", ""))
+    return F.concat(F.lit("\\begin{"), full, F.lit("}\n"), rows, F.lit("\n\\end{"), full, F.lit("}"))
+
+
+def repair_nested(formula: Column) -> Column:
+    """Rows of environments inside a formula repaired, where they are on several lines."""
+    of = "|".join(ROW_ENVS)
+    env = rf"\\begin\{{((?:{of})\*?)\}}(?>(?!\\(?:begin|end)\{{\1\}}).)*+\\end\{{\1\}}"
+    pieces = F.regexp_extract_all(formula, F.lit(rf"(?s){env}|(?>(?!\\begin\{{(?:{of})\*?\}}).)++|\\"), F.lit(0))
+    shape = r"(?s)\A(\\begin\{([A-Za-z]+)\*?\})(.*)(\\end\{[A-Za-z]+\*?\})\z"
+
+    def one(x: Column) -> Column:
+        body, name = F.regexp_extract(x, shape, 3), F.regexp_extract(x, shape, 2)
+        fixed = F.concat(F.regexp_extract(x, shape, 1), F.lit("\n"), repair_rows(body, name.isin(*ANCHORED)), F.lit("\n"), F.regexp_extract(x, shape, 4))
+        return F.when(x.rlike(rf"(?s)\A{env}\z") & strip(body).contains("\n"), fixed).otherwise(x)
+
+    return F.when(formula.contains("\\begin{"), F.array_join(F.transform(pieces, one), "")).otherwise(formula)
+
+
 def clean_formula(body: Column) -> Column:
-    """A formula's characters as LaTeX, escapes mended, prose set as text, operators upright, differentials and text spaced, no blanks at line ends."""
-    c = repair_escapes(unicode_math(body))
-    c = F.regexp_replace(c, r"(?m)[ \t]+$", "")
-    return strip(space_text_groups(space_differentials(upgrade_operator_names(escape_prose_in_math(c)))))
+    """A formula's characters as LaTeX, escapes mended, prose set as text, operators upright and spaced, differentials and text spaced, no blanks at line ends."""
+    if_ = lambda cue, f: lambda c: F.when(c.rlike(cue), f(c)).otherwise(c)  # noqa: E731 - a step only where it can change something
+    return steps(
+        body, if_(r"[^\x00-\x7f]|\)", unicode_math), repair_escapes, lambda c: F.regexp_replace(c, r"(?m)[ \t]+$", ""), if_(rf"[A-Za-z]{{2}}|[{_HANGUL}]", escape_prose_in_math),
+        if_("|".join(FUNCTIONS), upgrade_operator_names), if_("int", space_differentials), if_(r"\\(?:text|mbox)", space_text_groups), space_operators, strip,
+    )
 
 
 def star(formula: Column) -> Column:
@@ -253,18 +360,47 @@ def star(formula: Column) -> Column:
     return F.regexp_replace(formula, r"\\(begin|end)\{(" + "|".join(NUMBERED) + r")\}", r"\\$1{$2*}")
 
 
-def clean_standard(text: Column) -> Column:
-    """Formulas cleaned and delimiters normalised: display ones on lines of their own between $$, environments that are display
-    mathematics bare and starred, inline ones between $; then no blanks at line ends, runs of blank lines as one, ends trimmed."""
+def clean(text: Column, mode: str = "standard") -> Column:
+    """Formulas cleaned and delimiters normalised; then no blanks at line ends, runs of blank lines as one, ends trimmed.
+
+    Inline formulas stand between $. Environments that are display mathematics by themselves are bare. Other display formulas, by mode: standard, on
+    lines of their own between $$; academic, an equation, or align where they have rows; inline, between $. Numbering environments are starred, but
+    not in a whole document, of which only the body is cleaned: it keeps its own numbers."""
+
+    def emit(star_: Column):
+        def one(x: Column) -> Column:
+            def shown(f: Column) -> Column:
+                name = F.regexp_extract(f, _WHOLE_ENV, 1)
+
+                def other(b: Column) -> Column:
+                    if mode == "inline":
+                        return F.concat(F.lit("$"), collapse(b), F.lit("$"))
+                    if mode == "standard":
+                        return F.concat(F.lit("$$\n"), b, F.lit("\n$$"))
+                    outer = F.regexp_replace(b, r"(?s)\\begin\{([A-Za-z]+\*?)\}(?>(?!\\(?:begin|end)\{\1\}).)*+\\end\{\1\}", "")
+                    rows = (name == "") & outer.contains("\\\\")
+                    kind = F.concat(F.when(rows, "align").otherwise("equation"), F.when(star_, "*").otherwise(""))
+                    return F.concat(F.lit("\\begin{"), kind, F.lit("}\n"), F.when(rows, repair_rows(b, F.lit(True))).otherwise(b), F.lit("\n\\end{"), kind, F.lit("}"))
 
-    def emit(x: Column) -> Column:
-        formula = clean_formula(x["body"])
-        bare = formula.rlike(r"(?s)\A\\begin\{(" + "|".join(STANDALONE) + r")\*?\}(?:(?!\\begin\{\1\*?\}).)*\\end\{\1\*?\}\z")
-        shown = F.when(bare, star(formula)).otherwise(F.concat(F.lit("$$\n"), formula, F.lit("\n$$")))
-        return F.when(x["kind"] == "display", shown).when(x["kind"] == "inline", F.concat(F.lit("$"), collapse(formula), F.lit("$"))).otherwise(x["value"])
+                inner = F.when(name != "", render_env(f, star_)).otherwise(repair_nested(f))
+                display = F.when(name.isin(*STANDALONE), inner).otherwise(bound(inner, other))
+                return F.when(x["kind"] == "display", display).otherwise(F.concat(F.lit("$"), collapse(f), F.lit("$")))
 
-    out = F.array_join(F.transform(tokenize(normalize_unicode(text)), emit), "")
-    return strip(F.regexp_replace(F.regexp_replace(out, r"(?m)[ \t]+$", ""), r"\n{3,}", "\n\n"))
+            return F.when(x["kind"] == "text", x["value"]).otherwise(bound(clean_formula(x["body"]), shown))
+
+        return one
+
+    normal = normalize_unicode(text)
+    parts = document_parts(normal)
+    star_ = ~(normal.contains("\\documentclass") & normal.contains("\\begin{document}"))
+    body = bound(F.struct(tokenize(parts["body"]).alias("t"), star_.alias("s")), lambda p: F.array_join(F.transform(p["t"], emit(p["s"])), ""))
+    out = F.concat(parts["preamble"], body, parts["rest"])
+    return steps(out, lambda c: F.regexp_replace(c, r"(?m)[ \t]+$", ""), lambda c: F.regexp_replace(c, r"\n{3,}", "\n\n"), strip)
+
+
+def clean_standard(text: Column) -> Column:
+    """`clean` in the standard mode."""
+    return clean(text)
 
 
 def symbols(formula: Column) -> Column:

@@ -128,7 +128,7 @@ class _Bib:
 
     def entry(self, begin: int, at: int, kind: str, close: str) -> int:
         text = self.text
-        key = re.compile(r"[^,\s){(]*").match(text, at + 1)
+        key = re.compile(r"[^,\s}){(]*").match(text, at + 1)
         at, key = key.end(), key[0]
         fields: set[str] = set()
         if not key:

@@ -93,13 +93,14 @@ def counts_within(text: Column) -> Column:
     return F.when(found.isin("section", "chapter"), found)
 
 
-def number_equations(events: DataFrame, within: bool | str | None = False) -> DataFrame:
+def number_equations(events: DataFrame, within: bool | str | None = False, *more: str) -> DataFrame:
     """events(doc, seq, kind, tag) -> equations with their number.
 
     kind: chapter, section, appendix (from there on the topmost of these are letters, from A), equation, unnumbered, sub_begin and
     sub_end (around sub-equations: they share the number that is next at the begin, and have letters). A tag is the number and
     advances no counter. within: "section" (or True) or "chapter", where numbers start again and carry its number, by default
-    nowhere; a column `within` of events says it for each document. All windows are of one key and one order: one sort.
+    nowhere; a column `within` of events says it for each document. `more` ways give columns number_<way> as well. The column env is kept
+    where events have it. All windows are of one key and one order: one sort.
     """
     rule = F.col("within") if "within" in events.columns else F.lit("section" if within is True else within or None).cast("string")
     w = Window.partitionBy("doc").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
@@ -115,25 +116,30 @@ def number_equations(events: DataFrame, within: bool | str | None = False) -> Da
         e = e.withColumn(name, total).withColumn("_at", at)
         return e.withColumn(name, F.col(name) - F.coalesce(F.max("_at").over(w), F.lit(0))).drop("_at")
 
-    e = events.select("doc", "seq", "kind", "tag", rule.alias("_rule"))
+    kept = [c for c in ("env",) if c in events.columns]
+    e = events.select("doc", "seq", "kind", "tag", *kept, rule.alias("_rule"))
     e = e.withColumn("_chapters", F.max(is_("chapter")).over(Window.partitionBy("doc"))).withColumn("_appendix", F.max(is_("appendix")).over(w))
     e = e.withColumn("_in_sub", F.last(F.when(is_("sub_begin", "sub_end"), is_("sub_begin")), ignorenulls=True).over(w))
     e = from_last(e, "_chapter", is_("chapter"), is_("appendix"))
     e = from_last(e, "_section", is_("section"), is_("chapter") | (is_("appendix") & ~F.col("_chapters")))
     inside, plain = F.coalesce("_in_sub", F.lit(False)), is_("equation") & F.col("tag").isNull()
-    e = from_last(e, "_n", is_("sub_begin") | (plain & ~inside), (is_("chapter") & F.col("_rule").isNotNull()) | (is_("section") & (F.col("_rule") == "section")))
     e = from_last(e, "_letter", plain & inside, is_("sub_begin"))
     top = lambda n: F.when(F.col("_appendix"), F.when(n > 0, F.upper(letters(n))).otherwise("")).otherwise(n.cast("string"))
     chapter, section = F.col("_chapter"), F.col("_section")
-    prefix = (
-        F.when(F.col("_rule") == "chapter", F.concat(F.when(F.col("_chapters"), top(chapter)).otherwise(chapter.cast("string")), F.lit(".")))
-        .when(F.col("_rule") == "section", F.when(F.col("_chapters"), F.concat_ws(".", chapter, section, F.lit(""))).otherwise(F.concat(top(section), F.lit("."))))
-        .otherwise("")
-    )
-    e = e.withColumn("_number", F.concat(prefix, F.col("_n").cast("string")))
-    e = e.withColumn("_base", F.last(F.when(is_("sub_begin"), F.col("_number")), ignorenulls=True).over(w))
-    number = F.when(inside, F.concat("_base", letters(F.col("_letter")))).otherwise(F.col("_number"))
-    return e.select("doc", "seq", "kind", F.when(is_("equation"), F.coalesce("tag", number)).alias("number")).where("kind in ('equation', 'unnumbered')")
+    out = {}
+    for name, way in {"number": F.col("_rule"), **{f"number_{m}": F.lit(m) for m in more}}.items():
+        e = from_last(e, "_n", is_("sub_begin") | (plain & ~inside), (is_("chapter") & way.isNotNull()) | (is_("section") & way.eqNullSafe("section")))
+        prefix = (
+            F.when(way == "chapter", F.concat(F.when(F.col("_chapters"), top(chapter)).otherwise(chapter.cast("string")), F.lit(".")))
+            .when(way == "section", F.when(F.col("_chapters"), F.concat_ws(".", chapter, section, F.lit(""))).otherwise(F.concat(top(section), F.lit("."))))
+            .otherwise("")
+        )
+        e = e.withColumn("_number", F.concat(prefix, F.col("_n").cast("string")))
+        e = e.withColumn("_base", F.last(F.when(is_("sub_begin"), F.col("_number")), ignorenulls=True).over(w))
+        number = F.when(inside, F.concat("_base", letters(F.col("_letter")))).otherwise(F.col("_number"))
+        e = e.withColumn(name, F.when(is_("equation"), F.coalesce("tag", number)))
+        out[name] = F.col(name)
+    return e.where("kind in ('equation', 'unnumbered')").select("doc", "seq", "kind", *out, *kept)
 
 
 def resolve_references(references: DataFrame, labels: DataFrame) -> DataFrame:

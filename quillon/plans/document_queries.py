@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.functions import latex, records, text
-from quillon.operators import bibliography, diffs, equations, symbols, timing
+from quillon.operators import bibliography, correspondence, derivations, diffs, equations, search, symbols, timing, venues
+from quillon.operators.tables import durable, new_step
 from quillon.plans.registry import query, spelled
 from quillon.sources import archives
 
@@ -191,8 +195,8 @@ spelled(
 spelled(
     "cleaned_documents", "C26 to C31: formulas cleaned, delimiters normalised.",
     [
-        ("a \\( x\u00b2 \\) b  \n\n\n\nc", "a $x^{2}$ b\n\nc"), ("\\[ \u03b1 )\n + {k} \\]", "$$\n\\alpha)\n + {k}\n$$"), ("$$\\begin{align}a\\\\b\\end{align}$$", "\\begin{align*}a\\\\b\\end{align*}"),
-        ("\\begin{pmatrix}1\\end{pmatrix}", "$$\n\\begin{pmatrix}1\\end{pmatrix}\n$$"), ("costs \\${k} and $ sin x $.", "costs \\${k} and $\\sin x$."), ("`$k$` $\\int f(x) dx$", "`$k$` $\\int f(x)\\,dx$"),
+        ("a \\( x\u00b2 \\) b  \n\n\n\nc", "a $x^{2}$ b\n\nc"), ("\\[ \u03b1 )\n + {k} \\]", "$$\n\\alpha)\n + {k}\n$$"), ("$$\\begin{align}a\\\\b\\end{align}$$", "\\begin{align*}\na\\\\b\n\\end{align*}"),
+        ("\\begin{pmatrix}1\\end{pmatrix}", "$$\n\\begin{pmatrix}\n1\n\\end{pmatrix}\n$$"), ("costs \\${k} and $ sin x $.", "costs \\${k} and $\\sin x$."), ("`$k$` $\\int f(x) dx$", "`$k$` $\\int f(x)\\,dx$"),
     ],
     latex.clean_standard,
 )
@@ -442,9 +446,8 @@ def extracted_equations(t):
     """Equations of whole papers, rows apart, numbered through and by section."""
     events, _ = _equations(t)
     n = F.row_number().over(Window.partitionBy("doc").orderBy("seq"))
-    inside = equations.number_equations(events, True).select("doc", "seq", F.col("number").alias("inside"))
-    plain = equations.number_equations(events).join(inside, ["doc", "seq"]).join(events.select("doc", "seq", F.col("env").alias("width")), ["doc", "seq"])
-    return plain.select("doc", n.alias("n"), "number", "inside", "width")
+    both = equations.number_equations(events, False, "section")  # one scan and one sort for both ways
+    return both.select("doc", n.alias("n"), "number", F.col("number_section").alias("inside"), F.col("env").alias("width"))
 
 
 @query("select o_orderkey as doc, i as seq, case i when 0 then 'eq:' || o_orderkey when 1 then 'z' else 'no' end as key, case i when 0 then '1' when 1 then '2' else '??' end as shown from orders, generate_series(0, 2) g(i)")
@@ -489,3 +492,160 @@ def page_titles(t):
     p = t("pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
     n = p.groupBy("title").agg(F.count("*").alias("pages"))
     return p.join(n, "title").select("page_id", "title", "pages")
+
+
+_LINES = "(select doc_id, i, x[i] as line, len(x) as n from (select doc_id, string_split(text, chr(10)) as x from documents), generate_series(1, 100000) g(i) where i <= len(x))"
+
+
+def _versions(t):
+    """Every document, and the same with a line of its own before it."""
+    return t("documents").select(F.col("doc_id").alias("doc"), F.col("text").alias("a"), F.concat(F.lit("version of "), F.col("doc_id").cast("string"), F.lit("\n"), "text").alias("b"))
+
+
+@query(
+    f"""with l as {_LINES}, k as (select *, count(*) over (partition by doc_id, line) = 1 and trim(line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') <> '' and line <> 'version of ' || doc_id as lone from l),
+    r as (select *, lone and not coalesce(lag(lone) over (partition by doc_id order by i), false) as first from k)
+    select doc_id as doc, cast(count(*) filter (first) as bigint) as blocks, cast(coalesce(sum(length(line) + 1) filter (lone), 0) - count(*) filter (first) as bigint) as covered from r group by 1"""
+)
+def aligned_versions(t):
+    """Segments of two versions by the lines that stand once in both: how many blocks there are, and what they cover."""
+    s = correspondence.anchor_segments(_versions(t))
+    block = F.col("kind") == "block"
+    return s.groupBy("doc").agg(F.count_if(block).alias("blocks"), F.sum(F.when(block, F.col("a_end") - F.col("a_start")).otherwise(0)).alias("covered"))
+
+
+@query("select doc_id as doc, trim(substr(string_split(text, chr(10))[1], 1, 20), chr(9) || chr(11) || chr(12) || chr(13) || ' ') as mapped, true as exact from documents")
+def mapped_ranges(t):
+    """The first twenty characters of a document's first line, found in its other version by an interval join."""
+    v = _versions(t)
+    first = F.length("b") - F.length("a")
+    ranges = v.select("doc", F.lit(1).alias("id"), first.alias("start"), (first + F.least(F.lit(20), F.length(F.get(F.split("a", "\n"), F.lit(0))))).alias("stop"))
+    m = correspondence.map_ranges(ranges, correspondence.anchor_segments(v), v, side="b").join(v, "doc")
+    return m.select("doc", F.expr("substring(a, start + 1, stop - start)").alias("mapped"), "exact")
+
+
+@query(
+    f"""select doc_id as doc, 3 * ((i - 1) // 3) + i % 3 // 2 + 2 * (1 - i % 3 // 2) as n, cast((i + 2) // 3 as varchar) || '.' || case i % 3 when 2 then '1' else '2a' end as number from {_LINES} where i % 3 <> 1
+    union all select doc_id, i, cast((i + 2) // 3 as varchar) || '.2b' from {_LINES} where i % 3 = 0"""
+)
+def chaptered_equations(t):
+    """Numbers within sections, with sub-equations: each document's lines are a section, an equation and a pair of sub-equations, again and again."""
+    word = lambda x: F.regexp_replace(x, "[^A-Za-z0-9]+", " ")
+    eq = lambda x: F.concat(F.lit("\\begin{equation} "), x, F.lit(" \\end{equation}\n"))
+    pair = lambda x: F.concat(F.lit("\\begin{subequations}\n"), eq(x), eq(F.lit("b")), F.lit("\\end{subequations}\n"))
+    line = lambda x, i: F.when(i % 3 == 0, F.concat(F.lit("\\section{"), word(x), F.lit("}\n"))).when(i % 3 == 1, eq(word(x))).otherwise(pair(word(x)))
+    paper = F.concat(F.lit("\\numberwithin{equation}{section}\n"), F.array_join(F.transform(F.split("text", "\n"), line), ""))
+    papers = t("documents").select("doc_id", paper.alias("text"))
+    events, _ = equations.extract(papers)
+    within = papers.select(F.col("doc_id").alias("doc"), equations.counts_within(F.col("text")).alias("within"))
+    found = equations.number_equations(events.join(within, "doc"))
+    return found.select("doc", F.row_number().over(Window.partitionBy("doc").orderBy("seq")).alias("n"), "number")
+
+
+@query(
+    """select p_partkey, case p_partkey % 5 when 0 then 'J. Appl. ' || p_brand when 1 then 'Proc. Int. Conf. Mach. Learn. (ICML)' when 2 then 'Nature' when 3 then 'Ann. ' || p_brand || ' Soc. Lett.'
+    else 'Adv. Neural Inf. Process. Syst. (NeurIPS)' end as venue from part"""
+)
+def venue_names(t):
+    """Names of journals and conferences in several spellings, unknown ones abbreviated word by word."""
+    k, b = F.col("p_partkey") % 5, F.col("p_brand")
+    name = F.when(k == 0, F.concat(F.lit("Journal of the Applied "), b)).when(k == 1, F.concat(F.lit("Proceedings of the "), F.col("p_partkey").cast("string"), F.lit("th International Conference on Machine Learning")))
+    name = name.when(k == 2, "Nature").when(k == 3, F.concat(F.lit("The Annals of "), b, F.lit(" Society & Letters"))).otherwise("Neural Information Processing Systems (NIPS)")
+    name = F.when(k == 3, F.concat(F.lit("Annals of the "), b, F.lit(" Society & Letters"))).otherwise(name)
+    return venues.with_venue(t("part").select("p_partkey", name.alias("name")), "name").select("p_partkey", "venue")
+
+
+@query(
+    """select conv_id, turn, symbol, via, description from (select *, trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')) as w from conversations), (values ('x', 'prose'), ('y', 'prose'), ('z', 'typed'), ('w', 'apposition'), ('q', 'assign')) v(symbol, via),
+    lateral (select case symbol when 'z' then '$\in \mathbb{R}^{' || conv_id || '}$' when 'w' then 'step size' when 'q' then '$= ' || turn || '$' else trim(array_to_string(string_split('quantity ' || w, ' ')[1:12], ' ')) end as description)"""
+)
+def symbol_definitions(t):
+    """What texts say of symbols: after a list, typed, by apposition, and by an equation after where."""
+    words = F.trim(F.regexp_replace("text", "[^A-Za-z]+", " "))
+    said = F.concat(
+        F.lit("Here $x_i$ and $y$ denote the quantity "), words, F.lit(". Take $z \\in \\mathbb{R}^{"), F.col("conv_id").cast("string"), F.lit("}$. We use the step size $w$.\n\nSet $p = q$, where $q = "), F.col("turn").cast("string"), F.lit("$."),
+    )
+    found = symbols.definitions(t("conversations").select(F.struct("conv_id", "turn").alias("doc_id"), said.alias("text")))
+    return found.select("doc.conv_id", "doc.turn", "symbol", "via", "description")
+
+
+_SQUASHED = "lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')))"
+
+
+@query(
+    f"""select q, doc_id as doc, score, via from (select doc_id, {_SQUASHED} as c, 'a_{{' || doc_id || '}} = b' as b, 'doc:' || doc_id as l from documents), (values ('doc:7'), ('eq. (12)'), ('thing the'), ('the of a'), ('}} = b'), ('ng')) v(q),
+    lateral (select case when l = q then 100 when q = 'eq. (12)' and doc_id = 12 then 90 when contains(l, q) then 60 when contains(b, q) then 50 when contains(c, q) then 30
+    when q = 'thing the' and contains(c, 'thing') and contains(c, 'the') then 15 when q = 'the of a' and contains(c, 'the') and contains(c, 'of') then 15 end as score),
+    lateral (select case when score in (100, 60) then 'label' when score = 90 then 'number' when score = 50 then 'latex' when score = 30 then 'context' else 'words' end as via) where score is not null"""
+)
+def equation_search(t):
+    """Queries by label, number, LaTeX, context and words, each from its own terms' postings, which are written once."""
+    d = t("documents")
+    k = F.col("doc_id").cast("string")
+    eqs = durable(d.select(
+        F.col("doc_id").alias("doc"), F.lit(0).alias("idx"), F.concat(F.lit("a_{"), k, F.lit("} = b")).alias("latex"), F.col("text").alias("context"), F.array(F.concat(F.lit("doc:"), k)).alias("labels"), F.array(k).alias("numbers"),
+    ))
+    path = new_step(d.sparkSession)
+    search.write_index(eqs, path)
+    index = d.sparkSession.read.parquet(path)
+    found = [search.search(index, eqs, q).select(F.lit(q).alias("q"), "doc", "score", "via") for q in ("doc:7", "eq. (12)", "thing the", "the of a", "} = b", "ng")]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query(
+    """select cast(null as bigint) as parent, doc_id as node, 0 as depth, false as ref from documents where doc_id = 1 union all select doc_id // 2, doc_id, length(bin(doc_id)) - 1, false from documents where doc_id >= 2
+    union all select doc_id // 4, doc_id, length(bin(doc_id)) - 2, true from documents where doc_id >= 4"""
+)
+def derivation_tree(t):
+    """A graph in which each step builds on its halves' owners and theirs, as the tree a reader walks: what is met again is a reference."""
+    d = t("documents")
+    edge = lambda k: d.where(f"doc_id >= {k}").select(F.lit(1).alias("doc"), F.expr(f"doc_id div {k}").alias("src"), F.col("doc_id").alias("dst"), F.col("doc_id").cast("int").alias("ord"))
+    return derivations.top_down(edge(2).union(edge(4)), max_depth=None).select("parent", "node", "depth", "ref")
+
+
+@query("select cast(doc_id // 20 as varchar) as project, 'sec/' || doc_id || '.tex' as path, text from documents")
+def archived_projects(t):
+    """A zip for each project, written member by member, and all of them read by runs of members."""
+    files = t("documents").select(F.expr("doc_id div 20").alias("project"), F.concat(F.lit("sec/"), F.col("doc_id").cast("string"), F.lit(".tex")).alias("path"), "text")
+    path = new_step(files.sparkSession)
+    archives.members.write_zips(files, path)
+    found = archives.members.read_archives(files.sparkSession, path)
+    return found.select(F.regexp_extract("archive", r"([^/]*)\.zip\z", 1).alias("project"), "path", "text")
+
+
+@query(
+    """select p_partkey, line, message from part, (values (1, 'Undefined @string macro "nosuch" - kept as literal text', 0), (2, 'Unbalanced braces in a field value - entry cut short here', 1), (1, 'Text outside any entry was ignored', 2),
+    (3, 'Entry is never closed', 3), (3, 'Duplicate field "title" - first one kept', 4)) v(line, message, k) where k = p_partkey % 6"""
+)
+def bibliography_warnings(t):
+    """Entries that cannot be read as they stand, with their lines."""
+    texts = [
+        "@misc{a, title = nosuch, note = {N}}", "@misc{b,\n title = {open, note = {N}\n@misc{c, title = {N}}", "N @misc{d, title = {x}}", "@misc{e}\n\n@misc{f, title = {N}", "@misc{g,\ntitle = {N},\nTitle = \"again\"}", "@misc{h, month = jan # \" N\"}",
+    ]
+    given = F.get(F.array(*[F.lit(x) for x in texts]), (F.col("p_partkey") % 6).cast("int"))
+    bibs = t("part").select("p_partkey", F.replace(given, F.lit("N"), F.col("p_name")).alias("text"))
+    return bibliography.parse_problems(bibs).select("p_partkey", "line", "message")
+
+
+_PLAIN = "regexp_replace(text, '[^A-Za-z0-9 .,' || chr(10) || ']', '', 'g')"
+
+
+@query(
+    f"""select doc_id, 'Let $x = a + ' || doc_id || '$ hold.' || chr(10) || {B} || 'begin{{equation*}}' || chr(10) || 'y - 1 < ' || doc_id || chr(10) || {B} || 'end{{equation*}}' || chr(10) || '.'
+    || regexp_replace(regexp_replace(regexp_replace({_PLAIN}, '[ ]+(' || chr(10) || '|$)', {B} || '1', 'g'), chr(10) || '{{3,}}', chr(10) || chr(10), 'g'), chr(10) || '+$', '') as cleaned from documents"""
+)
+def cleaned_texts(t):
+    """Whole documents cleaned in the academic mode."""
+    k = F.col("doc_id").cast("string")
+    plain = F.regexp_replace("text", "[^A-Za-z0-9 .,\n]", "")
+    text_ = F.concat(F.lit("Let \\( x=a+"), k, F.lit(" \\) hold.\n\\[ y-1<"), k, F.lit(" \\]\n."), plain)
+    return t("documents").select("doc_id", latex.clean(text_, "academic").alias("cleaned"))
+
+
+spelled(
+    "formula_names", "G14: names in formulas with fonts and accents; limits, places and text groups name nothing.",
+    [
+        ("\\mathbf{y} = W x_i + b_{crit}", "\\mathbf{y} W x b_{crit}"), ("\\sum_{i=1}^{N} h_{t+1} a_{{k}}", "h a"), ("\\hat{y} \\approx f(x;\\theta) \\text{if {k}}", "\\hat{y} f x \\theta"), ("\\max_{q} \\mathbf v^2", "v"), ("{k}", ""),
+    ],
+    lambda c: F.array_join(equations.named(c, numbered=False), " "),
+)
