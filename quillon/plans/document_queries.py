@@ -557,7 +557,7 @@ def venue_names(t):
 
 @query(
     """select conv_id, turn, symbol, via, description from (select *, trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')) as w from conversations), (values ('x', 'prose'), ('y', 'prose'), ('z', 'typed'), ('w', 'apposition'), ('q', 'assign')) v(symbol, via),
-    lateral (select case symbol when 'z' then '$\in \mathbb{R}^{' || conv_id || '}$' when 'w' then 'step size' when 'q' then '$= ' || turn || '$' else trim(array_to_string(string_split('quantity ' || w, ' ')[1:12], ' ')) end as description)"""
+    lateral (select case symbol when 'z' then '$\\in \\mathbb{R}^{' || conv_id || '}$' when 'w' then 'step size' when 'q' then '$= ' || turn || '$' else trim(array_to_string(string_split('quantity ' || w, ' ')[1:12], ' ')) end as description)"""
 )
 def symbol_definitions(t):
     """What texts say of symbols: after a list, typed, by apposition, and by an equation after where."""
