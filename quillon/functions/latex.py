@@ -346,6 +346,20 @@ def repair_nested(formula: Column) -> Column:
     return F.when(formula.contains("\\begin{"), F.array_join(F.transform(pieces, one), "")).otherwise(formula)
 
 
+def font_points(text: Column) -> Column:
+    """The font size that a document's class options state, 10 by default."""
+    options = F.regexp_extract(strip_comments(text), r"\\documentclass\s*\[([^\]]*)\]", 1)
+    return F.coalesce(F.regexp_extract(options, r"(?:^|,)\s*(\d+(?:\.\d+)?)pt\s*(?:,|$)", 1).try_cast("double"), F.lit(10.0))
+
+
+def detect_layout(text: Column) -> Column:
+    """two10, one10 or one11: the columns that a document's class means, and its font size; two10 where there is no class."""
+    bare, shape = strip_comments(text), r"\\documentclass\s*(?:\[([^\]]*)\])?\s*\{([^}]*)\}"
+    options, name = F.regexp_extract(bare, shape, 1), F.regexp_extract(bare, shape, 2)
+    two = ~bare.rlike(shape) | (name == "IEEEtran") | (name == "acmart") & options.rlike("sigconf|sigplan|sigchi") | options.contains("twocolumn")
+    return F.when(two, "two10").when(options.contains("11pt"), "one11").otherwise("one10")
+
+
 def clean_formula(body: Column) -> Column:
     """A formula's characters as LaTeX, escapes mended, prose set as text, operators upright and spaced, differentials and text spaced, no blanks at line ends."""
     if_ = lambda cue, f: lambda c: F.when(c.rlike(cue), f(c)).otherwise(c)  # noqa: E731 - a step only where it can change something
@@ -434,9 +448,9 @@ def document_parts(text: Column) -> Column:
 
 
 def macro_definitions(text: Column) -> Column:
-    """array<struct<name, arity, body, preset>> of a text's \\newcommand, \\renewcommand, \\providecommand, \\def and \\DeclareMathOperator.
+    """array<struct<name, arity, body, preset, source>> of a text's \\newcommand, \\renewcommand, \\providecommand, \\def and \\DeclareMathOperator.
 
-    preset: the text of a first argument that may be left out, null where none may. Bodies are of any depth; a definition that is not
+    preset: the text of a first argument that may be left out, null where none may. source: the definition, without blanks between its arguments. Bodies are of any depth; a definition that is not
     closed is none."""
     found = F.filter(calls(text, "newcommand|renewcommand|providecommand|def|edef|gdef|xdef|DeclareMathOperator", other=2), lambda x: x["name"].isNotNull())
     bare = lambda x: F.when(x.rlike(r"\A[{\[]"), F.substring(x, F.lit(2), F.length(x) - 2)).otherwise(x)
@@ -450,7 +464,7 @@ def macro_definitions(text: Column) -> Column:
             F.regexp_extract(F.get(args, F.lit(0)), r"\A\{?\s*\\([A-Za-z]+)", 1).alias("name"),
             F.coalesce(marks, bare(F.get(options, F.lit(0))).try_cast("int"), F.lit(0)).alias("arity"),
             F.when(x["name"] == "DeclareMathOperator", F.concat(F.lit("\\operatorname{"), body, F.lit("}"))).otherwise(body).alias("body"),
-            bare(F.get(options, F.lit(1))).alias("preset"),
+            bare(F.get(options, F.lit(1))).alias("preset"), F.concat(F.lit("\\"), x["name"], F.array_join(args, "")).alias("source"),
         )
 
     return F.filter(F.transform(found, one), lambda m: m["name"] != "")

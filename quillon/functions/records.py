@@ -77,6 +77,40 @@ def revive_document(json: Column) -> Column:
     )
 
 
+#: Longer values are no settings.
+LONGEST_SETTING = 65_536
+
+
+def settings(json: Column, keys: list[str]) -> Column:
+    """map<string,string> of the known keys of a settings record that have a string of at most LONGEST_SETTING characters; empty without any."""
+    v = F.try_parse_json(json)
+    pairs = F.array(*[F.struct(F.lit(k).alias("k"), text_at(v, f"$['{k}']").alias("v")) for k in keys])
+    return F.map_from_entries(F.filter(pairs, lambda p: p["v"].isNotNull() & (F.length(p["v"]) <= LONGEST_SETTING)))
+
+
+# What a model's name must have, and what marks one that is not for text.
+MODEL, OTHER_MODELS = "gemini", "image|tts|audio|live|embedding|vision|aqa|learnlm"
+
+
+def ranked_models(json: Column) -> Column:
+    """array<struct<id, label>> of the models in a listing that write text: the newest first; of one version flash, lite, others, and each
+    before its preview; equals in the listing's order."""
+    v = F.try_parse_json(json)
+    kind = "array<struct<name:string,displayName:string,supportedGenerationMethods:array<string>>>"
+    listed = F.coalesce(F.try_variant_get(v, "$.models", kind), F.array().cast(kind))
+    name = lambda m: F.coalesce(m["name"], F.lit(""))
+    usable = lambda m: F.coalesce(F.array_contains(m["supportedGenerationMethods"], "generateContent"), F.lit(False)) & name(m).rlike(f"(?i){MODEL}") & ~name(m).rlike(f"(?i){OTHER_MODELS}")
+
+    def keyed(m: Column, i: Column) -> Column:
+        n = name(m)
+        version = F.coalesce(F.regexp_extract(n, rf"{MODEL}-(\d+(?:\.\d+)?)", 1).try_cast("double"), F.lit(0.0))
+        tier = F.when(n.contains("flash") & ~n.contains("lite"), 0.0).when(n.contains("flash"), 1.0).otherwise(2.0) + F.when(n.rlike("preview|exp"), 0.5).otherwise(0.0)
+        return F.struct((-version).alias("v"), tier.alias("t"), i.alias("i"), F.regexp_replace(n, r"\Amodels/", "").alias("id"), F.coalesce(m["displayName"], n).alias("label"), usable(m).alias("ok"))
+
+    ranked = F.array_sort(F.filter(F.transform(listed, keyed), lambda m: m["ok"]))
+    return F.transform(ranked, lambda m: F.struct(m["id"].alias("id"), m["label"].alias("label")))
+
+
 SHARED = "#s="
 
 

@@ -276,3 +276,8 @@ def sniff_format(data: Column, path: Column) -> Column:
     for bytes_, name in magic.items():
         out = out.when(head.startswith(bytes_), name)
     return out.otherwise(F.when(named == "jpg", "jpeg").otherwise(named))
+
+
+def image_content(colors: Column, sampled: Column) -> Column:
+    """What an image holds, by its distinct colours among the pixels sampled: line-art, photo, mixed, or unknown."""
+    return F.when(colors.isNull() | (F.coalesce(sampled, F.lit(0)) == 0), "unknown").when(colors <= 256, "line-art").when(colors / sampled >= 0.08, "photo").otherwise("mixed")

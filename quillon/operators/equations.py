@@ -243,3 +243,13 @@ def with_definitions(equations: DataFrame, macros: DataFrame) -> DataFrame:
     further = direct.withColumn("src", tied("dst")).join(reach, "src").select("doc", "seq", F.col("further").alias("dst"))
     every = direct.select("doc", "seq", "dst").union(further)
     return every.groupBy("doc", "seq").agg(F.array_sort(F.collect_set("dst")).alias("names"))
+
+
+def definition_units(equations: DataFrame, macros: DataFrame) -> DataFrame:
+    """equations(doc, seq, latex) with macros(doc, ord, name, body, source) -> doc, seq, unit: the definitions that an equation needs, in their
+    order, then a blank line and the equation; it alone where it needs none. Of a name that is defined twice the last definition counts."""
+    last = macros.groupBy("doc", "name").agg(F.max_by(F.struct("ord", "body", "source"), "ord").alias("m")).select("doc", "name", "m.*")
+    needed = with_definitions(equations, last).select("doc", "seq", F.explode("names").alias("name")).join(last, ["doc", "name"])
+    texts = needed.groupBy("doc", "seq").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "source"))), lambda x: x["source"]), "\n").alias("_d"))
+    whole = F.when(F.col("_d").isNotNull(), F.concat("_d", F.lit("\n\n"), strip(F.col("latex")))).otherwise(strip(F.col("latex")))
+    return equations.join(texts, ["doc", "seq"], "left").select("doc", "seq", whole.alias("unit"))

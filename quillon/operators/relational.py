@@ -171,6 +171,11 @@ def levels(edges: DataFrame) -> DataFrame:
     return seen.groupBy("node").agg(F.max("level").alias("level"))
 
 
+def without_scope(rows: DataFrame, key: str, scope: str) -> DataFrame:
+    """Rows but those whose key begins with a scope's prefix, which a scan can push down; an empty scope removes none, null keys stay."""
+    return rows.where(F.col(key).isNull() | ~F.col(key).startswith(scope)) if scope else rows
+
+
 def reassemble(parts: DataFrame, key: str, order: str, text: str, glue: str = "") -> DataFrame:
     """Parts of a document joined in their order."""
     rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from quillon.functions import latex, records, text
 from quillon.operators import bibliography, correspondence, derivations, diffs, equations, search, symbols, timing, venues
+from quillon.operators import relational as R
 from quillon.operators.tables import durable, new_step
 from quillon.plans.registry import query, spelled
 from quillon.sources import archives
@@ -649,3 +650,51 @@ spelled(
     ],
     lambda c: F.array_join(equations.named(c, numbered=False), " "),
 )
+
+
+@query(
+    f"""select p_partkey, {B} || 'newcommand{{' || {B} || 'f}}{{' || {B} || 'g ' || p_name || '}}' || chr(10) || {B} || 'def' || {B} || 'g#1{{' || p_brand || '}}' || chr(10) || chr(10) || {B} || 'f + ' || p_partkey as unit from part"""
+)
+def equation_units(t):
+    """An equation with the definitions that it needs, those that its macros use included."""
+    p = t("part").select(F.col("p_partkey").alias("doc"), "p_name", "p_brand")
+    preamble = F.concat(F.lit("\\newcommand{\\f} {\\g "), "p_name", F.lit("} \\newcommand{\\h}{x}\n\\def\\g#1{"), "p_brand", F.lit("}"))
+    macros = p.select("doc", F.posexplode(latex.macro_definitions(preamble)).alias("ord", "m")).select("doc", "ord", "m.name", "m.body", "m.source")
+    eqs = p.select("doc", F.lit(1).alias("seq"), F.concat(F.lit("\\f + "), F.col("doc").cast("string")).alias("latex"))
+    return equations.definition_units(eqs, macros).select(F.col("doc").alias("p_partkey"), "unit")
+
+
+spelled(
+    "document_layouts", "P14: columns and font size by a document's class.",
+    [
+        ("\\documentclass[11pt]{article}{k}", "one11/11.0"), ("\\documentclass{IEEEtran}", "two10/10.0"), ("\\documentclass[sigconf, 9pt]{acmart}{k}", "two10/9.0"), ("\\documentclass[a4paper,12pt,twocolumn]{report}", "two10/12.0"),
+        ("% \\documentclass{x}\n\\documentclass{article}", "one10/10.0"), ("no class {k}", "two10/10.0"), ("\\documentclass{acmart}", "one10/10.0"),
+    ],
+    lambda c: F.concat_ws("/", latex.detect_layout(c), latex.font_points(c).cast("string")),
+)
+spelled(
+    "image_contents", "P20: what images hold, by the share of distinct colours.",
+    [("256 10", "line-art"), ("300 1000", "photo"), ("300 100000", "mixed"), ("5 0", "unknown"), ("x 9", "unknown")],
+    lambda c: text.image_content(F.split_part(c, F.lit(" "), F.lit(1)).try_cast("int"), F.split_part(c, F.lit(" "), F.lit(2)).try_cast("int")),
+)
+spelled(
+    "revived_settings", "A06: known keys with short strings.",
+    [('{"theme": "dark{k}", "size": 3, "mode": "x", "other": "y"}', "mode=x;theme=dark{k}"), ("[1]", ""), ("no json {k}", ""), (None, ""), ('{"theme": ""}', "theme=")],
+    lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(F.coalesce(records.settings(c, ["theme", "size", "mode"]), F.create_map().cast("map<string,string>")))), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";"),
+)
+_MODELS = (
+    '{"models": [{"name": "models/gemini-2.5-pro", "displayName": "Pro {k}", "supportedGenerationMethods": ["generateContent"]}, {"name": "models/gemini-2.5-flash-lite", "supportedGenerationMethods": ["generateContent"]}, '
+    '{"name": "models/gemini-2.5-flash-preview", "supportedGenerationMethods": ["generateContent"]}, {"name": "models/gemini-3-pro", "supportedGenerationMethods": ["x", "generateContent"]}, {"name": "models/gemini-2.5-flash", "supportedGenerationMethods": ["generateContent"]}, '
+    '{"name": "models/gemini-9-tts", "supportedGenerationMethods": ["generateContent"]}, {"name": "models/gemini-8", "supportedGenerationMethods": ["embed"]}, {"name": "models/other-9", "supportedGenerationMethods": ["generateContent"]}]}'
+)
+spelled(
+    "ranked_models", "A10: models of a listing that write text, in order.",
+    [(_MODELS, "gemini-3-pro:models/gemini-3-pro;gemini-2.5-flash:models/gemini-2.5-flash;gemini-2.5-flash-preview:models/gemini-2.5-flash-preview;gemini-2.5-flash-lite:models/gemini-2.5-flash-lite;gemini-2.5-pro:Pro {k}"), ("{}", ""), ("x", "")],
+    lambda c: F.array_join(F.transform(records.ranked_models(c), lambda m: F.concat(m["id"], F.lit(":"), m["label"])), ";"),
+)
+
+
+@query("select c_custkey, c_name from customer where not starts_with(c_name, 'Customer#00000001')")
+def wiped_scope(t):
+    """Everything of one scope removed, by the prefix of its keys."""
+    return R.without_scope(t("customer"), "c_name", "Customer#00000001").select("c_custkey", "c_name")

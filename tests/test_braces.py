@@ -60,7 +60,14 @@ def test_any_depth(spark):
 
 def test_macros_with_a_preset(spark):
     got = one(spark, latex.macro_definitions, r"\newcommand{\x}[2][d{e}]{#1+#2} \renewcommand*\y{z} \DeclareMathOperator*{\op}{op} \gdef\g#1#2{#2} \newcommand{\open}{")
-    assert [tuple(m) for m in got] == [("x", 2, "#1+#2", "d{e}"), ("y", 0, "z", None), ("op", 0, "\\operatorname{op}", None), ("g", 2, "#2", None)]
+    assert [tuple(m)[:4] for m in got] == [("x", 2, "#1+#2", "d{e}"), ("y", 0, "z", None), ("op", 0, "\\operatorname{op}", None), ("g", 2, "#2", None)]
+
+
+def test_units_with_definitions(spark):
+    macros = spark.createDataFrame([(1, 0, "a", r"\b+1", r"\newcommand{\a}{\b+1}"), (1, 1, "b", "x", r"\def\b{x}"), (1, 2, "c", "y", r"\def\c{y}"), (1, 3, "b", "z", r"\renewcommand{\b}{z}")], "doc int, ord int, name string, body string, source string")
+    eqs = spark.createDataFrame([(1, 1, r" \a = 2 "), (1, 2, "q"), (2, 1, r"\a")], "doc int, seq int, latex string")
+    got = sorted(map(tuple, equations.definition_units(eqs, macros).collect()))
+    assert got == [(1, 1, "\\newcommand{\\a}{\\b+1}\n\\renewcommand{\\b}{z}\n\n\\a = 2"), (1, 2, "q"), (2, 1, r"\a")]
 
 
 def problems(spark, bib):
