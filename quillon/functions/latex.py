@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ _CLOSER = {"\\[": "\\]", "\\(": "\\)", "$$": "$$", "$": "$"}
 _CLOSE = {c: re.compile(re.escape(c) + r"|\\.", re.S) for c in _CLOSER.values()}
 _NAMED = {"\\[": "\\[ display block", "\\(": "\\( inline block", "$$": "$$ display block", "$": "$ inline block"}
 _BLANK_LINE = re.compile(r"\n[ \t]*\n")
-SCAN = "tokens array<struct<kind string, value string, body string, start int, line int, env string>>, issues array<struct<line int, message string>>"
+SCAN = "tokens:array<struct<kind:string,value:string,body:string,start:int,line:int,env:string>>,issues:array<struct<line:int,message:string>>"
 
 
 def find_close(text: str, at: int, closer: str) -> int:
@@ -86,18 +88,27 @@ def scan_text(text: str) -> tuple[list, list]:
     return tokens, issues
 
 
+_TOKEN_TYPE = pa.struct([("kind", pa.string()), ("value", pa.string()), ("body", pa.string()), ("start", pa.int32()), ("line", pa.int32()), ("env", pa.string())])
+_ISSUE_TYPE = pa.struct([("line", pa.int32()), ("message", pa.string())])
+
+
+def _lists(rows: list[list[tuple]], kind: pa.StructType) -> pa.ListArray:
+    """Lists of structs from lists of tuples, column by column."""
+    flat = [t for row in rows for t in row]
+    columns = [pa.array([t[i] for t in flat], f.type) for i, f in enumerate(kind)]
+    offsets = list(accumulate(map(len, rows), initial=0))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(kind)))
+
+
 def scan(text: Column) -> Column:
     """struct<tokens, issues> of a document. kind: text, inline or display; value: as written; body: without delimiters, but
     whole for environments; start: offset in code points; line: from 1. Null and empty texts have neither."""
 
-    @F.pandas_udf(SCAN)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        names = ("kind", "value", "body", "start", "line", "env")
-        out = []
-        for x in texts:
-            tokens, issues = scan_text(x or "")
-            out.append(([dict(zip(names, t, strict=True)) for t in tokens], [{"line": n, "message": s} for n, s in issues]))
-        return pd.DataFrame(out, columns=["tokens", "issues"])
+    @F.arrow_udf(f"struct<{SCAN}>")
+    def run(texts: pa.Array) -> pa.Array:
+        found = [scan_text(x or "") for x in texts.to_pylist()]
+        both = [_lists([t for t, _ in found], _TOKEN_TYPE), _lists([i for _, i in found], _ISSUE_TYPE)]
+        return pa.StructArray.from_arrays(both, names=["tokens", "issues"])
 
     return run(text)
 
