@@ -22,8 +22,14 @@ _ORDER = (
 )
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Narrow rows dealt to all cores where the table's files are fewer: what follows is work on each row. Large tables are left as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _orders(t):
-    return t("orders").select("o_orderkey", F.expr(_ORDER.replace("chr(92)", "char(92)").replace("chr(10)", "char(10)").replace("{{", "{").replace("}}", "}")).alias("text"))
+    return _spread(t("orders").select("o_orderkey", "o_custkey")).select("o_orderkey", F.expr(_ORDER.replace("chr(92)", "char(92)").replace("chr(10)", "char(10)").replace("{{", "{").replace("}}", "}")).alias("text"))
 
 
 @query("select kind, sum(n) as blocks, count(distinct o_orderkey) as documents from (select o_orderkey, 'inline' as kind, 1 as n from orders union all select o_orderkey, 'display', 2 from orders) group by 1")
@@ -316,7 +322,7 @@ spelled(
 def symbol_table(t):
     """Symbols of every document with counts, lines and what the prose says of them."""
     text = "Here $x$ denotes the input vector of the model, which is long.\nUse $\\eta$ is the learning rate (small) and $\\pi$.\nThe $f(x)$ represents a map from here. Then $$\nf(x) = y$$\nwhere $z_1$ is free variable; not \\$q is the."
-    return symbols.symbol_table(t("orders").select("o_orderkey", F.lit(text).alias("text")), "o_orderkey").select("doc", "symbol", "n", "first_line", "constant", "description")
+    return symbols.symbol_table(_spread(t("orders").select("o_orderkey")).select("o_orderkey", F.lit(text).alias("text")), "o_orderkey").select("doc", "symbol", "n", "first_line", "constant", "description")
 
 
 @query("select doc_id // 20 as project, 'sec/' || doc_id || '.tex' as path, text, true as sound from documents")
@@ -432,7 +438,7 @@ def _papers(t):
         "\\section{One}\n\\begin{align} a_{K} &= b + c \\label{eq:K} \\\\ b &= 2 \\nonumber \\end{align}\n% \\begin{equation} x \\end{equation}\n\\section{Two} $$ q $$ "
         "\\begin{equation} d = a_{K} \\tag{T} \\end{equation}\\begin{gather*} u \\\\ v \\end{gather*}\\appendix\\section{A}\\begin{equation} e = d(x) + b \\label{z} \\end{equation} see \\ref{eq:K}, \\eqref{z}, \\ref{no}."
     )
-    return t("orders").select("o_orderkey", F.replace(F.lit(parts), F.lit("K"), k).alias("text"))
+    return _spread(t("orders").select("o_orderkey")).select("o_orderkey", F.replace(F.lit(parts), F.lit("K"), k).alias("text"))
 
 
 def _equations(t):
