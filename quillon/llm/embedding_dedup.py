@@ -3,7 +3,9 @@
 Trees are fitted on a bounded sample (SAMPLE vectors, least by hash): a node splits at the median of a random
 projection, recursively, until the sample share of a leaf stands for about LEAF vectors of the whole table, or no more than
 four of the sample. Near the median, a band of SPILL of the vectors goes to both sides. Every vector of the table is then
-indexed in every tree. Vectors of a leaf are compared: in single precision, and in double where that is too near the threshold
+indexed in every tree. Where the sample cannot tell leaves of LEAF apart (beyond some 80 vectors of the table to one of the
+sample), leaves are split further, as many levels as their own counts ask for: a level has one direction a tree, each leaf
+has medians of its own, fitted on at most LEAF_SAMPLE of its vectors, and only projections are shuffled for it. Vectors of a leaf are compared: in single precision, and in double where that is too near the threshold
 to tell. A split of a tree parts a pair of the threshold with a chance that does not fall with the depth, so trees are
 TREES at least and as many as keep the expected recall at RECALL if a level keeps LEVEL of the pairs.
 
@@ -13,7 +15,7 @@ and one member of the part of the leaf its links connect it to, the same for tha
 and joined by connected components (classes).
 
 Equal directions are one representative with a weight, so copies are counted, not compared. A leaf larger than BLOCK
-(a table much larger than its sample could tell) is cut into blocks and every pair of blocks is compared, so no leaf
+(neither sample could tell its vectors apart) is cut into blocks and every pair of blocks is compared, so no leaf
 lands whole in one task and nothing is capped.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing. Rows with equal vec_id are
@@ -27,6 +29,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillon.llm.common import discard, materialize, sized
 from quillon.llm.components import connected_components
@@ -35,6 +38,8 @@ TREES = 16
 LEAF = 400
 SPILL = 0.1
 SAMPLE = 20_000
+#: Vectors of a leaf that its further splits are fitted on: ten levels, so 1.7e9 vectors in leaves of LEAF.
+LEAF_SAMPLE = 4096
 BLOCK = 1024
 #: Expected share of linked pairs found, and the share of them that one level of a tree keeps together.
 RECALL = 0.999
@@ -42,13 +47,16 @@ LEVEL = 0.9
 
 
 class Forest:
-    """Per tree, nodes in breadth-first order: direction, lower and upper end of the spill band."""
+    """Per tree, nodes in breadth-first order: direction, lower and upper end of the spill band. Below them, `deeper` levels of one
+    direction each, whose bands are fitted leaf by leaf (split_further)."""
 
     def __init__(self, sample: np.ndarray, total: int, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, seed: int = 11):
         rng = np.random.default_rng(seed)
-        self.depth = max(0, int(np.ceil(np.log2(max(total, 1) / leaf)))) if len(sample) > 1 else 0
-        self.depth = min(self.depth, max(0, int(np.log2(max(len(sample), 1) / 4))))
-        trees = max(trees, int(np.ceil(np.log(1 - RECALL) / np.log(1 - LEVEL**self.depth)))) if self.depth else 1
+        wanted = max(0, int(np.ceil(np.log2(max(total, 1) / leaf)))) if len(sample) > 1 else 0
+        self.depth = min(wanted, max(0, int(np.log2(max(len(sample), 1) / 4))))
+        self.deeper = min(wanted - self.depth, int(np.log2(LEAF_SAMPLE / 4))) if self.depth else 0
+        levels = self.depth + self.deeper
+        trees = max(trees, int(np.ceil(np.log(1 - RECALL) / np.log(1 - LEVEL**levels)))) if levels else 1
         width = sample.shape[1] if sample.ndim == 2 else 0
         inner = 2**self.depth - 1
         self.direction = rng.standard_normal((trees, inner, width)).astype(np.float32)
@@ -61,6 +69,7 @@ class Forest:
                 p = own @ self.direction[t, node].astype(np.float64)
                 self.low[t, node], mid, self.high[t, node] = np.quantile(p, [0.5 - spill / 2, 0.5, 0.5 + spill / 2]) if len(p) else (0.0, 0.0, 0.0)
                 members[2 * node + 1], members[2 * node + 2] = own[p <= mid], own[p > mid]
+        self.further = rng.standard_normal((trees, self.deeper, width)).astype(np.float32)
 
     def leaves(self, x: np.ndarray) -> list[list[int]]:
         """Of each row, its leaves over all trees, ascending; a row in a spill band goes both ways."""
@@ -186,6 +195,60 @@ def _index(forest: Forest, kind: str):
     return run
 
 
+def _projections(forest: Forest, kind: str):
+    last = 2 ** (forest.depth + 1)
+
+    @F.pandas_udf("array<array<float>>")
+    def run(vector: pd.Series, leaves: pd.Series) -> pd.Series:
+        """Of each leaf of a vector, its projections on the further directions of the leaf's tree."""
+        if not len(vector):
+            return pd.Series([])
+        at = np.einsum("ij,tlj->itl", _stack(vector, kind).astype(np.float32), forest.further, optimize=True)
+        return pd.Series([list(at[i, np.asarray(own) // last]) for i, own in enumerate(leaves)])
+
+    return run
+
+
+def _bands(leaf: int, deeper: int, spill: float):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        """Spill bands of one leaf from its sample, nodes in breadth-first order; none if the leaf is small enough."""
+        levels = min(deeper, max(0, int(np.ceil(np.log2(group["count"].iloc[0] / leaf)))))
+        x = np.stack(group["at"].to_numpy())
+        members, low, high = {0: x}, [], []
+        for node in range(2**levels - 1):
+            own = members.pop(node)
+            p = own[:, (node + 1).bit_length() - 1]
+            a, mid, b = np.quantile(p, [0.5 - spill / 2, 0.5, 0.5 + spill / 2]) if len(p) else (0.0, 0.0, 0.0)
+            low.append(np.float32(a))
+            high.append(np.float32(b))
+            members[2 * node + 1], members[2 * node + 2] = own[p <= mid], own[p > mid]
+        return pd.DataFrame({"leaf": group.leaf.iloc[:1], "low": [low], "high": [high]})
+
+    return run
+
+
+def split_further(indexed: DataFrame, forest: Forest, kind: str, leaf: int, spill: float = SPILL) -> DataFrame:
+    """indexed(node, vector, leaves, ...) with leaves split until they hold about `leaf` vectors. Vectors stay where they are: a
+    row of a few projections for each vector and leaf is shuffled, bands are joined to it by leaf."""
+    narrow = indexed.select("node", F.explode(F.arrays_zip("leaves", _projections(forest, kind)("vector", "leaves").alias("at"))).alias("x"))
+    at = materialize(narrow.select("node", F.col("x.leaves").alias("leaf"), F.col("x.at").alias("at")), "projections")
+    first = Window.partitionBy("leaf").orderBy(F.xxhash64("node"), "node")
+    sample = at.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= LEAF_SAMPLE).drop("rn")
+    counts = materialize(at.groupBy("leaf").count(), "counts")
+    sample = sample.join(sized(counts), "leaf").select("leaf", "at", "count")
+    bands = materialize(sample.groupBy("leaf").applyInPandas(_bands(leaf, forest.deeper, spill), "leaf long, low array<float>, high array<float>"), "bands")
+
+    def step(nodes, p):
+        left = lambda n: p <= F.get("high", n)
+        right = lambda n: (p >= F.get("low", n)) | ~left(n)
+        return F.flatten(F.transform(nodes, lambda n: F.array_compact(F.array(F.when(left(n), 2 * n + 1), F.when(right(n), 2 * n + 2)))))
+
+    walked = F.aggregate(F.slice("at", 1, F.floor(F.log2(F.size("low") + 1) + 0.5).cast("int")), F.array(F.lit(0)), step)
+    ends = F.transform(walked, lambda n: F.col("leaf") * 2**forest.deeper + n - F.size("low"))
+    lists = at.join(bands, "leaf").select("node", F.explode(ends).alias("leaf")).groupBy("node").agg(F.array_sort(F.collect_list("leaf")).alias("leaves"))
+    return indexed.drop("leaves").join(lists, "node")
+
+
 def embedding_dedup(embeddings: DataFrame, threshold: float = 0.9, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
     """embeddings(vec_id, embedding) -> vec_id, n_links, component_id, kept; vectors of other lengths are never compared."""
     kind = "f4" if embeddings.schema["embedding"].dataType.elementType.typeName() == "float" else "f8"
@@ -211,7 +274,10 @@ def embedding_dedup(embeddings: DataFrame, threshold: float = 0.9, trees: int =
         own = reps.where(F.col("width") == r["width"])
         picked = _stack(pd.Series([x["vector"] for x in own.orderBy("node").select("vector").limit(sample).collect()]), kind)
         forest = Forest(picked, r["count"], trees, leaf)
-        parts.append(own.select("width", "node", "weight", "vector", _index(forest, kind)("vector").alias("leaves")))
+        indexed = own.select("width", "node", "weight", "vector", _index(forest, kind)("vector").alias("leaves"))
+        if forest.deeper:
+            indexed = split_further(materialize(indexed, "upper"), forest, kind, leaf).select("width", "node", "weight", "vector", "leaves")
+        parts.append(indexed)
     every = parts[0]
     for p in parts[1:]:
         every = every.union(p)

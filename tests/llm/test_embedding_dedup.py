@@ -135,3 +135,51 @@ def test_thousands_of_vectors(spark):
 
 def test_empty_table(spark):
     assert E.embedding_dedup(frame(spark, [])).collect() == []
+
+
+def test_large_leaves_are_split_further(spark):
+    """A sample of 64 tells four levels apart; 1,200 vectors in leaves of 8 need eight: the splits below equal a plain walk."""
+    r = np.random.default_rng(5)
+    rows = []
+    for k in range(400):
+        c = r.standard_normal(16)
+        rows += [(3 * k + i, (c + r.standard_normal(16) * 0.1).astype(np.float32).tolist()) for i in range(3)]
+    x = np.array([v for _, v in rows], np.float32)
+    unit = E._stack([v.tobytes() for v in x], "f4")
+    forest = E.Forest(unit[:64], len(rows), leaf=8)
+    assert (forest.depth, forest.deeper) == (4, 4) and len(forest.direction) >= E.TREES
+    above = forest.leaves(unit)
+    given = spark.createDataFrame([(i, bytearray(v.tobytes()), own) for (i, v, own) in zip(range(len(rows)), x, above, strict=True)], "node long, vector binary, leaves array<long>")
+    got = {r.node: r.leaves for r in E.split_further(given, forest, "f4", 8).collect()}
+
+    inside = {}
+    for i, own in enumerate(above):
+        for n in own:
+            inside.setdefault(n, []).append(i)
+    at = np.einsum("ij,tlj->itl", unit.astype(np.float32), forest.further, optimize=True)
+    sizes, parted, want = [], 0, {i: [] for i in range(len(rows))}
+    for n, members in inside.items():
+        p = at[members, n // 2 ** (forest.depth + 1)]
+        levels = min(forest.deeper, max(0, int(np.ceil(np.log2(len(members) / 8)))))
+        now = [(np.arange(len(members)), np.arange(len(members)))]  # who fits the median of a node, who walks through it
+        for level in range(levels):
+            after = []
+            for fit, walk in now:
+                low, mid, high = np.quantile(p[fit, level], [0.45, 0.5, 0.55]) if len(fit) else (0.0, 0.0, 0.0)
+                left = p[walk, level] <= np.float32(high)
+                right = (p[walk, level] >= np.float32(low)) | ~left
+                side = p[fit, level] <= mid
+                after += [(fit[side], walk[left]), (fit[~side], walk[right])]
+            now = after
+        for sub, (_, walk) in enumerate(now):
+            sizes.append(len(walk))
+            for m in walk:
+                want[members[m]].append(n * 2**forest.deeper + sub)
+    # a projection summed in another order may round to the other side of a band
+    parted = sum(sorted(want[i]) != got[i] for i in want)
+    assert len(got) == len(rows) and parted <= 12 and 3 * max(sizes) < max(map(len, inside.values()))
+
+    found = {r.vec_id: (r.n_links, r.component_id) for r in E.embedding_dedup(frame(spark, rows), leaf=8, sample=64).collect()}
+    true = brute(rows)
+    assert all(found[d][0] <= true[d][0] for d in true) and sum(n for n, _ in found.values()) >= 0.97 * sum(t[0] for t in true.values())
+    assert sum(found[d][1] == true[d][1] for d in true) >= 0.98 * len(true)
