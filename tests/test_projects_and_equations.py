@@ -6,8 +6,8 @@ from quillon.operators import diffs, equations, projects
 def files(spark):
     doc = "\\documentclass{article}\\begin{document}"
     rows = [
-        ("p", "main.tex", doc + "A\\input{sec/one}B\\include{two.tex}C\\input{gone}D"), ("p", "sec/one.tex", "1[\\input{sub}]"), ("p", "sec/sub.tex", "s"),
-        ("p", "two.tex", "2\\input{main}"), ("p", "old/paper.tex", doc), ("q", "x.tex", doc + "only"), ("r", "a.tex", "no class"),
+        ("p", "main.tex", doc + "A\\input{sec/one}B\\include{two.tex}C\\input{gone}D"), ("p", "sec/one.tex", "1[\\input{sec/sub}]"), ("p", "sec/sub.tex", "s"),
+        ("p", "two.tex", "2\\input{main}\n"), ("p", "old/paper.tex", doc), ("q", "x.tex", doc + "only"), ("r", "a.tex", "no class"),
     ]
     return spark.createDataFrame(rows, "project string, path string, text string")
 
@@ -41,7 +41,68 @@ def test_missing(spark):
 def test_flatten(spark):
     doc = "\\documentclass{article}\\begin{document}"
     got = {r.project: r.text for r in projects.flatten(files(spark)).collect()}
-    assert got == {"p": doc + "A1[s]B2% cycle: mainC% missing: goneD", "q": doc + "only"}
+    b = "\\clearpage\n2\\input{main} % not flattened: include cycle, not expanded\n\\clearpage"
+    assert got == {"p": doc + "A1[s]B" + b + "C\\input{gone} % not flattened: file not found\nD", "q": doc + "only"}
+
+
+def article(body, pre=""):
+    return "\\documentclass{article}\n" + pre + "\\begin{document}\n" + body + "\n\\end{document}\n"
+
+
+def test_flattened_projects(spark):
+    """What brings in what, by project: expected text, files in the order read, notes."""
+    child = "\\documentclass[../main]{subfiles}\n\\begin{document}\nBody A.\n\\end{document}\n"
+    bbl = "\\begin{thebibliography}{1}\n\\bibitem{a} A.\n\\end{thebibliography}"
+    kept = article("% \\input{gone}\n\\begin{verbatim}\n\\input{gone}\n\\end{verbatim}\n\\begin{comment}\\input{gone}\\end{comment}\n\\verb|\\input{gone}|")
+    macro = article("x", "\\newcommand{\\inc}[1]{\\input{#1}}\n")
+    cases = {
+        "nested": ({"main.tex": article("\\input{sections/intro}\n\\input sections/method.tex\nEnd."), "sections/intro.tex": "Intro \\input{sections/deep}\n", "sections/deep.tex": "Deep.", "sections/method.tex": "Method."}, article("Intro Deep.\nMethod.\nEnd."), []),
+        "include": ({"main.tex": article("\\include{ch1}"), "ch1.tex": "One."}, article("\\clearpage\nOne.\n\\clearpage"), []),
+        "alike": ({"main.tex": article("\\includeonly{x}\\includegraphics{x}"), "x.tex": "BAD"}, article("\\includeonly{x}\\includegraphics{x}"), []),
+        "subfile": ({"main.tex": article("\\subfile{s/a}"), "s/a.tex": child}, article("Body A."), []),
+        "import": ({"paper/main.tex": article("\\import{chap/}{c1}"), "paper/chap/c1.tex": "C1 \\input{part} \\subimport{sub/}{x}", "paper/chap/part.tex": "P", "paper/chap/sub/x.tex": "X"}, article("C1 P X"), []),
+        "dots": ({"main.tex": article("\\input{./a/../b}"), "b.tex": "B"}, article("B"), []),
+        "literal": ({"main.tex": kept, "gone.tex": "IN"}, kept, []),
+        "macro": ({"main.tex": macro}, macro, []),
+        "missing": ({"main.tex": article("\\input{nope} after")}, article("\\input{nope} % not flattened: file not found\n after"), [("main.tex", 3, "nope", "file not found")]),
+        "cycle": ({"main.tex": article("\\input{a}"), "a.tex": "A\n\\input{b}", "b.tex": "B \\input{a}"}, article("A\nB \\input{a} % not flattened: include cycle, not expanded"), [("b.tex", 1, "a", "include cycle, not expanded")]),
+        "bbl": ({"main.tex": article("Text.\n\\bibliographystyle{plain}\n\\bibliography{refs}"), "main.bbl": bbl + "\n"}, article("Text.\n" + bbl), []),
+        "no bbl": ({"main.tex": article(" \\bibliographystyle{plain}\n\\bibliography{refs}")}, article(" \\bibliographystyle{plain}\n\\bibliography{refs}"), []),
+        "two bbl": ({"main.tex": article("\\bibliography{refs}"), "a.bbl": "a", "b.bbl": "b"}, article("\\bibliography{refs}"), []),
+        "empty": ({"main.tex": article("x \\input{a}|"), "a.tex": "y \\input{b}\n", "b.tex": None}, article("x y|"), []),
+        "no main": ({"a.txt": "x"}, None, []),
+    }
+    rows = [(k, p, x, "clash") for k, (texts, _, _) in cases.items() for p, x in texts.items()] + [(None, "main.tex", article("x"), ""), ("null", None, article("x"), ""), ("dots", "./b.tex", "A", "")]
+    got = {r.project: r for r in projects.flatten(spark.createDataFrame(rows, "project string, path string, text string, main string")).collect()}
+    assert {k: r.text for k, r in got.items()} == {k: want for k, (_, want, _) in cases.items() if want is not None}
+    assert {k: [tuple(n) for n in r.notes] for k, r in got.items()} == {k: notes for k, (_, want, notes) in cases.items() if want is not None}
+    assert got["nested"].inlined == ["main.tex", "sections/intro.tex", "sections/deep.tex", "sections/method.tex"] and got["import"].main == "paper/main.tex"
+    assert projects.flatten(spark.createDataFrame([], "project string, path string, text string")).collect() == []
+
+
+def test_long_files_are_flattened(spark):
+    body = "a {b} 50\\% % c\n" * 20_000 + "\\verb|" + "x" * 100_000 + "|" + " " * 100_000
+    rows = [("p", "main.tex", article("\\input{a}")), ("p", "a.tex", body)]
+    assert [r.text for r in projects.flatten(spark.createDataFrame(rows, "project string, path string, text string")).collect()] == [article(body.rstrip())]
+
+
+def test_figures(spark):
+    text = article("\\includegraphics[width=\\linewidth]{plot}\n\\includegraphics{other.png}\n\\includegraphics{missing} % \\includegraphics{note}\n\\includegraphics{#1}", "\\graphicspath{{figs/}}\n")
+    flat = spark.createDataFrame([("p", "main.tex", text), ("q", "m.tex", "none")], "project string, main string, text string")
+    paths = spark.createDataFrame([("p", "figs/plot.pdf"), ("p", "figs/plot.png"), ("p", "./other.png"), ("q", "missing.pdf")], "project string, path string")
+    assert sorted((r.project, r.reference, r.path) for r in projects.figures(flat, paths).collect()) == [("p", "missing", None), ("p", "other.png", "other.png"), ("p", "plot", "figs/plot.pdf")]
+
+
+def test_prepared_sources(spark):
+    rows = [
+        ("many", "main.tex", b"M"), ("many", "sec/a.txt", b"A"), ("many", "f.png", b"\x89PNG"), ("single", "2301.12345.gz", b"S"), ("pdf", "x", b"%PDF-1.5"), ("empty", "x", b""), ("empty", "y", None),
+        ("page", "p.tex", b" <!DOCTYPE html>"), ("page", "f.png", b"x"), ("txt", "readme.txt", b"hello"), ("two", "a.pdf", b"%PDF-1"), ("two", "b.txt", b"b"), (None, "a.TEX", b"\xff"), (None, None, b"z"),
+    ]
+    got = projects.prepared_sources(spark.createDataFrame([(*r, "x") for r in rows], "package string, path string, data binary, error string")).collect()
+    assert sorted([tuple(r) for r in got], key=str) == sorted([
+        ("many", "main.tex", "M", 1, None), ("many", "sec/a.txt", "A", 1, None), ("single", "2301.12345.tex", "S", 0, None), ("pdf", None, None, None, "pdf only"), ("empty", None, None, None, "empty"),
+        ("page", None, None, None, "web page"), ("txt", None, None, None, "no tex"), ("two", None, None, None, "pdf only"), (None, "a.TEX", "\ufffd", 1, None),
+    ], key=str)
 
 
 def test_paths(spark):
