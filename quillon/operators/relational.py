@@ -185,3 +185,19 @@ def reassemble(parts: DataFrame, key: str, order: str, text: str, glue: str = ""
 def score(terms: list[tuple[Column, float]]) -> Column:
     """Sum of the weights whose evidence holds."""
     return reduce(lambda a, b: a + b, [F.when(c, w).otherwise(0) for c, w in terms])
+
+
+def edited(texts: DataFrame, edits: DataFrame, key: str, text: str) -> DataFrame:
+    """texts(key, text, ...) with edits(key, start, end, replacement) done: the code points from start to before end, counted from 0, become the
+    replacement. All are meant for the text as given. An edit that starts before an earlier one (by start, end, replacement) ends
+    is not done (be that one done or not), and none with a null, a start below 0 or an end before its start; what lies past the text's end is cut. The
+    edits of a key are pre-aggregated to small structs, texts are joined once and stay in their rows; a null text stays null."""
+    e = edits.select(key, F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "replacement").where("start >= 0 and end >= start and replacement is not null")
+    before = Window.partitionBy(key).orderBy("start", "end", "replacement").rowsBetween(Window.unboundedPreceding, -1)
+    e = e.withColumn("_past", F.max("end").over(before)).where("_past is null or start >= _past")
+    lists = e.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "replacement"))).alias("_e"))
+    done = texts.join(lists, key, "left")
+    until = lambda i: F.when(i == 0, 0).otherwise(F.get(F.col("_e"), i - 1)["end"])
+    parts = F.transform("_e", lambda x, i: F.concat(F.substring(F.col(text), until(i) + 1, x["start"] - until(i)), x["replacement"]))
+    rest = F.expr(f"substring(`{text}`, element_at(_e, -1).end + 1)")
+    return done.withColumn(text, F.when(F.col("_e").isNull() | F.col(text).isNull(), F.col(text)).otherwise(F.concat(F.array_join(parts, ""), rest))).drop("_e")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.functions import latex, records, text
-from quillon.operators import bibliography, correspondence, derivations, diffs, equations, search, symbols, timing, venues
+from quillon.operators import bibliography, correspondence, derivations, diffs, equations, projects, search, symbols, timing, venues
 from quillon.operators import relational as R
 from quillon.operators.tables import durable, new_step
 from quillon.plans.registry import query, spelled
@@ -704,3 +704,62 @@ spelled(
 def wiped_scope(t):
     """Everything of one scope removed, by the prefix of its keys."""
     return R.without_scope(t("customer"), "c_name", "Customer#00000001").select("c_custkey", "c_name")
+
+
+#: Of the texts of documents: as they are brought in, without white space around (a first line break, and all at the end).
+_BROUGHT = "rtrim(regexp_replace(text, '^' || chr(10), ''), ' ' || chr(9) || chr(10) || chr(13))"
+
+
+def _projects(t) -> DataFrame:
+    """Each document as a project of five files: its text is a chapter two folders down, brought in by an import; there is a missing
+    file, a chapter that would bring in the main file again, and compiled references."""
+    d = _spread(t("documents").select("doc_id", "text"))
+    k = F.col("doc_id").cast("string")
+    main = "\\documentclass{article}\n\\graphicspath{{figs/}}\n\\begin{document}\n\\import{parts/}{first}\n\\include{last}\n\\includegraphics{plot}\n\\bibliographystyle{plain}\n\\bibliography{refs}\n\\end{document}\n"
+    files = {
+        "main.tex": F.lit(main), "parts/first.tex": F.concat(F.lit("Part "), k, F.lit(": \\input{deep/text} % \\input{never}\n\\input gone\nends\n\n")), "parts/deep/text.tex": F.col("text"),
+        "last.tex": F.concat(F.lit("Last "), k, F.lit("\n\\input{main}")), "refs.bbl": F.concat(F.lit("[1] "), k, F.lit("\n")),
+    }
+    rows = F.explode(F.array(*[F.struct(F.lit(p).alias("path"), x.alias("text")) for p, x in files.items()]))
+    return d.select(F.col("doc_id").alias("project"), rows.alias("x")).select("project", "x.*")
+
+
+@query(f"""
+    select doc_id as project, 'main.tex' as main, md5(x) as text_md5, length(x) as n_chars, 'main.tex,parts/first.tex,parts/deep/text.tex,last.tex' as inlined, 'parts/first.tex:2 parts/gone file not found;last.tex:2 main include cycle, not expanded' as notes
+    from (select doc_id, {B} || 'documentclass{{article}}' || {NL} || {B} || 'graphicspath{{{{figs/}}}}' || {NL} || {B} || 'begin{{document}}' || {NL} || 'Part ' || doc_id || ': ' || {_BROUGHT} || ' % ' || {B} || 'input{{never}}' || {NL}
+        || {B} || 'input gone % not flattened: file not found' || {NL} || 'ends' || {NL} || {B} || 'clearpage' || {NL} || 'Last ' || doc_id || {NL} || {B} || 'input{{main}} % not flattened: include cycle, not expanded' || {NL} || {B} || 'clearpage' || {NL}
+        || {B} || 'includegraphics{{plot}}' || {NL} || '[1] ' || doc_id || {NL} || {B} || 'end{{document}}' || {NL} as x from (select doc_id, coalesce(text, '') as text from documents))""")
+def flattened_projects(t):
+    """A project of each document, its whole text among the files, as one text."""
+    flat = projects.flatten(_projects(t))
+    note = F.transform("notes", lambda x: F.concat(x["path"], F.lit(":"), x["line"].cast("string"), F.lit(" "), x["target"], F.lit(" "), x["note"]))
+    return flat.select("project", "main", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.length("text").cast("long").alias("n_chars"), F.array_join("inlined", ",").alias("inlined"), F.array_join(note, ";").alias("notes"))
+
+
+@query("select doc_id as project, 'plot' as reference, case when doc_id % 3 = 0 then 'figs/plot.pdf' when doc_id % 3 = 1 then 'plot.png' end as path from documents")
+def project_figures(t):
+    """The figure that each of those projects shows, beside the main file, in a folder of figures, or missing."""
+    d = t("documents").select(F.col("doc_id").alias("project"))
+    at = F.when(F.col("project") % 3 == 0, "figs/./plot.pdf").when(F.col("project") % 3 == 1, "plot.png").otherwise("else/plot.png")
+    also = d.select("project", F.explode(F.array(at, F.lit("figs/plot.eps"), F.lit("notes.pdf"))).alias("path")).where("project % 3 = 0 or path <> 'figs/plot.eps'")
+    shown = _projects(t).where("path = 'main.tex'").select("project", F.col("path").alias("main"), "text")
+    return projects.figures(shown, also)
+
+
+@query("""
+    select doc_id as package, case doc_id % 5 when 0 then 'main.tex' when 1 then 'paper.' || doc_id || '.tex' end as path, case when doc_id % 5 < 2 then md5(coalesce(text, '')) end as text_md5,
+        case doc_id % 5 when 0 then 1 when 1 then 0 end as n_binary, case when doc_id % 5 = 2 or (doc_id % 5 = 1 and coalesce(text, '') = '') then 'pdf only' when doc_id % 5 = 3 then 'web page' when doc_id % 5 = 4 then 'no tex' end as error from documents""")
+def prepared_packages(t):
+    """A package of each document: its text beside a figure, or alone and compressed by name, a PDF only, a web page, notes without a paper."""
+    kind = F.col("doc_id") % 5
+    d = _spread(t("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    file = lambda path, data: F.struct(path.alias("path"), data.cast("binary").alias("data"))
+    members = (
+        F.when(kind == 0, F.array(file(F.lit("main.tex"), F.col("text")), file(F.lit("f.png"), F.lit("PNG"))))
+        .when(kind == 1, F.array(file(F.concat(F.lit("paper."), F.col("doc_id").cast("string"), F.lit(".gz")), F.when(F.col("text") == "", "%PDF-").otherwise(F.col("text")))))
+        .when(kind == 2, F.array(file(F.lit("a.pdf"), F.concat(F.lit("%PDF-1.5 "), "text")), file(F.lit("b.txt"), F.col("text"))))
+        .when(kind == 3, F.array(file(F.lit("p.tex"), F.concat(F.lit(" <!DOCTYPE html>"), "text"))))
+        .otherwise(F.array(file(F.lit("readme.txt"), F.col("text")), file(F.lit("f.png"), F.lit("PNG"))))
+    )
+    got = projects.prepared_sources(d.select(F.col("doc_id").alias("package"), F.explode(members).alias("x")).select("package", "x.*"))
+    return got.select("package", "path", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.col("n_binary").cast("int").alias("n_binary"), "error")

@@ -378,6 +378,26 @@ def apply_edits(t):
     return t("part").select("p_partkey", F.concat(F.substring("p_name", 1, 2), F.lit("<"), F.substring("p_name", 3, 2), F.lit(">"), F.expr("substring(p_name, 5)")).alias("edited"))
 
 
+@query("""
+    with e as (select doc_id, k, '<' || k || ':' || substr(text, 40 * k + 1, 3) || '>' || substr(text, 40 * k + 6, 35) as piece
+        from (select doc_id, text, unnest(range(length(text) // 40)) as k from documents)),
+    j as (select doc_id, string_agg(piece, '' order by k) as front from e group by doc_id)
+    select d.doc_id, md5(coalesce(front, '') || substr(text, 40 * (length(text) // 40) + 1)) as edited_md5, length(coalesce(front, '') || substr(text, 40 * (length(text) // 40) + 1)) as n_chars
+    from documents d left join j on d.doc_id = j.doc_id""")
+def edited_documents(t):
+    """A table of edits done on whole texts: in each full stretch of 40 characters the first five are marked and two of them go; edits
+    that overlap an earlier one are not done."""
+    d = t("documents").select("doc_id", "text")
+    k = F.explode(F.sequence(F.lit(0), F.floor(F.length("text") / 40).cast("int") - 1))
+    each = d.where("length(text) >= 40").select("doc_id", "text", k.alias("k"))
+    mark = F.concat(F.lit("<"), F.col("k").cast("string"), F.lit(":"), F.substring("text", 40 * F.col("k") + 1, F.lit(3)), F.lit(">"))
+    e = each.select("doc_id", F.explode(F.array(
+        F.struct((40 * F.col("k")).alias("start"), (40 * F.col("k") + 5).alias("end"), mark.alias("replacement")),
+        F.struct((40 * F.col("k") + 4).alias("start"), (40 * F.col("k") + 9).alias("end"), F.lit("overlaps").alias("replacement")),
+    )).alias("x")).select("doc_id", "x.*")
+    return R.edited(d, e, "doc_id", "text").select("doc_id", F.md5(F.col("text").cast("binary")).alias("edited_md5"), F.length("text").cast("long").alias("n_chars"))
+
+
 @query("select doc_id, left(text, 240) as preview from documents")
 def generated_preview(t):
     """R44."""
