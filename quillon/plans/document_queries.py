@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.functions import latex, records, text
-from quillon.operators import bibliography, correspondence, derivations, diffs, equations, projects, search, symbols, timing, venues
+from quillon.operators import bibliography, blocks, correspondence, derivations, diffs, equations, projects, search, symbols, timing, venues
 from quillon.operators import relational as R
 from quillon.operators.tables import durable, new_step
 from quillon.plans.registry import query, spelled
@@ -763,3 +763,26 @@ def prepared_packages(t):
     )
     got = projects.prepared_sources(d.select(F.col("doc_id").alias("package"), F.explode(members).alias("x")).select("package", "x.*"))
     return got.select("package", "path", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.col("n_binary").cast("int").alias("n_binary"), "error")
+
+
+#: What follows the text of each document in `document_blocks`.
+_AFTER = (
+    "\n\\begin{table*}\\small\\resizebox{1cm}{!}{\\begin{tabular}{lr}{k} & b\\end{tabular}}\\end{table*} \\begin{array}{c}w\\end{array}"
+    "\n\\begin{equation}\\begin{array}{c}{k}\\end{array}\\end{equation} % $$n$$\n{\\tiny \\[ {k} \\]}"
+)
+
+
+@query(f"""
+    with d as (select doc_id, translate(coalesce(text, ''), '{{}}$%' || {B}, '') || replace('{_AFTER.replace(chr(10), chr(31))}', '{{k}}', cast(doc_id as varchar)) as x from documents),
+    b as (select doc_id, replace(x, chr(31), {NL}) as x, unnest([
+        {{'env': 'tabular', 'kind': 'tabular', 'spec': 'lr', 'wide': true, 'scaled': true, 'size': 'small', 'a': {B} || 'begin{{tabular}}', 'z': {B} || 'end{{tabular}}'}},
+        {{'env': 'equation', 'kind': 'equation', 'spec': null, 'wide': false, 'scaled': false, 'size': null, 'a': {B} || 'begin{{equation}}', 'z': {B} || 'end{{equation}}'}},
+        {{'env': {B} || '[', 'kind': 'display', 'spec': null, 'wide': false, 'scaled': false, 'size': 'tiny', 'a': {B} || '[', 'z': {B} || ']'}}]) as e from d)
+    select doc_id, cast(strpos(x, e.a) - 1 as int) as start, cast(strpos(x, e.z) - 1 + length(e.z) as int) as "end", e.env as env, e.kind as kind, e.spec as spec, e.wide as wide, e.wide as in_float, e.scaled as scaled, e.size as size from b""")
+def document_blocks(t):
+    """Blocks of each document, its whole text (without what LaTeX reads as more than characters) before a scaled table in a wide
+    float, an array outside of any, an equation that holds one, a formula in a comment and one in small print."""
+    d = _spread(t("documents").select("doc_id", "text"))
+    plain = F.translate(F.coalesce("text", F.lit("")), "{}$%\\", "")
+    text = F.concat(plain, F.replace(F.lit(_AFTER), F.lit("{k}"), F.col("doc_id").cast("string")))
+    return blocks.blocks(d, "doc_id", text).select("doc_id", "start", "end", "env", "kind", "spec", "wide", "in_float", "scaled", "size")
