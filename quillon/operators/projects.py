@@ -111,7 +111,6 @@ def flatten(files: DataFrame) -> DataFrame:
     """
     files = files.where("project is not null and path is not null").groupBy("project", normal_path(F.col("path")).alias("path")).agg(F.coalesce(F.max("text"), F.lit("")).alias("text"))
     files = durable(files)
-    cut = durable(pieces(files))
     known = files.select("project", "path")
     main = main_files(files).select("project", F.col("path").alias("main"))
     bbl = files.where(F.lower("path").endswith(".bbl")).join(main, "project")
@@ -119,6 +118,9 @@ def flatten(files: DataFrame) -> DataFrame:
     bbl = bbl.groupBy("project").agg(F.coalesce(F.max(F.when(own, F.col("path"))), F.when(F.count("*") == 1, F.max("path"))).alias("path"))
     main = durable(main.join(bbl.where("path is not null").select("project", F.col("path").alias("bbl")), "project", "left"))
     references = files.join(main.select("project", F.col("bbl").alias("path")), ["project", "path"]).select("project", _trimmed("text").alias("references"))
+    cut = pieces(files)
+    cut = cut.join(references.withColumnRenamed("project", "of"), (F.col("project") == F.col("of")) & F.col("command").isin("bibliography", "bibliographystyle"), "left")
+    cut = durable(cut.withColumn("raw", F.when(F.col("of").isNull(), F.col("raw")).when(F.col("command") == "bibliography", F.col("references")).otherwise("")).drop("of", "references"))
 
     root = _folder(F.col("main"))
     now = main.select("project", F.array().cast("array<int>").alias("at"), F.col("main").alias("path"), F.lit(False).alias("body"), root.alias("base"), root.alias("root"), F.array("main").alias("seen"))
@@ -136,9 +138,8 @@ def flatten(files: DataFrame) -> DataFrame:
 
     inner, spent = None, []
     for depth, rows in reversed(list(enumerate(levels))):
-        rows = rows.join(main.select("project", "bbl"), "project").join(references, "project", "left")
         kept = F.concat("raw", F.lit(" % not flattened: "), F.col("note"), F.when(~F.col("next").isin("\n", ""), "\n").otherwise(""))
-        literal = F.when(F.col("note").isNotNull(), kept).when((F.col("command") == "bibliography") & F.col("bbl").isNotNull(), F.col("references")).when((F.col("command") == "bibliographystyle") & F.col("bbl").isNotNull(), "").otherwise(F.col("raw"))
+        literal = F.when(F.col("note").isNotNull(), kept).otherwise(F.col("raw"))
         if inner is not None:
             rows = rows.withColumn("under", F.array_append("at", F.col("i"))).join(inner.select("project", F.col("at").alias("under"), "text"), ["project", "under"], "left")
             paged = F.when((F.col("command") == "include") | F.col("command").endswith("includefrom"), F.concat(F.lit("\\clearpage\n"), "text", F.lit("\n\\clearpage"))).otherwise(F.col("text"))
