@@ -5,7 +5,8 @@ token, the list of B tokens that it overlaps. A gap between tokens that no token
 there an A and a B token end together, and these two are linked. Both tokenizers are first applied to the text as a whole or, where
 that cannot differ, to the runs of a text that begin at a space after a character that is no white space: byte-level BPE
 splits there, and no piece of the other model has a space after anything else (looked up in the model; if one has, whole texts
-are encoded). Runs repeat, so a worker keeps tokens and groups of up to CACHE of them.
+are encoded). Runs repeat, so a worker keeps tokens and groups of up to CACHE of them, each packed into one byte string, in two
+generations: when the younger is full it becomes the elder, and what is met again moves from there into the next.
 
 How often a pair of ids is linked is counted over all documents. Linked tokens end at the same byte, so the bytes of one are a suffix
 of the other's: pairs are at most about as many as the vocabularies have bytes, however large the corpus is. That bounds
@@ -32,8 +33,8 @@ from quillon.llm.common import bounded_batches, discard, materialize
 from quillon.llm.plane_ids import byte_letters
 
 SPACE = "▁"
-#: Runs a worker remembers, their characters, and characters of text at a time.
-CACHE, CACHE_CHARS, CHUNK = 500_000, 64, 1 << 20
+#: Runs a worker remembers, their characters, characters of text at a time, and runs encoded at a time.
+CACHE, CACHE_CHARS, CHUNK, LEARN = 500_000, 64, 1 << 20, 4_000
 _AFTER_SPACE = re.compile(r"\s ").search
 
 DOC = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, links_a binary, links_b binary"
@@ -45,13 +46,19 @@ def overlaps(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.searchsorted(b_ends, begins, "right"), np.searchsorted(b_ends, a_ends, "left")
 
 
-class Run:
-    """The tokens of one run of text."""
+def packed(n_a: int, n_b: int, groups: str, a: bytes, b: bytes) -> bytes:
+    """One run: counts of its tokens and links, the ids of the links, its groups with a semicolon behind each."""
+    return np.array([n_a, n_b, len(a) // 4], "<u4").tobytes() + a + b + groups.encode() + b";"
 
-    __slots__ = ("n_a", "n_b", "groups", "a", "b")
 
-    def __init__(self, n_a: int, n_b: int, groups: str, a: bytes, b: bytes):
-        self.n_a, self.n_b, self.groups, self.a, self.b = n_a, n_b, groups, a, b  # a, b: ids of the links
+def unpacked(runs: list[bytes]) -> tuple[int, int, bytes, bytes, bytes]:
+    """n_a, n_b, groups, a, b of runs in a row."""
+    sizes, data = np.fromiter(map(len, runs), np.int64, len(runs)), np.frombuffer(b"".join(runs), np.uint8)
+    head = data[(np.cumsum(sizes) - sizes)[:, None] + np.arange(12)].view("<u4").astype(np.int64)
+    ids = 4 * head[:, 2]
+    part = np.repeat(np.tile(np.arange(4, dtype=np.uint8), len(runs)), np.column_stack([np.full(len(runs), 12), ids, ids, sizes - 12 - 2 * ids]).ravel())
+    a, b, groups = (data[part == k].tobytes() for k in (1, 2, 3))
+    return int(head[:, 0].sum()), int(head[:, 1].sum()), groups[:-1], a, b
 
 
 class Aligner:
@@ -74,7 +81,8 @@ class Aligner:
         lone = self.b.piece_to_id(SPACE)
         self.lone = [lone] if self.b.id_to_piece(lone) == SPACE else None
         self.by_runs = self.lone is not None and not any(SPACE in p.lstrip(SPACE) for p in pieces)
-        self.known: dict[str, Run | None] = {}
+        self.known: dict[str, bytes | None] = {}
+        self.elder: dict[str, bytes | None] = {}
 
     def _split(self, text: str) -> list[str]:
         """The runs of a text, each without the one space that it begins with."""
@@ -91,11 +99,11 @@ class Aligner:
                 out.append(p)
         return out
 
-    def _learn(self, runs: list[str]) -> list[Run | None]:
-        """Tokens and groups of runs; None where the tokens do not spell the run."""
+    def _learn(self, runs: list[str]) -> list[bytes | None]:
+        """Tokens and groups of runs, packed; None where the tokens do not spell the run."""
         a_ids = [e.ids for e in self.a.encode_batch([" " + r for r in runs], add_special_tokens=False)]
         b_ids = self.b.encode(runs, num_threads=1)
-        out: list[Run | None] = [None] * len(runs)
+        out: list[bytes | None] = [None] * len(runs)
         good, a_of, b_of = [], [], []
         for k, (r, x, y) in enumerate(zip(runs, a_ids, b_ids, strict=True)):
             y = y or self.lone
@@ -120,20 +128,23 @@ class Aligner:
         of = np.searchsorted(a_cut, np.cumsum([len(x) for x in a_of]), "right").tolist()  # runs end at boundaries
         first = 0
         for k, x, y, g in zip(good, a_of, b_of, of, strict=True):
-            out[k] = Run(len(x), len(y), ";".join(groups[first:g]), link_a[4 * first : 4 * g], link_b[4 * first : 4 * g])
+            out[k] = packed(len(x), len(y), ";".join(groups[first:g]), link_a[4 * first : 4 * g], link_b[4 * first : 4 * g])
             first = g
         return out
 
-    def _many(self, parts: list[list[str]]) -> list[list[Run | None]]:
+    def _many(self, parts: list[list[str]]) -> list[list[bytes | None]]:
         need = set().union(*parts)
-        if len(new := need - self.known.keys()) + len(self.known) > CACHE:
-            self.known, new = {}, need
-        listed = list(new)
-        for k in range(0, len(listed), 20_000):
-            self.known.update(zip(listed[k : k + 20_000], self._learn(listed[k : k + 20_000]), strict=True))
+        new = [r for r in need if r not in self.known]
+        if len(new) + len(self.known) > CACHE // 2:
+            self.elder, self.known, new = self.known, {}, list(need)
+        met = [r for r in new if r in self.elder]
+        self.known.update(zip(met, map(self.elder.__getitem__, met), strict=True))
+        listed = [r for r in new if r not in self.elder]
+        for k in range(0, len(listed), LEARN):
+            self.known.update(zip(listed[k : k + LEARN], self._learn(listed[k : k + LEARN]), strict=True))
         get = self.known.__getitem__
         out = [list(map(get, p)) for p in parts]
-        for r in new:
+        for r in listed:
             if len(r) > CACHE_CHARS:
                 del self.known[r]
         return out
@@ -147,10 +158,9 @@ class Aligner:
                 if not runs or None in runs:
                     out.append((0, 0, 0, 0, "", b"", b""))
                     continue
-                groups = ";".join([r.groups for r in runs])
-                a, b = b"".join([r.a for r in runs]), b"".join([r.b for r in runs])
+                n_a, n_b, groups, a, b = unpacked(runs)
                 n = len(a) // 4
-                out.append((sum([r.n_a for r in runs]), sum([r.n_b for r in runs]), n, n, hashlib.sha256(groups.encode()).hexdigest() if digest else groups, a, b))
+                out.append((n_a, n_b, n, n, hashlib.sha256(groups).hexdigest() if digest else groups.decode(), a, b))
             waiting.clear()
 
         for text in texts:

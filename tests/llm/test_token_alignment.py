@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -72,6 +73,25 @@ def test_whole_texts_too(libraries):
         assert row[4] == ";".join(plain(text, *libraries)[2])
 
 
+def test_a_worker_remembers_compactly_and_what_comes_again(monkeypatch):
+    aligner = A.Aligner(*PATHS)
+    rows = [" ".join(f"w{k}x{j}" for j in range(100)) for k in range(50)]
+    tracemalloc.start()
+    aligner.texts(rows, True)
+    runs = [r for t in rows for r in t.split(" ")]
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(aligner.known) == len(set(runs)) and kept / len(aligner.known) < 300
+    monkeypatch.setattr(A, "CACHE", 400)
+    monkeypatch.setattr(A, "CHUNK", 1)
+    learnt, learn = Counter(), aligner._learn
+    monkeypatch.setattr(aligner, "_learn", lambda runs: (learnt.update(runs), learn(runs))[1])
+    aligner.known.clear()
+    got = aligner.texts([f"the {t} end" for t in rows], False)
+    assert [r[4] for r in got] == [";".join(r[4] for r in aligner.texts(["the", t, "end"], False)) for t in rows]
+    assert learnt["the"] == 1 and len(aligner.known) + len(aligner.elder) <= 400
+
+
 def test_overlaps_are_those_of_a_plain_scan():
     rnd = np.random.default_rng(2)
     for _ in range(200):
