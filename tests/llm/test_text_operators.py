@@ -286,6 +286,45 @@ def test_ranking_equals_a_plain_fit_and_score(spark):
     assert np.allclose(got, want, atol=1e-3)
 
 
+def test_ranking_is_fitted_on_all_rows_and_all_pairs(spark):
+    r = np.random.default_rng(4)
+    width, n, m = len(quality_classifier.FEATURES), 150, 111
+    x = np.round(np.vstack([r.random((n, width)), r.random((m, width)) + np.eye(width)[3] * 0.7]), 2)
+    x[-1, 5] = 400.0  # one far out
+    df = spark.createDataFrame([(i, v, int(i < n)) for i, v in enumerate(x.tolist())], "doc_id long, x array<double>, quality int").repartition(3)
+    model = quality_classifier.train(df.select("doc_id", "x"), df.select("doc_id", "quality"), ridge=1e-3)
+    # the plain way: every pair spelt out, Newton's steps
+    both = np.hstack([x, np.sqrt(x)])
+    z = (both - both.mean(0)) / both.std(0)
+    d = (z[:n, None] - z[None, n:]).reshape(-1, 2 * width)
+    w = np.zeros(2 * width)
+    for _ in range(40):
+        p = 1 / (1 + np.exp(d @ w))
+        w += np.linalg.solve(d.T @ (d * (p * (1 - p))[:, None]) / len(d) + 1e-3 * np.eye(len(w)), d.T @ p / len(d) - 1e-3 * w)
+    assert np.allclose(model.weights, w, atol=1e-6)
+    s = np.sort(z @ w)
+    assert np.isclose(model.threshold, (s[m - 1] + s[m]) / 2, atol=1e-5) and np.isclose(model.scale, np.median(np.abs(s - model.threshold)) / 3, atol=1e-5)
+
+
+def test_rows_beyond_ten_thousand_of_a_label_count(spark):
+    # two kinds of bad rows; of 21,000 each, none may be left out: mean, spread and threshold are those of all rows
+    x = F.array(*[((F.col("id") * (k + 3)) % 101 / 101.0) + F.when((F.col("id") % 3 == 0) & (k == F.col("id") % 2), 1.0).otherwise(0.0) for k in range(len(quality_classifier.FEATURES))])
+    df = spark.range(63_000).select(F.col("id").alias("doc_id"), x.alias("x"), (F.col("id") % 3 != 0).cast("int").alias("quality"))
+    model = quality_classifier.train(df.select("doc_id", "x"), df.select("doc_id", "quality"))
+    values = np.array([r.x for r in df.select("x").collect()])
+    assert np.allclose(model.mean[: values.shape[1]], values.mean(0), atol=1e-9) and np.allclose(model.std[: values.shape[1]], values.std(0), atol=1e-9)
+    s = np.sort((np.hstack([values, np.sqrt(values)]) - model.mean) / model.std @ np.array(model.weights))
+    assert np.isclose(model.threshold, (s[20_999] + s[21_000]) / 2, atol=1e-9)
+
+
+def test_values_at_ranks(spark):
+    r = np.random.default_rng(3)
+    for values in ([1.0], [2.0] * 5, [0.0, 1e-300, 1e300], np.round(r.normal(size=400), 1).tolist(), (r.normal(size=300) ** 9).tolist()):
+        df, s = spark.createDataFrame([(v,) for v in values], "v double"), sorted(values)
+        for rank in {0, len(s) // 2, max(len(s) - 2, 0)}:
+            assert quality_classifier.at_rank(df, rank) == [s[rank], s[min(rank + 1, len(s) - 1)]]
+
+
 def test_repeated_rows_labels_and_long_texts(spark):
     docs, labels = corpus(spark, 60)
     long = spark.createDataFrame([(7, "word " * 200_000, "en", 1), (7, "word " * 200_000, "en", 1)], docs.schema)
