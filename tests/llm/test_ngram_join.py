@@ -1,9 +1,12 @@
 import random
+import time
 from fractions import Fraction
+from pathlib import Path
 
 import pytest
 
 from quillon.llm import ngram_join as N
+from quillon.llm.common import CLEANUP
 
 SPACE = " \t\n\r\x0b\x0c"
 
@@ -86,3 +89,26 @@ def test_large_group_crosses_blocks(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert N.ngram_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_shuffle_files_go_with_each_table(spark, monkeypatch):
+    """Those of one step must not lie beside those of the next, whenever the driver collects its garbage."""
+    folders = [Path(str(x)) for x in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for d in folders for f in d.rglob("shuffle_*.data")}
+    before, kept, left, plain = files(), spark.conf.get(CLEANUP), {}, N.materialize
+
+    def watched(df, name):
+        out = plain(df, name)
+        until = time.time() + 5  # Spark removes them in the background
+        while (now := files() - before) and time.time() < until:
+            time.sleep(0.05)
+        left[name] = len(now)
+        return out
+
+    monkeypatch.setattr(N, "materialize", watched)
+    rows = corpus(4)
+    got = N.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, Fraction(4, 5))
+    assert {"met", "shared", "left"} <= set(left)
+    assert {k: left[k] for k in ("met", "shared", "left")} == {"met": 0, "shared": 0, "left": 0}
+    assert spark.conf.get(CLEANUP) == kept
+    assert sorted(tuple(r) for r in got.collect()) == sorted(brute(rows, 5, Fraction(4, 5)))
