@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections.abc import Iterator
 from itertools import accumulate
 
 import pandas as pd
@@ -26,7 +27,7 @@ INNER = ("split", "aligned", "gathered", "array", "matrix", "pmatrix", "bmatrix"
 NUMBERED = ("equation", "align", "gather", "multline", "alignat", "flalign", "eqnarray")
 DISPLAY_ENVS = STANDALONE + INNER
 
-_OPENER = re.compile(r"(?m:^)```|`|\\\[|\\\(|\\begin\{([A-Za-z]+)(\*?)\}|\\.|\$\$?", re.S)
+_OPENER = re.compile(r"```|`|\\\[|\\\(|\\begin\{([A-Za-z]+)(\*?)\}|\\.|\$\$?", re.S)
 _CLOSER = {"\\[": "\\]", "\\(": "\\)", "$$": "$$", "$": "$"}
 _CLOSE = {c: re.compile(re.escape(c) + r"|\\.", re.S) for c in _CLOSER.values()}
 _NAMED = {"\\[": "\\[ display block", "\\(": "\\( inline block", "$$": "$$ display block", "$": "$ inline block"}
@@ -49,50 +50,56 @@ def find_end(text: str, at: int, name: str) -> tuple[int, int]:
     return -1, -1
 
 
-def scan_text(text: str) -> tuple[list, list]:
-    """Tokens (kind, value, body, start, line, env) and issues (line, message) of a text. What opens and never closes is text."""
-    lines = [m.start() for m in re.finditer("\n", text)]
-    line = lambda at: bisect_right(lines, at - 1) + 1
-    tokens, issues, done, at = [], [], 0, 0
-
-    def add(kind: str, begin: int, end: int, body: str, env: str | None = None) -> None:
-        nonlocal done
-        for k, a, b, inner in (("text", done, begin, text[done:begin]), (kind, begin, end, body)):
-            if b > a:
-                tokens.append((k, text[a:b], inner, a, line(a), env if k != "text" else None))
-        done = end
-
+def spans(text: str, problems: list) -> Iterator[tuple[str, int, int, int, int, str | None]]:
+    """(kind, begin, end, body's begin and end, env) of each formula of a text in order; what opens and never closes is added to problems, as its
+    place and what is wrong."""
+    at = 0
     while m := _OPENER.search(text, at):
         what, begin, at = m[0], m.start(), m.end()
+        if what == "```" and begin and text[begin - 1] != "\n":
+            what, at = "`", begin + 1
         if what[0] == "`":  # code is text, to its end
             end = text.find(what, at)
             at = end + len(what) if end >= 0 else len(text) if what == "```" else at
         elif m[1] and m[1] in DISPLAY_ENVS:
             _, end = find_end(text, at, m[1] + m[2])
             if end < 0:
-                issues.append((line(begin), f"\\begin{{{m[1]}{m[2]}}} has no matching end"))
+                problems.append((begin, f"\\begin{{{m[1]}{m[2]}}} has no matching end"))
             else:
-                add("display", begin, end, text[begin:end], m[1])
+                yield "display", begin, end, begin, end, m[1]
                 at = end
         elif what in _CLOSER:
             end = find_close(text, at, _CLOSER[what])
             if end < 0 or what == "$" and _BLANK_LINE.search(text, at, end):
-                issues.append((line(begin), f"Unclosed {_NAMED[what]}"))
+                problems.append((begin, f"Unclosed {_NAMED[what]}"))
             else:
-                body, stop = text[at:end], end + len(what)
-                add("display" if what in ("\\[", "$$") else "inline", begin, stop, body)
+                stop = end + len(what)
+                yield "display" if what in ("\\[", "$$") else "inline", begin, stop, at, end, None
                 at = stop
         elif m[1]:  # any other environment: its head's first two characters are skipped like an escape
             at = begin + 2
-    add("text", len(text), len(text), "")
-    return tokens, issues
+
+
+def scan_text(text: str) -> tuple[list, list]:
+    """Tokens (kind, value, body, start, line, env) and issues (line, message) of a text. What opens and never closes is text."""
+    lines = [m.start() for m in re.finditer("\n", text)]
+    line = lambda at: bisect_right(lines, at - 1) + 1
+    tokens, problems, done = [], [], 0
+    for kind, begin, end, first, last, env in spans(text, problems):
+        if begin > done:
+            tokens.append(("text", text[done:begin], text[done:begin], done, line(done), None))
+        tokens.append((kind, text[begin:end], text[first:last], begin, line(begin), env))
+        done = end
+    if done < len(text):
+        tokens.append(("text", text[done:], text[done:], done, line(done), None))
+    return tokens, [(line(at), message) for at, message in problems]
 
 
 _TOKEN_TYPE = pa.struct([("kind", pa.string()), ("value", pa.string()), ("body", pa.string()), ("start", pa.int32()), ("line", pa.int32()), ("env", pa.string())])
 _ISSUE_TYPE = pa.struct([("line", pa.int32()), ("message", pa.string())])
 
 
-def _lists(rows: list[list[tuple]], kind: pa.StructType) -> pa.ListArray:
+def lists(rows: list[list[tuple]], kind: pa.StructType) -> pa.ListArray:
     """Lists of structs from lists of tuples, column by column."""
     flat = [t for row in rows for t in row]
     columns = [pa.array([t[i] for t in flat], f.type) for i, f in enumerate(kind)]
@@ -107,7 +114,7 @@ def scan(text: Column) -> Column:
     @F.arrow_udf(f"struct<{SCAN}>")
     def run(texts: pa.Array) -> pa.Array:
         found = [scan_text(x or "") for x in texts.to_pylist()]
-        both = [_lists([t for t, _ in found], _TOKEN_TYPE), _lists([i for _, i in found], _ISSUE_TYPE)]
+        both = [lists([t for t, _ in found], _TOKEN_TYPE), lists([i for _, i in found], _ISSUE_TYPE)]
         return pa.StructArray.from_arrays(both, names=["tokens", "issues"])
 
     return run(text)
@@ -446,8 +453,10 @@ def strip_comments(text: Column) -> Column:
         x = F.regexp_replace(x, r"(?m)^[ \t]*%[^\n]*(?:\n|\z)", "")
         return F.regexp_replace(x, r"(?<!\\)((?:\\\\)*)%[^\n]*", "$1")
 
-    pieces = F.regexp_extract_all(text, F.lit(rf"(?s){_LITERAL}|(?:(?!\\begin\{{(?:verbatim|lstlisting|minted|comment)|\\verb).)+|\\"), F.lit(0))
-    return F.array_join(F.transform(pieces, lambda x: F.when(x.rlike(rf"(?s)\A(?:{_LITERAL})\z"), x).otherwise(change(x))), "")
+    cue = r"begin\{(?:verbatim|lstlisting|minted|comment)|verb"
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s){_LITERAL}|(?:[^\\]++|\\(?!{cue}))++|\\"), F.lit(0))
+    apart = F.array_join(F.transform(pieces, lambda x: F.when(x.rlike(rf"(?s)\A(?:{_LITERAL})\z"), x).otherwise(change(x))), "")
+    return F.when(~text.contains("%"), text).when(text.rlike(rf"\\(?:{cue})"), apart).otherwise(change(text))
 
 
 def document_parts(text: Column) -> Column:

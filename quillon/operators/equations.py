@@ -3,38 +3,21 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.functions import latex
-from quillon.functions.braces import matches, pieces
+from quillon.functions.braces import cut, pieces
 from quillon.functions.text import bound, strip
+from quillon.operators import papers
+from quillon.operators.papers import ROWS, SPACE, cut_rows  # noqa: F401
 from quillon.operators.relational import asof_join, closure, letters
 
-# Environments of rows that each may have a number.
-ROWS = ("align", "gather", "alignat", "flalign", "eqnarray")
-_BREAK = re.compile(r"\\\\\*?(?:\s*\[[^\]]*\])?|\\(begin|end)\{[A-Za-z]+\*?\}|\\.|[{}]", re.S)
-
-
-def cut_rows(body: str) -> list[str]:
-    """Rows of an environment's body, at \\\\ outside braces and inner environments; an empty last row is none."""
-    ends, rows, done, depth, at = matches(body), [], 0, 0, 0
-    while m := _BREAK.search(body, at):
-        at = m.end()
-        if m[0] == "{":
-            at = ends.get(m.start(), at)
-        elif m[1]:
-            depth = max(0, depth + (1 if m[1] == "begin" else -1))
-        elif m[0].startswith("\\\\") and not depth:
-            rows.append(body[done : m.start()])
-            done = at
-    rows.append(body[done:])
-    return rows[:-1] if len(rows) > 1 and not rows[-1].strip() else rows
-
-
 def split_rows(body: Column) -> Column:
     """The rows of `cut_rows`; a null has one empty row."""
 
@@ -45,10 +28,6 @@ def split_rows(body: Column) -> Column:
     return run(body)
 
 
-# Stand for the begin and end of sub-equations, which are no part of a formula.
-_SUB_BEGIN, _SUB_END = "\x02", "\x03"
-
-
 def extract(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(events, labels) of documents: events(doc, seq, kind, tag, env, latex) as number_equations takes them, labels(doc, seq, key).
 
@@ -56,30 +35,9 @@ def extract(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> tu
     or none that numbers, or the row says so. A tag is the number. Chapters, sections, the appendix, and where sub-equations begin and end
     come from the text between.
     """
-    bare = F.translate(latex.strip_comments(F.col(text)), _SUB_BEGIN + _SUB_END, "")
-    bare = F.replace(F.replace(bare, F.lit("\\begin{subequations}"), F.lit(_SUB_BEGIN)), F.lit("\\end{subequations}"), F.lit(_SUB_END))
-    tokens = documents.select(F.col(doc).alias("doc"), F.explode(latex.tokenize(bare)).alias("t"))
-    whole = r"(?s)\A\\begin\{([A-Za-z]+)(\*?)\}(.*)\\end\{\1\2\}\z"
-    body, env = F.col("t.body"), F.col("t.env")
-    starred = F.regexp_extract(body, whole, 2) == "*"
-    inner = F.when(env.isNull(), body).otherwise(F.regexp_extract(body, whole, 3))
-    shown = tokens.where("t.kind = 'display'").select(
-        "doc", F.col("t.start").alias("start"), env.alias("env"), starred.alias("starred"), F.when(env.isin(*ROWS), split_rows(inner)).otherwise(F.array(inner)).alias("rows")
-    )
-    each = shown.select("doc", "start", "env", "starred", F.posexplode("rows").alias("i", "latex"))
-    tag = F.regexp_extract("latex", r"\\tag\*?\s*\{([^}]*)\}", 1)
-    tag = F.when(tag != "", strip(tag))
-    plain = F.col("env").isin(*latex.NUMBERED) & ~F.col("starred") & ~F.col("latex").rlike(r"\\(nonumber|notag)(?![A-Za-z])")
-    kind = F.when(tag.isNotNull() | F.coalesce(plain, F.lit(False)), "equation").otherwise("unnumbered")
-    rows = each.select("doc", F.struct("start", "i").alias("seq"), kind.alias("kind"), tag.alias("tag"), "env", F.col("latex"))
-    shapes = rf"\\(chapter\s*[\[{{]|section\s*[\[{{]|appendix(?![A-Za-z]))|([{_SUB_BEGIN}{_SUB_END}])"
-    marks = tokens.where("t.kind = 'text'").select("doc", F.col("t.start").alias("start"), F.posexplode(F.regexp_extract_all("t.value", F.lit(shapes), F.lit(0))).alias("i", "mark"))
-    none = F.lit(None).cast("string")
-    of = F.regexp_extract("mark", r"\A\\(\w+)", 1)
-    of = F.when(F.col("mark") == _SUB_BEGIN, "sub_begin").when(F.col("mark") == _SUB_END, "sub_end").otherwise(of)
-    marks = marks.select("doc", F.struct("start", "i").alias("seq"), of.alias("kind"), none.alias("tag"), none.alias("env"), none.alias("latex"))
-    labels = rows.select("doc", "seq", F.explode(F.regexp_extract_all("latex", F.lit(r"\\label\s*\{([^}]*)\}"), F.lit(1))).alias("key"))
-    return rows.union(marks), labels.select("doc", "seq", strip(F.col("key")).alias("key"))
+    rows = documents.select(F.col(doc).alias("doc"), F.explode(papers.event_list(F.col(text))).alias("e"))
+    seq = F.struct("e.start", "e.i").alias("seq")
+    return rows.select("doc", seq, "e.kind", "e.tag", "e.env", "e.latex"), rows.select("doc", seq, F.explode("e.labels").alias("key"))
 
 
 def counts_within(text: Column) -> Column:
@@ -219,6 +177,68 @@ def defines_and_uses(formula: Column, numbered: bool = True) -> Column:
     return bound(relation(first), of)
 
 
+_PARTS = re.compile(rf"(?s)(?:{_OTHER})|(&?:?=|&?\\(?:{'|'.join(DEFINING)})(?![A-Za-z]))|\\[A-Za-z]+|\\.|[^<>!=:&\\]+|.")
+_STOP = re.compile(r"\\implies|\\Rightarrow|\\\\|\\q?quad")
+_TEXTS = re.compile(r"\\(?:text|textrm|mathrm|operatorname|label|tag|ref|eqref)\s*\*?\{[^{}]*\}", re.A)
+_NO_NAME = re.compile(rf"\\(?:{'|'.join(NAMELESS)})(?![A-Za-z]){_LIMITS}|\\(?:{'|'.join(DRESS)})(?![A-Za-z])(?!\s*\{{[^{{}}]+\}}){_LIMITS}", re.A)
+_NAME = re.compile(rf"(?:{_BASE})(?:{_SUBSCRIPT})?", re.A)
+_ONLY_BASE, _SUB = re.compile(_BASE, re.A), re.compile(r"_\s*\{?([^{}]*)\}?\Z", re.A)
+_PLACE, _BLANKS = re.compile(PLACES, re.A), re.compile(r"\s+", re.A)
+_CALLED, _ENDS = re.compile(r"\([^()]*\)\Z"), re.compile(r"\A[&\s]+|[\s&]+\Z", re.A)
+
+
+@lru_cache(4096)
+def _name(x: str) -> str:
+    base, sub = _BLANKS.sub("", _ONLY_BASE.match(x)[0]), m[1] if (m := _SUB.search(x)) else ""
+    own = _BLANKS.sub("", sub)
+    if not own or _PLACE.fullmatch(sub.strip(" ")):
+        return base
+    return f"{base}_{own}" if len(own) == 1 else f"{base}_{{{own}}}"
+
+
+def names_of(formula: str) -> list[str]:
+    """`named` of one formula."""
+    return list(dict.fromkeys(map(_name, _NAME.findall(_NO_NAME.sub(" ", _TEXTS.sub(" ", formula))))))
+
+
+def defined_and_used(formula: str) -> tuple[str | None, list[str]]:
+    """`defines` and `uses` of `defines_and_uses` for one formula."""
+    first = formula[: m.start()] if (m := _STOP.search(formula)) else formula
+    at, left, defines = 0, None, None
+    for group, part in cut(first) if "{" in first else ((False, first),):
+        if not group and (m := next((m for m in _PARTS.finditer(part) if m[1]), None)):
+            left = first[: at + m.start()].strip(SPACE)
+            break
+        at += len(part)
+    uses = names_of(formula)
+    if left is not None:
+        side = _ENDS.sub("", _CALLED.sub("", left))
+        if _NAME.fullmatch(side):
+            defines = next(iter(names_of(side)), None)
+            uses = [u for u in uses if u != defines]
+    return defines, uses
+
+
+def graph(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, src, dst, symbol): the edges of `formula_graph` over the equations of each document, which are numbered from 1 in order. One pass over
+    each text: the last definition of a symbol is what its next use refers to."""
+
+    @F.arrow_udf("array<struct<src:int,dst:int,symbol:string>>")
+    def run(texts: pa.Array) -> pa.Array:
+        out = []
+        for x in texts.to_pylist():
+            last, edges = {}, []
+            for n, formula in enumerate((e[5] for e in papers.events(x or "") if e[5] is not None), 1):
+                defines, uses = defined_and_used(formula)
+                edges += [(last[u], n, u) for u in uses if u in last]
+                if defines is not None:
+                    last[defines] = n
+            out.append(edges)
+        return latex.lists(out, pa.struct([("src", pa.int32()), ("dst", pa.int32()), ("symbol", pa.string())]))
+
+    return documents.select(F.col(doc).alias("doc"), F.explode(run(latex.strip_comments(F.col(text)))).alias("e")).select("doc", "e.*")
+
+
 def formula_graph(equations: DataFrame) -> DataFrame:
     """equations(doc, seq, latex) -> edges (doc, src, dst, symbol): equation dst uses a symbol that src, the last before it that does, defines.
 

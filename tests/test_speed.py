@@ -4,8 +4,10 @@ import random
 import time
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillon.functions import latex
+from quillon.operators import equations, papers
 from quillon.operators import relational as R
 
 
@@ -32,3 +34,51 @@ def test_nearest_names(spark):
 def test_environments_of_many_rows(spark):
     names = F.get(F.array(*map(F.lit, ("eqaution", "algin*", "align", "itemise"))), (F.col("id") % 4).cast("int"))
     within(60, latex.corrected_environments(spark.range(100_000).select(names.alias("name")), "name"))
+
+
+def paper(rnd):
+    """A text of sections, equations, references and odd pieces in any order."""
+    names = ["x", "y_i", "\\hat{h}_{t+1}", "z_{ab}", "W_1", "f(x)", "\\alpha", "g _ {2}", "\\bar {u}", "\\mathcal", "\u3000q\u00a0"]
+    signs = [" = ", " &= ", " := ", "\\approx ", " \\equiv", " <= ", " == ", " \\approxeq ", " + ", "\\implies ", " \\quad ", "=:"]
+    head = lambda: rnd.choice(["", rnd.choice(names) + rnd.choice(signs), "&" + rnd.choice(names) + " ="])
+    eq = lambda: head() + "".join(rnd.choice([rnd.choice(names), rnd.choice(signs), "\\text{if x}", "{a = b}", "\\sum_{i=1}^n ", "\\{", "\\}"]) for _ in range(rnd.randrange(1, 7))) + rnd.choice(["", "", "\\label{k%d}" % rnd.randrange(4), "\\tag{ T }", "\\tag{}", "\\nonumber", "\\notag", "\\label { k1\u00a0}"])
+    rows = lambda: rnd.choice(["\\\\", "\\\\[2pt]", " \\\\* "]).join(eq() for _ in range(rnd.randrange(1, 4))) + rnd.choice(["", "\\\\", "\\\\ \n"])
+    env = lambda e, b: f"\\begin{{{e}}}{b}\\end{{{e}}}"
+    one = [
+        lambda: f"$${eq()}$$", lambda: f"\\[{eq()}\\]", lambda: f"${eq()}$", lambda: env(rnd.choice(["equation", "equation*", "aligned", "multline"]), eq()), lambda: env(rnd.choice(["align", "align*", "gather"]), rows()),
+        lambda: "\\section{s}", lambda: "\\chapter [t]", lambda: "\\appendix ", lambda: "\\appendixes", lambda: env("subequations", eq()) if rnd.random() < 0.2 else "\\begin{subequations}", lambda: "\\end{subequations}",
+        lambda: "\\ref{k%d}" % rnd.randrange(5), lambda: "\\eqref { k1 }", lambda: "% \\section{c}\n", lambda: "50\\% of\n", lambda: "\\verb|%|", lambda: "\n```\n$$x$$\n```\n", lambda: "a ``` b $", lambda: "\\begin{verbatim}%\\end{verbatim}", lambda: "\n\n", lambda: "\\begin{align} x", lambda: "\x02",
+    ]
+    return "".join(rnd.choice(one)() for _ in range(rnd.randrange(16)))
+
+
+def papers_(spark, n=1500):
+    rnd = random.Random(7)
+    return spark.createDataFrame([(i, paper(rnd)) for i in range(n)] + [(n, None), (n + 1, "")], "doc_id int, text string").repartition(4).cache()
+
+
+def bag(df):
+    return sorted(map(repr, df.collect()))
+
+
+def test_papers_equal_rows(spark):
+    """What is read of each document in one pass is what windows and joins say of its events."""
+    docs = papers_(spark)
+    events, labels = equations.extract(docs)
+    n = F.row_number().over(Window.partitionBy("doc").orderBy("seq"))
+    for within in (None, "section", "chapter"):
+        want = equations.number_equations(events, within, "section", "chapter").select("doc", n.alias("n"), "kind", "env", "number", "number_section", "number_chapter")
+        assert bag(papers.numbered(docs, within, "section", "chapter")) == bag(want)
+    known = labels.join(equations.number_equations(events), ["doc", "seq"]).select("doc", "key", "number")
+    assert bag(papers.resolved(docs)) == bag(equations.resolve_references(equations.references(docs), known))
+    rows = events.where("latex is not null").select("doc", n.alias("seq"), "latex")
+    edges = bag(equations.graph(docs))
+    assert len(edges) > 50 and edges == bag(equations.formula_graph(rows))
+
+
+def test_papers_of_many_orders(spark):
+    text = "\\section{A} " + "\\begin{align} a_1 &= b + c \\label{k} \\\\ b &= a_1 \\end{align} $$ d(x) = a_1 $$ see \\ref{k}." * 4
+    many = spark.range(40_000).select(F.col("id").alias("doc_id"), F.concat(F.lit(text), F.col("id").cast("string")).alias("text")).repartition(4)
+    within(45, papers.numbered(many, "section"))
+    within(45, papers.resolved(many))
+    within(45, equations.graph(many))
