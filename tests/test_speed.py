@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.functions import latex
-from quillon.operators import equations, papers
+from quillon.operators import equations, papers, symbols
 from quillon.operators import relational as R
 
 
@@ -82,3 +82,18 @@ def test_papers_of_many_orders(spark):
     within(45, papers.numbered(many, "section"))
     within(45, papers.resolved(many))
     within(45, equations.graph(many))
+
+
+def plan(df):
+    df.collect()
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_symbol_table_aggregates_once(spark):
+    docs = spark.createDataFrame([(1, "where $x_i$ is the input, $i \\in N$ and $x$ denotes a thing. $$y = x$$"), (2, None), (3, "$\\pi$")], "doc_id int, text string")
+    table = symbols.symbol_table(docs)
+    said = {(r.doc, r.symbol): r.description for r in symbols.definitions(docs).collect()}
+    assert {(r.doc, r.symbol): (r.n, r.description, r.index_only) for r in table.collect()} == {
+        (1, "x"): (3, said[1, "x"], False), (1, "i"): (2, said[1, "i"], False), (1, "N"): (1, None, False), (1, "y"): (1, None, False), (3, "\\pi"): (1, None, False)
+    }
+    assert plan(table).count("Aggregate") == 1 and "Join" not in plan(table)
