@@ -16,7 +16,7 @@ from quillon.functions.braces import cut, pieces
 from quillon.functions.text import bound, strip
 from quillon.operators import papers
 from quillon.operators.papers import ROWS, SPACE, cut_rows  # noqa: F401
-from quillon.operators.relational import asof_join, closure, letters
+from quillon.operators.relational import asof_join, letters
 
 def split_rows(body: Column) -> Column:
     """The rows of `cut_rows`; a null has one empty row."""
@@ -251,18 +251,38 @@ def formula_graph(equations: DataFrame) -> DataFrame:
     return found.select("doc", "src", F.col("seq").alias("dst"), "symbol")
 
 
+def _used(text: str | None) -> list[str]:
+    return re.findall(r"\\([A-Za-z]+)", text or "")
+
+
+def _reached(formula: str | None, calls: dict[str, list[str]]) -> set[str]:
+    """Names of `calls` that a formula needs: those it uses, and those that they use."""
+    waiting, seen = [n for n in _used(formula) if n in calls], set()
+    while waiting:
+        name = waiting.pop()
+        if name not in seen:
+            seen.add(name)
+            waiting += [n for n in calls[name] if n in calls]
+    return seen
+
+
 def with_definitions(equations: DataFrame, macros: DataFrame) -> DataFrame:
     """equations(doc, seq, latex) with macros(doc, name, body) -> doc, seq, names: the macros that an equation needs, those
-    included that its macros use themselves, sorted. The closure is found over the macros, once a document."""
-    called = macros.select("doc", F.col("name").alias("src"), F.explode(latex.commands_used(F.col("body"))).alias("dst"))
-    known = macros.select("doc", F.col("name").alias("dst")).distinct()
-    tied = lambda c: F.to_json(F.struct("doc", F.col(c).alias("n")))
-    edges = called.join(known, ["doc", "dst"]).select(tied("src").alias("src"), tied("dst").alias("dst"))
-    reach = closure(edges).select(F.col("src"), F.get_json_object("dst", "$.n").alias("further"))
-    direct = equations.select("doc", "seq", F.explode(latex.commands_used(F.col("latex"))).alias("dst")).join(known, ["doc", "dst"])
-    further = direct.withColumn("src", tied("dst")).join(reach, "src").select("doc", "seq", F.col("further").alias("dst"))
-    every = direct.select("doc", "seq", "dst").union(further)
-    return every.groupBy("doc", "seq").agg(F.array_sort(F.collect_set("dst")).alias("names"))
+    included that its macros use themselves, sorted. The macros of a document are one row beside its equations: one shuffle by document."""
+
+    @F.arrow_udf("array<string>")
+    def run(formulas: pa.Array, macros: pa.Array) -> pa.Array:
+        out = []
+        for formula, given in zip(formulas.to_pylist(), macros.to_pylist(), strict=True):
+            calls: dict[str, list[str]] = {}
+            for m in given:
+                calls.setdefault(m["name"], []).extend(_used(m["body"]))
+            out.append(sorted(_reached(formula, calls)))
+        return pa.array(out, pa.list_(pa.string()))
+
+    listed = macros.where("name is not null").groupBy("doc").agg(F.collect_list(F.struct("name", "body")).alias("_m"))
+    rows = equations.join(listed, "doc").select("doc", "seq", run("latex", "_m").alias("names"))
+    return rows.groupBy("doc", "seq").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("names")).where("size(names) > 0")
 
 
 def definition_units(equations: DataFrame, macros: DataFrame) -> DataFrame:

@@ -97,3 +97,13 @@ def test_symbol_table_aggregates_once(spark):
         (1, "x"): (3, said[1, "x"], False), (1, "i"): (2, said[1, "i"], False), (1, "N"): (1, None, False), (1, "y"): (1, None, False), (3, "\\pi"): (1, None, False)
     }
     assert plan(table).count("Aggregate") == 1 and "Join" not in plan(table)
+
+
+def test_macros_of_documents(spark, tmp_path):
+    """Cycles, names defined twice, other documents' names; no table is written on the way."""
+    macros = [(1, 0, "f", "\\g", "F"), (1, 1, "g", "\\f \\h", "G"), (1, 2, "h", "x", "H"), (1, 3, "u", "\\h", "U"), (1, 4, "h", "\\u", "H2"), (2, 0, "a", None, "A"), (2, 1, "h", "", "H3"), (None, 0, "f", "", "N")]
+    macros = spark.createDataFrame(macros, "doc int, ord int, name string, body string, source string")
+    eqs = spark.createDataFrame([(1, 1, " \\f "), (1, 2, "\\h"), (1, 3, "x"), (2, 1, "\\f \\h"), (3, 1, "\\f"), (None, 1, "\\f"), (2, 2, None)], "doc int, seq int, latex string")
+    got = equations.with_definitions(eqs, macros.drop("ord", "source"))
+    assert sorted(map(tuple, got.collect())) == [(1, 1, ["f", "g", "h", "u"]), (1, 2, ["h", "u"]), (2, 1, ["h"])]
+    assert "Relation" not in plan(got)
