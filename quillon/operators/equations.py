@@ -288,8 +288,20 @@ def with_definitions(equations: DataFrame, macros: DataFrame) -> DataFrame:
 def definition_units(equations: DataFrame, macros: DataFrame) -> DataFrame:
     """equations(doc, seq, latex) with macros(doc, ord, name, body, source) -> doc, seq, unit: the definitions that an equation needs, in their
     order, then a blank line and the equation; it alone where it needs none. Of a name that is defined twice the last definition counts."""
-    last = macros.groupBy("doc", "name").agg(F.max_by(F.struct("ord", "body", "source"), "ord").alias("m")).select("doc", "name", "m.*")
-    needed = with_definitions(equations, last).select("doc", "seq", F.explode("names").alias("name")).join(last, ["doc", "name"])
-    texts = needed.groupBy("doc", "seq").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "source"))), lambda x: x["source"]), "\n").alias("_d"))
+
+    @F.arrow_udf("string")
+    def run(formulas: pa.Array, macros: pa.Array) -> pa.Array:
+        out = []
+        for formula, given in zip(formulas.to_pylist(), macros.to_pylist(), strict=True):
+            last: dict[str, dict] = {}
+            for m in given or ():
+                last.pop(m["name"], None)  # a later one stands in its own place
+                last[m["name"]] = m
+            needed = _reached(formula, {n: _used(m["body"]) for n, m in last.items()})
+            out.append("\n".join(m["source"] for n, m in last.items() if n in needed) if needed else None)
+        return pa.array(out, pa.string())
+
+    listed = macros.where("name is not null").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("ord", "name", "body", "source"))).alias("_m"))
+    rows = equations.join(listed, "doc", "left").select("doc", "seq", "latex", run("latex", "_m").alias("_d"))
     whole = F.when(F.col("_d").isNotNull(), F.concat("_d", F.lit("\n\n"), strip(F.col("latex")))).otherwise(strip(F.col("latex")))
-    return equations.join(texts, ["doc", "seq"], "left").select("doc", "seq", whole.alias("unit"))
+    return rows.select("doc", "seq", whole.alias("unit"))

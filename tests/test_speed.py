@@ -107,3 +107,5 @@ def test_macros_of_documents(spark, tmp_path):
     got = equations.with_definitions(eqs, macros.drop("ord", "source"))
     assert sorted(map(tuple, got.collect())) == [(1, 1, ["f", "g", "h", "u"]), (1, 2, ["h", "u"]), (2, 1, ["h"])]
     assert "Relation" not in plan(got)
+    units = {(r.doc, r.seq): r.unit for r in equations.definition_units(eqs, macros).collect()}
+    assert units == {(1, 1): "F\nG\nU\nH2\n\n\\f", (1, 2): "U\nH2\n\n\\h", (1, 3): "x", (2, 1): "H3\n\n\\f \\h", (3, 1): "\\f", (None, 1): "\\f", (2, 2): None}
